@@ -57,8 +57,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixdedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_topk, op4_licenses, op6_warc, op7_packing, op9_token_counts)}
+    return {f.__name__: f for f in (op2_simhash, op3_topk, op4_licenses, op6_warc, op7_packing, op9_token_counts, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
