@@ -51,6 +51,15 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .linededup import remove_repeated_chunks
+
+    kept = remove_repeated_chunks(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokencount import token_counts
 
@@ -64,7 +73,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_topk, op4_licenses, op6_warc, op7_packing, op9_token_counts, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op2_simhash, op3_topk, op4_licenses, op6_warc, op7_packing, op8_line_dedup, op9_token_counts, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
