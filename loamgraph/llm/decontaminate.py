@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 from math import ceil
 
 import numpy as np
@@ -63,8 +64,7 @@ class Items:
 
     def numbers(self, own: list[bytes]) -> np.ndarray:
         """Word numbers; -1 for words that no item has."""
-        get = self.vocabulary.get
-        return np.fromiter((get(w, -1) for w in own), np.int64, len(own))
+        return np.array(list(map(self.vocabulary.get, own, repeat(-1))), np.int64)
 
     def keys(self, numbers: np.ndarray) -> np.ndarray:
         """A key for each place's n-gram, -1 where an item can't have it."""
