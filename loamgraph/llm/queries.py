@@ -84,8 +84,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_topk, op4_licenses, op5_language_id, op6_warc, op7_packing, op8_line_dedup, op9_token_counts, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_topk, op4_licenses, op5_language_id, op6_warc, op7_packing, op8_line_dedup, op9_token_counts, op10_suffix_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
