@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,8 +109,6 @@ def neighbor_pairs(vectors: DataFrame, k: int = 5, least: float = 0.85, id_col:
 
 def indel_ratio(a: Column, b: Column) -> Column:
     """2 LCS / (len a + len b), of lower-cased texts; two empty ones are equal. Rows run in Arrow batches."""
-    import pandas as pd
-
     def common(x: str, y: str) -> int:
         # Bits of `rows` are places of x where the longest common subsequence grows.
         at: dict[str, int] = {}
@@ -153,8 +152,6 @@ class Cells:
     def assign(self, rows: DataFrame, probes: int = 1, name: str = "cell") -> DataFrame:
         """rows with a `cell` for each of the nearest `probes` cells."""
         told = rows.sparkSession.sparkContext.broadcast(self.centroids)
-        import pandas as pd
-
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for s in batches:
                 near = np.argsort(-(np.stack(s.to_numpy()) @ told.value.T), axis=1)[:, :probes]
