@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import regex
@@ -11,11 +13,11 @@ from tokenizers import Tokenizer
 from .tokencount import byte_alphabet
 
 #: Chunks and pieces remembered by each Python worker.
-CHUNKS_KEPT = 600_000
-PIECES_KEPT = 300_000
-#: Longer pieces, and characters from here on, go through the library.
-LONGEST = 40
-PLAIN_BELOW = 0x130
+CHUNKS_KEPT = 1_000_000
+PIECES_KEPT = 500_000
+#: Longer chunks, and those with characters from here on, go through the library.
+LONGEST = 64
+PLAIN = chr(0x130)
 NEVER = np.iinfo(np.int32).max
 
 
@@ -33,7 +35,9 @@ class WordBpe:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        # What all special tokens begin with; None if there are none.
+        special = [t["content"] for t in spec["added_tokens"]]
+        self.mark = commonprefix(special) if special else None
         end = spec["model"]["end_of_word_suffix"]
         self.first, self.last = np.zeros(256, np.int64), np.zeros(256, np.int64)
         for c, b in byte_alphabet().items():
@@ -120,28 +124,39 @@ class WordBpe:
             self.chunks = {"": b""}
         if len(self.pieces) > PIECES_KEPT:
             self.pieces = {}
-        split: dict[str, list[str]] = {}
+        known, new = self.pieces, set()
+        single: list[tuple[str, str]] = []
+        several: list[tuple[str, list[str]]] = []
         odd: list[str] = []
-        new: set[str] = set()
         for chunk in chunks:
-            if not (chunk.isascii() or max(chunk) < chr(PLAIN_BELOW)) or any(s in chunk for s in self.special):
+            ascii_ = chunk.isascii()
+            if len(chunk) > LONGEST or not ascii_ and max(chunk) >= PLAIN or self.mark is not None and self.mark in chunk:
                 odd.append(chunk)
                 continue
-            pieces = self.pattern.findall(chunk.lower())
-            if any(len(p) > LONGEST for p in pieces):
-                odd.append(chunk)
+            low = chunk.lower()
+            if low.isalpha():
+                single.append((chunk, low))
+                if low not in known:
+                    new.add(low)
                 continue
-            split[chunk] = pieces
-            new.update(p for p in pieces if p not in self.pieces)
-        by_size = sorted((p.encode("utf-8"), p) for p in new)
-        by_size.sort(key=lambda x: len(x[0]))
+            # A word before one point or comma, the most frequent of the others, needs no pattern.
+            body = low[:-1]
+            pieces = [body, low[-1]] if low[-1] in ".," and body.isalpha() else self.pattern.findall(low)
+            several.append((chunk, pieces))
+            for p in pieces:
+                if p not in known:
+                    new.add(p)
+        by_size = sorted(((p.encode("utf-8"), p) for p in new), key=lambda x: len(x[0]))
         for at in range(0, len(by_size), 4096):
             part = by_size[at : at + 4096]
-            self.pieces.update(zip((p for _, p in part), self._merge([b for b, _ in part]), strict=True))
-        for chunk, pieces in split.items():
-            self.chunks[chunk] = b"".join(map(self.pieces.__getitem__, pieces))
+            known.update(zip((p for _, p in part), self._merge([b for b, _ in part]), strict=True))
+        kept = self.chunks
+        for chunk, piece in single:
+            kept[chunk] = known[piece]
+        for chunk, pieces in several:
+            kept[chunk] = b"".join([known[p] for p in pieces])
         for chunk in odd:
-            self.chunks[chunk] = np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+            kept[chunk] = np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
@@ -154,7 +169,7 @@ class WordBpe:
             ids = list(map(get, chunks))
             if None in ids:
                 again.append(i)
-                unseen.update(c for c, x in zip(chunks, ids, strict=True) if x is None)
+                unseen.update([c for c, x in zip(chunks, ids, strict=True) if x is None])
             else:
                 out[i] = b"".join(ids)
         if unseen:
@@ -166,3 +181,9 @@ class WordBpe:
             for i in again:
                 out[i] = b"".join(map(get, split[i]))
         return out
+
+
+@lru_cache(maxsize=2)
+def tokenizer(path: str) -> WordBpe:
+    """One encoder for each file in a Python worker: what a task has learnt serves the next."""
+    return WordBpe(path)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import WordBpe
+from .bpe import tokenizer
 from .common import cut, stored
 
 CAPACITY = 4096
@@ -33,7 +33,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_i
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(vocabulary)
+        bpe = tokenizer(vocabulary)
         for batch in batches:
             texts = batch.column(1)
             at = 0
