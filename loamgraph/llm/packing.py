@@ -22,6 +22,8 @@ ISLANDS = 2
 EPOCHS = 2
 GENERATIONS = 12
 POPULATION = 4
+#: Loose pieces that a bin is offered in exchange.
+SWAPS = 24
 #: Characters tokenised at once.
 CHARS = 1 << 20
 
@@ -108,13 +110,37 @@ class Island:
                 kept.append(list(one))
             else:
                 displaced += [x for x in one if x not in taken]
-        return self.best_fit(kept, displaced)
+        return self.best_fit(*self.swap(kept, displaced))
+
+    def swap(self, bins: Bins, loose: list[int]) -> tuple[Bins, list[int]]:
+        """Trades a bin's piece for a longer loose one, or two for one, where that fills the bin better; what comes out is smaller and easier to place."""
+        loose = sorted(loose, key=lambda x: -self.size[x])
+        for one in bins:
+            room = self.capacity - self.fill(one)
+            if not room or not loose:
+                continue
+            best = None
+            out = [(self.size[x], (i,)) for i, x in enumerate(one)]
+            if len(one) <= 8:
+                out += [(self.size[x] + self.size[y], (i, j)) for i, x in enumerate(one) for j, y in enumerate(one[:i])]
+            for k, item in enumerate(loose[:SWAPS]):
+                for size, at in out:
+                    gain = self.size[item] - size
+                    if 0 < gain <= room and (best is None or gain > best[0]):
+                        best = gain, k, at
+            if best:
+                _, k, at = best
+                item = loose.pop(k)
+                loose += [one[i] for i in at]
+                loose.sort(key=lambda x: -self.size[x])
+                one[:] = [x for i, x in enumerate(one) if i not in at] + [item]
+        return bins, loose
 
     def mutate(self, a: Bins) -> Bins:
         """Empties the emptiest bins and a few others, and best-fits their items."""
         order = sorted(range(len(a)), key=lambda i: self.fill(a[i]))
         gone = set(order[: max(1, len(a) // 50)]) | set(self.rng.integers(0, len(a), max(1, len(a) // 20)).tolist())
-        return self.best_fit([list(b) for i, b in enumerate(a) if i not in gone], [x for i in gone for x in a[i]])
+        return self.best_fit(*self.swap([list(b) for i, b in enumerate(a) if i not in gone], [x for i in gone for x in a[i]]))
 
     def evolve(self, given: list[Bins]) -> Bins:
         people = [p for p in given if p] or [self.best_fit([], list(range(len(self.size))))]
