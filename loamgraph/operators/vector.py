@@ -96,7 +96,8 @@ def similar_pairs(vectors: DataFrame, least: float = 0.88, metric: str = "cosine
         full = (np.linalg.norm(v[a], axis=1) > 0)[:, None] & (np.linalg.norm(v[b], axis=1) > 0)[None, :]
         i, j = np.nonzero((s >= least) & full & ((ids[a][:, None] < ids[b][None, :]) if lo == hi else np.ones_like(full)))
         x, y = ids[a[i]], ids[b[j]]
-        return pa.table({"a": np.where(x < y, x, y), "b": np.where(x < y, y, x), "similarity": np.round(s[i, j], 4)})
+        kind = table.schema.field("id").type
+        return pa.table({"a": pa.array(np.where(x < y, x, y)).cast(kind), "b": pa.array(np.where(x < y, y, x)).cast(kind), "similarity": np.round(s[i, j], 4)})
 
     return tiles.groupBy("lo", "hi").applyInArrow(run, f"a {kind}, b {kind}, similarity double")
 
