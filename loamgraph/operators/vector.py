@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Queries scored together in one pass; more are taken in blocks.
 QUERY_BLOCK = 4096
@@ -48,6 +49,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "co
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
     qkind = queries.schema[query_col].dataType.simpleString()
+    qtype = to_arrow_type(queries.schema[query_col].dataType)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("v is not null")
     asked = queries.select(F.col(query_col).alias("q"), F.col(vector_col).alias("v")).where("v is not null")
     blocks = ceil(asked.count() / QUERY_BLOCK) or 1
@@ -66,7 +68,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "co
                 n = min(k + skip_self, s.shape[1])
                 cut = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
                 row, col = np.nonzero(s >= (cut if least is None else np.maximum(cut, least)))
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in row]), pa.array(ids[col].tolist(), batch.column(0).type), pa.array(s[row, col])], ["query_id", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in row], qtype), pa.array(ids[col].tolist(), batch.column(0).type), pa.array(s[row, col])], ["query_id", "id", "score"])
 
         near = rows.mapInArrow(run, f"query_id {qkind}, id {kind}, score double")
         out = near if out is None else out.unionByName(near)
