@@ -388,11 +388,11 @@ def context_refs(spark, sf_dir):
 
 
 @query(
-    """WITH s AS (SELECT item_id AS query_id, doc_id, length(d.text) AS n, hash_len AS x FROM benchmark b, (SELECT doc_id, text, n_chars % 97 AS hash_len FROM documents WHERE doc_id < 50) d WHERE item_id < 5)
+    """WITH s AS (SELECT item_id AS query_id, doc_id, length(d.text) AS n, hash_len AS x FROM benchmark b, (SELECT doc_id, text, n_chars % 97 AS hash_len FROM documents) d WHERE item_id < 5)
  SELECT query_id, doc_id % 7 AS orig_idx, CAST(max(x) AS DOUBLE) AS rerank_score FROM s GROUP BY 1, 2"""
 )
 def rerank_best_piece(spark, sf_dir):
-    d = t.table(spark, sf_dir, "documents").where("doc_id < 50").select("doc_id", (F.col("n_chars") % 97).cast("double").alias("rerank_score"))
+    d = t.table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 97).cast("double").alias("rerank_score"))
     rows = d.select("doc_id", "rerank_score", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("q"))
     return fusion.best_piece(rows.select(F.col("q").cast("long").alias("query_id"), (F.col("doc_id") % 7).alias("orig_idx"), "rerank_score"))
 
@@ -709,7 +709,7 @@ def community_membership(spark, sf_dir):
 
 @query(
     f"""WITH w AS (SELECT doc_id AS community_id, unnest({WORDS("source || ' ' || text")}) AS word FROM documents),
- k AS (SELECT item_id AS query_id, unnest({WORDS("text")}) AS word FROM benchmark WHERE item_id < 10),
+ k AS (SELECT item_id AS query_id, unnest({WORDS("text")}) AS word FROM benchmark),
  h AS (SELECT query_id, community_id, count(*) AS score FROM w JOIN k USING (word) GROUP BY 1, 2),
  r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, community_id) AS INTEGER) AS rank, community_id, score FROM h)
  SELECT * FROM r WHERE rank <= 20"""
@@ -718,7 +718,7 @@ def community_keyword_rank(spark, sf_dir):
     from ..operators import community
 
     rows = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("community_id"), F.col("source").alias("title"), F.col("text").alias("summary"))
-    return community.keyword_rank(rows, _questions(spark, sf_dir).where("query_id < 10")).drop("content")
+    return community.keyword_rank(rows, _questions(spark, sf_dir)).drop("content")
 
 
 @query(f"WITH {t.SPARSE}, n AS (SELECT 'S1' AS name UNION SELECT tgt_id FROM relations WHERE src_id = 'S1'), c AS (SELECT DISTINCT src_id AS name, CAST(CAST(src_id[2:] AS BIGINT) % 10 AS VARCHAR) AS community_id FROM relations UNION SELECT DISTINCT tgt_id, CAST(CAST(tgt_id[2:] AS BIGINT) % 10 AS VARCHAR) FROM relations) SELECT community_id, count(*) AS size FROM c WHERE community_id IN (SELECT community_id FROM c JOIN n USING (name)) GROUP BY 1")
@@ -976,3 +976,43 @@ def stream_usage_daily(spark, sf_dir):
     daily = ingest.usage_by_day(stream).writeStream.outputMode("complete").foreachBatch(work)
     daily.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/days")
+
+
+# The whole of ingestion, with a model that answers by rule.
+
+
+def rule_model(prompts: list[str]) -> list[str]:
+    """Each text's longest words are its entities, in pairs its relations."""
+    import re
+
+    out = []
+    for p in prompts:
+        words = sorted({w for w in re.findall(r"[^\W\d_]{9,}", p.rsplit("\n\n", 1)[-1].lower())})[:6]
+        parts = [f'("entity"<|#|>{w}<|#|>word<|#|>{w} of {len(w)} letters<|#|>0.9)' for w in words]
+        parts += [f'("relationship"<|#|>{a}<|#|>{b}<|#|>near<|#|>{a} with {b}<|#|>0.8)' for a, b in zip(words, words[1:], strict=False)]
+        out.append("##".join(parts))
+    return out
+
+
+def _built(spark, sf_dir):
+    from .build import build
+
+    d = t.documents(spark, sf_dir)
+    return build(d.select("doc_id", "text", "acl"), rule_model, size=t.SIZE, overlap=t.OVERLAP, with_reports=False)
+
+
+@query()
+def built_entities(spark, sf_dir):
+    rows = _built(spark, sf_dir).entities
+    return rows.select("name", "type", F.size("source_ids").alias("sources"), "confidence")
+
+
+@query()
+def built_comparison(spark, sf_dir):
+    from ..operators.retrieve import Options
+    from .. import models
+    from .build import compare
+
+    q = _questions(spark, sf_dir).withColumn("embedding", models.embed(F.col("text")))
+    built = _built(spark, sf_dir)
+    return compare(built.corpus(), q, {"local": Options(mode="local", top_k=5), "naive": Options(mode="naive")})
