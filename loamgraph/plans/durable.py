@@ -34,14 +34,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     lo, hi = F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")
     left = cut(edges.select(lo, hi).where("lo < hi").distinct())
     rounds: list[DataFrame] = []
-    while left.take(1):
+    while left.count():
         up = left.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"))
         up = cut(up)
         while True:
             above = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
             jumped = cut(up.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")))
             up = jumped.select("node", "root")
-            if not jumped.where("moved").take(1):
+            if not jumped.where("moved").count():
                 break
         rounds.append(up)
         by = lambda c: up.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: B023, E731
