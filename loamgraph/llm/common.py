@@ -1,35 +1,17 @@
-"""Shared pieces: durable cuts of a plan, Arrow helpers, graph components."""
+"""Shared pieces: durable cuts of a plan, Arrow helpers, components of a group."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from ..plans.durable import connected_components, cut, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor reaches: spark.checkpoint.dir.
-
-    Only where the session names none (local tests) a temporary folder is set.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="loam-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df through a reliable checkpoint; lost executors recompute nothing above it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["byte_values", "connected_components", "cut", "local_components", "shared_folder", "stored", "whole_groups"]
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -90,36 +72,3 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if np.array_equal(label, before):
             break
     return label
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest id reachable, for every node on an edge.
-
-    edges: two long columns a and b. Each round hooks every node to its
-    smallest smaller neighbour, jumps pointers until trees are stars, and
-    contracts; the edge table shrinks at least by half a round. Aggregates are
-    mins, so a hub's edges combine before the shuffle.
-    """
-    lo, hi = F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")
-    left = cut(edges.select(lo, hi).where("lo < hi").distinct())
-    rounds: list[DataFrame] = []
-    while left.take(1):
-        up = left.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"))
-        up = cut(up)
-        while True:
-            above = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            jumped = cut(up.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")))
-            up = jumped.select("node", "root")
-            if not jumped.where("moved").take(1):
-                break
-        rounds.append(up)
-        by = lambda c: up.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: B023, E731
-        moved = left.join(by("lo"), "lo", "left").join(by("hi"), "hi", "left")
-        moved = moved.select(F.coalesce("lo_root", "lo").alias("a"), F.coalesce("hi_root", "hi").alias("b"))
-        left = cut(moved.select(lo, hi).where("lo < hi").distinct())
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    found = nodes.select("node", F.col("node").alias("root"))
-    for up in rounds:
-        step = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        found = found.join(step, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return found

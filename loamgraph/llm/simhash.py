@@ -16,6 +16,8 @@ from .common import byte_values, connected_components, cut, local_components, st
 BITS = 64
 #: Fingerprints of a block's tile that are compared with each other at once.
 TILE = 1024
+#: Of so many nodes one is drawn to find keys held by many.
+SAMPLE = 64
 SHINGLES_AT_ONCE = 1 << 16
 
 
@@ -74,15 +76,17 @@ def block_keys(fp: Column, distance: int, blocks: int) -> Column:
 def near_links(nodes: DataFrame, distance: int) -> DataFrame:
     """Edges a-b that span the graph of nodes that share a key and whose words are at most `distance` bits apart.
 
-    nodes: node and word (longs), keys (array of longs). A key held by more than
-    TILE nodes is cut in parts; each pair of parts is a task's group of bounded size, so
-    no group is too large for a task and no pair is lost. A group returns edges to
-    its components' smallest members only, never its pairs.
+    nodes: node and word (longs), keys (array of longs). A key that a sample of the nodes shows in more
+    than TILE of them is cut in parts; each pair of parts is a group of bounded size, so
+    no group is too large for a task and no pair is lost (the sample decides how work is dealt,
+    not what is compared). A group returns edges to its components' smallest members only, never its pairs.
     """
     keyed = nodes.select("node", "word", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / TILE).cast("int")
-    dealt = keyed.join(shared, "key").select("key", "node", "word", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
+    drawn = nodes.where(F.pmod(F.xxhash64("node", F.lit("sample")), F.lit(SAMPLE)) == 0).select(F.explode("keys").alias("key"))
+    hot = drawn.groupBy("key").agg((F.count("*") * SAMPLE).alias("n")).where(F.col("n") > TILE)
+    hot = stored(hot.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = keyed.join(hot, "key", "left").select("key", "node", "word", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
     tiles = dealt.select("key", "node", "word", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     tiles = tiles.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "node", "word")
     tiles = tiles.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")

@@ -105,6 +105,7 @@ def test_simhash_links_all_near_fingerprints_of_a_hot_block(spark, monkeypatch):
     from loamgraph.llm import simhash
 
     monkeypatch.setattr(simhash, "TILE", 8)  # a few dozen fingerprints are many tiles
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
     r = random.Random(3)
     base = r.getrandbits(64)
     fps = {base}
