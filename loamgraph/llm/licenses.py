@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 GRAM = 3
 #: Diagonals at most this far apart belong to one copy with words added or lost.
 NEAR = 4
-#: The share of a template's grams that a copy must hold.
+#: The share of a template's grams that a copy must hold; of short ones, which differ by a word, nearly all.
 COVER = 0.5
+SHORT, SHORT_COVER = 10, 0.9
 
 # The phrases whose every exact place counts, and their labels.
 PHRASES = [
@@ -99,7 +100,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Every rolling gram of a text is joined to the templates' grams; a match votes for
     the diagonal (place in the text less place in the template). A phrase stands where its
     diagonal has all its votes. A notice's diagonals within NEAR of each other make one copy, which
-    is verified: it must hold `cover` of the template's grams at distinct places and span no
+    is verified: it must hold `cover` of the template's grams (SHORT_COVER of a short one's) at distinct places and span no
     more than the template and its drift. The gram table is a constant of this
     module's size, so it's broadcast; texts are never shuffled, only votes.
 
@@ -120,7 +121,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = votes.groupBy(*key, "copy").agg(F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("diagonal").alias("start"), F.max("diagonal").alias("end"))
     held = F.least(F.col("votes"), F.col("high") - F.col("low") + 1) / F.greatest(F.col("need"), F.lit(1))
     exact = F.col("base") & (F.col("votes") == F.col("need"))
-    verified = ~F.col("base") & (F.col("template") >= 0) & (held >= cover) & (F.col("end") - F.col("start") <= F.greatest(F.col("need"), F.lit(NEAR)))
+    verified = ~F.col("base") & (F.col("template") >= 0) & (held >= F.when(F.col("need") < SHORT, F.lit(max(cover, SHORT_COVER))).otherwise(F.lit(cover))) & (F.col("end") - F.col("start") <= F.greatest(F.col("need"), F.lit(NEAR)))
     copies = copies.select("row", "doc_id", "n_words", "label", "start", exact.alias("exact"), F.when(exact, F.lit(1.0)).when(verified, held).alias("share"))
     listed = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
     where = lambda c: F.when(F.col("exact"), F.col(c))
