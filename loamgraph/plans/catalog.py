@@ -548,7 +548,8 @@ def entity_upsert(spark, sf_dir):
 
 
 @query(
-    """WITH r AS (SELECT 'S' || l_suppkey AS src_id, 'P' || l_partkey AS tgt_id, l_linestatus AS k, l_returnflag AS d, l_discount * 10 AS c, l_orderkey * 10 + l_linenumber AS seq, l_orderkey || '-' || l_linenumber AS chunk FROM lineitem),
+    """WITH r AS (SELECT 'S' || l_suppkey AS src_id, 'P' || l_partkey AS tgt_id, l_linestatus AS k, l_returnflag AS d, l_discount * 10 AS c, l_orderkey * 10 + l_linenumber AS seq, l_orderkey || '-' || l_linenumber AS chunk
+ FROM (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, max(l_linestatus) AS l_linestatus, max(l_returnflag) AS l_returnflag, max(l_discount) AS l_discount FROM lineitem GROUP BY ALL)),
  f AS (SELECT src_id, tgt_id, d, min(seq) AS seq FROM r GROUP BY 1, 2, 3), ds AS (SELECT src_id, tgt_id, string_agg(d, ' | ' ORDER BY seq) AS description FROM f GROUP BY 1, 2)
  SELECT src_id, tgt_id, arg_max(k, seq) AS keywords, any_value(description) AS description, count(DISTINCT chunk) AS sources, round(max(c), 6) AS confidence FROM r JOIN ds USING (src_id, tgt_id) GROUP BY 1, 2"""
 )

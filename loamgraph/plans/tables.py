@@ -45,8 +45,8 @@ ENTITIES = """entities AS (SELECT 'S' || s_suppkey AS name, 'supplier' AS type,
 
 
 def supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A relation a line item, unmerged."""
-    li = table(spark, sf_dir, "lineitem")
+    """A relation a line item, unmerged; line numbers of an order may repeat, a part and supplier on one counts once."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").agg(*(F.max(c).alias(c) for c in ("l_linestatus", "l_returnflag", "l_discount")))
     return li.select(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("src_id"),
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("tgt_id"),
