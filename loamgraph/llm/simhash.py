@@ -151,8 +151,8 @@ WIDE_BLOCK = 16
 WIDE_BLOCKS = 48
 #: Bits of one word by which such pairs may differ: over three standard deviations more than expected at 0.8.
 WIDE_DISTANCE = 19
-#: Documents of a cluster's part whose shingles are compared at once.
-PART = 128
+#: Shingles of a cluster's part, whose documents are compared at once.
+PART = 1 << 20
 
 
 def shingle_set(text: bytes | None, width: int, seed: int = 42) -> np.ndarray:
@@ -217,45 +217,42 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same, word, keys = [], [], []
+            same, word, keys, size = [], [], [], []
             for text in byte_values(batch.column(1)):
                 h = shingle_set(text, width, seed)
                 fp = wide_fingerprint(h, words)
                 same.append(xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63))
                 word.append(int(fp[0]) - (1 << 63))
+                size.append(len(h))
                 keys.append((fp.astype(">u8").view(">u2").astype(np.int64) | np.arange(WIDE_BLOCKS) << WIDE_BLOCK).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.int64()), pa.array(word, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["node", "same", "word", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.int64()), pa.array(word, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(size, pa.int64())], ["node", "same", "word", "keys", "size"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")).where("node is not null")
-    rows = stored(texts.mapInArrow(read, "node long, same long, word long, keys array<long>"))
-    firsts = cut(rows.groupBy("same").agg(F.min("node").alias("node"), F.min(F.struct("word", "keys")).alias("fp")))
+    rows = stored(texts.mapInArrow(read, "node long, same long, word long, keys array<long>, size long"))
+    firsts = cut(rows.groupBy("same").agg(F.min("node").alias("node"), F.min(F.struct("word", "keys")).alias("fp"), F.min("size").alias("size")))
     coarse = cut(connected_components(cut(near_links(firsts.select("node", "fp.word", "fp.keys"), WIDE_DISTANCE))))
-    # The text of a node, whichever row of the id it's in: sets are told by `same`.
-    members = coarse.join(firsts.select("node", "same"), "node")
-    sizes = coarse.groupBy("root").agg(F.count("*").alias("n"))
-    parts = F.ceil(F.col("n") / PART).cast("int")
+    # A node's text is told from others of its id by `same`.
+    members = coarse.join(firsts.select("node", "same", "size"), "node")
+    sizes = coarse.join(firsts.select("node", "size"), "node").groupBy("root").agg(F.sum("size").alias("n"))
+    parts = F.greatest(F.ceil(F.col("n") / PART), F.lit(1)).cast("int")
     members = members.join(sizes, "root").select("node", "root", "same", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, width, seed) for t in byte_values(batch.column(0))]
-            keep = np.array([xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63) == s for h, s in zip(sets, batch.column(1).to_pylist(), strict=True)], bool)
-            chosen = np.flatnonzero(keep)
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(chosen)) for c in batch.columns[2:]), pa.array([sets[i].tobytes() for i in chosen], pa.binary())], ["root", "node", "parts", "part", "shingles"])
-
-    held = texts.join(members, "node").select("text", "same", "root", "node", "parts", "part").mapInArrow(shingles, "root long, node long, parts int, part int, shingles binary")
-    tiles = held.select("root", "node", "part", "shingles", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    tiles = tiles.select("root", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "node", "shingles")
+    held = texts.join(members, "node")
+    tiles = held.select("root", "node", "same", "part", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    tiles = tiles.select("root", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "node", "same", "text")
     tiles = tiles.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["root", "lo", "hi"]):
             columns = [table.column(c).to_numpy() for c in ("root", "lo", "hi")]
-            node, sets = table.column("node").to_numpy(), [np.frombuffer(v, np.uint64) for v in table.column("shingles").to_pylist()]
+            node, same, texts = table.column("node").to_numpy(), table.column("same").to_numpy(), table.column("text")
             start = np.ones(len(node), bool)
             start[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
             bounds = np.r_[np.flatnonzero(start), len(node)]
-            edges = [(node[s + a], node[s + b]) for s, e in zip(bounds[:-1], bounds[1:], strict=True) for a, b in span_similar(sets[s:e], least)]
+            edges = []
+            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                sets = [shingle_set(t, width, seed) for t in byte_values(texts.slice(s, e - s).combine_chunks())]
+                own = [i for i, h in enumerate(sets) if xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63) == same[s + i]]
+                edges += [(node[s + own[a]], node[s + own[b]]) for a, b in span_similar([sets[i] for i in own], least)]
             a, b = zip(*edges, strict=True) if edges else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
