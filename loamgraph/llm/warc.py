@@ -13,31 +13,23 @@ from math import ceil
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_folder
+from .common import byte_values, shared_folder, stored
 
 ARCHIVE_BYTES = 32 << 20
 BLOCK_LINES = 1024
 #: Captures in one sorted partition of the index.
 INDEX_LINES = 1 << 20
 SEPARATOR = "\r\n\r\n"
-BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Records made from compressed payloads at once.
+RECORDS = 256
 
 CAPTURE = "page_id long, url string, key string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1; 20 bits, five hex digits, make four letters."""
-    hexed = F.sha1(payload)
-    letters = []
-    for at in range(1, 41, 5):
-        bits = F.conv(F.substring(hexed, at, 5), 16, 10).cast("int")
-        letters += [F.substr(F.lit(BASE32), F.shiftright(bits, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*letters)
-
-
 def url_key(url: str | None) -> str:
     """The host's labels reversed, then the path and query: captures of a site sort together."""
     try:
@@ -49,45 +41,75 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + (f":{port}" if port and port not in (80, 443) else "") + ")" + tail
 
 
+def base32_sha1(payload: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+
+
+def _rows(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
+    """page_id, url, row_key, digest (SHA-1 in hex), size, payload."""
+    payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    # Rows without an id are spread by their url.
+    key = F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("none"), F.pmod(F.xxhash64("url"), F.lit(1024)).cast("string")))
+    return rows.select("page_id", "url", key.alias("row_key"), F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("size"), "payload")
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """rows with the payload compressed, as `packed`."""
+    names = [c for c in rows.columns if c != "payload"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=5).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(map(pack, byte_values(batch.column(len(names)))), pa.binary())], [*names, "packed"])
+
+    return rows.select(*names, "payload").mapInArrow(run, rows.select(*names).schema.add("packed", "binary"))
+
+
+def _record(page_id: int | None, url: str | None, digest: str, size: int, best: int | None, payload: bytes) -> str:
+    """A record but for the blank lines after it. A header field holds no line breaks."""
+    again = best is not None
+    fields = [
+        ("WARC-Type", "revisit" if again else "response"),
+        ("WARC-Record-ID", f"<urn:page:{'none' if page_id is None else page_id}>"),
+        ("WARC-Target-URI", re.sub(r"[\r\n]", "%0A", url or "")),
+        ("WARC-Date", "1970-01-01T00:00:00Z"),
+        ("WARC-Payload-Digest", f"sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}"),
+    ]
+    if again:
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{best}>"), ("X-Payload-Length", str(size))]
+    fields += [("Content-Type", "text/html"), ("Content-Length", str(0 if again else size))]
+    return "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n" + ("" if again else payload.decode("utf-8"))
+
+
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> str:
     """Writes a WARC record per row under folder, in archives of about ARCHIVE_BYTES.
 
     Of equal payloads of at least min_bytes the largest id is a
     response, the others are revisits that name it; smaller ones are all
     responses. Equal payloads meet as digests, aggregated before the shuffle; payloads move
-    once, spread by digest and id. Records are valid UTF-8, so Spark's text
+    once, compressed, spread by digest and id. Records are valid UTF-8, so Spark's text
     writer commits them, with the records' closing blank lines as its separator.
     """
     spark = pages.sparkSession
-    payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", base32_sha1(F.col("payload")))
-    keys = cut(rows.select("page_id", "digest", "size"))
+    rows = _rows(pages, id_col, url_col, payload_col)
+    keys = stored(rows.select("page_id", "row_key", "digest", "size"))
     archives = ceil((keys.agg(F.sum(F.col("size") + 512)).first()[0] or 1) / ARCHIVE_BYTES)
     best = keys.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = keys.join(best, "digest").where("best is not null and (page_id is null or page_id <> best)").select("page_id", "digest", "best").distinct()
-    left = rows.repartition(archives, "digest", "page_id").alias("r")
-    right = revisits.repartition(archives, "digest", "page_id").alias("v")
-    both = left.join(right, (F.col("r.digest") == F.col("v.digest")) & F.col("r.page_id").eqNullSafe(F.col("v.page_id")), "left")
-    again = F.col("best").isNotNull()
-    # A header field holds no line breaks.
-    url = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\r\n]", "%0A")
-    record = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "),
-        F.when(again, "revisit").otherwise("response"),
-        F.lit("\r\nWARC-Record-ID: <urn:page:"),
-        F.coalesce(F.col("r.page_id").cast("string"), F.lit("none")),
-        F.lit(">\r\nWARC-Target-URI: "),
-        url,
-        F.lit("\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Payload-Digest: sha1:"),
-        F.col("r.digest"),
-        F.when(again, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), F.col("best").cast("string"), F.lit(">\r\nX-Payload-Length: "), F.col("size").cast("string"))).otherwise(""),
-        F.lit("\r\nContent-Type: text/html\r\nContent-Length: "),
-        F.when(again, F.lit(0)).otherwise(F.col("size")).cast("string"),
-        F.lit(SEPARATOR),
-        F.when(again, "").otherwise(F.col("payload")),
-    )
-    both.select(record.alias("value")).write.option("lineSep", SEPARATOR).option("compression", "none").text(folder)
+    revisits = keys.join(best, "digest").where("best is not null and (page_id is null or page_id <> best)").select("digest", "row_key", "best").distinct()
+    left = _packed(rows).repartition(archives, "digest", "row_key")
+    both = left.join(revisits.repartition(archives, "digest", "row_key"), ["digest", "row_key"], "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for at in range(0, batch.num_rows, RECORDS):
+                part = batch.slice(at, RECORDS)
+                rows = zip(*(part.column(i).to_pylist() for i in range(6)), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([_record(i, u, d, n, b, b"" if b is not None else unpack(p)) for i, u, d, n, b, p in rows], pa.string())], ["value"])
+
+    records = both.select("page_id", "url", "digest", "size", "best", "packed").mapInArrow(run, "value string")
+    records.write.option("lineSep", SEPARATOR).option("compression", "none").text(folder)
     _rename(spark, folder)
     return folder
 
@@ -137,7 +159,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 for offset, length, fields, block in parse_records(content.as_py()):
                     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     size = int(fields.get("X-Payload-Length", len(block)))
-                    if fields["WARC-Type"] == "response" and base64.b32encode(hashlib.sha1(block).digest()).decode() != digest:
+                    if fields["WARC-Type"] == "response" and base32_sha1(block) != digest:
                         raise ValueError(f"{name}: the payload at byte {offset} isn't what its digest says")
                     url = fields["WARC-Target-URI"]
                     rows.append((_number(fields["WARC-Record-ID"]), url, url_key(url), size, digest, fields["WARC-Type"], _number(fields.get("WARC-Refers-To")), name.rsplit("/", 1)[-1], offset, length))
@@ -151,7 +173,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 def build_index(captures: DataFrame, folder: str) -> str:
     """Sorts captures by key into compressed blocks under folder/blocks, with a sparse directory of them in folder/directory."""
-    captures = cut(captures)
+    captures = stored(captures)
     parts = ceil(captures.count() / INDEX_LINES) or 1
     ordered = captures.repartitionByRange(parts, "key", "page_id", "archive", "offset").sortWithinPartitions("key", "page_id", "archive", "offset")
 
