@@ -20,10 +20,10 @@ CAPACITY = 4096
 ITEMS = 4096
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 12
+GENERATIONS = 6
 POPULATION = 4
-#: Loose pieces that a bin is offered in exchange.
-SWAPS = 24
+#: Loose pieces that a bin is offered in exchange, if over one part in ROOMY of it is free.
+SWAPS, ROOMY = 4, 200
 #: Characters tokenised at once.
 CHARS = 1 << 20
 
@@ -117,7 +117,7 @@ class Island:
         loose = sorted(loose, key=lambda x: -self.size[x])
         for one in bins:
             room = self.capacity - self.fill(one)
-            if not room or not loose:
+            if room * ROOMY < self.capacity or not loose:
                 continue
             best = None
             out = [(self.size[x], (i,)) for i, x in enumerate(one)]
