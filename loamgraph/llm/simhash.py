@@ -179,28 +179,42 @@ def wide_fingerprint(h: np.ndarray, words: int) -> np.ndarray:
 def span_similar(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     """Edges spanning the graph of sets whose Jaccard similarity is `least` or more.
 
-    Each reached set is compared with those not reached yet only, so a dense group takes few passes.
+    An inverted index gives what a set shares with those not reached yet; as they
+    get fewer it is cut down to them, so a dense group's members are cheap once most are reached.
     """
-    edges: list[tuple[int, int]] = []
-    left = np.arange(len(sets))
-    while len(left) > 1:
-        todo, left = [int(left[0])], left[1:]
-        while todo and len(left):
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    blank = np.flatnonzero(sizes == 0).tolist()
+    edges = [(blank[0], i) for i in blank[1:]]
+    owner = np.repeat(np.arange(n), sizes)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1] if owner.size else np.zeros(0, np.int64)
+    own = np.split(codes, np.cumsum(sizes)[:-1])
+    left = sizes > 0
+    order = np.argsort(codes, kind="stable")
+    docs, code = owner[order], codes[order]
+    top, held = int(codes.max(initial=-1)) + 1, int(left.sum())
+    bounds = np.searchsorted(code, np.arange(top + 1))
+    for first in np.flatnonzero(left).tolist():
+        if not left[first]:
+            continue
+        left[first] = False
+        todo = [first]
+        while todo:
             pivot = todo.pop()
-            sizes = np.array([len(sets[i]) for i in left])
-            flat = np.concatenate([sets[i] for i in left])
-            p = sets[pivot]
-            if not len(p):
-                hit = sizes == 0
-            else:
-                at = np.minimum(np.searchsorted(p, flat), len(p) - 1)
-                total = np.concatenate([[0], np.cumsum(p[at] == flat)])
-                ends = np.cumsum(sizes)
-                shared = total[ends] - total[ends - sizes]
-                hit = shared >= least * (sizes + len(p) - shared)
-            edges += [(pivot, int(i)) for i in left[hit]]
-            todo += left[hit].tolist()
-            left = left[~hit]
+            remain = int(left.sum())
+            if not remain:
+                break
+            if 2 * remain < held:
+                keep = left[docs]
+                docs, code, held = docs[keep], code[keep], remain
+                bounds = np.searchsorted(code, np.arange(top + 1))
+            begin, count = bounds[own[pivot]], np.diff(bounds)[own[pivot]]
+            at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            shared = np.bincount(docs[at], minlength=n)
+            hit = np.flatnonzero(left & (shared > 0) & (shared >= least * (sizes + sizes[pivot] - shared)))
+            left[hit] = False
+            edges += [(pivot, i) for i in hit.tolist()]
+            todo += hit.tolist()
     return edges
 
 
