@@ -228,8 +228,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Full pieces are sequences. The others are dealt into problems of about
     ITEMS pieces; ISLANDS islands evolve each problem and between epochs
     send their elite to the next island. A problem's emptiest bins are opened
-    again and their pieces pooled into fewer, mixed problems, until one problem is left,
-    so that what is lost doesn't grow with the number of problems.
+    again and their pieces pooled into fewer, mixed problems, until one problem is left
+    or a level closes no bin, so that what is lost doesn't grow with the number of problems.
     """
     kind = pieces.schema["doc_id"].dataType.simpleString()
     columns = PIECE.format(id=kind)
@@ -240,12 +240,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     full = pieces.where(F.col("length") >= capacity)
     done = [full.select(*names, (-F.col("item") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     left = pieces.where(F.col("length") < capacity)
-    first = 0
-    for level in range(64):
-        n = left.count()
-        if not n:
-            break
+    first = level = before = 0
+    while n := left.count():
         shards = ceil(n / ITEMS)
+        # A level that closed no bin would be followed by others like it: this one closes all.
+        last = shards == 1 or n == before
         rows = left.select(*names).withColumn("shard", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(shards)))
         rows = rows.withColumn("island", F.explode(F.array(*(F.lit(i) for i in range(ISLANDS)))))
         rows = rows.select("shard", "island", *names, F.lit(-1).alias("bin"), F.lit(0).alias("origin"))
@@ -254,13 +253,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 # The elite goes to its own island and to the next one.
                 rows = rows.withColumn("island", F.explode(F.array("island", ((F.col("island") + 1) % ISLANDS).cast("int"))))
             rows = _evolve(rows, state, capacity, level, epoch)
-        bins = cut(_settle(rows, settled, capacity, shards == 1))
+        bins = cut(_settle(rows, settled, capacity, last))
         number = F.lit(first).cast("long") + F.col("shard") * (1 << 16) + F.col("bin")
         done.append(bins.where(~F.col("open")).select(*names, number.alias("sequence_id"), "offset"))
         first += shards << 16
-        left = bins.where("open")
-        if shards == 1:
+        if last:
             break
+        left, before, level = bins.where("open"), n, level + 1
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

@@ -302,6 +302,15 @@ def test_packing(docs, none, spark):
     assert pack_documents(none, vocabulary()).count() == 0
 
 
+def test_packing_returns_pieces_of_bins_that_stay_open(spark):
+    from loamgraph.llm.packing import CAPACITY, pack_documents
+
+    rows = pack_documents(spark.range(5000).selectExpr("id as doc_id", "cast(null as string) as text"), vocabulary()).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(5000)) and {r.length for r in rows} == {1}
+    assert len({(r.sequence_id, r.offset) for r in rows}) == 5000 and all(r.offset < CAPACITY for r in rows)
+    assert len({r.sequence_id for r in rows}) == 2
+
+
 def test_genetic_packing_beats_best_fit_where_it_can(monkeypatch):
     from loamgraph.llm import packing
 
