@@ -25,8 +25,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated multi-line chunks; a document of which nothing is left goes."""
-    kept = remove_repeated_chunks(docs.select(*COLUMNS))
+    """Removes repeated passages of two lines or more; a document of which nothing is left goes."""
+    kept = remove_repeated_chunks(docs.select(*COLUMNS), pairs=True)
     kept = kept.where((F.col("removed_lines") == 0) | (F.trim("text") != ""))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 

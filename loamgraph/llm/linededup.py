@@ -1,4 +1,4 @@
-"""Repeated multi-line chunks, with boundaries chosen by content."""
+"""Repeated multi-line passages: chunks with boundaries chosen by content, or the pairs of neighbouring lines at every offset."""
 
 from __future__ import annotations
 
@@ -84,9 +84,77 @@ def repeated_chunks(rows: DataFrame, window: int = WINDOW, every: int = EVERY, l
     return places.join(many, ["h1", "h2"]).where(~F.struct("id", "tag", "chunk").eqNullSafe(F.col("first"))).select("id", "tag", "chunk")
 
 
-def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, every: int = EVERY, least_lines: int = LINES) -> DataFrame:
+def line_pairs(lines: list[bytes]) -> list[tuple[int, int]]:
+    """(first line, line after the last) of each line with text and the next one, with the blank lines between them."""
+    full = [i for i, line in enumerate(lines) if line.strip()]
+    return [(a, b + 1) for a, b in zip(full, full[1:])]
+
+
+#: A pair's key: two line hashes of 128 bits, and the blank lines between as they are.
+PAIR = ["a1", "a2", "gap", "b1", "b2"]
+
+
+def _halves(lines: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), ">i8").astype(np.int64).reshape(-1, 2)
+
+
+def _pair_rows(rows: DataFrame) -> DataFrame:
+    """id, tag, chunk (the pair's number) and PAIR of every pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, number, a, b, gaps = [], [], [], [], []
+            for i, text in enumerate(byte_values(batch.column(2))):
+                lines = text.split(b"\n") if text else []
+                for n, (begin, end) in enumerate(line_pairs(lines)):
+                    at.append(i)
+                    number.append(n)
+                    a.append(lines[begin])
+                    b.append(lines[end - 1])
+                    gaps.append(b"\n".join([b"", *lines[begin + 1 : end - 1]]))
+            at, first, second = pa.array(at, pa.int32()), _halves(a), _halves(b)
+            halves = [pa.array(h[:, i]) for h in (first, second) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), *halves[:2], pa.array(gaps, pa.binary()), *halves[2:]], ["id", "tag", "chunk", *PAIR])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "tag", "text").mapInArrow(run, f"id {kind}, tag long, chunk int, a1 long, a2 long, gap binary, b1 long, b2 long")
+
+
+def _line_rows(rows: DataFrame) -> DataFrame:
+    """h1, h2, body of every line that stands in a pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = []
+            for text in byte_values(batch.column(0)):
+                full = [line for line in text.split(b"\n") if line.strip()] if text else []
+                bodies += full if len(full) > 1 else []
+            halves = _halves(bodies)
+            yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(bodies, pa.binary())], ["h1", "h2", "body"])
+
+    return rows.select("text").mapInArrow(run, "h1 long, h2 long, body binary")
+
+
+def repeated_pairs(rows: DataFrame) -> DataFrame:
+    """id, tag, chunk of every pair that an earlier place holds byte for byte, in the order (id, tag, chunk).
+
+    Lines move once, to be compared byte for byte: a hash with two contents (a collision) removes
+    nothing. Pairs overlap, and carry hashes only.
+    """
+    clash = _line_rows(rows).distinct().groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
+    many = _pair_rows(rows).groupBy(*PAIR).agg(F.count("*").alias("n"), F.min(F.struct("id", "tag", "chunk")).alias("first")).where("n > 1")
+    again = _pair_rows(rows).join(many, PAIR).where(~F.struct("id", "tag", "chunk").eqNullSafe(F.col("first")))
+    for side in "ab":
+        again = again.join(F.broadcast(clash), (F.col("h1") == F.col(f"{side}1")) & (F.col("h2") == F.col(f"{side}2")), "left_anti")
+    return again.select("id", "tag", "chunk")
+
+
+def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, every: int = EVERY, least_lines: int = LINES, pairs: bool = False) -> DataFrame:
     """The documents, text without repeated chunks, plus n_lines, n_chunks, removed_chunks, removed_lines.
 
+    With `pairs`, the chunks are all pairs of neighbouring lines with text, so every passage of two or more
+    goes wherever its ends lie; as pairs overlap, what is sure to stay is one copy of each line.
+
     Of a chunk of at least `least_lines` lines with text that stands in several places, the
     one in the smallest (id, text hash, chunk number) stays. Null texts stay null with no lines;
     an empty text is one empty line. Null ids sort first. Rows that repeat both id and text are
@@ -94,7 +162,8 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     those named like a result are replaced.
     """
     rows = docs.withColumn(ID, F.col(id_col)).withColumn(TAG, F.xxhash64(F.col(text_col)))
-    gone = repeated_chunks(rows.select(F.col(ID).alias("id"), F.col(TAG).alias("tag"), F.col(text_col).cast("string").alias("text")), window, every, least_lines)
+    told = rows.select(F.col(ID).alias("id"), F.col(TAG).alias("tag"), F.col(text_col).cast("string").alias("text"))
+    gone = repeated_pairs(told) if pairs else repeated_chunks(told, window, every, least_lines)
     gone = gone.groupBy("id", "tag").agg(F.collect_set("chunk").alias(GONE)).withColumnsRenamed({"id": "_loam_id2", "tag": "_loam_tag2"})
     results = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"]
     both = rows.drop(*results).join(gone, (F.col(TAG) == F.col("_loam_tag2")) & F.col(ID).eqNullSafe(F.col("_loam_id2")), "left")
@@ -107,9 +176,10 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
             out, counts = [], []
             for text, removed in zip(byte_values(batch.column(at)), batch.column(len(names)).to_pylist(), strict=True):
                 lines = text.split(b"\n") if text is not None else []
-                chunks = chunk_lines(lines, window, every)
+                chunks = line_pairs(lines) if pairs else chunk_lines(lines, window, every)
                 removed = set(removed or ())
-                kept = [line for n, (a, b) in enumerate(chunks) if n not in removed for line in lines[a:b]]
+                lost = {i for n in removed for i in range(*chunks[n])}
+                kept = [line for i, line in enumerate(lines) if i not in lost]
                 out.append(None if text is None else b"\n".join(kept).decode("utf-8"))
                 counts.append((len(lines), len(chunks), len(removed), len(lines) - len(kept)))
             columns = batch.columns[: len(names)]

@@ -68,7 +68,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .linededup import remove_repeated_chunks
 
-    kept = remove_repeated_chunks(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = remove_repeated_chunks(_table(spark, sf_dir, "documents").select("doc_id", "text"), pairs=True)
     return kept.select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.sha2("text", 256).alias("kept_sha256"))
 
 

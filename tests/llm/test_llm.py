@@ -375,6 +375,23 @@ def test_chunk_boundaries_resist_shifts():
     assert len(cuts & moved) >= len(cuts) - 2 and len(cuts) > 20
 
 
+def test_line_dedup_finds_short_passages_between_other_lines(spark, tmp_path):
+    from loamgraph.llm.queries import op8_line_dedup
+
+    passages = [[f"passage {p} line {n}" for n in range(2 + p % 3)] for p in range(12)]
+    passages[3].insert(1, "")
+    rows = []
+    for p, passage in enumerate(passages):
+        rows += [(i, "\n".join([f"before {i}", *passage, f"after {i}"])) for i in (p, 100 + p)]
+    rows += [(200, "passage 0 line 0\npassage 1 line 1"), (201, None), (202, ""), (None, "x\ny"), (203, "x\ny"), (203, "x\ny")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.removed_lines, r.kept_sha256) for r in op8_line_dedup(spark, str(tmp_path)).collect()}
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    for p, passage in enumerate(passages):
+        assert got[p][0] == 0 and got[100 + p] == (len(passage), sha(f"before {100 + p}\nafter {100 + p}")), passage
+    assert got[200][0] == got[None][0] == got[201][0] == got[202][0] == 0 and got[203] == (2, sha(""))
+
+
 # 9. Token counts
 
 
