@@ -43,3 +43,19 @@ def test_entry_runs_without_the_training_data_operators(spark):
 
     assert __spark_entry__.entry(spark).columns == ["query_id", "ref_id", "id"]
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries())
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    """700 vectors and documents, 45 questions."""
+    spark.range(700).selectExpr("id as vec_id", "array(cast(id % 7 + 1 as double), cast(id % 11 + 1 as double)) as embedding", "id % 10 as label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    text = "concat('word', id, repeat(' filler', 40), ' end', id) as text"
+    spark.range(700).selectExpr("id as doc_id", text, "'en' as lang", "concat('src', id % 3) as source", "300L as n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(45).selectExpr("id as item_id", "concat('word', id, ' and end', id) as text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def test_searches_without_sql_ask_their_whole_query_set(spark, tables):
+    ids = lambda name: {r.query_id for r in catalog.QUERIES[name](spark, tables).select("query_id").distinct().collect()}
+    assert ids("vector_topk_cells") == set(range(0, 700, 20))
+    assert ids("context_naive") == ids("grounded_claims") == set(range(45))
