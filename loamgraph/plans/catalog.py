@@ -902,15 +902,22 @@ def grounded_pass_rate(spark, sf_dir):
 # Retrieval modes with the offline models.
 
 
+REPORT_IDS = 100
+
+
 def _corpus(spark, sf_dir):
     from ..operators.retrieve import Corpus
 
     v = _vectors(spark, sf_dir)
     chunks = t.documents(spark, sf_dir).join(v, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"), "embedding", "acl")
     name = lambda c: F.concat(F.lit("E"), c.cast("string"))
-    ents = t.table(spark, sf_dir, "documents").join(v, F.col("doc_id") == F.col("vec_id")).select(name(F.col("vec_id")).alias("name"), F.col("lang").alias("type"), F.substring("text", 1, 200).alias("description"), F.array(F.col("doc_id").cast("string")).alias("source_ids"), "embedding")
-    rel = v.select(name(F.col("vec_id")).alias("src_id"), name((F.col("vec_id") * 7 + 1) % 500).alias("tgt_id"), F.col("label").cast("string").alias("description"), t.ntz("2024-01-01").alias("valid_from"), F.when(F.col("label") > 5, t.ntz("2024-06-01")).alias("valid_to"), "embedding")
-    reports = t.table(spark, sf_dir, "documents").groupBy("source").agg(F.min("doc_id").alias("d")).join(t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"), "text"), "d").select(F.col("source").alias("community_id"), F.col("source").alias("title"), F.col("text").alias("summary"))
+    ents = t.table(spark, sf_dir, "documents").join(v, F.col("doc_id") == F.col("vec_id")).select(name(F.col("vec_id")).alias("name"), F.col("lang").alias("type"), F.col("text").alias("description"), F.array(F.col("doc_id").cast("string")).alias("source_ids"), "embedding")
+    n = F.broadcast(v.agg((F.max("vec_id") + 1).alias("n")))
+    rel = v.crossJoin(n).select(name(F.col("vec_id")).alias("src_id"), name((F.col("vec_id") * 7 + 1) % F.col("n")).alias("tgt_id"), F.col("label").cast("string").alias("description"), t.ntz("2024-01-01").alias("valid_from"), F.when(F.col("label") > 5, t.ntz("2024-06-01")).alias("valid_to"), "embedding")
+    # A report for each source and block of REPORT_IDS ids holds all their texts, so that no report grows with the table.
+    block = F.concat_ws("/", "source", F.floor(F.col("doc_id") / REPORT_IDS).cast("string"))
+    parts = t.table(spark, sf_dir, "documents").groupBy(block.alias("community_id"), "source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("parts"))
+    reports = parts.select("community_id", F.col("source").alias("title"), F.array_join(F.transform("parts", lambda x: x["text"]), "\n").alias("summary"))
     return Corpus(chunks, ents, rel, reports)
 
 

@@ -59,3 +59,13 @@ def test_searches_without_sql_ask_their_whole_query_set(spark, tables):
     ids = lambda name: {r.query_id for r in catalog.QUERIES[name](spark, tables).select("query_id").distinct().collect()}
     assert ids("vector_topk_cells") == set(range(0, 700, 20))
     assert ids("context_naive") == ids("grounded_claims") == set(range(45))
+
+
+def test_corpus_holds_whole_texts_and_all_ids(spark, tables):
+    corpus = catalog._corpus(spark, tables)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{tables}/documents.parquet").collect()}
+    assert {r.name: r.description for r in corpus.entities.collect()} == {f"E{i}": text for i, text in texts.items()}
+    assert {r.tgt_id for r in corpus.relations.collect()} >= {f"E{(i * 7 + 1) % 700}" for i in range(700)}
+    reports = corpus.communities.collect()
+    assert sorted(line for r in reports for line in r.summary.split("\n")) == sorted(texts.values())
+    assert len({r.community_id for r in reports}) == len(reports) == 21
