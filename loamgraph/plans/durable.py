@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor reaches: spark.checkpoint.dir. Only where the session names none (tests) a temporary one is set."""
+    """The folder that the driver and every executor reach, as the session's spark.checkpoint.dir or its context names it.
+
+    Where neither does, a local master (one machine, as in tests) gets a temporary one; on a cluster that is an error.
+    """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="loam-")
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        named = tempfile.mkdtemp(prefix="loam-")
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named
@@ -23,34 +31,44 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As cut(), for wide or long tables and for loops: compressed Parquet in the shared folder, planned and run once."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/loam-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest id reachable, for every node on an edge.
+    """(node, root): the smallest node reachable, for every node on an edge to another.
 
-    edges: two long columns a and b. Each round hooks every node to its
-    smallest smaller neighbour, jumps pointers until trees are stars, and
-    contracts; the edge table shrinks at least by half a round. Aggregates are
-    mins, so a hub's edges combine before the shuffle.
+    edges: two columns a and b of any one type that has an order and no nulls. Each round hooks every
+    node to its smallest smaller neighbour, jumps pointers until trees are stars, and contracts;
+    the nodes on edges shrink at least by half a round. Aggregates are
+    mins, so a hub's edges combine before the shuffle. Every step is a written table, so plans stay small however many rounds there are.
     """
     lo, hi = F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")
-    left = cut(edges.select(lo, hi).where("lo < hi").distinct())
+    left = stored(edges.select(lo, hi).where("lo < hi").distinct())
     rounds: list[DataFrame] = []
-    while left.count():
-        up = left.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"))
-        up = cut(up)
+    while not left.isEmpty():
+        up = stored(left.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root")))
         while True:
             above = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            jumped = cut(up.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")))
+            jumped = stored(up.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")))
             up = jumped.select("node", "root")
-            if not jumped.where("moved").count():
+            if jumped.where("moved").isEmpty():
                 break
         rounds.append(up)
         by = lambda c: up.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: B023, E731
         moved = left.join(by("lo"), "lo", "left").join(by("hi"), "hi", "left")
         moved = moved.select(F.coalesce("lo_root", "lo").alias("a"), F.coalesce("hi_root", "hi").alias("b"))
-        left = cut(moved.select(lo, hi).where("lo < hi").distinct())
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    found = nodes.select("node", F.col("node").alias("root"))
-    for up in rounds:
-        step = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        found = found.join(step, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return found
+        left = stored(moved.select(lo, hi).where("lo < hi").distinct())
+    if not rounds:
+        return left.select(F.col("lo").alias("node"), F.col("hi").alias("root"))
+    # From the last round back: where a round's roots went later.
+    found = rounds.pop()
+    while rounds:
+        up = rounds.pop()
+        later = found.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        found = stored(up.join(later, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(found))
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
