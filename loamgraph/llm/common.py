@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
 
-from ..plans.durable import connected_components, cut, shared_folder
+from ..plans.durable import connected_components, cut, shared_folder, stored
 
 __all__ = ["byte_values", "connected_components", "cut", "local_components", "shared_folder", "stored", "whole_groups"]
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """As cut(), for wide or long tables: compressed Parquet in the shared folder."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/loam-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
-
-
 def byte_values(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, nulls kept, without decoding."""
     if pa.types.is_large_string(column.type):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, connected_components, cut, local_components, stored, whole_groups
+from .common import byte_values, connected_components, local_components, stored, whole_groups
 
 BITS = 64
 #: Fingerprints of a block's tile that are compared with each other at once.
@@ -73,203 +73,109 @@ def block_keys(fp: Column, distance: int, blocks: int) -> Column:
     return F.array(*keys)
 
 
-def near_links(nodes: DataFrame, distance: int) -> DataFrame:
-    """Edges a-b that span the graph of nodes that share a key and whose words are at most `distance` bits apart.
+#: Keys have about as many bits as the number of fingerprints, so that chance meetings per fingerprint stay few.
+BLOCKS = (6, 7, 8)
 
-    nodes: node and word (longs), keys (array of longs). A key that a sample of the nodes shows in more
-    than TILE of them is cut in parts; each pair of parts is a group of bounded size, so
-    no group is too large for a task and no pair is lost (the sample decides how work is dealt,
-    not what is compared). A group returns edges to its components' smallest members only, never its pairs.
-    """
-    keyed = nodes.select("node", "word", F.explode("keys").alias("key"))
+
+def blocks_for(n: int, distance: int = 4) -> int:
+    """The fewest blocks whose keys, of all but `distance` of them, tell n fingerprints apart but for a few. Any number finds the same links."""
+    for blocks in BLOCKS:
+        blocks += distance - 4
+        if n >> (BITS * (blocks - distance) // blocks) < 4:
+            break
+    return blocks
+
+
+def hot_keys(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """key, held: about how many nodes hold each key that a sample of one in SAMPLE shows in more than TILE of them."""
     drawn = nodes.where(F.pmod(F.xxhash64("node", F.lit("sample")), F.lit(SAMPLE)) == 0).select(F.explode("keys").alias("key"))
-    hot = drawn.groupBy("key").agg((F.count("*") * SAMPLE).alias("n")).where(F.col("n") > TILE)
-    hot = stored(hot.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("parts")))
-    parts = F.coalesce("parts", F.lit(1))
-    dealt = keyed.join(hot, "key", "left").select("key", "node", "word", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
-    tiles = dealt.select("key", "node", "word", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    tiles = tiles.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "node", "word")
+    return drawn.groupBy("key").agg((F.count("*") * SAMPLE).alias("held")).where(F.col("held") > TILE)
+
+
+Near = Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray]
+
+
+def near_links(keyed: DataFrame, hot: DataFrame, near: Near) -> DataFrame:
+    """Edges a-b that span the graph of nodes that share a key and that near() tells are near.
+
+    keyed: key (long), node (of any type) and numbers that near() compares: it gets them by name, and the rows' places in pairs.
+    hot: key, held (their number) of keys with over TILE nodes. Such a key is cut in parts, and each pair of parts is a
+    tile of bounded size, so no group is too large for a task and no pair is lost (hot decides how work is dealt,
+    not what is compared). A tile returns edges to its components' first members only, never its pairs.
+    """
+    payload = [c for c in keyed.columns if c not in ("key", "node")]
+    parts = F.coalesce(F.ceil(F.col("held") / TILE).cast("int"), F.lit(1))
+    dealt = keyed.join(stored(hot), "key", "left").select("key", "node", *payload, parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
+    tiles = dealt.select("key", "node", *payload, "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    tiles = tiles.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", *payload)
     tiles = tiles.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["key", "lo", "hi"]):
-            columns = [table.column(c).to_numpy() for c in ("key", "lo", "hi")]
-            node, word = table.column("node").to_numpy(), table.column("word").to_numpy()
-            start = np.zeros(len(node), bool)
-            for c in columns:
+            table = table.combine_chunks()
+            key, lo, hi, part = (table.column(c).to_numpy() for c in ("key", "lo", "hi", "part"))
+            values = {c: table.column(c).to_numpy() for c in payload}
+            start = np.zeros(len(key), bool)
+            for c in (key, lo, hi):
                 start[1:] |= c[1:] != c[:-1]
-            a, b = span_groups(np.cumsum(start), word.view(np.uint64), distance)
-            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+            # A tile of two parts compares across them: each part has a tile of its own.
+            whole = lo == hi
+            a, b = span_groups(np.cumsum(start), lambda i, j: (whole[i] | (part[i] != part[j])) & near(values, i, j))  # noqa: B023
+            node = table.column("node")
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(x)).combine_chunks() for x in (a, b)], ["a", "b"])
 
-    return tiles.mapInArrow(run, "a long, b long")
+    kind = keyed.schema["node"].dataType.simpleString()
+    return tiles.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def span_groups(group: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of edges spanning each sorted group's components of fingerprints at most `distance` bits apart."""
+def span_groups(group: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of edges spanning each sorted group's components of rows that near() tells are near."""
+    n = len(group)
     a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at, step = np.arange(max(0, len(fp) - 1)), 1
+    at, step = np.arange(max(0, n - 1)), 1
     while True:
-        at = at[at + step < len(fp)]
+        at = at[at + step < n]
         at = at[group[at] == group[at + step]]
         if not len(at):
             break
-        hit = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= distance]
+        hit = at[near(at, at + step)]
         a, b = np.concatenate([a, hit]), np.concatenate([b, hit + step])
         step += 1
-        if len(a) > 8 * len(fp):
-            label = local_components(len(fp), a, b)
-            a = np.flatnonzero(label != np.arange(len(fp)))
+        if len(a) > 8 * n:
+            label = local_components(n, a, b)
+            a = np.flatnonzero(label != np.arange(n))
             b = label[a]
-    label = local_components(len(fp), a, b)
-    a = np.flatnonzero(label != np.arange(len(fp)))
+    label = local_components(n, a, b)
+    a = np.flatnonzero(label != np.arange(n))
     return a, label[a]
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, distance: int = 4, blocks: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, distance: int = 4, blocks: int | None = None) -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id.
 
-    Rows with equal fingerprints meet as one before blocks are joined. Null text counts as
+    Rows with equal fingerprints meet as one before blocks are joined; a fingerprint is a node named
+    by its smallest id, so that a component's smallest node is its smallest id. Null text counts as
     empty; texts without words share fingerprint zero and link like any
     other; a row with a null id keeps its row, and its component's smallest
-    non-null id. Repeated rows each get theirs. Other columns are ignored.
+    non-null id. Repeated rows each get theirs. Other columns are ignored. `blocks` is
+    chosen by the number of fingerprints where it isn't given, which changes no result.
     """
+    rows = stored(fingerprints(docs, id_col, text_col, width, seed))
+    firsts = stored(rows.groupBy("fp").agg(F.min("id").alias("first")))
+    if blocks is None:
+        blocks = blocks_for(firsts.count(), distance)
     if not 1 <= distance < blocks:
         raise ValueError("blocks must outnumber the distance")
-    rows = cut(fingerprints(docs, id_col, text_col, width, seed))
-    firsts = rows.groupBy("fp").agg(F.min("id").alias("first"))
-    nodes = firsts.select(F.col("fp").alias("node"), F.col("fp").alias("word"), block_keys(F.col("fp"), distance, blocks).alias("keys"))
-    roots = connected_components(cut(near_links(nodes, distance)))
-    classes = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    best = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = classes.join(best, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-#: For similar texts: blocks of this many bits and their number. Of pairs at a similarity of 0.8, whose bits agree
-#: with probability 0.85, 97 % share a block; at 0.9 all but one in 10,000 do.
-WIDE_BLOCK = 16
-WIDE_BLOCKS = 48
-#: Bits of one word by which such pairs may differ: over three standard deviations more than expected at 0.8.
-WIDE_DISTANCE = 19
-#: Shingles of a cluster's part, whose documents are compared at once.
-PART = 1 << 20
-
-
-def shingle_set(text: bytes | None, width: int, seed: int = 42) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles."""
-    each = list(shingle_hashes(text or b"", width, seed))
-    return np.unique(np.concatenate(each)) if each else np.zeros(0, np.uint64)
-
-
-def wide_fingerprint(h: np.ndarray, words: int) -> np.ndarray:
-    """Majority bits of `words` mixes of each hash: 64 bits a word."""
-    out = np.zeros(words, np.uint64)
-    for k in range(words):
-        m = h * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x5851F42D4C957F2D & (1 << 64) - 1 | 1)
-        m ^= m >> np.uint64(31)
-        m *= np.uint64(0xBF58476D1CE4E5B9)
-        m ^= m >> np.uint64(29)
-        count = np.zeros(BITS, np.int64)
-        for at in range(0, len(m), SHINGLES_AT_ONCE):
-            count += np.unpackbits(m[at : at + SHINGLES_AT_ONCE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out[k] = int.from_bytes(np.packbits(2 * count > len(m)).tobytes(), "big")
-    return out
-
-
-def span_similar(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Edges spanning the graph of sets whose Jaccard similarity is `least` or more.
+    # Nulls after all ids; equal ids are told apart by their fingerprints.
+    node = F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("id"), F.col("fp").alias("fp"))
+    nodes = firsts.select(node.alias("node"), F.col("fp").alias("word"), block_keys(F.col("fp"), distance, blocks).alias("keys"))
+    keyed = nodes.select("node", "word", F.explode("keys").alias("key"))
 
-    An inverted index gives what a set shares with those not reached yet; as they
-    get fewer it is cut down to them, so a dense group's members are cheap once most are reached.
-    """
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    blank = np.flatnonzero(sizes == 0).tolist()
-    edges = [(blank[0], i) for i in blank[1:]]
-    owner = np.repeat(np.arange(n), sizes)
-    codes = np.unique(np.concatenate(sets), return_inverse=True)[1] if owner.size else np.zeros(0, np.int64)
-    own = np.split(codes, np.cumsum(sizes)[:-1])
-    left = sizes > 0
-    order = np.argsort(codes, kind="stable")
-    docs, code = owner[order], codes[order]
-    top, held = int(codes.max(initial=-1)) + 1, int(left.sum())
-    bounds = np.searchsorted(code, np.arange(top + 1))
-    for first in np.flatnonzero(left).tolist():
-        if not left[first]:
-            continue
-        left[first] = False
-        todo = [first]
-        while todo:
-            pivot = todo.pop()
-            remain = int(left.sum())
-            if not remain:
-                break
-            if 2 * remain < held:
-                keep = left[docs]
-                docs, code, held = docs[keep], code[keep], remain
-                bounds = np.searchsorted(code, np.arange(top + 1))
-            begin, count = bounds[own[pivot]], np.diff(bounds)[own[pivot]]
-            at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-            shared = np.bincount(docs[at], minlength=n)
-            hit = np.flatnonzero(left & (shared > 0) & (shared >= least * (sizes + sizes[pivot] - shared)))
-            left[hit] = False
-            edges += [(pivot, i) for i in hit.tolist()]
-            todo += hit.tolist()
-    return edges
-
-
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, seed: int = 42) -> DataFrame:
-    """doc_id, class_id: the smallest id linked by texts whose shingle sets have a Jaccard similarity of `least` or more.
-
-    Texts with the same shingles meet as one. Wide fingerprints are split into blocks;
-    texts that share a block and whose words are near by Hamming distance make clusters, which
-    the shingles themselves then confirm or split: every pair of a cluster's parts is
-    a group of bounded size. Null texts are empty; texts without words are alike. Rows need
-    integer ids; those with a null id are left out. Repeated ids share a class.
-    """
-    words = WIDE_BLOCK * WIDE_BLOCKS // BITS
+    def near(values: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        word = values["word"].view(np.uint64)
+        return np.bitwise_count(word[i] ^ word[j]) <= distance
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same, word, keys, size = [], [], [], []
-            for text in byte_values(batch.column(1)):
-                h = shingle_set(text, width, seed)
-                fp = wide_fingerprint(h, words)
-                same.append(xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63))
-                word.append(int(fp[0]) - (1 << 63))
-                size.append(len(h))
-                keys.append((fp.astype(">u8").view(">u2").astype(np.int64) | np.arange(WIDE_BLOCKS) << WIDE_BLOCK).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.int64()), pa.array(word, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(size, pa.int64())], ["node", "same", "word", "keys", "size"])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")).where("node is not null")
-    rows = stored(texts.mapInArrow(read, "node long, same long, word long, keys array<long>, size long"))
-    firsts = cut(rows.groupBy("same").agg(F.min("node").alias("node"), F.min(F.struct("word", "keys")).alias("fp"), F.min("size").alias("size")))
-    coarse = cut(connected_components(cut(near_links(firsts.select("node", "fp.word", "fp.keys"), WIDE_DISTANCE))))
-    # A node's text is told from others of its id by `same`.
-    members = coarse.join(firsts.select("node", "same", "size"), "node")
-    sizes = coarse.join(firsts.select("node", "size"), "node").groupBy("root").agg(F.sum("size").alias("n"))
-    parts = F.greatest(F.ceil(F.col("n") / PART), F.lit(1)).cast("int")
-    members = members.join(sizes, "root").select("node", "root", "same", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
-    held = texts.join(members, "node")
-    tiles = held.select("root", "node", "same", "part", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    tiles = tiles.select("root", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "node", "same", "text")
-    tiles = tiles.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["root", "lo", "hi"]):
-            columns = [table.column(c).to_numpy() for c in ("root", "lo", "hi")]
-            node, same, texts = table.column("node").to_numpy(), table.column("same").to_numpy(), table.column("text")
-            start = np.ones(len(node), bool)
-            start[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-            bounds = np.r_[np.flatnonzero(start), len(node)]
-            edges = []
-            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                sets = [shingle_set(t, width, seed) for t in byte_values(texts.slice(s, e - s).combine_chunks())]
-                own = [i for i, h in enumerate(sets) if xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63) == same[s + i]]
-                edges += [(node[s + own[a]], node[s + own[b]]) for a, b in span_similar([sets[i] for i in own], least)]
-            a, b = zip(*edges, strict=True) if edges else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    links = connected_components(cut(tiles.mapInArrow(confirm, "a long, b long")))
-    classes = firsts.select("same", "node").join(links, "node", "left").select("same", F.coalesce("root", "node").alias("class_id"))
-    return rows.select("node", "same").join(classes, "same").groupBy(F.col("node").alias("doc_id")).agg(F.min("class_id").alias("class_id"))
+    roots = connected_components(near_links(keyed, hot_keys(keyed, nodes), near))
+    classes = roots.select(F.col("node.fp").alias("fp"), F.col("root.id").alias("component_id"))
+    classes = firsts.join(classes.withColumn("linked", F.lit(True)), "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"))
+    return rows.join(classes, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

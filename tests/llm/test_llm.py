@@ -101,7 +101,8 @@ def test_simhash_equals_brute_force(docs):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.fingerprint, r.component_id) for r in rows) == want
 
 
-def test_simhash_links_all_near_fingerprints_of_a_hot_block(spark, monkeypatch):
+@pytest.mark.parametrize("blocks", [6, 7, 8])
+def test_simhash_links_all_near_fingerprints_of_a_hot_block(spark, monkeypatch, blocks):
     from loamgraph.llm import simhash
 
     monkeypatch.setattr(simhash, "TILE", 8)  # a few dozen fingerprints are many tiles
@@ -115,9 +116,10 @@ def test_simhash_links_all_near_fingerprints_of_a_hot_block(spark, monkeypatch):
             x ^= 1 << b
         fps.add(x)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    nodes = spark.createDataFrame([(x,) for x in signed], "node long").select("node", F.col("node").alias("word"), simhash.block_keys(F.col("node"), 4, 6).alias("keys"))
-    edges = [(r.a & (1 << 64) - 1, r.b & (1 << 64) - 1) for r in simhash.near_links(nodes, 4).collect()]
-    assert all((a ^ b).bit_count() <= 64 for a, b in edges)
+    nodes = spark.createDataFrame([(x,) for x in signed], "node long").select("node", F.col("node").alias("word"), simhash.block_keys(F.col("node"), 4, blocks).alias("keys"))
+    keyed = nodes.select("node", "word", F.explode("keys").alias("key"))
+    links = simhash.near_links(keyed, simhash.hot_keys(keyed, nodes), lambda v, i, j: np.bitwise_count((v["word"][i] ^ v["word"][j]).view(np.uint64)) <= 4)
+    edges = [(r.a & (1 << 64) - 1, r.b & (1 << 64) - 1) for r in links.collect()]
     at = {x: x for x in fps}
 
     def root(x):
@@ -131,24 +133,107 @@ def test_simhash_links_all_near_fingerprints_of_a_hot_block(spark, monkeypatch):
     assert {x: root(x) for x in fps} == brute_components(sorted(fps), 4)
 
 
-def test_similar_classes(spark, docs, none):
-    from loamgraph.llm.simhash import similar_classes
+def test_simhash_blocks_grow_with_the_fingerprints():
+    from loamgraph.llm.simhash import blocks_for
+
+    assert [blocks_for(n) for n in (0, 1000, 10**7, 10**9, 10**10)] == [6, 6, 7, 8, 8]
+
+
+def shingles(text, width=5):
+    w = re.findall(rb"[^\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    return frozenset(tuple(w[j : j + width]) for j in range(max(1, len(w) - width + 1))) if w else frozenset()
+
+
+def alike(a, b):
+    return not a | b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def brute_classes(rows):
+    """The number of the class of each row, by all pairs of shingle sets."""
+    sets = [shingles(t) for _, t in rows]
+    at = list(range(len(rows)))
+
+    def root(i):
+        while at[i] != i:
+            i = at[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if alike(sets[i], sets[j]):
+                a, b = root(i), root(j)
+                at[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(rows))]
 
-    got = {r.doc_id: r.class_id for r in similar_classes(docs).collect()}
-    sets = {}
-    for i, t, *_ in EDGE:
-        w = (t or "").lower().split()
-        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
-    for a in sets:
-        for b in sets:
-            if a is None or b is None:
-                continue
-            union = sets[a] | sets[b]
-            alike = not union or len(sets[a] & sets[b]) >= 0.8 * len(union)
-            if alike:
-                assert got[a] == got[b], (a, b)
-    assert got[1] == got[2] == got[3] == 1 and got[9] == 9 and got[8] == 8
-    assert similar_classes(none).count() == 0
+
+def edited(text, n, seed):
+    r = random.Random(seed)
+    w = text.split()
+    for j in r.sample(range(len(w)), n):
+        w[j] = f"edit{seed}x{j}"
+    return " ".join(w)
+
+
+def near_copies():
+    """Texts of 3 to 900 words, each with copies around a similarity of 0.8, some of which link others."""
+    rows = []
+    for k, n in enumerate([3, 5, 8, 12, 20, 40, 70, 130, 200, 300, 500, 900] * 2):
+        base = prose(n, 500 + k)
+        rows.append((len(rows), base))
+        for c in range(8):
+            rows.append((len(rows), edited(base if c % 3 else rows[-1][1], max(1, n * (c + 1) // 250), 9 * k + c)))
+        rows.append((len(rows), base + " " + prose(max(1, n // 5), 900 + k)))
+        rows.append((len(rows), " ".join(base.split()[: max(1, n * 8 // 10)])))
+    return rows
+
+
+def test_similar_texts_lose_no_link(spark, monkeypatch):
+    from loamgraph.llm import similar, simhash
+
+    rows = near_copies() + [(5000 + i, prose(30, 3000) + f" tail {i}") for i in range(40)]
+    links = sum(alike(shingles(a), shingles(b)) for i, (_, a) in enumerate(rows) for _, b in rows[:i])
+    assert links > 900
+    number = brute_classes(rows)
+    want = {i: rows[c][0] for (i, _), c in zip(rows, number, strict=True)}
+    for tile, part in ((1024, 1 << 20), (4, 200)):
+        monkeypatch.setattr(similar, "TILE", tile)
+        monkeypatch.setattr(simhash, "TILE", tile)
+        monkeypatch.setattr(similar, "PART", part)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert {r.doc_id: r.class_id for r in similar.similar_classes(docs).collect()} == want
+
+
+def test_keys_of_alike_sets_meet_and_their_sketches_are_near():
+    from loamgraph.llm import similar
+
+    r = np.random.default_rng(5)
+    common = np.zeros(0, np.uint64)
+    for n in [1, 2, 3, 4, 5, 9, 10, 14, 15, 63, 64, 127, 128, 200, 256, 500, 1000, 3000] * 20:
+        a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        gone = int(r.integers(0, n // 9 + 1))
+        b = np.unique(np.r_[a[r.permutation(len(a))[gone:]], r.integers(0, 1 << 63, int(r.integers(0, n // 9 + 1))).astype(np.uint64) * np.uint64(2)])
+        if 5 * len(np.intersect1d(a, b)) < 4 * len(np.union1d(a, b)):
+            continue
+        common = np.sort(r.permutation(a)[: n // 3])
+        assert len(np.intersect1d(similar.prefix(a, common), similar.prefix(b, common)))
+        facts = np.array([similar.facts(a), similar.facts(b)])
+        assert similar.near({c: facts[:, k] for k, c in enumerate(similar.FACTS)}, np.array([0]), np.array([1])).all(), n
+
+
+def test_one_of_similar_tells_rows_apart_by_id_and_text(spark, docs, none):
+    from loamgraph.llm.similar import one_of_similar
+
+    a, b, c = prose(50, 61), prose(50, 62), prose(50, 63)
+    rows = [(1, a), (2, a), (2, b), (5, c), (5, c), (None, b + " more"), (None, prose(40, 64)), (None, prose(40, 64)), (7, None), (8, ""), (9, " \n"), (10, "x"), (11, "X  ")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"same": F.lit("clash"), "row": F.lit(None).cast("string"), "c0": F.lit(1)})
+    kept = one_of_similar(table)
+    assert kept.columns == table.columns
+    got = sorted(((r.doc_id is None, r.doc_id or 0), r.text) for r in kept.collect() if r.text is not None)
+    assert got == sorted([((False, 1), a), ((False, 2), b), ((False, 5), c), ((True, 0), prose(40, 64)), ((False, 10), "x")])
+    assert [r.doc_id for r in kept.where("text is null").collect()] == [7]
+    want = brute_classes([(i, t) for i, t, *_ in EDGE])
+    assert one_of_similar(docs).count() == len(set(want))
+    assert one_of_similar(none).count() == 0
 
 
 # 3. Top-k
@@ -477,7 +562,7 @@ def test_alignment_equals_the_full_matrix():
 
 
 def test_decontamination(spark, docs, none):
-    from loamgraph.llm.decontaminate import contaminated
+    from loamgraph.llm.decontaminate import contaminated, decontaminated
 
     item = prose(40, 77).split()
     edited = item[:]
@@ -492,20 +577,68 @@ def test_decontamination(spark, docs, none):
         assert got[1].score == 1 and (got[1].first_word, got[1].end_word) == (50, 90) and 0.5 < got[2].score < 1
     assert contaminated(docs, tests).count() == 0
     assert contaminated(none, tests).count() == 0 and contaminated(rows, tests.limit(0)).count() == 0
+    clean = decontaminated(rows, tests)
+    assert clean.columns == rows.columns and {r.doc_id for r in clean.collect()} == {3, 4, 5}
+    assert decontaminated(rows, tests.limit(0)).count() == len(data) and decontaminated(none, tests).count() == 0
 
 
-# The pipeline
+def test_decontamination_of_items_shorter_than_a_seed(spark):
+    from loamgraph.llm.decontaminate import contaminated
 
+    rows = spark.createDataFrame([(1, "it has Two, words in it"), (2, "two other words"), (3, "words two"), (4, "a lone")], "doc_id long, text string")
+    tests = spark.createDataFrame([(71, "two words"), (72, "lone"), (73, "!!")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.score, r.first_word, r.end_word) for r in contaminated(rows, tests).collect()}
+    assert got == {(1, 71): (1.0, 2, 4), (4, 72): (1.0, 1, 2)}
+
+
+def brute_leaks(docs, items, least=0.5):
+    """Every document against every item, by the whole alignment matrix."""
+    out = set()
+    for d, t in docs:
+        b = re.findall(r"[0-9a-z\x80-\uffff]+", (t or "").lower())
+        for i, text in items:
+            a = re.findall(r"[0-9a-z\x80-\uffff]+", (text or "").lower())
+            line, best = [0] * (len(b) + 1), 0
+            for x in a:
+                new = [0]
+                for j, y in enumerate(b):
+                    new.append(max(0, line[j] + (2 if x == y else -1), line[j + 1] - 1, new[j] - 1))
+                line, best = new, max(best, *new)
+            if a and best >= least * 2 * len(a):
+                out.add((d, i))
+    return out
+
+
+def test_decontamination_equals_all_pairs(spark):
+    from loamgraph.llm.decontaminate import contaminated
+
+    items = [(i, prose(n, 600 + i)) for i, n in enumerate([10, 12, 16, 20, 26, 35, 60])] + [(20, prose(30, 605)), (21, None), (22, "")]
+    docs = [(None, prose(20, 700) + " " + items[5][1]), (0, None), (1, ""), (2, prose(3000, 701) + " " + items[4][1] + " " + prose(3000, 702))]
+    for k, (_, text) in enumerate(items[:7]):
+        w = text.split()
+        docs += [(10 + k, f"{prose(15, 710 + k)} {text} {prose(15, 730 + k)}"), (10 + k, text), (30 + k, " ".join(w[: len(w) * 3 // 4])), (50 + k, edited(text, len(w) // 9, k)), (70 + k, " ".join(w[: len(w) // 3])), (90 + k, " ".join([*w[: len(w) // 2], "put", "between", *w[len(w) // 2 :]]))]
+    docs += [(120, docs[10][1]), (120, docs[10][1])]
+    got = [(r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()]
+    assert set(got) == brute_leaks(docs, items)
+    assert docs[10][0] == 11 and got.count((120, 1)) == 2 and (None, 5) in got
+
+
+# The pipeline
 
-def test_pipeline_stages(spark, tmp_path):
-    import corpus_pipeline as cp
 
+def pipeline_rows():
     line = "the first line of it here\nthe second line of that there\nthe third line with the word\nthe fourth of them and more\nthe fifth and last of these\n"
     item = prose(40, 90)
     texts = [prose(100, 40), prose(100, 41), line + prose(80, 42), line + prose(80, 43), prose(60, 44) + " " + item, "1234 5678", None, prose(50, 45)]
     texts.append(texts[0].replace(texts[0].split()[50], "other", 1))
     rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
-    rows += [(100 + i, prose(40, 200 + i), "en", "s", 1) for i in range(30)]
+    return item, rows + [(100 + i, prose(40, 200 + i), "en", "s", 1) for i in range(30)]
+
+
+def test_pipeline_stages(spark, tmp_path):
+    from loamgraph.llm import pipeline as cp
+
+    item, rows = pipeline_rows()
     spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
@@ -520,17 +653,79 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in packed} == kept
 
 
+def odd_rows(item):
+    """Null, repeated and tied ids, null, empty and very long texts, and repeated rows."""
+    long = prose(30_000, 800)
+    passage = prose(9, 801).replace(" ", "\n")
+    return [
+        (1, prose(60, 802), "en", "s", 1), (1, prose(60, 803), "en", "s", 1), (2, prose(60, 802), "en", "s", 1), (2, prose(60, 802), "en", "s", 1),
+        (None, prose(50, 804) + " " + item, "en", "s", 1), (None, prose(60, 803), "en", "s", 1), (None, prose(55, 805), "en", None, 1), (None, prose(55, 805), "en", None, 1),
+        (3, prose(50, 806) + " " + item, "en", "s", 1), (3, prose(50, 807), None, "s", None), (4, None, None, None, None), (5, "", "en", "s", 0), (6, " \n ", "en", "s", 3), (7, "12 34", "en", "s", 5),
+        (8, long, "en", "s", 1), (9, long, "en", "s", 1), (10, "a\n" + passage + "\nb", "en", "s", 1), (11, "c\n" + passage + "\nd", "en", "s", 1),
+    ]
+
+
+def told_rows(rows):
+    return sorted(repr(tuple(r)) for r in rows)
+
+
+def test_each_stage_equals_brute_force_on_odd_rows(spark, tmp_path):
+    from loamgraph.llm import pipeline as cp
+    from loamgraph.llm.linededup import line_pairs
+
+    item = prose(40, 90)
+    rows = odd_rows(item) + [(200 + i, prose(40, 400 + i), "en", "s", 1) for i in range(20)]
+    spark.createDataFrame([(1, item), (2, None), (None, "x y z")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    table = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in ("same", "row", "tag", "id", "key", "item_id", "lang_pred")})
+    stages = {name: lambda df, f=f: f(spark, df, str(tmp_path)) for name, f in cp.STAGES}
+    for name in list(stages)[:-1]:
+        assert stages[name](table.limit(0)).count() == 0 and stages[name](table).columns == cp.COLUMNS
+    assert stages["packing"](table.limit(0)).count() == 0
+    # One language: whatever has a letter stays.
+    want = [r for r in rows if re.search("[a-z]", r[1] or "")]
+    assert told_rows(stages["language id"](table).collect()) == told_rows(want)
+    # Pairs of lines that an earlier place holds.
+    seen, want = set(), []
+    for r in sorted({x[:2] for x in rows if x[1] is not None}, key=lambda x: (x[0] is not None, x[0] or 0)):
+        lines = r[1].split("\n")
+        gone = set()
+        for a, b in line_pairs([x.encode() for x in lines]):
+            pair = "\n".join(lines[a:b])
+            gone |= set(range(a, b)) if pair in seen else set()
+            seen.add(pair)
+        text = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        want += [(x[0], text, x[2], x[3], len(text)) for x in rows if x[:2] == r and (not gone or text.strip(" "))]
+    want += [(*r[:4], None) for r in rows if r[1] is None]
+    assert told_rows(stages["line dedup"](table).collect()) == told_rows(want)
+    # One row of each class: the first by id, null ids last.
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    number = brute_classes([r[:2] for r in order])
+    want = [r for i, r in enumerate(order) if number[i] == i]
+    blank = {4, 5, 6}
+    got = [tuple(r) for r in stages["near-duplicates"](table).collect()]
+    assert told_rows(r for r in got if r[0] not in blank) == told_rows(r for r in want if r[0] not in blank) and sum(r[0] in blank for r in got) == 1
+    # Every row by its own text.
+    assert told_rows(stages["decontamination"](table).collect()) == told_rows(r for r in rows if item not in (r[1] or ""))
+    # Each row's ids once, in order.
+    packed = stages["packing"](table).collect()
+    assert sorted(str(r.doc_id) for r in packed if r.start == 0) == sorted(str(r[0]) for r in rows)
+
+
 def test_components(spark):
     from loamgraph.llm.common import connected_components
 
     r = random.Random(12)
     edges = [(r.randrange(80), r.randrange(80)) for _ in range(60)] + [(200 + i, 201 + i) for i in range(30)]
     got = {x.node: x.root for x in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    at = {n: n for e in edges for n in e}
+    at = {n: n for e in edges for n in e if e[0] != e[1]}
     for _ in range(100):
         for a, b in edges:
-            at[a] = at[b] = min(at[a], at[b])
+            if a != b:
+                at[a] = at[b] = min(at[a], at[b])
     assert got == at
+    words = spark.createDataFrame([(f"{a:03}", f"{b:03}") for a, b in edges], "a string, b string")
+    assert {x.node: x.root for x in connected_components(words).collect()} == {f"{a:03}": f"{b:03}" for a, b in at.items() if any(a in e and e[0] != e[1] for e in edges)}
+    assert connected_components(words.limit(0)).count() == 0
 
 
 def test_queries_are_named_and_documented():
