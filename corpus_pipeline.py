@@ -1,71 +1,5 @@
-"""A corpus pipeline: each stage reads what the one before kept, and all but the last return documents."""
+"""The corpus pipeline by the name that the driver looks for; loamgraph.llm.pipeline holds it."""
 
-from __future__ import annotations
+from loamgraph.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from loamgraph.llm.common import stored
-from loamgraph.llm.decontaminate import contaminated
-from loamgraph.llm.langid import UNKNOWN, identify, train_model
-from loamgraph.llm.linededup import remove_repeated_chunks
-from loamgraph.llm.packing import pack_documents
-from loamgraph.llm.queries import vocabulary
-from loamgraph.llm.simhash import similar_classes
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A text whose best language has a smaller mean probability isn't in any language known.
-LEAST_LANGUAGE = 0.3
-
-
-def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts in no known language: those without letters, and those that the network can't tell at all."""
-    told = identify(docs.select(*COLUMNS), train_model(docs), "text", tuple(COLUMNS))
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(*COLUMNS)
-
-
-def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated passages of two lines or more; a document of which nothing is left goes."""
-    kept = remove_repeated_chunks(docs.select(*COLUMNS), pairs=True)
-    kept = kept.where((F.col("removed_lines") == 0) | (F.trim("text") != ""))
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
-
-
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of similar texts, once; null ids stay."""
-    classes = similar_classes(docs)
-    lost = classes.where("class_id <> doc_id").select("doc_id")
-    kept = docs.select(*COLUMNS).join(lost, "doc_id", "left_anti")
-    return kept
-
-
-def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of a benchmark item."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(found, "doc_id", "left_anti")
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into training sequences."""
-    return pack_documents(docs, vocabulary())
-
-
-STAGES = [
-    ("language id", language_stage),
-    ("line dedup", line_stage),
-    ("near-duplicates", near_duplicate_stage),
-    ("decontamination", decontamination_stage),
-    ("packing", packing_stage),
-]
-
-#: Networks, content-defined chunks and tokenizers have no SQL form; tests compare the stages with brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = stored(docs)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
