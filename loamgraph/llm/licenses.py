@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 GRAM = 3
 #: Diagonals at most this far apart belong to one copy with words added or lost.
 NEAR = 4
-#: The share of a template's grams that a copy must hold; of short ones, which differ by a word, nearly all.
+#: The share of a template's grams that a copy must hold. Of a template of fewer than SHORT grams that shares some with
+#: another label's, it must hold all that no other label's has: its name and version.
 COVER = 0.5
-SHORT, SHORT_COVER = 10, 0.9
+SHORT = 10
 
 # The phrases whose every exact place counts, and their labels.
 PHRASES = [
@@ -56,7 +58,7 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """The lower-cased text's words; null is empty.
+    """The words of the text with A-Z lower-cased; null is empty.
 
     Only the first and the last piece of a split at runs of separators can be empty.
     """
@@ -67,31 +69,54 @@ def words_of(text: Column) -> Column:
         tail = ((n > 1) & (F.get(cut, n - 1) == "")).cast("int")
         return F.slice(cut, head + 1, n - head - tail)
 
-    return bind(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), NOT_A_WORD), without_edges)
+    low = F.translate(F.coalesce(text.cast("string"), F.lit("")), ascii_uppercase, ascii_lowercase)
+    return bind(F.split(low, NOT_A_WORD), without_edges)
 
 
-def gram_hashes(words: Column, k: int = GRAM) -> Column:
-    """XXH64 of the k words from each place on; the last k - 1 places hash the fewer words left."""
-    return bind(words, lambda ws: F.transform(ws, lambda w, i: F.xxhash64(w, *(F.get(ws, i + j) for j in range(1, k)))))
+def rolling_grams(words: Column, k: int = GRAM) -> Column:
+    """(hash, gram): XXH64 of the k words from each place on, and the words; the last k - 1 places have fewer words."""
+
+    def gram(ws: Column) -> Callable[[Column, Column], Column]:
+        def at(w: Column, i: Column) -> Column:
+            own = [w, *(F.get(ws, i + j) for j in range(1, k))]
+            return F.struct(F.xxhash64(*own).alias("hash"), F.concat_ws(" ", *own).alias("gram"))
+
+        return at
+
+    return bind(words, lambda ws: F.transform(ws, gram(ws)))
+
+
+def telling(rows: list[tuple[int, str, str, bool]]) -> dict[int, set[str]]:
+    """For each short template that shares a gram with another label's, its grams that no other label's has."""
+    grams = {i: [" ".join(w[j : j + GRAM]) for j in range(len(w) - GRAM + 1)] for i, text, _, _ in rows for w in [text.split()]}
+    out: dict[int, set[str]] = {}
+    for i, _, label, base in rows:
+        others = {g for j, _, other, _ in rows if other != label for g in grams[j]}
+        shares = not others.isdisjoint(grams[i])
+        out[i] = set(grams[i]) - others if shares and not base and len(grams[i]) < SHORT else set()
+    return out
 
 
 def _templates(spark: SparkSession, phrases: list[tuple[str, str]], notices: list[tuple[str, str]]) -> DataFrame:
-    """(gram, template, label, base, need, place): a row for each gram of each template, and one marker that all texts hold."""
+    """(hash, gram, template, label, base, need, tells, place, tell): a row for each gram of each template, and one marker that all texts hold."""
     rows = [(i, text, label, i < len(phrases)) for i, (text, label) in enumerate([*phrases, *notices])]
     for _, text, _, _ in rows:
         if len(text.split()) < GRAM:
             raise ValueError(f"a template needs {GRAM} words: {text}")
-    each = [F.struct(*(F.lit(v).alias(c) for c, v in zip(("template", "text", "label", "base"), row, strict=True))) for row in rows]
+    told = telling(rows)
+    names = ("template", "text", "label", "base", "told")
+    each = [F.struct(*(F.lit(v).alias(c) for c, v in zip(names, row, strict=False)), F.array(*map(F.lit, sorted(told[row[0]]))).cast("array<string>").alias("told")) for row in rows]
     table = spark.range(1).select(F.inline(F.array(*each)))
-    table = table.select("template", "label", "base", F.split("text", " ").alias("words"))
+    table = table.select("template", "label", "base", "told", F.split("text", " ").alias("words"))
     need = F.size("words") - (GRAM - 1)
-    grams = table.select("template", "label", "base", need.alias("need"), F.posexplode(F.slice(gram_hashes(F.col("words")), F.lit(1), need)).alias("place", "gram"))
-    marker = spark.range(1).select(F.lit(-1).alias("template"), F.lit("").alias("label"), F.lit(False).alias("base"), F.lit(0).alias("need"), F.lit(0).alias("place"), _marker().alias("gram"))
+    grams = table.select("template", "label", "base", need.alias("need"), F.size("told").alias("tells"), "told", F.posexplode(F.slice(rolling_grams(F.col("words")), F.lit(1), need)).alias("place", "own"))
+    grams = grams.select("own.hash", "own.gram", "template", "label", "base", "need", "tells", "place", F.array_contains("told", F.col("own.gram")).alias("tell"))
+    marker = spark.range(1).select(_marker()["hash"].alias("hash"), _marker()["gram"].alias("gram"), F.lit(-1).alias("template"), F.lit("").alias("label"), F.lit(False).alias("base"), F.lit(0).alias("need"), F.lit(0).alias("tells"), F.lit(0).alias("place"), F.lit(False).alias("tell"))
     return grams.unionByName(marker)
 
 
 def _marker() -> Column:
-    return F.xxhash64(F.lit("\x00every text"))
+    return F.struct(F.xxhash64(F.lit("\x00every text")).alias("hash"), F.lit("\x00every text").alias("gram"))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: list[tuple[str, str]] = PHRASES, notices: list[tuple[str, str]] = NOTICES, cover: float = COVER) -> DataFrame:
@@ -100,28 +125,30 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Every rolling gram of a text is joined to the templates' grams; a match votes for
     the diagonal (place in the text less place in the template). A phrase stands where its
     diagonal has all its votes. A notice's diagonals within NEAR of each other make one copy, which
-    is verified: it must hold `cover` of the template's grams (SHORT_COVER of a short one's) at distinct places and span no
-    more than the template and its drift. The gram table is a constant of this
+    is verified: words are compared, not hashes alone, and `cover` of the template's grams must stand in it, a gram that
+    stands there often counting once, and span no more than the template and its drift; short templates must hold the grams that tell them from other labels'. The gram table is a constant of this
     module's size, so it's broadcast; texts are never shuffled, only votes.
 
     Null and empty texts have no words and no labels; null ids and repeated
     rows keep their rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.concat(F.array(_marker()), gram_hashes(words_of(F.col(text_col)))).alias("grams"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.concat(F.array(_marker()), rolling_grams(words_of(F.col(text_col)))).alias("grams"))
     rows = rows.withColumn("n_words", (F.size("grams") - 1).cast("long"))
-    grams = rows.select("doc_id", "row", "n_words", F.posexplode("grams").alias("at", "gram"))
-    hits = grams.join(F.broadcast(_templates(spark, phrases, notices)), "gram")
-    key = ["row", "doc_id", "n_words", "template", "label", "base", "need"]
-    votes = hits.groupBy(*key, (F.col("at") - 1 - F.col("place")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("place").alias("low"), F.max("place").alias("high"))
+    grams = rows.select("doc_id", "row", "n_words", F.posexplode("grams").alias("at", "own")).select("doc_id", "row", "n_words", "at", "own.hash", "own.gram")
+    hits = grams.join(F.broadcast(_templates(spark, phrases, notices)), ["hash", "gram"])
+    key = ["row", "doc_id", "n_words", "template", "label", "base", "need", "tells"]
+    told = F.when(F.col("tell"), F.col("place"))
+    votes = hits.groupBy(*key, (F.col("at") - 1 - F.col("place")).alias("diagonal")).agg(F.collect_set("place").alias("places"), F.collect_set(told).alias("told"))
 
     along = Window.partitionBy("row", "template").orderBy("diagonal")
     fresh = F.coalesce(F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(along) > NEAR), F.lit(True))
     votes = votes.withColumn("copy", F.sum(fresh.cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    copies = votes.groupBy(*key, "copy").agg(F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("diagonal").alias("start"), F.max("diagonal").alias("end"))
-    held = F.least(F.col("votes"), F.col("high") - F.col("low") + 1) / F.greatest(F.col("need"), F.lit(1))
-    exact = F.col("base") & (F.col("votes") == F.col("need"))
-    verified = ~F.col("base") & (F.col("template") >= 0) & (held >= F.when(F.col("need") < SHORT, F.lit(max(cover, SHORT_COVER))).otherwise(F.lit(cover))) & (F.col("end") - F.col("start") <= F.greatest(F.col("need"), F.lit(NEAR)))
+    distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    copies = votes.groupBy(*key, "copy").agg(distinct("places").alias("places"), distinct("told").alias("told"), F.min("diagonal").alias("start"), F.max("diagonal").alias("end"))
+    held = F.col("places") / F.greatest(F.col("need"), F.lit(1))
+    exact = F.col("base") & (F.col("places") == F.col("need"))
+    verified = ~F.col("base") & (F.col("template") >= 0) & (held >= cover) & (F.col("told") == F.col("tells")) & (F.col("end") - F.col("start") <= F.greatest(F.col("need"), F.lit(NEAR)))
     copies = copies.select("row", "doc_id", "n_words", "label", "start", exact.alias("exact"), F.when(exact, F.lit(1.0)).when(verified, held).alias("share"))
     listed = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
     where = lambda c: F.when(F.col("exact"), F.col(c))

@@ -279,6 +279,46 @@ def test_license_notices_with_edits(spark):
     assert row.labels == "bsd" and row.base_labels == "" and 0.5 <= row.score < 1
 
 
+def test_license_notices_equal_brute_force(spark):
+    from loamgraph.llm import licenses as li
+
+    notices = dict(enumerate(li.NOTICES))
+    told = li.telling([(i, t, label, False) for i, (t, label) in notices.items()])
+    r = random.Random(3)
+
+    def edit(text, n):
+        w = text.split()
+        for j in r.sample(range(len(w)), n):
+            w[j] = r.choice(["other", w[j] + " added", ""])
+        return " ".join(w)
+
+    texts = ["redistribution and use " * 7 + "x " + "conditions are met " * 6, "Under The \u212aMIT license", None, "", "wor\u212a " * 3]
+    for i, (text, _) in notices.items():
+        texts += [f"{prose(4, i)} {text}. {prose(4, 50 + i)}", edit(text, 1), edit(text, 1), edit(text, len(text.split()) // 3), text.upper() + " " + text, " ".join(text.split()[: len(text.split()) // 3])]
+    rows = {x.doc_id: x for x in li.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), phrases=[("no such phrase", "none")]).collect()}
+    for d, text in enumerate(texts):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        want = set()
+        for i, (notice, label) in notices.items():
+            v = notice.split()
+            grams = [v[j : j + 3] for j in range(len(v) - 2)]
+            hits = sorted((a - p, p) for p, g in enumerate(grams) for a in range(len(w)) if w[a : a + 3] == g)
+            copies = []
+            for at, p in hits:
+                if copies and at - copies[-1][-1][0] <= li.NEAR:
+                    copies[-1].append((at, p))
+                else:
+                    copies.append([(at, p)])
+            for c in copies:
+                places = {p for _, p in c}
+                if len(places) >= len(grams) / 2 and {" ".join(grams[p]) for p in places} >= told[i] and c[-1][0] - c[0][0] <= max(len(grams), li.NEAR):
+                    want.add(label)
+        assert rows[d].labels == ",".join(sorted(want)), text
+    assert rows[0].labels == "" and rows[5].labels == "mit"
+    found = sum(notices[i][1] in rows[5 + 6 * i + k].labels.split(",") for i in notices for k in (1, 2))
+    assert found >= len(notices)
+
+
 # 5. Language
 
 
