@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import models
 from ..functions.text import empty_if_null, sentences, strip, tokens
+from . import vector
 
 SIZE, OVERLAP = 1200, 100
 RERANK_SIZE = 4096
@@ -55,45 +56,41 @@ def for_rerank(docs: DataFrame, size: int = RERANK_SIZE, id_col: str = "doc_id",
     return rows.select("doc_id", "chunk_idx", F.substr("text", F.col("chunk_idx") * size + 1, F.lit(size)).alias("content"))
 
 
+def _joined(items: Column, goes_on: Callable[[Column, Column], Column]) -> Column:
+    """Texts of items (text, and what goes_on() asks), each put after the one before, with a space, where goes_on(text so far, item) says so."""
+
+    def put(out: Column, item: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)
+        longer = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.concat(last, F.lit(" "), item["text"])))
+        return F.when((F.size(out) > 0) & goes_on(last, item), longer).otherwise(F.concat(out, F.array(item["text"])))
+
+    return F.aggregate(items, F.array().cast("array<string>"), put)
+
+
 def semantic(docs: DataFrame, drift: float = 0.5, least: int = 100, most: int = 2000, embedder: models.Embedder | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sentences parted where neighbouring embeddings drift, then packed: pieces join while they fit `most`
-    characters, longer ones are cut, ones under `least` join the piece before."""
+    characters, longer ones are cut, ones under `least` join the piece before. Only the embedding runs in Python.
+    """
     model = embedder or models.hashing_embedder()
 
-    def chunks(parts: list[str]) -> list[str]:
-        if not parts:
-            return []
-        e = np.asarray(model(parts), np.float64)
-        norms = np.linalg.norm(e, axis=1)
-        near = (e[1:] * e[:-1]).sum(axis=1) / (norms[1:] * norms[:-1] + 1e-10)
-        pieces = [[parts[0]]]
-        for s, c in zip(parts[1:], near, strict=True):
-            if 1 - c > drift:
-                pieces.append([s])
-            else:
-                pieces[-1].append(s)
-        packed: list[str] = []
-        for piece in map(" ".join, pieces):
-            if packed and len(packed[-1]) + len(piece) <= most:
-                packed[-1] += " " + piece
-            else:
-                packed.append(piece)
-        out: list[str] = []
-        for piece in packed:
-            if len(piece) > most:
-                out += [x for j in range(0, len(piece), most) if (x := piece[j : j + most].strip())]
-            elif len(piece) < least and out:
-                out[-1] += " " + piece
-            else:
-                out.append(piece)
-        return out
-
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda parts: chunks(list(parts)))
-
-    split = F.pandas_udf(run, "array<string>")(sentences(F.col(text_col)))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(split).alias("chunk_order_index", "content"))
+            yield s.map(lambda parts: list(np.asarray(model(list(parts)), np.float64)) if len(parts) else [])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), sentences(F.col(text_col)).alias("parts"))
+    rows = rows.withColumn("e", F.pandas_udf(run, "array<array<double>>")("parts"))
+    near = lambda i: vector.cosine(F.get("e", i), F.get("e", i - 1), 1e-10)
+    pieces = _joined(F.transform("parts", lambda s, i: F.struct(s.alias("text"), F.coalesce(1 - near(i) <= drift, F.lit(False)).alias("near"))), lambda _, item: item["near"])
+    packed = _joined(F.transform(pieces, lambda p: F.struct(p.alias("text"))), lambda text, item: F.length(text) + F.length(item["text"]) <= most)
+
+    def cuts(p: Column) -> Column:
+        places = F.sequence(F.lit(0), F.floor((F.length(p) - 1) / most).cast("int"))
+        each = F.transform(places, lambda i: strip(F.substr(p, i * most + 1, F.lit(most))))
+        return F.transform(F.filter(each, lambda x: x != ""), lambda x: F.struct(x.alias("text"), F.lit(False).alias("short")))
+
+    kept = F.transform(packed, lambda p: F.when(F.length(p) > most, cuts(p)).otherwise(F.array(F.struct(p.alias("text"), (F.length(p) < least).alias("short")))))
+    chunks = _joined(F.flatten(kept), lambda _, item: item["short"])
+    rows = rows.select("doc_id", F.posexplode(chunks).alias("chunk_order_index", "content"))
     return rows.select("doc_id", "chunk_order_index", F.size(tokens(F.col("content"))).alias("tokens"), "content")
 
 

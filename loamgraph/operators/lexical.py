@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lexical_tokens
+from ..plans.durable import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 PLACES = 9
@@ -22,15 +23,29 @@ def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("id"), F.size(lexical_tokens(F.col(text_col))).cast("long").alias("len"))
 
 
-def idf(posted: DataFrame, sizes: DataFrame, epsilon: float = EPSILON) -> DataFrame:
-    """term, df, idf: ln(N - n + 0.5) - ln(n + 0.5); negative ones become epsilon times the mean over terms."""
-    n = sizes.agg(F.count("*").alias("docs"))
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(n)).select("term", "df", (F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+def weights(df: DataFrame, n: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+    """term, df, idf of terms (term, df) in n documents (one row): ln(n - df + 0.5) - ln(df + 0.5); negative ones become epsilon times the mean over terms."""
+    raw = df.join(F.broadcast(n.select("docs"))).select("term", "df", (F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+def idf(posted: DataFrame, sizes: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+    """weights() of stored postings and lengths."""
+    return weights(posted.groupBy("term").agg(F.count("*").alias("df")), sizes.agg(F.count("*").alias("docs")), epsilon)
+
+
+#: No token has a space.
+EVERY = " every document"
+
+
+def statistics(toks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(term, df), and docs and mean length in one row, of rows (id, toks): one pass that tokenises each text once and shuffles a row a term and task."""
+    each = toks.select(F.size("toks").alias("len"), F.explode(F.array_append(F.array_distinct("toks"), F.lit(EVERY))).alias("term"))
+    counts = stored(each.groupBy("term").agg(F.count("*").alias("df"), F.sum("len").alias("len")))
+    return counts.where(F.col("term") != EVERY).select("term", "df"), counts.where(F.col("term") == EVERY).select(F.col("df").alias("docs"), (F.col("len") / F.col("df")).alias("mean"))
+
+
 def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
     """query_id, term, qtf: a repeated word counts as often as it stands."""
     rows = queries.select(F.col(id_col).alias("query_id"), F.explode(lexical_tokens(F.col(text_col))).alias("term"))
@@ -41,28 +56,50 @@ def weight(tf: Column, length: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
-def scored(posted: DataFrame, sizes: DataFrame, terms: DataFrame) -> DataFrame:
-    """query_id, id, score of every document that has a query term.
-
-    Postings meet the query terms first, so only theirs are shuffled on; idf and lengths join what is left.
-    """
-    mean = sizes.agg(F.avg("len").alias("mean"))
-    hits = posted.join(terms, "term").join(idf(posted, sizes), "term").join(sizes, "id").join(F.broadcast(mean))
+def scored(hits: DataFrame, idfs: DataFrame, n: DataFrame, terms: DataFrame) -> DataFrame:
+    """query_id, id, score of every document that has a query term, from its postings with lengths (term, id, tf, len), weights() and n (docs, mean)."""
+    hits = hits.join(terms.join(idfs, "term"), "term").join(F.broadcast(n.select("mean")))
     part = F.col("qtf") * F.col("idf") * weight(F.col("tf"), F.col("len"), F.col("mean"))
     return hits.groupBy("query_id", "id").agg(F.round(F.sum(part), PLACES).alias("score"))
 
 
+def ranked(found: DataFrame, asked: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, id, score: each query's k best of all ids, by score, then id; what isn't in found scores 0.
+
+    A query with k positive scores needs no other document. For the rest the smallest ids that they haven't found do: k and
+    as many more as such a query has found at most.
+    """
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    place = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    top = stored(place(found.withColumn("all", F.count("*").over(Window.partitionBy("query_id")))))
+    few = top.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("n"), F.max("all").alias("all"))
+    few = stored(asked.select("query_id").distinct().join(few, "query_id", "left").where(F.coalesce("n", F.lit(0)) < k).select("query_id", F.coalesce("all", F.lit(0)).alias("all")))
+    most = few.agg(F.max("all")).first()[0]
+    if most is None:
+        return top.select("query_id", "rank", "id", "score")
+    first = ids.select("id").distinct().orderBy("id").limit(k + most).agg(F.collect_list("id").alias("ids"))
+    rest = few.select("query_id").join(F.broadcast(first)).select("query_id", F.explode("ids").alias("id"))
+    had = top if most <= k else found
+    rest = rest.join(had.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    return place(top.select("query_id", "id", "score").unionByName(rest.withColumn("score", F.lit(0.0)))).select("query_id", "rank", "id", "score")
+
+
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, positive: bool = False, id_col: str = "doc_id", text_col: str = "text", query_col: str = "query_id", query_text_col: str = "text") -> DataFrame:
-    """query_id, rank, id, score; documents without a query term score 0 and are returned only where fewer than k have one.
+    """query_id, rank, id, score of each query's k best documents; documents without a query term score 0.
 
-    `positive` leaves out scores of 0 and below.
+    `positive` leaves out scores of 0 and below. Texts are tokenised once for the statistics and once for
+    the hits; only the query terms' tokens are grouped.
     """
-    posted, sizes = postings(docs, id_col, text_col), lengths(docs, id_col, text_col)
-    found = scored(posted, sizes, query_terms(queries, query_col, query_text_col))
+    toks = docs.select(F.col(id_col).alias("id"), lexical_tokens(F.col(text_col)).alias("toks"))
+    df, n = statistics(toks)
+    terms = query_terms(queries, query_col, query_text_col)
+    each = toks.select("id", F.size("toks").alias("len"), F.explode("toks").alias("term"))
+    hits = each.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    found = scored(hits, weights(df, n), n, terms)
     if positive:
-        found = found.where("score > 0")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+        return found.where("score > 0").withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return ranked(found, queries.select(F.col(query_col).alias("query_id")), toks, k)
 
 
 def upsert(posted: DataFrame, sizes: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:

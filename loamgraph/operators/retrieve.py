@@ -25,8 +25,8 @@ class Corpus:
     """Tables of a corpus; embeddings are columns of each."""
 
     chunks: DataFrame  # id, content, embedding, acl
-    entities: DataFrame  # name, type, description, source_ids, embedding
-    relations: DataFrame  # src_id, tgt_id, description, valid_from, valid_to, embedding
+    entities: DataFrame  # name, type, description, source_ids, embedding, acl
+    relations: DataFrame  # src_id, tgt_id, description, valid_from, valid_to, embedding, acl
     communities: DataFrame | None = None  # community_id, title, summary, findings
 
 
@@ -44,6 +44,8 @@ class Options:
     user: str | None = None
     groups: list[str] = field(default_factory=list)
     reranker: models.Scorer | None = None
+    hyde: models.Model | None = None
+    embedder: models.Embedder | None = None
 
     def __post_init__(self):
         if self.mode not in MODES:
@@ -63,21 +65,30 @@ def _with_tokens(rows: DataFrame) -> DataFrame:
     return rows.withColumn("tokens", F.size(tokens(F.col("content"))).cast("long"))
 
 
+def _seen(rows: DataFrame, opt: Options) -> DataFrame:
+    """Rows that the user may see; a table without policies is open."""
+    return safety.visible(rows, opt.user, opt.groups) if "acl" in rows.columns else rows
+
+
 def _relation_rows(corpus: Corpus, opt: Options) -> DataFrame:
     rows = corpus.relations if opt.snapshot_at is None else corpus.relations.where(valid_at(opt.snapshot_at))
-    return rows.withColumn("id", F.concat_ws("\x1f", "src_id", "tgt_id")).withColumn("content", relation_text(F.col("src_id"), F.col("tgt_id"), F.col("description")))
+    return _seen(rows, opt).withColumn("id", F.concat_ws("\x1f", "src_id", "tgt_id")).withColumn("content", relation_text(F.col("src_id"), F.col("tgt_id"), F.col("description")))
 
 
-def _entity_rows(corpus: Corpus) -> DataFrame:
-    return corpus.entities.withColumn("id", F.col("name")).withColumn("content", entity_text(F.col("name"), F.col("description"), F.col("type")))
+def _entity_rows(corpus: Corpus, opt: Options) -> DataFrame:
+    return _seen(corpus.entities, opt).withColumn("id", F.col("name")).withColumn("content", entity_text(F.col("name"), F.col("description"), F.col("type")))
 
 
 def _chunk_rows(corpus: Corpus, opt: Options) -> DataFrame:
-    return safety.visible(corpus.chunks, opt.user, opt.groups)
+    return _seen(corpus.chunks, opt)
 
 
 def naive(corpus: Corpus, queries: DataFrame, opt: Options) -> DataFrame:
+    """The best chunks. With a model for made-up answers, short questions are searched by one; lexical search keeps the question."""
     rows = _chunk_rows(corpus, opt)
+    if opt.hyde:
+        asked = hyde(queries, opt.hyde)
+        queries = asked.withColumn("embedding", F.when(F.col("vector_text") == F.col("text"), F.col("embedding")).otherwise(models.embed(F.col("vector_text"), opt.embedder)))
     hits = _search(rows, queries, opt.chunk_top_k, opt)
     return _with_tokens(hits.join(rows.select("id", "content"), "id").select("query_id", F.lit("chunk").alias("kind"), "rank", "id", "content"))
 
@@ -108,6 +119,13 @@ def source_chunks(hits: DataFrame, corpus: Corpus, opt: Options) -> DataFrame:
     return seen.select("query_id", rank.alias("rank"), "id", "content").where(F.col("rank") <= opt.chunk_top_k)
 
 
+def near_chunks(asked: DataFrame, corpus: Corpus, opt: Options) -> DataFrame:
+    """The nearest chunks of each question, chunk_top_k a query."""
+    rows = _chunk_rows(corpus, opt)
+    hits = vector.top_k(rows, asked, opt.chunk_top_k, "cosine", vector.THRESHOLD, "id", "embedding")
+    return hits.join(rows.select("id", "content"), "id").select("query_id", "rank", "id", "content")
+
+
 def _context(parts: list[tuple[str, DataFrame]]) -> DataFrame:
     out = None
     for kind, rows in parts:
@@ -117,16 +135,20 @@ def _context(parts: list[tuple[str, DataFrame]]) -> DataFrame:
 
 
 def local(corpus: Corpus, queries: DataFrame, opt: Options) -> DataFrame:
-    entities, relations = _entity_rows(corpus), _relation_rows(corpus, opt)
+    """Entities, their relations, and the nearest chunks where any of the entities names a source."""
+    entities, relations = _entity_rows(corpus, opt), _relation_rows(corpus, opt)
     hits = _search(entities, queries, opt.top_k, opt, "keywords" if "keywords" in queries.columns else "text")
-    return _context([("entity", hits.join(entities.select("id", "content"), "id")), ("relation", incident(hits, relations)), ("chunk", source_chunks(hits, corpus, opt))])
+    sourced = hits.join(entities.where(F.size("source_ids") > 0).select("id"), "id", "left_semi").select("query_id").distinct()
+    chunks = near_chunks(queries.join(sourced, "query_id", "left_semi"), corpus, opt)
+    return _context([("entity", hits.join(entities.select("id", "content"), "id")), ("relation", incident(hits, relations)), ("chunk", chunks)])
 
 
 def global_(corpus: Corpus, queries: DataFrame, opt: Options) -> DataFrame:
-    entities, relations = _entity_rows(corpus), _relation_rows(corpus, opt)
+    """Relations, their endpoints, and the nearest chunks."""
+    entities, relations = _entity_rows(corpus, opt), _relation_rows(corpus, opt)
     hits = _search(relations, queries, opt.top_k, opt, "keywords" if "keywords" in queries.columns else "text")
     ends = endpoints(hits, relations)
-    return _context([("relation", hits.join(relations.select("id", "content"), "id")), ("entity", ends.join(entities.select("id", "content"), "id")), ("chunk", source_chunks(ends, corpus, opt))])
+    return _context([("relation", hits.join(relations.select("id", "content"), "id")), ("entity", ends.join(entities.select("id", "content"), "id")), ("chunk", near_chunks(queries, corpus, opt))])
 
 
 def community(corpus: Corpus, queries: DataFrame, opt: Options) -> DataFrame:
@@ -181,6 +203,21 @@ def decompose(queries: DataFrame, model: models.Model) -> DataFrame:
     return queries.withColumn("each", F.when(F.size(each) > 0, each).otherwise(F.array("text"))).select("*", F.posexplode("each").alias("part", "sub_text")).drop("each")
 
 
+def retrieve_parts(corpus: Corpus, queries: DataFrame, opt: Options, model: models.Model) -> DataFrame:
+    """The contexts of each question's sub-questions together: an item counts at its first place, and references are numbered anew."""
+    parts = decompose(queries, model)
+    own = F.concat_ws("\x1f", F.col("query_id").cast("string"), F.col("part").cast("string"))
+    changed = F.when(F.col("sub_text") == F.col("text"), F.col("embedding")).otherwise(models.embed(F.col("sub_text"), opt.embedder))
+    asked = parts.select(F.col("query_id").alias("whole"), "part", own.alias("query_id"), F.col("sub_text").alias("text"), changed.alias("embedding"))
+    rows = retrieve(corpus, asked.select("query_id", "text", "embedding"), opt)
+    rows = rows.join(asked.select("query_id", "whole", "part"), "query_id").drop("query_id", "ref_id").withColumnRenamed("whole", "query_id")
+    seen = Window.partitionBy("query_id", "kind", "id").orderBy("part", "rank")
+    rows = rows.withColumn("seen", F.row_number().over(seen)).where("seen = 1")
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "kind").orderBy("part", "rank"))).drop("seen", "part")
+    kept = fusion.fit_context(rows, opt.entity_tokens, opt.relation_tokens, opt.total_tokens)
+    return fusion.references(kept).select("query_id", "ref_id", "kind", "rank", "id", "content", "tokens")
+
+
 def hyde(queries: DataFrame, model: models.Model | None = None, below: int = HYDE_BELOW) -> DataFrame:
     """vector_text: a made-up answer for questions of fewer than `below` tokens, else the question. Lexical search keeps `text`."""
     return queries.withColumn("vector_text", F.when(F.size(tokens(F.col("text"))) < below, models.complete(F.col("text"), model)).otherwise(F.col("text")))

@@ -215,7 +215,8 @@ BM25 = f"""toks AS (SELECT doc_id AS id, {LEX("text")} AS t FROM documents),
  terms AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({LEX("text")}) AS term FROM benchmark) GROUP BY 1, 2),
  found AS (SELECT query_id, id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / m))), 9) AS score
  FROM postings JOIN terms USING (term) JOIN idf USING (term) JOIN sizes USING (id), (SELECT avg(len) AS m FROM sizes) GROUP BY 1, 2),
- bm25 AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM found)"""
+ whole AS (SELECT item_id AS query_id, sizes.id, coalesce(score, 0) AS score FROM benchmark CROSS JOIN sizes LEFT JOIN found ON found.query_id = item_id AND found.id = sizes.id),
+ bm25 AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM whole)"""
 
 
 def _questions(spark, sf_dir):
@@ -714,9 +715,10 @@ def community_membership(spark, sf_dir):
 
 
 @query(
-    f"""WITH w AS (SELECT doc_id AS community_id, unnest({WORDS("source || ' ' || text")}) AS word FROM documents),
- k AS (SELECT item_id AS query_id, unnest({WORDS("text")}) AS word FROM benchmark),
- h AS (SELECT query_id, community_id, count(*) AS score FROM w JOIN k USING (word) GROUP BY 1, 2),
+    f"""WITH w AS (SELECT doc_id AS community_id, lower(source || ' ' || text) AS body FROM documents),
+ k AS (SELECT item_id AS query_id, unnest({WORDS("text")}) AS word FROM benchmark), u AS (SELECT DISTINCT word FROM k),
+ f AS (SELECT community_id, word FROM w, u WHERE contains(body, word)),
+ h AS (SELECT query_id, community_id, count(*) AS score FROM f JOIN k USING (word) GROUP BY 1, 2),
  r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, community_id) AS INTEGER) AS rank, community_id, score FROM h)
  SELECT * FROM r WHERE rank <= 20"""
 )
