@@ -77,6 +77,18 @@ def unique_lines(c: Column, separator: str = "\n") -> Column:
     return F.array_join(F.array_distinct(F.filter(pieces, lambda x: x != "")), separator)
 
 
+def merge_descriptions(parts: Column, strategy: str = "join_unique") -> Column:
+    """An array of descriptions as one: concatenate (a line each), keep_first, join_unique (each line once)."""
+    if strategy == "keep_first":
+        return F.get(parts, F.lit(0))
+    joined = F.array_join(parts, "\n")
+    if strategy in ("concatenate", "confidence_weighted"):
+        return joined
+    if strategy != "join_unique":
+        raise ValueError(f"unknown strategy {strategy}")
+    return unique_lines(joined)
+
+
 def same_place_similarity(a: Column, b: Column) -> Column:
     """Characters equal at the same place, as a share of the longer text; two empty texts are equal."""
     longest = F.greatest(F.length(a), F.length(b))

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType
 
@@ -51,6 +51,11 @@ def overlap(left: list[str], right: list[str]) -> list[float]:
     return out
 
 
+def at_most(rows: DataFrame, calls: int) -> DataFrame:
+    """rows in `calls` partitions at most: a model column over them runs in so many tasks side by side."""
+    return rows.coalesce(calls)
+
+
 def embed(text: Column, model: Embedder | None = None) -> Column:
     model = model or hashing_embedder()
 

@@ -6,10 +6,12 @@ bounds. Relations are undirected: (a, b) and (b, a) are one edge, stored as firs
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import models
 from ..functions.text import strip
+from .safety import joint
 
 JOINER = " | "
 
@@ -90,6 +92,39 @@ def upsert_relations(stored: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def summarized(rows: DataFrame, model: models.Model | None = None, prompt: str = "{descriptions}") -> DataFrame:
+    """rows whose description has several distinct parts get a model's one; without a model the parts stay joined. Only those rows reach the model."""
+    parts = F.array_distinct(F.split(F.coalesce("description", F.lit("")), r"\Q | \E"))
+    if model is None:
+        return rows.withColumn("description", F.when(F.col("description").isNotNull(), F.array_join(parts, JOINER)))
+    asked = F.replace(F.replace(F.lit(prompt), F.lit("{name}"), F.col("name") if "name" in rows.columns else F.concat_ws(JOINER, "src_id", "tgt_id")), F.lit("{descriptions}"), F.array_join(parts, "\n"))
+    many = rows.where(F.size(parts) > 1).withColumn("description", models.complete(asked, model))
+    return rows.where(F.coalesce(F.size(parts) <= 1, F.lit(True))).unionByName(many)
+
+
+def with_access(rows: DataFrame, keys: list[str], chunks: DataFrame) -> DataFrame:
+    """rows with acl: open to those who may see every chunk (id, acl) that the row's source_ids name. Rows without a source are open."""
+    each = rows.select(*keys, F.explode("source_ids").alias("id")).join(chunks.select("id", "acl"), "id")
+    return rows.join(each.groupBy(*keys).agg(joint(F.col("acl")).alias("acl")), keys, "left")
+
+
+def entity_info(entities: DataFrame, relations: DataFrame, names: DataFrame) -> DataFrame:
+    """The named entities with their degree."""
+    own = entities.join(names.select("name").distinct(), "name", "left_semi")
+    return own.join(degrees(relations), "name", "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
+
+
+def relation_info(relations: DataFrame, edges: DataFrame) -> DataFrame:
+    """The relations between the given ends, whichever way round."""
+    return relations.select("*", *edge_key()).join(edges.select(*edge_key()).distinct(), ["lo", "hi"], "left_semi").drop("lo", "hi")
+
+
+def edits_of(log: DataFrame, keys: DataFrame) -> DataFrame:
+    """The history (key, action, user_id, ts, before, after) of the given keys, numbered from the oldest edit on."""
+    own = log.join(keys.select("key").distinct(), "key", "left_semi")
+    return own.withColumn("edit", F.row_number().over(Window.partitionBy("key").orderBy("ts", "action", "after")))
+
+
 def with_endpoints(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """Entities plus a bare row for each endpoint without one."""
     ends = relations.select(F.explode(F.array("src_id", "tgt_id")).alias("name")).distinct()

@@ -81,6 +81,24 @@ def visible(rows: DataFrame, user: str | None, groups: list[str] = (), acl_col:
     return rows.where(can_access(F.col(acl_col), F.lit(user), F.array(*map(F.lit, groups)).cast("array<string>")))
 
 
+def either(acl: Column) -> Column:
+    """An aggregate: the policy of content that several policies cover, open to whom any of them lets in; null, as a policy that isn't there."""
+    who = lambda part: F.array_sort(F.array_distinct(F.flatten(F.collect_list(acl[part]))))
+    closed = F.struct(F.lit(None).cast("string").alias("owner"), who("visible_to_groups").alias("visible_to_groups"), F.array_sort(F.array_union(who("visible_to_users"), F.collect_set(acl["owner"]))).alias("visible_to_users"), F.lit(False).alias("public"))
+    return F.when(~F.bool_or(acl.isNull() | F.coalesce(acl["public"], F.lit(False))), closed)
+
+
+def joint(acl: Column) -> Column:
+    """An aggregate: the policy of content made of parts, open to whom every part's policy names; null where all parts are open."""
+    shut = F.filter(F.collect_set(acl), lambda a: ~F.coalesce(a["public"], F.lit(False)))
+    none = F.array().cast("array<string>")
+    users = lambda a: F.array_union(F.coalesce(a["visible_to_users"], none), F.array_compact(F.array(a["owner"])))
+    groups = lambda a: F.coalesce(a["visible_to_groups"], none)
+    common = lambda part: F.aggregate(shut, part(F.get(shut, F.lit(0))), lambda so_far, a: F.array_intersect(so_far, part(a)))
+    closed = F.struct(F.lit(None).cast("string").alias("owner"), F.array_sort(common(groups)).alias("visible_to_groups"), F.array_sort(common(users)).alias("visible_to_users"), F.lit(False).alias("public"))
+    return F.when(F.size(shut) > 0, closed)
+
+
 def acl_errors(acl: Column) -> Column:
     """What is wrong with a policy that isn't public."""
     closed = ~F.coalesce(acl["public"], F.lit(False))
@@ -146,6 +164,13 @@ def apply_policy(text: Column, action: str, patterns: dict[str, str] = PERSONAL,
     return strip(out) if action == "redact" else out
 
 
+def enforce(text: Column, action: str, patterns: dict[str, str] = PERSONAL, mask_char: str = "*", mask_length: int = 4) -> Column:
+    """As apply_policy(), with a mask of mask_length times mask_char; reject ends the query with an error where anything matches."""
+    if action == "reject":
+        return F.when(_any(text, patterns), F.raise_error(F.lit("personal data in a text"))).otherwise(text)
+    return apply_policy(text, action, patterns, mask_char * mask_length)
+
+
 def _any(text: Column, patterns: dict[str, str]) -> Column:
     found = F.lit(False)
     for p in patterns.values():

@@ -91,6 +91,28 @@ def aged_out(cache: DataFrame, cutoff: Column, ts: str = "ts") -> DataFrame:
     return cache.where(F.col(ts) >= cutoff)
 
 
+def invalidated(cache: DataFrame, dirty: DataFrame) -> DataFrame:
+    """The cache (key, entities, ...) without the rows that any dirty entity (name) is part of."""
+    hit = cache.select("key", F.explode("entities").alias("name")).join(dirty.select("name").distinct(), "name", "left_semi").select("key").distinct()
+    return cache.join(hit, "key", "left_anti")
+
+
+def recently_used(cache: DataFrame, n: int, ts: str = "ts") -> DataFrame:
+    """The n rows that were used last; equal times go by key."""
+    return cache.orderBy(F.desc(ts), "key").limit(n)
+
+
+SCOPES = ("query", "extract", "summary", "vectors", "lexical")
+
+
+def cleared(caches: dict[str, DataFrame], scope: str = "all") -> dict[str, DataFrame]:
+    """The caches by name, empty where the scope asks for it: `llm` is query, extract and summary; `all` is every one."""
+    if scope not in (*SCOPES, "llm", "all"):
+        raise ValueError(f"unknown scope {scope}")
+    gone = set(caches) if scope == "all" else {"query", "extract", "summary"} if scope == "llm" else {scope}
+    return {name: clear(table) if name in gone else table for name, table in caches.items()}
+
+
 def first_seen(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """The first row of each key."""
     n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
@@ -98,9 +120,8 @@ def first_seen(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
 
 def export_graph(entities: DataFrame, relations: DataFrame, path: str, fmt: str = "json") -> None:
-    """Nodes and edges, an edge once a direction, under path_nodes and path_edges; arrays are `|`-joined in CSV."""
-    if fmt not in ("json", "csv", "parquet"):
-        raise ValueError(f"unknown format {fmt}")
+    """Nodes and edges, an edge once a direction, under path_nodes and path_edges; arrays are `|`-joined in CSV. An unknown format is JSON."""
+    fmt = fmt if fmt in ("json", "csv", "parquet") else "json"
     for name, rows in (("nodes", entities), ("edges", relations.dropDuplicates(["src_id", "tgt_id"]))):
         if fmt == "csv":
             rows = rows.select(*(F.array_join(c, "|").alias(c) if t.startswith("array<string") else F.col(c) for c, t in rows.dtypes))

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.text import same_place_similarity
+
 #: Queries scored together in one pass; more are taken in blocks.
 QUERY_BLOCK = 4096
 #: Vectors of a block of the self-join.
@@ -181,6 +183,30 @@ def cosine(a: Column, b: Column, epsilon: float = 0.0) -> Column:
     return F.when(norm == 0, F.lit(0.0)).otherwise(dot(a, b) / norm)
 
 
+#: Characters of a block by which near texts of the cache are found: texts that differ in one of twenty places agree in a block.
+CACHE_BLOCK = 8
+
+
+def near_cached(texts: DataFrame, cache: DataFrame, least: float = 0.95, text_col: str = "text") -> DataFrame:
+    """text, seq of the cache's row, or null: the equal text's, else that of the first (by seq) whose characters agree with the text's
+    in a share of `least` (0.95 or more) of the places of the longer one.
+
+    texts: text_col; cache: text_col, seq. Two such texts agree in a whole block at the same place, as they differ in fewer places than the shorter one has blocks, so an equi-join on
+    blocks finds every pair.
+    """
+    if least < 0.95:
+        raise ValueError("blocks find pairs that agree in 0.95 of their places or more")
+    asked = texts.select(F.col(text_col).alias("text")).where("text is not null").distinct()
+    held = cache.select(F.col(text_col).alias("held"), "seq").groupBy("held").agg(F.min("seq").alias("seq"))
+    exact = asked.join(held, F.col("text") == F.col("held")).select("text", "seq")
+    missed = asked.join(exact.select("text"), "text", "left_anti")
+    blocks = lambda c: F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.length(c) / CACHE_BLOCK).cast("int") - 1), lambda i: F.struct(i.alias("i"), F.substr(c, i * CACHE_BLOCK + 1, F.lit(CACHE_BLOCK)).alias("part"))))
+    long = lambda rows, c: rows.where(F.length(c) >= CACHE_BLOCK)
+    pairs = long(missed, "text").select("text", blocks(F.col("text")).alias("b")).join(long(held, "held").select("held", "seq", blocks(F.col("held")).alias("b")), "b").select("text", "held", "seq").distinct()
+    near = pairs.where(same_place_similarity(F.col("text"), F.col("held")) >= least).groupBy("text").agg(F.min("seq").alias("seq"))
+    return asked.join(exact.unionByName(near), "text", "left")
+
+
 def cached_embeddings(texts: DataFrame, cache: DataFrame, text_col: str = "text") -> DataFrame:
     """Texts with the cache's embedding, null on a miss: embed only the misses."""
     return texts.join(cache.select(text_col, "embedding").dropDuplicates([text_col]), text_col, "left")

@@ -11,7 +11,7 @@ from .. import models
 from ..functions.text import entity_text, hash_id, relation_text
 from ..operators import chunking, community, extract, graph, safety, vector
 from ..operators.retrieve import Corpus, Options, retrieve
-from ..prompts import PROMPTS
+from ..prompts import PROMPTS, fill
 from .durable import connected_components, cut
 
 SAME = 0.88
@@ -31,20 +31,30 @@ class Built:
         return Corpus(self.chunks, self.entities, self.relations, self.reports)
 
 
-def resolve(names: DataFrame, embedder: models.Embedder | None = None, least: float = SAME, ratio: float = SAME_NAME) -> DataFrame:
-    """alias, canonical of names whose embeddings are near and whose spelling is too; the smallest name of a component is canonical."""
+def resolve(names: DataFrame, embedder: models.Embedder | None = None, least: float = SAME, ratio: float = SAME_NAME, model: models.Model | None = None) -> DataFrame:
+    """alias, canonical of names whose embeddings are near and whose spelling is too; the smallest name of a component is canonical.
+
+    With a model, near names of another spelling are one if the first line of its answer says SAME.
+    """
     vectors = cut(names.select("name").distinct().withColumn("embedding", models.embed(F.col("name"), embedder)).withColumn("id", F.xxhash64("name")))
     pairs = vector.neighbor_pairs(vectors, 5, least, "id", "embedding")
     by = lambda c: vectors.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name"))
-    close = pairs.join(by("a"), "a").join(by("b"), "b").where(vector.indel_ratio(F.col("a_name"), F.col("b_name")) > ratio)
+    spelt = cut(pairs.join(by("a"), "a").join(by("b"), "b").withColumn("ratio", vector.indel_ratio(F.col("a_name"), F.col("b_name"))))
+    close = spelt.where(F.col("ratio") > ratio).select("a", "b")
+    if model is not None:
+        asked = spelt.where(F.col("ratio") <= ratio).withColumn("answer", models.complete(fill("same_entity", a=F.col("a_name"), b=F.col("b_name")), model))
+        close = close.unionByName(asked.where(F.upper(F.trim(F.split("answer", "\n")[0])).startswith("SAME")).select("a", "b"))
     roots = connected_components(close.select("a", "b")).join(vectors.select(F.col("id").alias("node"), "name"), "node")
     first = roots.groupBy("root").agg(F.min("name").alias("canonical"))
     return roots.join(first, "root").where("name <> canonical").select(F.col("name").alias("alias"), "canonical")
 
 
-def build(docs: DataFrame, model: models.Model, embedder: models.Embedder | None = None, size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, pii: str = "flag", gleanings: int = 0, with_reports: bool = True) -> Built:
+def build(docs: DataFrame, model: models.Model, embedder: models.Embedder | None = None, size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, pii: str = "flag", gleanings: int = 0, with_reports: bool = True, adjudicator: models.Model | None = None, summarizer: models.Model | None = None) -> Built:
     """docs: doc_id, text, acl. The model answers the extraction prompt of each chunk and, with_reports, the report prompt of each community.
 
+    With a summarizer, descriptions of several parts become one; with an adjudicator, it tells whether near names are the same. A chunk may be
+    seen by whom any of its documents lets in, an entity or a relation by whom all its chunks do.
+
     Equal chunks of several documents are one chunk; doc_chunks says whose they are, so that
     deletion counts references.
     """
@@ -52,15 +62,23 @@ def build(docs: DataFrame, model: models.Model, embedder: models.Embedder | None
     rows = safety.drop_injected(rows).withColumn("id", hash_id(F.col("content")))
     doc_chunks = rows.select("doc_id", F.col("id").alias("chunk_id"), "chunk_order_index")
     acl = docs.select("doc_id", "acl") if "acl" in docs.columns else docs.select("doc_id", F.lit(None).cast("struct<owner:string,visible_to_groups:array<string>,visible_to_users:array<string>,public:boolean>").alias("acl"))
-    chunks = rows.join(acl, "doc_id").groupBy("id").agg(F.min("content").alias("content"), F.min_by("acl", "doc_id").alias("acl"))
+    chunks = rows.join(acl, "doc_id").groupBy("id").agg(F.min("content").alias("content"), safety.either(F.col("acl")).alias("acl"))
     chunks = cut(chunks.withColumn("embedding", models.embed(F.col("content"), embedder)))
     answers = cut(extract.extract(chunks, PROMPTS["extract"].split("{text}")[0], model, gleanings, PROMPTS["extract_more"], "id"))
     order = lambda r: r.withColumn("seq", F.struct("chunk_id", "seq"))
     mentions = cut(order(extract.entities(answers)))
-    aliases = cut(resolve(mentions, embedder))
+    aliases = cut(resolve(mentions, embedder, model=adjudicator))
     relations = graph.merge_relations(graph.redirect(order(extract.relations(answers)), aliases))
+    relations = graph.with_access(graph.summarized(relations, summarizer, PROMPTS["summarize"]), ["src_id", "tgt_id"], chunks)
     relations = cut(relations.withColumn("embedding", models.embed(relation_text(F.col("src_id"), F.col("tgt_id"), F.col("description")), embedder)))
-    entities = graph.with_endpoints(graph.merge_mentions(graph.fold_aliases(mentions, aliases)), relations)
+    entities = graph.merge_mentions(graph.fold_aliases(mentions, aliases))
+    if summarizer is not None:
+        entities = graph.summarized(entities, summarizer, PROMPTS["summarize"])
+    entities = graph.with_access(entities, ["name"], chunks)
+    # A bare endpoint is as open as the relations that name it.
+    ends = relations.select(F.explode(F.array("src_id", "tgt_id")).alias("name"), "acl").groupBy("name").agg(safety.either(F.col("acl")).alias("end_acl"))
+    bare = F.col("source_ids").isNull()
+    entities = graph.with_endpoints(entities, relations).join(ends, "name", "left").withColumn("acl", F.when(bare, F.col("end_acl")).otherwise(F.col("acl"))).drop("end_acl")
     entities = entities.withColumn("description", F.coalesce("description", F.lit("")))
     entities = cut(entities.withColumn("embedding", models.embed(entity_text(F.col("name"), F.col("description")), embedder)))
     groups = cut(community.detect(entities, relations)) if with_reports else None

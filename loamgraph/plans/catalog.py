@@ -262,15 +262,11 @@ def _vectors(spark, sf_dir):
 
 
 def _asked(spark, sf_dir):
-    return _vectors(spark, sf_dir).where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")
-
-
-def _searched(spark, sf_dir):
-    """The query set of a search that no SQL is compared with: every row whose id is divisible by 20."""
+    """The query set of a search: every row whose id is divisible by 20."""
     return _vectors(spark, sf_dir).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-VEC = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), q AS (SELECT id AS query_id, e AS qe FROM v WHERE id < 5)"
+VEC = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), q AS (SELECT id AS query_id, e AS qe FROM v WHERE id % 20 = 0)"
 RANKED = "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM s"
 
 
@@ -300,7 +296,7 @@ def vector_threshold_acl(spark, sf_dir):
 @query()
 def vector_topk_cells(spark, sf_dir):
     rows = vector.Cells(_vectors(spark, sf_dir), 20)
-    return rows.top_k(_vectors(spark, sf_dir), _searched(spark, sf_dir), 10, 6)
+    return rows.top_k(_vectors(spark, sf_dir), _asked(spark, sf_dir), 10, 6)
 
 
 PAIRS = f"WITH {VEC} SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 4) AS similarity FROM v a JOIN v b ON a.id < b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.5"
@@ -352,14 +348,14 @@ def neighbor_drift(spark, sf_dir):
 # Fusion and budgets.
 
 FUSED = f"""{VEC}, {BM25}, s AS (SELECT query_id, id, round(list_cosine_similarity(e, qe), 9) AS score FROM v, q), vr AS ({RANKED}),
- lists AS (SELECT query_id, id, rank, 0 AS list FROM vr WHERE rank <= 10 UNION ALL SELECT query_id, id, rank, 1 FROM bm25 WHERE rank <= 10 AND query_id < 5),
+ lists AS (SELECT query_id, id, rank, 0 AS list FROM vr WHERE rank <= 10 UNION ALL SELECT query_id, id, rank, 1 FROM bm25 WHERE rank <= 10),
  sums AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS rrf_score, min(list * 1000 + rank) AS first FROM lists GROUP BY 1, 2),
  fused AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, first) AS INTEGER) AS rank, id, rrf_score FROM sums)"""
 
 
 def _fused(spark, sf_dir):
     near = vector.top_k(_vectors(spark, sf_dir), _asked(spark, sf_dir), 10)
-    best = lexical.top_k(t.table(spark, sf_dir, "documents"), _questions(spark, sf_dir).where("query_id < 5"), 10)
+    best = lexical.top_k(t.table(spark, sf_dir, "documents"), _questions(spark, sf_dir), 10)
     return fusion.fuse([near, best])
 
 
@@ -911,9 +907,10 @@ def _corpus(spark, sf_dir):
     from ..operators.retrieve import Corpus
 
     v = _vectors(spark, sf_dir)
-    chunks = t.documents(spark, sf_dir).join(v, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"), "embedding", "acl")
+    docs = t.documents(spark, sf_dir).join(v.drop("label"), F.col("doc_id") == F.col("vec_id"), "left")
+    chunks = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"), "embedding", "acl")
     name = lambda c: F.concat(F.lit("E"), c.cast("string"))
-    ents = t.table(spark, sf_dir, "documents").join(v, F.col("doc_id") == F.col("vec_id")).select(name(F.col("vec_id")).alias("name"), F.col("lang").alias("type"), F.col("text").alias("description"), F.array(F.col("doc_id").cast("string")).alias("source_ids"), "embedding")
+    ents = docs.select(name(F.col("doc_id")).alias("name"), F.col("lang").alias("type"), F.col("text").alias("description"), F.array(F.col("doc_id").cast("string")).alias("source_ids"), "embedding", "acl")
     n = F.broadcast(v.agg((F.max("vec_id") + 1).alias("n")))
     rel = v.crossJoin(n).select(name(F.col("vec_id")).alias("src_id"), name((F.col("vec_id") * 7 + 1) % F.col("n")).alias("tgt_id"), F.col("label").cast("string").alias("description"), t.ntz("2024-01-01").alias("valid_from"), F.when(F.col("label") > 5, t.ntz("2024-06-01")).alias("valid_to"), "embedding")
     # A report for each source and block of REPORT_IDS ids holds all their texts, so that no report grows with the table.

@@ -118,11 +118,11 @@ def parse_xlsx(data: bytes) -> list[Row]:
 
 
 def parse_pdf(data: bytes) -> list[Row]:
-    """A chunk a page with text. Needs pypdf; without it a file has no chunks."""
+    """A chunk a page with text. Needs pypdf; without it a file is one row of modality `error`."""
     try:
         from pypdf import PdfReader
-    except ImportError:
-        return []
+    except ImportError as e:
+        return [(0, f"{type(e).__name__}: {e}", None, None, "error")]
     pages = [(p.extract_text() or "").strip() for p in PdfReader(io.BytesIO(data)).pages]
     return [(i, t, None, i + 1, "text") for i, t in enumerate(pages) if t]
 

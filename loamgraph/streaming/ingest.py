@@ -43,6 +43,23 @@ def next_status(status: DataFrame, results: DataFrame, now) -> DataFrame:
     return upsert(status, rows, ["doc_id"])
 
 
+def enqueue(status: DataFrame, docs: DataFrame, now) -> DataFrame:
+    """doc_status with a pending row for each new document (doc_id); those that it has already stay as they are."""
+    new = docs.select("doc_id").distinct().join(status.select("doc_id"), "doc_id", "left_anti")
+    return status.unionByName(new.select("doc_id", F.lit("pending").alias("status"), F.lit(None).cast("string").alias("error_message"), F.lit(0).cast("long").alias("chunks_count"), now.alias("created_at"), now.alias("updated_at"), F.lit(0).alias("version")))
+
+
+def pending(status: DataFrame, docs: DataFrame) -> DataFrame:
+    """The documents that wait: pending ones and ones that failed."""
+    return docs.join(status.where(F.col("status").isin("pending", "failed")).select("doc_id"), "doc_id", "left_semi")
+
+
+def reingest(status: DataFrame, docs: DataFrame, now) -> DataFrame:
+    """doc_status with the given documents pending again. next_status() raises the version when they are done."""
+    again = status.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumns({"status": F.lit("pending"), "error_message": F.lit(None).cast("string"), "updated_at": now})
+    return upsert(status, again.select(*status.columns), ["doc_id"])
+
+
 def take_jobs(jobs: DataFrame, n: int, now) -> DataFrame:
     """The n waiting jobs that are due, lowest priority number first, then oldest."""
     return jobs.where((F.col("status") == "waiting") & (F.col("due_at") <= now)).orderBy("priority", "queued_at", "task_id").limit(n)

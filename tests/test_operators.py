@@ -272,16 +272,19 @@ def test_questions(spark):
 # Communities
 
 
-def test_communities(spark):
+def test_communities(spark, monkeypatch):
     r = random.Random(1)
     edges = [(f"{g}{a}", f"{g}{b}") for g in "xyz" for a in range(8) for b in range(a) if r.random() < 0.8] + [("x0", "y0"), ("y1", "z1")]
     rel = spark.createDataFrame(edges, "src_id string, tgt_id string")
     ents = spark.createDataFrame([(n,) for n in sorted({n for e in edges for n in e} | {"alone"})], "name string")
-    for most in (1000, 0):  # by a task, and by tables
-        got = {x.name: x.community_id for x in community.detect(ents, rel, most).collect()}
+    for most in (100_000, 60):  # one block, and several that move side by side
+        monkeypatch.setattr(community, "BLOCK_ENDS", most)
+        found = community.detect(ents, rel)
+        got = {x.name: x.community_id for x in found.collect()}
+        assert community.modularity(found, rel) > 0.5
         assert set(got) == {x.name for x in ents.collect()} and got["alone"] == "alone"
         assert all(got[got[n]] == got[n] for n in got)
-        if most:
+        if most > 1000:
             assert {frozenset(n for n in got if got[n] == c) for c in set(got.values())} == {frozenset(f"{g}{i}" for i in range(8)) for g in "xyz"} | {frozenset(["alone"])}
 
 
@@ -310,8 +313,8 @@ def test_stores(spark, tmp_path):
     store.export_graph(ents, rel, str(tmp_path / "g"), "csv")
     assert spark.read.csv(str(tmp_path / "g_nodes"), header=True).first().source_ids == "1|2"
     assert spark.read.csv(str(tmp_path / "g_edges"), header=True).count() == 1
-    with pytest.raises(ValueError):
-        store.export_graph(ents, rel, "x", "graphml")
+    store.export_graph(ents, rel, str(tmp_path / "other"), "yaml")
+    assert spark.read.json(str(tmp_path / "other_nodes")).first().name == "A"
 
 
 def office(parts):
@@ -374,3 +377,149 @@ def test_offline_models(spark):
     e = models.hashing_embedder(16)(["a b", "a b", ""])
     assert np.allclose(e[0], e[1]) and np.allclose(np.linalg.norm(e[0]), 1) and not e[2].any()
     assert models.overlap(["a b", ""], ["b c", "x"]) == [0.5, 0.0]
+
+
+# Access
+
+
+POLICY = "struct<owner:string,visible_to_groups:array<string>,visible_to_users:array<string>,public:boolean>"
+
+
+def test_policies_of_shared_and_of_merged_content(spark):
+    rows = [
+        ("shared", "boss", ["g"], ["u"], False), ("shared", "eve", ["h"], [], False),
+        ("open", "boss", [], [], False), ("open", None, None, None, True),
+        ("common", "boss", ["g", "h"], ["eve", "u"], False), ("common", "eve", ["h", "i"], ["u"], False), ("common", None, None, None, True),
+        ("apart", "boss", [], [], False), ("apart", "eve", [], [], False),
+    ]
+    table = spark.createDataFrame([(k, (o, g, u, p)) for k, o, g, u, p in rows], f"k string, acl {POLICY}")
+    got = {r.k: r for r in table.groupBy("k").agg(safety.either(F.col("acl")).alias("either"), safety.joint(F.col("acl")).alias("joint")).collect()}
+    assert set(got["shared"].either.visible_to_users) == {"boss", "eve", "u"} and got["shared"].either.visible_to_groups == ["g", "h"]
+    assert got["open"].either is None and got["open"].joint.visible_to_users == ["boss"]
+    assert got["common"].joint.visible_to_users == ["eve", "u"] and got["common"].joint.visible_to_groups == ["h"]
+    assert got["apart"].joint.visible_to_users == [] and got["apart"].joint.public is False
+
+
+@pytest.mark.parametrize("mode", [m for m in retrieve.MODES if m not in ("bypass", "community")])
+def test_no_mode_shows_what_a_user_may_not_see(spark, mode):
+    boss = ("boss", [], [], False)
+    v = [1.0, 0.0]
+    corpus = retrieve.Corpus(
+        spark.createDataFrame([("c1", "secret plan", v, boss), ("c2", "open plan", v, None)], f"id string, content string, embedding array<double>, acl {POLICY}"),
+        spark.createDataFrame([("A", "x", "secret plan", ["c1"], v, boss), ("B", "x", "open plan", ["c2"], v, None)], f"name string, type string, description string, source_ids array<string>, embedding array<double>, acl {POLICY}"),
+        spark.createDataFrame([("A", "B", "secret plan", v, boss), ("B", "C", "open plan", v, None)], f"src_id string, tgt_id string, description string, embedding array<double>, acl {POLICY}"),
+    )
+    q = spark.createDataFrame([(1, "secret open plan", v)], "query_id int, text string, embedding array<double>")
+    see = lambda user: {r.content for r in retrieve.retrieve(corpus, q, retrieve.Options(mode=mode, user=user)).collect()}
+    assert see("eve") and not any("secret" in c for c in see("eve"))
+    assert any("secret" in c for c in see("boss"))
+
+
+def test_built_tables_carry_policies(spark):
+    from loamgraph.plans import build
+
+    rule = lambda ps: ["##".join(f'("entity"<|#|>{w}<|#|>t<|#|>{w} here<|#|>0.9)' for w in sorted({w for w in p.rsplit("\n\n", 1)[-1].split() if w.isupper()})) + '##("relationship"<|#|>UNO<|#|>DUE<|#|>k<|#|>ties<|#|>0.8)' for p in ps]
+    acl = {"boss": ("boss", [], [], False), "eve": ("eve", [], [], False)}
+    docs = spark.createDataFrame([(1, "UNO alone here", acl["boss"]), (2, "DUE is with eve", acl["eve"]), (3, "same words DUE", acl["boss"]), (4, "same words DUE", acl["eve"])], f"doc_id int, text string, acl {POLICY}")
+    built = build.build(docs, rule, with_reports=False)
+    who = lambda rows, key: {r[key]: sorted(r.acl.visible_to_users) for r in rows.collect()}
+    assert who(built.chunks, "content")["same words DUE"] == ["boss", "eve"]
+    entities = who(built.entities, "name")
+    assert entities["Uno"] == ["boss"] and entities["Due"] == ["eve"]
+    assert [r.acl.visible_to_users for r in built.relations.collect()] == [[]]
+
+
+def test_zero_scores_fill_up_the_best(spark):
+    docs = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three three"), (4, None), (5, "two")], "doc_id int, text string")
+    q = spark.createDataFrame([(1, "three"), (2, "none of it"), (3, "")], "query_id int, text string")
+    got = {}
+    for r in sorted(lexical.top_k(docs, q, 3).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append((r.id, r.score > 0))
+    assert got == {1: [(3, True), (1, False), (2, False)], 2: [(1, False), (2, False), (3, False)], 3: [(1, False), (2, False), (3, False)]}
+    same = spark.createDataFrame([(i, "a b") for i in range(6)], "doc_id int, text string")
+    assert [r.id for r in lexical.top_k(same, spark.createDataFrame([(1, "a")], "query_id int, text string"), 4).orderBy("rank").collect()] == [0, 1, 2, 3]
+
+
+def test_keywords_stand_inside_words(spark):
+    rows = spark.createDataFrame([(1, "Cat", "alogue of things"), (2, "dogs", None), (3, None, "a catalogue of dogmas")], "community_id int, title string, summary string")
+    q = spark.createDataFrame([(1, "dog cat"), (2, "..."), (3, "bird")], "query_id int, keywords string")
+    got = sorted((r.query_id, r["rank"], r.community_id, r.score) for r in community.keyword_rank(rows, q, 2).collect())
+    assert got == [(1, 1, 3, 2), (1, 2, 1, 1), (2, 1, 1, 0), (2, 2, 2, 0)]
+
+
+def test_sub_questions_and_made_up_answers(spark):
+    v = lambda x: [1.0, 0.0] if x else [0.0, 1.0]
+    corpus = retrieve.Corpus(
+        spark.createDataFrame([("c1", "red apples", v(1)), ("c2", "blue sky", v(0))], "id string, content string, embedding array<double>"),
+        spark.createDataFrame([("A", "x", "d", ["c1"], v(1))], "name string, type string, description string, source_ids array<string>, embedding array<double>"),
+        spark.createDataFrame([("A", "A", "d", v(1))], "src_id string, tgt_id string, description string, embedding array<double>"),
+    )
+    embed = lambda texts: np.array([v("apple" in t) for t in texts])
+    q = spark.createDataFrame([(7, "apples and sky", v(1))], "query_id long, text string, embedding array<double>")
+    opt = retrieve.Options(mode="naive", lexical=False, embedder=embed)
+    got = retrieve.retrieve_parts(corpus, q, opt, lambda ps: ['["apples", "the sky", "more apples"]'] * len(ps)).orderBy("rank").collect()
+    assert [(r.query_id, r.ref_id, r.id) for r in got] == [(7, "ref-1", "c1"), (7, "ref-2", "c2")]
+    opt = retrieve.Options(mode="naive", lexical=False, embedder=embed, hyde=lambda ps: ["the sky"] * len(ps))
+    assert [r.id for r in retrieve.retrieve(corpus, q, opt).collect()] == ["c2"]
+
+
+def test_descriptions_and_adjudication(spark):
+    from loamgraph.plans import build
+
+    rows = spark.createDataFrame([("A", "x | y"), ("B", "x"), ("C", None), ("D", "x | x")], "name string, description string")
+    got = {r.name: r.description for r in graph.summarized(rows, lambda ps: [p.upper() for p in ps], "{name}: {descriptions}").collect()}
+    assert got == {"A": "A: X\nY", "B": "x", "C": None, "D": "x | x"}
+    assert {r.name: r.description for r in graph.summarized(rows).collect()} == {"A": "x | y", "B": "x", "C": None, "D": "x"}
+    parts = F.array(F.lit("a"), F.lit("b\na"))
+    one = spark.range(1).select(*(tx.merge_descriptions(parts, s).alias(s) for s in ("concatenate", "keep_first", "join_unique"))).first()
+    assert tuple(one) == ("a\nb\na", "a", "a\nb")
+    names = spark.createDataFrame([("Big Apple",), ("New York",), ("Paris",)], "name string")
+    embed = lambda texts: np.array([[0.0, 1.0] if t == "Paris" else [1.0, 0.0] for t in texts])
+    assert build.resolve(names, embed).count() == 0
+    assert [tuple(r) for r in build.resolve(names, embed, model=lambda ps: ["same\nindeed"] * len(ps)).collect()] == [("New York", "Big Apple")]
+
+
+def test_caches(spark):
+    long = "a text of some length that is asked again"
+    cache = spark.createDataFrame([(long, 2), (long.upper(), 1), ("short", 3), (long + "!", 4)], "text string, seq int")
+    asked = [long, long[:-1] + "?", "short", "shirt", long.replace("some", "most"), None]
+    got = {r.text: r.seq for r in vector.near_cached(spark.createDataFrame([(x,) for x in asked], "text string"), cache).collect()}
+    assert got == {long: 2, long[:-1] + "?": 2, "short": 3, "shirt": None, long.replace("some", "most"): None}
+    held = spark.createDataFrame([("k1", ["A", "B"], 3), ("k2", ["C"], 1), ("k3", [], 2)], "key string, entities array<string>, ts int")
+    assert {r.key for r in store.invalidated(held, spark.createDataFrame([("B",)], "name string")).collect()} == {"k2", "k3"}
+    assert [r.key for r in store.recently_used(held, 2).collect()] == ["k1", "k3"]
+    some = {"query": held, "summary": held, "vectors": held}
+    assert {n: c.count() for n, c in store.cleared(some, "llm").items()} == {"query": 0, "summary": 0, "vectors": 3}
+    with pytest.raises(ValueError):
+        store.cleared(some, "nothing")
+
+
+def test_queue_of_documents(spark):
+    now = F.lit("2024-01-01").cast("timestamp")
+    status = spark.createDataFrame([(1, "completed", None, 3, None, None, 1), (2, "failed", "x", 0, None, None, 1)], "doc_id int, status string, error_message string, chunks_count long, created_at timestamp, updated_at timestamp, version int")
+    docs = spark.createDataFrame([(1,), (2,), (3,)], "doc_id int")
+    queued = ingest.enqueue(status, docs, now)
+    assert {r.doc_id: r.status for r in queued.collect()} == {1: "completed", 2: "failed", 3: "pending"}
+    assert {r.doc_id for r in ingest.pending(queued, docs).collect()} == {2, 3}
+    again = ingest.reingest(queued, docs.where("doc_id = 1"), now)
+    done = ingest.next_status(again, spark.createDataFrame([(1, True, None, 4)], "doc_id int, ok boolean, error_message string, chunks_count long"), now)
+    assert {r.doc_id: (r.status, r.version) for r in done.collect()}[1] == ("completed", 2)
+
+
+def test_getters_and_masks(spark):
+    ents = spark.createDataFrame([("A",), ("B",)], "name string")
+    rel = spark.createDataFrame([("A", "B", "d"), ("A", "A", "e")], "src_id string, tgt_id string, description string")
+    assert [(r.name, r.degree) for r in graph.entity_info(ents, rel, ents.where("name = 'A'")).collect()] == [("A", 3)]
+    assert [r.description for r in graph.relation_info(rel, spark.createDataFrame([("B", "A")], "src_id string, tgt_id string")).collect()] == ["d"]
+    log = spark.createDataFrame([("A", "edit", 2, "y"), ("A", "create", 1, "x"), ("B", "create", 1, "z")], "key string, action string, ts int, after string")
+    assert [(r.edit, r.action) for r in graph.edits_of(log, spark.createDataFrame([("A",)], "key string")).orderBy("edit").collect()] == [(1, "create"), (2, "edit")]
+    assert column(spark, ["to a@b.co now"], lambda c: safety.enforce(c, "mask")) == ["to **** now"]
+    with pytest.raises(Exception, match="personal data"):
+        column(spark, ["to a@b.co now"], lambda c: safety.enforce(c, "reject"))
+
+
+def test_pdf_without_a_reader_is_an_error_row(spark, monkeypatch):
+    import sys
+
+    monkeypatch.setitem(sys.modules, "pypdf", None)
+    assert files.parse_pdf(b"%PDF")[0][-1] == "error"
