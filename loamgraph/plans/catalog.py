@@ -116,7 +116,7 @@ def semantic_chunks(spark, sf_dir):
     return chunking.semantic(t.table(spark, sf_dir, "documents"), drift=0.3).select("doc_id", "chunk_order_index", "tokens", F.md5("content").alias("content_md5"))
 
 
-@query()
+@query(f"SELECT doc_id, 0 AS chunk_order_index, source || ' > ' || lang AS section_path, CAST(len({W('text')}) AS INTEGER) AS tokens, md5({STRIP('text')}) AS content_md5 FROM documents WHERE {STRIP('text')} <> ''")
 def structure_chunks(spark, sf_dir):
     """Documents under headings made of their ids and languages: a source's page with a section a language."""
     d = t.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n## "), "lang", F.lit("\n"), "text").alias("text"))
@@ -960,6 +960,89 @@ def llm_through_cache(spark, sf_dir):
     return retrieve.through_cache(d, cache)[0].select("args_hash", F.col("content").alias("answer")).distinct()
 
 
+# Caches, queues, policies of merged content.
+
+
+@query(
+    """WITH t AS (SELECT DISTINCT p_name AS text FROM part), c AS (SELECT p_name AS held, min(p_partkey) AS seq FROM part WHERE p_partkey % 20 = 0 GROUP BY 1),
+ n AS (SELECT text, seq, text = held AS same FROM t, c WHERE text = held OR (greatest(length(text), length(held)) * 0.95 <=
+ len(list_filter(range(1, least(length(text), length(held)) + 1), lambda i: substr(text, i, 1) = substr(held, i, 1)))))
+ SELECT text, coalesce(min(seq) FILTER (WHERE same), min(seq)) AS seq FROM t LEFT JOIN n USING (text) GROUP BY 1"""
+)
+def embedding_cache_hits(spark, sf_dir):
+    p = t.table(spark, sf_dir, "part").select(F.col("p_name").alias("text"), F.col("p_partkey").alias("seq"))
+    return vector.near_cached(p.select("text"), p.where("seq % 20 = 0"))
+
+
+@query("SELECT p_partkey AS id, round(CASE WHEN greatest(length(p_name), length(p_type)) = 0 THEN 1 ELSE len(list_filter(range(1, least(length(p_name), length(p_type)) + 1), lambda i: substr(p_name, i, 1) = substr(p_type, i, 1))) / greatest(length(p_name), length(p_type)) END, 6) AS similarity FROM part")
+def same_place_similarity(spark, sf_dir):
+    return t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.round(tx.same_place_similarity(F.col("p_name"), F.col("p_type")), 6).alias("similarity"))
+
+
+@query("SELECT l_orderkey AS key, count(DISTINCT l_partkey) AS entities FROM lineitem GROUP BY 1 HAVING NOT bool_or(l_partkey % 10 = 0)")
+def cache_invalidated(spark, sf_dir):
+    cache = t.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.collect_set("l_partkey").alias("entities"))
+    dirty = t.table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("name"))
+    return store.invalidated(cache, dirty).select("key", F.size("entities").cast("long").alias("entities"))
+
+
+@query("SELECT o_orderkey AS key FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 500")
+def cache_recently_used(spark, sf_dir):
+    return store.recently_used(t.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").alias("ts")), 500).select("key")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'failed' ELSE 'pending' END AS status FROM documents WHERE doc_id % 4 = 0 OR doc_id % 2 = 1")
+def documents_pending(spark, sf_dir):
+    """Even documents are known, every fourth one as failed; odd ones are new."""
+    from ..streaming import ingest
+
+    d = t.table(spark, sf_dir, "documents").select("doc_id")
+    now = F.lit("2024-01-01").cast("timestamp")
+    known = d.where("doc_id % 2 = 0").select("doc_id", F.when(F.col("doc_id") % 4 == 0, "failed").otherwise("completed").alias("status"), F.lit(None).cast("string").alias("error_message"), F.lit(1).cast("long").alias("chunks_count"), now.alias("created_at"), now.alias("updated_at"), F.lit(1).alias("version"))
+    queued = ingest.enqueue(known, d, now)
+    return queued.join(ingest.pending(queued, d), "doc_id", "left_semi").select("doc_id", "status")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'completed' WHEN doc_id % 3 = 1 THEN 'failed' ELSE 'pending' END AS status, CASE WHEN doc_id % 3 = 2 THEN 1 ELSE 2 END AS version FROM documents")
+def documents_reingested(spark, sf_dir):
+    """All documents again; a third succeeds, a third fails, a third hasn't come back."""
+    from ..streaming import ingest
+
+    d = t.table(spark, sf_dir, "documents").select("doc_id")
+    now = F.lit("2024-01-01").cast("timestamp")
+    known = d.select("doc_id", F.lit("completed").alias("status"), F.lit(None).cast("string").alias("error_message"), F.lit(1).cast("long").alias("chunks_count"), now.alias("created_at"), now.alias("updated_at"), F.lit(1).alias("version"))
+    results = d.where("doc_id % 3 < 2").select("doc_id", (F.col("doc_id") % 3 == 0).alias("ok"), F.lit(None).cast("string").alias("error_message"), F.lit(2).cast("long").alias("chunks_count"))
+    return ingest.next_status(ingest.reingest(known, d, now), results, now).select("doc_id", "status", "version")
+
+
+POLICIES = "p AS (SELECT n_chars % 997 AS g, source AS owner, lang, doc_id % 3 = 0 AS free FROM documents)"
+
+
+@query(f"WITH {POLICIES} SELECT g, array_to_string(list_sort(list(DISTINCT owner)), ',') AS users, array_to_string(list_sort(list(DISTINCT lang)), ',') AS groups FROM p GROUP BY 1 HAVING NOT bool_or(free)")
+def acl_of_shared_content(spark, sf_dir):
+    rows = t.documents(spark, sf_dir).groupBy((F.col("n_chars") % 997).alias("g")).agg(safety.either(F.col("acl")).alias("acl")).where("acl is not null")
+    return rows.select("g", F.array_join("acl.visible_to_users", ",").alias("users"), F.array_join("acl.visible_to_groups", ",").alias("groups"))
+
+
+@query(f"WITH {POLICIES} SELECT g, CASE WHEN count(DISTINCT owner) = 1 THEN min(owner) ELSE '' END AS users, CASE WHEN count(DISTINCT lang) = 1 THEN min(lang) ELSE '' END AS groups FROM p WHERE NOT free GROUP BY 1")
+def acl_of_merged_content(spark, sf_dir):
+    rows = t.documents(spark, sf_dir).groupBy((F.col("n_chars") % 997).alias("g")).agg(safety.joint(F.col("acl")).alias("acl")).where("acl is not null")
+    return rows.select("g", F.array_join("acl.visible_to_users", ",").alias("users"), F.array_join("acl.visible_to_groups", ",").alias("groups"))
+
+
+@query("SELECT user_id, md5(string_agg(event_type, chr(10) ORDER BY event_id)) AS concatenated, min_by(event_type, event_id) AS first, array_to_string(list_transform(list_sort(list(DISTINCT (f, event_type))), lambda x: x[2]), chr(10)) AS once FROM (SELECT *, min(event_id) OVER (PARTITION BY user_id, event_type) AS f FROM events) GROUP BY 1")
+def merged_descriptions(spark, sf_dir):
+    e = t.table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]).alias("parts"))
+    merged = lambda how: tx.merge_descriptions(F.col("parts"), how)
+    return e.select("user_id", F.md5(merged("concatenate")).alias("concatenated"), merged("keep_first").alias("first"), merged("join_unique").alias("once"))
+
+
+@query(f"WITH {t.SPARSE}, e AS (SELECT src_id AS name FROM relations UNION ALL SELECT tgt_id FROM relations), d AS (SELECT name, count(*) AS degree FROM e GROUP BY 1) SELECT 'S' || s_suppkey AS name, coalesce(degree, 0) AS degree FROM supplier LEFT JOIN d ON name = 'S' || s_suppkey")
+def entity_info(spark, sf_dir):
+    ents = t.entities(spark, sf_dir)
+    return graph.entity_info(ents, t.sparse_relations(spark, sf_dir), ents.where("type = 'supplier'")).select("name", "degree")
+
+
 # Streams, run to their end.
 
 
