@@ -20,10 +20,10 @@ CAPACITY = 4096
 ITEMS = 4096
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 6
+GENERATIONS = 24
 POPULATION = 4
-#: Loose pieces that a bin is offered in exchange, if over one part in ROOMY of it is free.
-SWAPS, ROOMY = 4, 200
+#: Loose pieces that a bin with room is offered in exchange.
+SWAPS = 24
 #: Characters tokenised at once.
 CHARS = 1 << 20
 
@@ -117,7 +117,7 @@ class Island:
         loose = sorted(loose, key=lambda x: -self.size[x])
         for one in bins:
             room = self.capacity - self.fill(one)
-            if room * ROOMY < self.capacity or not loose:
+            if not room or not loose:
                 continue
             best = None
             out = [(self.size[x], (i,)) for i, x in enumerate(one)]
@@ -142,7 +142,11 @@ class Island:
         gone = set(order[: max(1, len(a) // 50)]) | set(self.rng.integers(0, len(a), max(1, len(a) // 20)).tolist())
         return self.best_fit(*self.swap([list(b) for i, b in enumerate(a) if i not in gone], [x for i in gone for x in a[i]]))
 
-    def evolve(self, given: list[Bins]) -> Bins:
+    def evolve(self, given: list[Bins], gains: dict[str, int] | None = None) -> Bins:
+        """The best of the given solutions after GENERATIONS; a solution of as few bins as can be ends the search, for none is better.
+
+        gains, if given, counts the children of each kind that were better than all before.
+        """
         people = [p for p in given if p] or [self.best_fit([], list(range(len(self.size))))]
         best = max(people, key=self.fitness)
         if not self.size or len(best) <= self.bound:
@@ -156,7 +160,11 @@ class Island:
                 break
             half = people[: max(2, POPULATION // 2)]
             i, j = self.rng.permutation(len(half))[:2]
-            people = [*half, self.cross(half[i], half[j]), self.mutate(half[j])][-POPULATION - 2 :]
+            children = {"cross": self.cross(half[i], half[j]), "mutate": self.mutate(half[j])}
+            if gains is not None:
+                for kind, child in children.items():
+                    gains[kind] = gains.get(kind, 0) + (self.fitness(child) > self.fitness(best))
+            people = [*half, *children.values()]
             people = sorted(people, key=self.fitness, reverse=True)[:POPULATION]
         return max(people, key=self.fitness)
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import random
 import re
 import zlib
@@ -449,7 +450,9 @@ def test_genetic_packing_beats_best_fit_where_it_can(monkeypatch):
     world = packing.Island(np.array(sizes), 1000, 1)
     plain = world.best_fit([], list(range(len(sizes))))
     monkeypatch.setattr(packing, "GENERATIONS", 60)
-    best = world.evolve([])
+    gains = {}
+    best = world.evolve([], gains)
+    assert gains["cross"] > 0 and len(best) < len(plain)
     assert sorted(x for b in best for x in b) == list(range(len(sizes))) and all(world.fill(b) <= 1000 for b in best)
     assert world.fitness(best) > world.fitness(plain)
 
@@ -465,6 +468,22 @@ def test_bpe_equals_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+TABLE = "/root/testdata/sf0.01/documents.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(TABLE), reason="the tables aren't here")
+def test_bpe_equals_the_library_on_whole_documents():
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    from loamgraph.llm.bpe import WordBpe
+
+    texts = [t or "" for t in pq.read_table(TABLE).column("text").to_pylist()]
+    tok = Tokenizer.from_file(vocabulary())
+    want = [x.ids for x in tok.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in WordBpe(vocabulary()).encode(texts)] == want
+
+
 # 8. Line chunks
 
 
