@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
 import uuid
 import zlib
@@ -13,6 +14,7 @@ from math import ceil
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +43,11 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + (f":{port}" if port and port not in (80, 443) else "") + ")" + tail
 
 
+def target(url: str | None) -> str:
+    """The url as a header field holds it: without line breaks."""
+    return re.sub(r"[\r\n]", "%0A", url or "")
+
+
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -59,7 +66,7 @@ def _packed(rows: DataFrame) -> DataFrame:
     names = [c for c in rows.columns if c != "payload"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=5).compress
+        pack = zstandard.ZstdCompressor(level=10).compress
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(map(pack, byte_values(batch.column(len(names)))), pa.binary())], [*names, "packed"])
 
@@ -72,7 +79,7 @@ def _record(page_id: int | None, url: str | None, digest: str, size: int, best:
     fields = [
         ("WARC-Type", "revisit" if again else "response"),
         ("WARC-Record-ID", f"<urn:page:{'none' if page_id is None else page_id}>"),
-        ("WARC-Target-URI", re.sub(r"[\r\n]", "%0A", url or "")),
+        ("WARC-Target-URI", target(url)),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Payload-Digest", f"sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}"),
     ]
@@ -149,30 +156,40 @@ def _number(urn: str | None) -> int | None:
     return int(m[1]) if m else None
 
 
+def _capture(at: tuple[int, int, dict[str, str], bytes], name: str) -> tuple:
+    """CAPTURE of a record; a response's size and digest are taken from its bytes."""
+    offset, length, fields, block = at
+    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    size = int(fields.get("X-Payload-Length", len(block)))
+    if fields["WARC-Type"] == "response" and base32_sha1(block) != digest:
+        raise ValueError(f"{name}: the payload at byte {offset} isn't what its digest says")
+    url = fields["WARC-Target-URI"]
+    return _number(fields["WARC-Record-ID"]), url, url_key(url), size, digest, fields["WARC-Type"], _number(fields.get("WARC-Refers-To")), name, offset, length
+
+
+def _captures(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in CAPTURE.split(", ")])
+
+
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """A row per record, with its place; responses' sizes and digests are taken from their bytes."""
+    """A row per record, with its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = []
-                for offset, length, fields, block in parse_records(content.as_py()):
-                    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    size = int(fields.get("X-Payload-Length", len(block)))
-                    if fields["WARC-Type"] == "response" and base32_sha1(block) != digest:
-                        raise ValueError(f"{name}: the payload at byte {offset} isn't what its digest says")
-                    url = fields["WARC-Target-URI"]
-                    rows.append((_number(fields["WARC-Record-ID"]), url, url_key(url), size, digest, fields["WARC-Type"], _number(fields.get("WARC-Refers-To")), name.rsplit("/", 1)[-1], offset, length))
-                if rows:
-                    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in CAPTURE.split(", ")])
+                yield _captures([_capture(at, name.rsplit("/", 1)[-1]) for at in parse_records(content.as_py())])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc").load(folder)
     return files.select("path", "content").mapInArrow(run, CAPTURE)
 
 
 def build_index(captures: DataFrame, folder: str) -> str:
-    """Sorts captures by key into compressed blocks under folder/blocks, with a sparse directory of them in folder/directory."""
+    """Sorts captures by key into compressed blocks under folder/blocks, with a sparse directory of them in folder/directory.
+
+    The index is in parts of about INDEX_LINES captures, each a range of keys.
+    """
     captures = stored(captures)
     parts = ceil(captures.count() / INDEX_LINES) or 1
     ordered = captures.repartitionByRange(parts, "key", "page_id", "archive", "offset").sortWithinPartitions("key", "page_id", "archive", "offset")
@@ -194,9 +211,9 @@ def build_index(captures: DataFrame, folder: str) -> str:
                     out.write_table(block)
                 yield pa.RecordBatch.from_arrays([pa.array([keys[0]]), pa.array([keys[-1]]), pa.array([len(keys)], pa.int32()), pa.array([zlib.compress(sink.getvalue().to_pybytes())])], ["first_key", "last_key", "lines", "block"])
 
-    ordered.mapInArrow(run, "first_key string, last_key string, lines int, block binary").withColumn("block_id", F.monotonically_increasing_id()).write.parquet(f"{folder}/blocks")
+    ordered.mapInArrow(run, "first_key string, last_key string, lines int, block binary").withColumns({"block_id": F.monotonically_increasing_id(), "part": F.spark_partition_id()}).write.parquet(f"{folder}/blocks")
     blocks = captures.sparkSession.read.parquet(f"{folder}/blocks")
-    blocks.select("first_key", "last_key", "block_id", "lines").write.parquet(f"{folder}/directory")
+    blocks.select("part", "first_key", "last_key", "block_id", "lines").write.parquet(f"{folder}/directory")
     return folder
 
 
@@ -209,37 +226,90 @@ def _block(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(zlib.decompress(data)).read_all()
 
 
-def read_index(spark: SparkSession, folder: str) -> DataFrame:
-    """Every capture of the index, from its compressed blocks."""
+def _found(keys: list[str], table: pa.Table, key: str) -> pa.Table:
+    """A block's captures of a key, by binary search."""
+    at = bisect_left(keys, key)
+    return table.slice(at, bisect_right(keys, key) - at)
+
+
+def look_up(spark: SparkSession, index: str, urls: DataFrame) -> DataFrame:
+    """The captures (CAPTURE) of every distinct url (url), in tasks side by side.
+
+    Upper level: the key ranges of the index's parts, a row for a million captures, send each asked key to the parts that may hold it. Lower level: a
+    part's task searches its directory for the key's blocks, opens these alone, and searches them. Parts and blocks are bounded, a key
+    with many captures is asked of each of its parts.
+    """
+    ranges = spark.read.parquet(f"{index}/directory").groupBy("part").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high")).collect()
+    ranges = sorted((r["low"], r["high"], r["part"]) for r in ranges)
+    low, high = [r[0] for r in ranges], [r[1] for r in ranges]
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, keys = [], []
+            for key in {url_key(target(u)) for u in batch.column(0).to_pylist()}:
+                own = ranges[bisect_left(high, key) : bisect_right(low, key)]
+                parts += [r[2] for r in own]
+                keys += [key] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(keys, pa.string())], ["part", "key"])
+
+    asked = urls.select("url").mapInArrow(keyed, "part int, key string").distinct()
+    blocks = spark.read.parquet(f"{index}/blocks").select("part", "first_key", "last_key", "block_id", "block")
+
+    def search(asked: pa.Table, blocks: pa.Table) -> pa.Table:
+        blocks = blocks.sort_by("block_id")
+        first, last = blocks.column("first_key").to_pylist(), blocks.column("last_key").to_pylist()
+        wanted: dict[int, list[str]] = {}
+        for key in asked.column("key").to_pylist():
+            for i in range(bisect_left(last, key), bisect_right(first, key)):
+                wanted.setdefault(i, []).append(key)
+        out = [_captures([])]
+        for i, keys in wanted.items():
+            table = _block(blocks.column("block")[i].as_py())
+            own = table.column("key").to_pylist()
+            for key in keys:
+                out += _found(own, table, key).to_batches()
+        return pa.Table.from_batches(out)
+
+    return asked.groupBy("part").cogroup(blocks.groupBy("part")).applyInArrow(search, CAPTURE)
+
+
+def read_captures(captures: DataFrame, archives: str) -> DataFrame:
+    """CAPTURE of each capture's record itself, by range reads of its archive where the task runs: the folder is one that all executors reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = pa_fs.FileSystem.from_uri(archives if "://" in archives or archives.startswith("file:") else os.path.abspath(archives))
         for batch in batches:
-            for data in batch.column(0):
-                yield from _block(data.as_py()).to_batches()
+            rows, name, source = [], None, None
+            places = batch.select(["archive", "offset", "length"]).to_pylist()
+            for at in sorted(places, key=lambda r: (r["archive"], r["offset"])):
+                if at["archive"] != name:
+                    name = at["archive"]
+                    source = store.open_input_file(f"{folder}/{name}")
+                (_, length, fields, block), *more = parse_records(source.read_at(at["length"], at["offset"]))
+                if more or length != at["length"]:
+                    raise ValueError(f"{name}: no single record at byte {at['offset']}")
+                rows.append(_capture((at["offset"], length, fields, block), name))
+            yield _captures(rows)
 
-    return spark.read.parquet(f"{folder}/blocks").select("block").mapInArrow(run, CAPTURE)
+    return captures.mapInArrow(run, CAPTURE)
 
 
 class CaptureIndex:
-    """Point look-ups: the directory (a row for each BLOCK_LINES captures) is held and searched; a look-up reads few blocks and byte ranges."""
+    """Point look-ups from the driver: a look-up reads the directory's rows around its key, few blocks, and byte ranges."""
 
     def __init__(self, spark: SparkSession, index: str, archives: str):
         self.spark, self.index, self.archives = spark, index, archives
-        rows = sorted(spark.read.parquet(f"{index}/directory").select("first_key", "last_key", "block_id").collect())
-        self.first, self.last, self.ids = ([r[i] for r in rows] for i in range(3))
 
     def find(self, url: str) -> list[dict]:
-        key = url_key(url)
-        a, b = bisect_left(self.last, key), bisect_right(self.first, key)
-        if a >= b:
+        key = url_key(target(url))
+        near = self.spark.read.parquet(f"{self.index}/directory").where((F.col("first_key") <= key) & (F.col("last_key") >= key)).select("block_id").collect()
+        if not near:
             return []
-        found = self.spark.read.parquet(f"{self.index}/blocks").where(F.col("block_id").isin(self.ids[a:b])).select("block").collect()
+        found = self.spark.read.parquet(f"{self.index}/blocks").where(F.col("block_id").isin([r.block_id for r in near])).select("block").orderBy("block_id").collect()
         out = []
         for row in found:
             table = _block(bytes(row.block))
-            keys = table.column("key").to_pylist()
-            at = bisect_left(keys, key)
-            out += table.slice(at, bisect_right(keys, key) - at).to_pylist()
+            out += _found(table.column("key").to_pylist(), table, key).to_pylist()
         return out
 
     def read(self, capture: dict) -> tuple[dict[str, str], bytes]:
@@ -256,7 +326,7 @@ class CaptureIndex:
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) -> DataFrame:
-    """Writes archives and their index, then returns every capture as the index has it.
+    """Writes archives and their index, then looks up every page's url, and returns what its records say.
 
     Null html is an empty payload, a null url an empty one (its key sorts first), a null
     id stays null and is never referred to; rows that repeat the response's id and payload are
@@ -267,4 +337,5 @@ def archive_pages(pages: DataFrame, folder: str | None = None, min_bytes: int =
     folder = folder or f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write_archives(pages, f"{folder}/archives", min_bytes=min_bytes)
     build_index(read_archives(spark, f"{folder}/archives"), f"{folder}/index")
-    return read_index(spark, f"{folder}/index")
+    found = look_up(spark, f"{folder}/index", pages.select(F.col("url").cast("string").alias("url")))
+    return read_captures(found, f"{folder}/archives")
