@@ -10,13 +10,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values
+from .common import byte_values, stored
 
 #: A boundary's rolling hash spans this many lines and falls once in EVERY lines.
 WINDOW = 2
 EVERY = 4
 #: A chunk that can be removed has this many lines with text, at least.
 LINES = 2
+#: A pair that holds over one part in HOT of all repeated places, and over HOT_LEAST of them, is dealt to several tasks.
+HOT, HOT_LEAST = 2000, 1000
 MULTIPLIER = 0x100000001B3
 MASK = (1 << 64) - 1
 
@@ -142,8 +144,14 @@ def repeated_pairs(rows: DataFrame) -> DataFrame:
     nothing. Pairs overlap, and carry hashes only.
     """
     clash = _line_rows(rows).distinct().groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
-    many = _pair_rows(rows).groupBy(*PAIR).agg(F.count("*").alias("n"), F.min(F.struct("id", "tag", "chunk")).alias("first")).where("n > 1")
-    again = _pair_rows(rows).join(many, PAIR).where(~F.struct("id", "tag", "chunk").eqNullSafe(F.col("first")))
+    many = stored(_pair_rows(rows).groupBy(*PAIR).agg(F.count("*").alias("n"), F.min(F.struct("id", "tag", "chunk")).alias("first")).where("n > 1"))
+    # Of all repeated places, a hot pair holds over one part in HOT, so there are fewer than HOT such pairs. Each is dealt to several tasks.
+    share = max(HOT_LEAST, (many.agg(F.sum("n")).first()[0] or 0) // HOT)
+    parts = F.ceil(F.col("n") / F.lit(share)).cast("int")
+    hot = many.where(F.col("n") > share).select(*PAIR, parts.alias("parts"))
+    salt = F.coalesce(F.pmod(F.xxhash64("id", "tag", "chunk"), F.col("parts")), F.lit(0)).cast("int")
+    places = _pair_rows(rows).join(F.broadcast(hot), PAIR, "left").withColumn("salt", salt)
+    again = places.drop("parts").join(many.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))), [*PAIR, "salt"]).where(~F.struct("id", "tag", "chunk").eqNullSafe(F.col("first")))
     for side in "ab":
         again = again.join(F.broadcast(clash), (F.col("h1") == F.col(f"{side}1")) & (F.col("h2") == F.col(f"{side}2")), "left_anti")
     return again.select("id", "tag", "chunk")

@@ -519,9 +519,13 @@ def test_chunk_boundaries_resist_shifts():
     assert len(cuts & moved) >= len(cuts) - 2 and len(cuts) > 20
 
 
-def test_line_dedup_finds_short_passages_between_other_lines(spark, tmp_path):
+@pytest.mark.parametrize("least", [1000, 1])
+def test_line_dedup_finds_short_passages_between_other_lines(spark, tmp_path, monkeypatch, least):
+    from loamgraph.llm import linededup
     from loamgraph.llm.queries import op8_line_dedup
 
+    monkeypatch.setattr(linededup, "HOT_LEAST", least)  # at 1, every pair is dealt to several tasks
+
     passages = [[f"passage {p} line {n}" for n in range(2 + p % 3)] for p in range(12)]
     passages[3].insert(1, "")
     rows = []
