@@ -13,8 +13,8 @@ from tokenizers import Tokenizer
 from .tokencount import byte_alphabet
 
 #: Chunks and pieces remembered by each Python worker.
-CHUNKS_KEPT = 1_000_000
-PIECES_KEPT = 500_000
+CHUNKS_KEPT = 500_000
+PIECES_KEPT = 250_000
 #: Longer chunks, and those with characters from here on, go through the library.
 LONGEST = 64
 PLAIN = chr(0x130)
