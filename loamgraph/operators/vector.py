@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil
 
 import numpy as np
@@ -14,8 +14,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import same_place_similarity
 
-#: Queries scored together in one pass; more are taken in blocks.
+#: Queries that are sent to all vectors; more meet the vectors in shards of so many.
 QUERY_BLOCK = 4096
+SHARD = 16384
 #: Vectors of a block of the self-join.
 BLOCK = 1024
 THRESHOLD = 0.2
@@ -42,38 +43,80 @@ def scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.divide(a @ b.T, norm, out=np.zeros((len(a), len(b))), where=norm > 0)
 
 
+def against_shards(rows: DataFrame, asked: DataFrame, size: int, make: Callable, ask: Callable, schema: str) -> DataFrame:
+    """What every query finds in every shard of the rows: both have columns id and v, rows are dealt into shards of about `size`.
+
+    A shard moves once, and its make(ids, column of v) is made once; then the queries stream past it in Arrow batches, and
+    ask(what was made, ids, column of v) yields batches. A task holds a shard and a batch, whatever the numbers of rows and queries.
+    """
+    shards = ceil(rows.count() / size) or 1
+    held = rows.select(F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.col("id").alias("row"), F.lit(None).cast(asked.schema["id"].dataType).alias("query"), "v")
+    each = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.lit(None).cast(rows.schema["id"].dataType).alias("row"), F.col("id").alias("query"), "v")
+    both = held.unionByName(each).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, parts, made = None, [], None
+        for batch in batches:
+            own, kind = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
+            cuts = np.flatnonzero((own[1:] != own[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if end == begin:
+                    continue
+                if own[begin] != shard:
+                    shard, parts, made = own[begin], [], None
+                part = batch.slice(begin, end - begin)
+                if kind[begin] == 0:
+                    parts.append(part)
+                elif parts:
+                    if made is None:
+                        table = pa.Table.from_batches(parts).combine_chunks()
+                        made = make(table.column("row"), table.column("v"))
+                    yield from ask(made, part.column("query"), part.column("v"))
+
+    return both.mapInArrow(run, schema)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", least: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding", query_col: str = "query_id", skip_self: bool = False) -> DataFrame:
     """query_id, rank (from 1), id, score of each query's k nearest vectors at `least` or more.
 
     Filters on `vectors` come first, so k is of what may be seen. Each batch keeps k a query; ties
-    go to the smaller id. Queries are taken in blocks of QUERY_BLOCK: a pass over the vectors each.
+    go to the smaller id. Up to QUERY_BLOCK queries go to all batches of vectors, which don't move; more meet the
+    vectors in shards.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
     qkind = queries.schema[query_col].dataType.simpleString()
-    qtype = to_arrow_type(queries.schema[query_col].dataType)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("v is not null")
-    asked = queries.select(F.col(query_col).alias("q"), F.col(vector_col).alias("v")).where("v is not null")
-    blocks = ceil(asked.count() / QUERY_BLOCK) or 1
-    out = None
-    for block in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).orderBy("q").collect()
-        told = spark.sparkContext.broadcast(([r["q"] for r in part], np.array([r["v"] for r in part], np.float64)))
-
-        def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
+    asked = queries.select(F.col(query_col).alias("id"), F.col(vector_col).alias("v")).where("v is not null")
+    first = asked.limit(QUERY_BLOCK + 1).collect()
+
+    def best(names: pa.Array, q: np.ndarray, ids: pa.Array, v: np.ndarray) -> pa.RecordBatch:
+        s = np.round(scores(q, v, metric), PLACES)
+        n = min(k + skip_self, s.shape[1])
+        cut = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
+        row, col = np.nonzero(s >= (cut if least is None else np.maximum(cut, least)))
+        return pa.RecordBatch.from_arrays([names.take(pa.array(row)), ids.take(pa.array(col)), pa.array(s[row, col])], ["query_id", "id", "score"])
+
+    schema = f"query_id {qkind}, id {kind}, score double"
+    if len(first) <= QUERY_BLOCK:
+        told = spark.sparkContext.broadcast((pa.array([r["id"] for r in first], to_arrow_type(asked.schema["id"].dataType)), np.array([r["v"] for r in first], np.float64)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q = told.value
             for batch in batches:
-                if not batch.num_rows or not len(names):
-                    continue
-                ids = np.array(batch.column(0).to_pylist(), object)
-                s = np.round(scores(q, matrix(batch.column(1)), metric), PLACES)
-                n = min(k + skip_self, s.shape[1])
-                cut = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
-                row, col = np.nonzero(s >= (cut if least is None else np.maximum(cut, least)))
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in row], qtype), pa.array(ids[col].tolist(), batch.column(0).type), pa.array(s[row, col])], ["query_id", "id", "score"])
-
-        near = rows.mapInArrow(run, f"query_id {qkind}, id {kind}, score double")
-        out = near if out is None else out.unionByName(near)
+                if batch.num_rows and len(names):
+                    yield best(names, q, batch.column(0), matrix(batch.column(1)))
+
+        out = rows.mapInArrow(run, schema)
+    else:
+        flat = lambda x: x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+
+        def ask(made: tuple, names: pa.Array, v: pa.Array) -> Iterator[pa.RecordBatch]:
+            q = matrix(v)
+            for at in range(0, len(q), BLOCK):
+                yield best(names.slice(at, BLOCK), q[at : at + BLOCK], *made)
+
+        out = against_shards(rows, asked, SHARD, lambda ids, v: (flat(ids), matrix(v)), ask, schema)
     if skip_self:
         out = out.where("id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))

@@ -506,6 +506,18 @@ def test_queue_of_documents(spark):
     assert {r.doc_id: (r.status, r.version) for r in done.collect()}[1] == ("completed", 2)
 
 
+def test_many_questions_meet_vectors_in_shards(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    v = r.normal(size=(120, 5))
+    rows = spark.createDataFrame([(f"v{i:03}", x.tolist()) for i, x in enumerate(v)], "vec_id string, embedding array<double>")
+    q = rows.withColumnRenamed("vec_id", "query_id")
+    few = sorted(map(tuple, vector.top_k(rows, q, 3, skip_self=True).collect()))
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(vector, "SHARD", 25)
+    monkeypatch.setattr(vector, "BLOCK", 16)
+    assert sorted(map(tuple, vector.top_k(rows, q, 3, skip_self=True).collect())) == few and len(few) == 360
+
+
 def test_getters_and_masks(spark):
     ents = spark.createDataFrame([("A",), ("B",)], "name string")
     rel = spark.createDataFrame([("A", "B", "d"), ("A", "A", "e")], "src_id string, tgt_id string, description string")
