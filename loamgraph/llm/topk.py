@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from math import ceil
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of one index shard, and queries that meet a shard at once.
+from ..operators.vector import against_shards
+
+#: Vectors of one index shard.
 SHARD = 8192
-QUERIES = 2048
 #: Levels of quantised impact in a posting list, and passes over descending impact.
 LEVELS = 16
 PASSES = 6
@@ -107,9 +108,8 @@ def whole(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
 
 
-def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
-    flat = column.combine_chunks()
-    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+def _matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     sizes = np.diff(flat.offsets.to_numpy())
     values = flat.flatten().to_numpy()
     if (sizes == dims).all():
@@ -122,33 +122,29 @@ def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest integer inner products.
 
-    Vectors are dealt into shards of bounded size and queries into groups of
-    bounded size; every shard meets every group in a task, which returns k rows a query.
+    Vectors are dealt into shards of bounded size, each of which moves and is indexed once; the queries stream past every shard, which gives k rows a query.
     Vectors that are null or hold null or non-finite components, and rows with a null id,
     take no part. Shorter vectors count as ending in zeros. Rows with the query's own id are no
     candidates; an id repeated among queries is asked once, with its
-    least vector; repeated candidates each count. Other columns are ignored.
+    least vector; repeated candidates each count. Components so large that a score might not fit 64 bits are refused with an error. Other columns are ignored.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = rows.where(F.col("vec_id").isNotNull() & whole(F.col("v"))).select("vec_id", "asks", integers(F.col("v"), scale).alias("v"))
-    size = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("asked"), F.max(F.size("v")).alias("dims")).first()
-    shards, groups, dims = ceil(size.n / SHARD) or 1, ceil(size.asked / QUERIES) or 1, size.dims or 1
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    base = rows.select("vec_id", "v", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard")).select("vec_id", "v", "shard", each(groups).alias("grp"))
-    asked = rows.where("asks").groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = asked.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("grp")).select("vec_id", "v", "grp", each(shards).alias("shard"))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = rows.where(F.col("id").isNotNull() & whole(F.col("v")))
+    size = rows.agg(F.max(F.size("v")).alias("dims"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))).alias("most")).first()
+    dims, most = size.dims or 1, (size.most or 0.0) * scale + 1
+    if most >= 2.0**31 or dims * most**2 >= 2.0**63:
+        raise ValueError("scores of these vectors may not fit 64 bits")
+    rows = rows.select("id", "asks", integers(F.col("v"), scale).alias("v"))
+    asked = rows.where("asks").groupBy("id").agg(F.min("v").alias("v"))
+
+    def ask(made: tuple[np.ndarray, ImpactIndex], names: pa.Array, v: pa.Array) -> Iterator[pa.RecordBatch]:
+        ids, index = made
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if left.num_rows and right.num_rows:
-            ids = left.column("vec_id").to_numpy()
-            index = ImpactIndex(_matrix(left.column("v"), dims))
-            for own, query in zip(right.column("vec_id").to_numpy(), _matrix(right.column("v"), dims), strict=True):
-                found, scores = index.search(query, k, ids, own)
-                out.append((np.full(len(found), own), found, scores))
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-    near = base.groupBy("shard", "grp").cogroup(asked.groupBy("shard", "grp")).applyInArrow(run, "query_id long, vec_id long, score long")
+        for own, query in zip(names.to_numpy(zero_copy_only=False), _matrix(v, dims), strict=True):
+            found, scores = index.search(query, k, ids, own)
+            out.append((np.full(len(found), own), found, scores))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+
+    near = against_shards(rows.select("id", "v"), asked, SHARD, lambda ids, v: (ids.to_numpy(), ImpactIndex(_matrix(v, dims))), ask, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

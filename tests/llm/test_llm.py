@@ -240,9 +240,13 @@ def test_one_of_similar_tells_rows_apart_by_id_and_text(spark, docs, none):
 # 3. Top-k
 
 
-def test_top_k_equals_brute_force(spark):
+@pytest.mark.parametrize("shard", [8192, 50])
+def test_top_k_equals_brute_force(spark, monkeypatch, shard):
+    from loamgraph.llm import topk
     from loamgraph.llm.topk import top_k
 
+    monkeypatch.setattr(topk, "SHARD", shard)
+
     r = np.random.default_rng(4)
     data = [(i, [float(x) for x in np.round(r.normal(size=6), 1)], "clash") for i in range(400)]
     data += [(1000, None, ""), (1001, [1.0, None, 0.0, 0.0, 0.0, 0.0], ""), (1002, [float("nan")] * 6, ""), (1003, [float("inf")] * 6, ""), (None, [1.0] * 6, ""), (1004, data[7][1], "")]
@@ -256,6 +260,17 @@ def test_top_k_equals_brute_force(spark):
     assert top_k(rows.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_of_repeated_ids_and_unequal_lengths(spark):
+    from loamgraph.llm.topk import top_k
+
+    rows = spark.createDataFrame([(0, [1.0, 2.0]), (0, [2.0]), (5, [1.0]), (5, [1.0]), (6, [0.0, 1.0, 7.0]), (7, [])], "vec_id long, embedding array<double>")
+    got = [(r["rank"], r.vec_id, r.score) for r in top_k(rows, F.col("vec_id") == 0).orderBy("rank").collect()]
+    one = 1024 * 1024
+    assert got == [(1, 6, 2 * one), (2, 5, one), (3, 5, one), (4, 7, 0)]
+    with pytest.raises(ValueError):
+        top_k(spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0)
+
+
 # 4. Licences
 
 
