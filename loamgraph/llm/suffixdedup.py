@@ -251,22 +251,23 @@ def _strings(texts: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
 class Family:
     """Suffix arrays of geometrically growing sizes over one buffer.
 
-    An array holds each distinct MATCH-long prefix once, with the least document
-    that has it, in the order of the prefixes' hashes (what's asked of the order is that
-    equal prefixes meet). A new batch is merge-scanned against every array, then
-    joins as the smallest; two arrays of one rank merge into one of the next.
+    An array holds suffixes in alphabetical order of their first MATCH bytes, each such prefix once in the whole family, with the least
+    document that has it. A new batch gets a suffix array, which is merge-scanned against every level for matches of MATCH
+    bytes; what no level has becomes the smallest level, and two levels of one rank merge into one of the next.
     """
 
     def __init__(self, data: bytes):
         self.words = words8(data)
-        self.levels: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        raw = np.frombuffer(data, np.uint8)
+        self.grid = np.lib.stride_tricks.as_strided(raw, (max(0, len(raw) - MATCH + 1), MATCH), (1, 1), writeable=False)
+        self.levels: list[tuple[int, np.ndarray, np.ndarray]] = []
 
     def same(self, a: np.ndarray, b: np.ndarray) -> bool:
         """Whether the prefixes at a and b are equal byte for byte."""
         return all(np.array_equal(self.words[a + o], self.words[b + o]) for o in [*range(0, MATCH - 8, 8), MATCH - 8])
 
-    def distinct(self, h: np.ndarray, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct (hash, place, least document), and for each input its place among them."""
+    def suffix_array(self, h: np.ndarray, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(prefixes in order, their least documents, each input's place among them). Equal prefixes meet by their hashes first, so only distinct ones are sorted."""
         order = np.lexsort((doc, h))
         s = h[order]
         new = np.r_[True, s[1:] != s[:-1]]
@@ -275,25 +276,35 @@ class Family:
         first = order[new]
         if not self.same(at, at[first][which]):
             raise Collision
-        return h[first], at[first], doc[first], which, order
+        prefixes = self.grid[at[first]].view(f"S{MATCH}").ravel()
+        sorted_ = np.argsort(prefixes)
+        place = np.empty(len(first), np.int64)
+        place[sorted_] = np.arange(len(first))
+        return prefixes[sorted_], doc[first][sorted_], place[which]
 
     def add(self, h: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Each suffix's least document so far, itself included; then the batch is part of the family."""
-        keys, places, least, which, _ = self.distinct(h, at, doc)
-        for _, k, p, d in self.levels:
-            i = np.minimum(np.searchsorted(k, keys), len(k) - 1)
-            hit = k[i] == keys
-            if not self.same(places[hit], p[i[hit]]):
-                raise Collision
-            least[hit] = np.minimum(least[hit], d[i[hit]])
-        found = least[which]
-        level = (0, keys, places, least)
-        while self.levels and self.levels[-1][0] == level[0]:
-            rank, k, p, d = self.levels.pop()
-            keys, places, least, _, _ = self.distinct(np.concatenate([k, level[1]]), np.concatenate([p, level[2]]), np.concatenate([d, level[3]]))
-            level = (rank + 1, keys, places, least)
-        self.levels.append(level)
-        return found
+        keys, least, place = self.suffix_array(h, at, doc)
+        fresh = np.ones(len(keys), bool)
+        for _, level, docs in self.levels:
+            left = np.flatnonzero(fresh)
+            i = np.minimum(np.searchsorted(level, keys[left]), len(level) - 1)
+            hit = level[i] == keys[left]
+            left, i = left[hit], i[hit]
+            docs[i] = least[left] = np.minimum(least[left], docs[i])
+            fresh[left] = False
+        if fresh.any():
+            rank, keys_, docs = 0, keys[fresh], least[fresh]
+            while self.levels and self.levels[-1][0] == rank:
+                _, level, old = self.levels.pop()
+                to = np.searchsorted(level, keys_) + np.arange(len(keys_))
+                merged, both = np.empty(len(level) + len(keys_), level.dtype), np.empty(len(level) + len(keys_), np.int64)
+                rest = np.ones(len(merged), bool)
+                rest[to] = False
+                merged[to], merged[rest], both[to], both[rest] = keys_, level, docs, old
+                rank, keys_, docs = rank + 1, merged, both
+            self.levels.append((rank, keys_, docs))
+        return least[place]
 
 
 class Collision(Exception):
@@ -408,7 +419,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     doc_id. Windows are dealt to buckets by their least seed hash, so equal
     windows meet. First only seeds move, each once a batch of texts; then the stretches of text
     whose seed two documents share, equal ones of a group once; each bucket keeps a
-    Family of suffix arrays over them. Spans return to their texts. Nothing
+    Family of suffix arrays over them, to which they come in batches in the order of documents. Spans return to their texts. Nothing
     is as large as a group of copies: a bucket gets a repeated string once from each group of texts.
 
     Null texts are empty. Rows with a null id neither remove nor lose anything. Rows

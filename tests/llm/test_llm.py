@@ -623,6 +623,31 @@ def test_suffix_dedup_equals_brute_force(spark, docs, none, monkeypatch, segment
     assert suffixdedup.remove_repeats(none).count() == 0
 
 
+def test_family_of_suffix_arrays_over_successive_batches():
+    from loamgraph.llm import suffixdedup as sd
+
+    r = random.Random(4)
+    parts = [bytes(r.choice(b"ab\0\xff") for _ in range(90)) for _ in range(30)]
+    data = b"".join(r.choice(parts) for _ in range(300))
+    family, h = sd.Family(data), sd.hashes(data, sd.MATCH)
+    seen, at = {}, 0
+    for n in (1, 700, 20, 5000, 3000, 90, 4000, 1, 6000):
+        places = np.arange(at, min(at + n, len(h)))
+        docs = np.array([r.randrange(50) for _ in places])
+        for p, d in zip(places.tolist(), docs.tolist()):
+            w = data[p : p + sd.MATCH]
+            seen[w] = min(seen.get(w, d), d)
+        got = family.add(h[places], places, docs)
+        assert got.tolist() == [seen[data[p : p + sd.MATCH]] for p in places.tolist()]
+        held = [k for _, level, _ in family.levels for k in level.tolist()]
+        assert len(held) == len(set(held)) == len(seen)
+        for _, level, _ in family.levels:
+            assert (level[1:] > level[:-1]).all()
+        ranks = [rank for rank, _, _ in family.levels]
+        assert ranks == sorted(set(ranks), reverse=True)
+        at += n
+
+
 # 1. Decontamination
 
 
