@@ -160,7 +160,11 @@ def apply_policy(text: Column, action: str, patterns: dict[str, str] = PERSONAL,
         return F.when(~_any(text, patterns), text)
     out = text
     for pattern in patterns.values():
-        out = F.regexp_replace(out, pattern, mask.replace("$", r"\$") if action == "mask" else "")
+        put = F.regexp_replace(out, pattern, mask.replace("$", r"\$") if action == "mask" else "")
+        # A text without what every match holds isn't searched.
+        out = F.when(F.contains(out, F.lit("@")), put).otherwise(out) if "@" in pattern else put
+    if all("@" in p or r"\d" in p for p in patterns.values()):
+        out = F.when(F.contains(text, F.lit("@")) | text.rlike("[0-9]"), out).otherwise(text)
     return strip(out) if action == "redact" else out
 
 
