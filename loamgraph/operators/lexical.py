@@ -71,16 +71,16 @@ def ranked(found: DataFrame, asked: DataFrame, ids: DataFrame, k: int) -> DataFr
     """
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     place = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    top = stored(place(found.withColumn("all", F.count("*").over(Window.partitionBy("query_id")))))
-    few = top.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("n"), F.max("all").alias("all"))
-    few = stored(asked.select("query_id").distinct().join(few, "query_id", "left").where(F.coalesce("n", F.lit(0)) < k).select("query_id", F.coalesce("all", F.lit(0)).alias("all")))
-    most = few.agg(F.max("all")).first()[0]
-    if most is None:
+    top = stored(place(found))
+    full = top.where("score > 0").groupBy("query_id").count().where(F.col("count") >= k)
+    few = stored(asked.select("query_id").distinct().join(full, "query_id", "left_anti"))
+    if few.isEmpty():
         return top.select("query_id", "rank", "id", "score")
+    had = stored(found.join(few, "query_id", "left_semi").select("query_id", "id"))
+    most = had.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
     first = ids.select("id").distinct().orderBy("id").limit(k + most).agg(F.collect_list("id").alias("ids"))
     rest = few.select("query_id").join(F.broadcast(first)).select("query_id", F.explode("ids").alias("id"))
-    had = top if most <= k else found
-    rest = rest.join(had.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    rest = rest.join(had, ["query_id", "id"], "left_anti")
     return place(top.select("query_id", "id", "score").unionByName(rest.withColumn("score", F.lit(0.0)))).select("query_id", "rank", "id", "score")
 
 
