@@ -20,6 +20,8 @@ SHARD = 16384
 #: Vectors of a block of the self-join.
 BLOCK = 1024
 THRESHOLD = 0.2
+#: The share of true neighbours that cells must find, and queries of which that is measured.
+RECALL, ASKED = 0.95, 200
 PLACES = 9
 
 
@@ -197,20 +199,36 @@ class Cells:
             c = np.where(norm > 0, sums / np.maximum(norm, 1e-12), c)
         self.centroids = c
 
-    def assign(self, rows: DataFrame, probes: int = 1, name: str = "cell") -> DataFrame:
-        """rows with a `cell` for each of the nearest `probes` cells."""
+    def assign(self, rows: DataFrame, probes: int = 1) -> DataFrame:
+        """rows with a row for each of the nearest `probes` cells: place (from 0, nearest first) and cell."""
         told = rows.sparkSession.sparkContext.broadcast(self.centroids)
+
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for s in batches:
-                near = np.argsort(-(np.stack(s.to_numpy()) @ told.value.T), axis=1)[:, :probes]
+                near = np.argsort(-(np.stack(s.to_numpy()) @ told.value.T), axis=1, kind="stable")[:, :probes]
                 yield pd.Series(list(near.astype(np.int32)))
 
-        return rows.where(F.col(self.vector_col).isNotNull()).withColumn(name, F.explode(F.pandas_udf(run, "array<int>")(self.vector_col)))
-
-    def top_k(self, vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int = 10, query_col: str = "query_id") -> DataFrame:
-        """As top_k() with cosine, over the probed cells: an equi-join on the cell, scored in the JVM."""
-        q = self.assign(queries.select(F.col(query_col).alias("query_id"), self.vector_col), probes).withColumnRenamed(self.vector_col, "q")
-        v = self.assign(vectors.select(F.col(self.id_col).alias("id"), self.vector_col)).withColumnRenamed(self.vector_col, "v")
+        return rows.where(F.col(self.vector_col).isNotNull()).select("*", F.posexplode(F.pandas_udf(run, "array<int>")(self.vector_col)).alias("place", "cell"))
+
+    def probes_for(self, vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = RECALL, query_col: str = "query_id") -> int:
+        """The fewest cells to probe that hold a share `recall` of the true k nearest of ASKED queries, drawn by a hash: their exact
+        neighbours are searched, and the place of each one's cell in its query's order is counted."""
+        drawn = queries.where(F.col(self.vector_col).isNotNull()).orderBy(F.xxhash64(query_col)).limit(ASKED).select(F.col(query_col).alias("query_id"), self.vector_col)
+        exact = top_k(vectors, drawn, k, "cosine", None, self.id_col, self.vector_col)
+        cells = self.assign(vectors.select(F.col(self.id_col).alias("id"), self.vector_col)).select("id", "cell")
+        order = self.assign(drawn, len(self.centroids)).select("query_id", "place", "cell")
+        got = exact.join(cells, "id").join(order, ["query_id", "cell"]).groupBy("place").count().collect()
+        held = np.zeros(len(self.centroids), np.int64)
+        for r in got:
+            held[r["place"]] = r["count"]
+        return int(np.searchsorted(np.cumsum(held), recall * held.sum())) + 1
+
+    def top_k(self, vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int | None = None, query_col: str = "query_id", recall: float = RECALL) -> DataFrame:
+        """As top_k() with cosine, over the probed cells: an equi-join on the cell, scored in the JVM. Without `probes`, probes_for() `recall` are taken."""
+        if probes is None:
+            probes = self.probes_for(vectors, queries, k, recall, query_col)
+        q = self.assign(queries.select(F.col(query_col).alias("query_id"), self.vector_col), probes).drop("place").withColumnRenamed(self.vector_col, "q")
+        v = self.assign(vectors.select(F.col(self.id_col).alias("id"), self.vector_col)).drop("place").withColumnRenamed(self.vector_col, "v")
         both = v.join(q, "cell").select("query_id", "id", F.round(cosine(F.col("q"), F.col("v")), PLACES).alias("score"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
         return both.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

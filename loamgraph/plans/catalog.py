@@ -296,7 +296,7 @@ def vector_threshold_acl(spark, sf_dir):
 @query()
 def vector_topk_cells(spark, sf_dir):
     rows = vector.Cells(_vectors(spark, sf_dir), 20)
-    return rows.top_k(_vectors(spark, sf_dir), _asked(spark, sf_dir), 10, 6)
+    return rows.top_k(_vectors(spark, sf_dir), _asked(spark, sf_dir), 10)
 
 
 PAIRS = f"WITH {VEC} SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 4) AS similarity FROM v a JOIN v b ON a.id < b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.5"
@@ -925,6 +925,20 @@ def _embedded_questions(spark, sf_dir):
     return _questions(spark, sf_dir).join(_vectors(spark, sf_dir).select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
 
 
+SEEN_CHUNKS = BM25.replace(f"SELECT doc_id AS id, {LEX('text')} AS t FROM documents", f"SELECT id, {LEX('content')} AS t FROM c")
+CONTEXT_SQL = {
+    "naive": f"""WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS id, text AS content, CAST(embedding AS DOUBLE[]) AS e FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE doc_id % 3 = 0 OR source = 'src1' OR lang IN ('fr', 'en')),
+ q AS (SELECT item_id AS query_id, CAST(embedding AS DOUBLE[]) AS qe FROM benchmark LEFT JOIN embeddings ON vec_id = item_id), {SEEN_CHUNKS},
+ s AS (SELECT query_id, id, round(list_cosine_similarity(e, qe), 9) AS score FROM c, q WHERE e IS NOT NULL AND qe IS NOT NULL), vr AS ({RANKED} WHERE score >= 0.2),
+ lists AS (SELECT query_id, id, rank, 0 AS list FROM vr WHERE rank <= 5 UNION ALL SELECT query_id, id, rank, 1 FROM bm25 WHERE rank <= 5),
+ sums AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS rrf_score, min(list * 1000 + rank) AS first FROM lists GROUP BY 1, 2),
+ fused AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, first) AS INTEGER) AS rank, id FROM sums),
+ ctx AS (SELECT query_id, rank, id, content, CAST(len({W("content")}) AS BIGINT) AS tokens FROM fused JOIN c USING (id) WHERE rank <= 5),
+ used AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM ctx)
+ SELECT query_id, 'ref-' || row_number() OVER (PARTITION BY query_id ORDER BY rank) AS ref_id, 'chunk' AS kind, rank, id, content, tokens FROM used WHERE used <= 2000""",
+}
+
+
 def _mode(mode: str) -> None:
     def f(spark, sf_dir):
         from ..operators.retrieve import Options, retrieve
@@ -933,7 +947,7 @@ def _mode(mode: str) -> None:
         return retrieve(_corpus(spark, sf_dir), q, Options(mode=mode, snapshot_at=t.ntz("2024-07-01"), user="src1", groups=["fr", "en"], total_tokens=2000))
 
     f.__name__ = f"context_{mode}"
-    query()(f)
+    query(CONTEXT_SQL.get(mode))(f)
 
 
 for _m in ("local", "global", "hybrid", "naive", "mix", "community", "bypass"):

@@ -211,6 +211,17 @@ def test_vectors(spark):
     assert got.count() == 9
 
 
+def test_cells_reach_the_recall_they_are_asked_for(spark):
+    r = np.random.default_rng(9)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(r.normal(size=(600, 16)))], "vec_id long, embedding array<double>")
+    q = rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    exact = {(x.query_id, x.id) for x in vector.top_k(rows, q, 10).collect()}
+    cells = vector.Cells(rows, 24)
+    found = {(x.query_id, x.id) for x in cells.top_k(rows, q, 10).collect()}
+    assert len(exact & found) >= 0.95 * len(exact) and len(found) == len(exact) == 300
+    assert cells.probes_for(rows, q) < 24
+
+
 def test_indel_ratio(spark):
     def lcs(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
