@@ -435,7 +435,13 @@ def pii_email_phone(spark, sf_dir):
     return found.groupBy("doc_id", "category", "text").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    "WITH m AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, regexp_split_to_array(text, '{p}') AS parts, regexp_extract_all(text, '{p}') AS hits FROM documents WHERE regexp_matches(text, '{p}')" for c, p in safety.PERSONAL.items())
+    + """), k AS (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM m),
+ s AS (SELECT doc_id, category, hits[k] AS text, CAST(list_sum(list_transform(parts[:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[:k - 1], lambda x: length(x))), 0) AS INTEGER) AS start FROM k)
+ SELECT doc_id, category, start, CAST(start + length(text) AS INTEGER) AS "end", CAST(1 AS DOUBLE) AS score, text FROM s"""
+)
 def pii_offsets(spark, sf_dir):
     return safety.findings(t.table(spark, sf_dir, "documents"))
 
