@@ -945,6 +945,17 @@ CONTEXT_SQL = {
 }
 
 
+#: The naive context as it is without a user and a smaller budget.
+OPEN_CONTEXT = CONTEXT_SQL["naive"].replace(" WHERE doc_id % 3 = 0 OR source = 'src1' OR lang IN ('fr', 'en')", "").replace("used <= 2000", "used <= 12000")
+OVERLAP_WORDS = "list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'))"
+GROUNDED = f"""WITH ctx0 AS ({OPEN_CONTEXT}), l AS (SELECT item_id AS query_id, {SENTENCES.format("text")} AS s FROM benchmark),
+ claims AS (SELECT query_id, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS claim_no, unnest(s) AS claim FROM l),
+ scored AS (SELECT query_id, claim_no, claim, id, CASE WHEN content IS NULL OR len({OVERLAP_WORDS.format("claim")}) = 0 THEN 0.0::DOUBLE
+ ELSE len(list_intersect({OVERLAP_WORDS.format("claim")}, {OVERLAP_WORDS.format("content")})) / len({OVERLAP_WORDS.format("claim")}) END AS score FROM claims LEFT JOIN ctx0 USING (query_id)),
+ best AS (SELECT *, row_number() OVER (PARTITION BY query_id, claim_no ORDER BY score DESC, id DESC NULLS LAST) AS n FROM scored)
+ SELECT query_id, claim_no, claim, score, id AS supporting_id, score >= 0.5 AS supported FROM best WHERE n = 1"""
+
+
 def _mode(mode: str) -> None:
     def f(spark, sf_dir):
         from ..operators.retrieve import Options, retrieve
@@ -960,7 +971,7 @@ for _m in ("local", "global", "hybrid", "naive", "mix", "community", "bypass"):
     _mode(_m)
 
 
-@query()
+@query(GROUNDED)
 def grounded_claims(spark, sf_dir):
     """Each question answered with its own text, its claims checked against a naive context."""
     from ..operators import retrieve
