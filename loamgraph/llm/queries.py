@@ -108,5 +108,19 @@ WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
  CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = best THEN NULL ELSE best END AS refers_to FROM d"""
 
 
+# Two hex digits a byte; windows are told by their MD5. Windows that follow each other by 50 bytes or fewer leave no byte between them.
+REPEATS_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+ p AS (SELECT doc_id, n, base, substr(h, 2 * base + 1, 218) AS part FROM (SELECT doc_id, h, n, unnest(range(0, n - 49, 60)) AS base FROM d)),
+ w AS (SELECT doc_id, base + j AS i, md5_number(substr(part, 2 * j + 1, 100)) AS s FROM (SELECT doc_id, base, part, unnest(range(0, least(60, n - 49 - base))) AS j FROM p)),
+ f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY 1),
+ r AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS fresh FROM w JOIN f USING (s) WHERE m < doc_id),
+ g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r),
+ spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, run),
+ cut AS (SELECT doc_id, 0 AS a, 0 AS b FROM d UNION ALL SELECT * FROM spans),
+ parts AS (SELECT doc_id, a, b, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY b, a), n) AS upto, h, n FROM cut JOIN d USING (doc_id))
+ SELECT doc_id, any_value(n) AS n_bytes, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) FILTER (WHERE b > a) AS n_spans,
+ sha256(unhex(string_agg(substr(h, 2 * b + 1, 2 * (upto - b)), '' ORDER BY b, a))) AS kept_sha256 FROM parts GROUP BY doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": TOP_K_SQL, "op6_warc": WARC_SQL}
+    return {"op3_topk": TOP_K_SQL, "op6_warc": WARC_SQL, "op10_suffix_dedup": REPEATS_SQL}
