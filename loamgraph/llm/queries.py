@@ -122,5 +122,17 @@ REPEATS_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h,
  sha256(unhex(string_agg(substr(h, 2 * b + 1, 2 * (upto - b)), '' ORDER BY b, a))) AS kept_sha256 FROM parts GROUP BY doc_id"""
 
 
+LINES_SQL = """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+ l AS (SELECT doc_id, ls, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM d),
+ filled AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM l WHERE regexp_matches(line, '[^ \\t\\n\\r\\f\\v]')),
+ p AS (SELECT doc_id, k, ls, i AS a, line, lead(i) OVER w AS b, lead(line) OVER w AS next FROM filled WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ r AS (SELECT doc_id, a, b, row_number() OVER (PARTITION BY line, next, ls[a + 2 : b] ORDER BY doc_id, k) > 1 AS gone FROM p WHERE b IS NOT NULL),
+ counts AS (SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (WHERE gone) AS removed_chunks FROM r GROUP BY 1),
+ x AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM r WHERE gone),
+ kept AS (SELECT l.doc_id, count(*) AS n_lines, count(x.i) AS removed_lines, string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE x.i IS NULL) AS t FROM l LEFT JOIN x ON x.doc_id = l.doc_id AND x.i = l.i GROUP BY 1)
+ SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_chunks, 0) AS n_chunks, coalesce(removed_chunks, 0) AS removed_chunks, coalesce(removed_lines, 0) AS removed_lines,
+ CASE WHEN text IS NOT NULL THEN sha256(coalesce(t, '')) END AS kept_sha256 FROM documents LEFT JOIN kept ON kept.doc_id = documents.doc_id LEFT JOIN counts ON counts.doc_id = documents.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": TOP_K_SQL, "op6_warc": WARC_SQL, "op10_suffix_dedup": REPEATS_SQL}
+    return {"op3_topk": TOP_K_SQL, "op6_warc": WARC_SQL, "op8_line_dedup": LINES_SQL, "op10_suffix_dedup": REPEATS_SQL}
