@@ -945,6 +945,14 @@ CONTEXT_SQL = {
 }
 
 
+CONTEXT_SQL["community"] = f"""WITH rep AS (SELECT source || '/' || CAST(doc_id // {REPORT_IDS} AS VARCHAR) AS id, source || chr(10) || string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS content,
+ lower(source || ' ' || string_agg(text, chr(10) ORDER BY doc_id)) AS body FROM documents GROUP BY source, doc_id // {REPORT_IDS}),
+ k AS (SELECT item_id AS query_id, unnest({WORDS("text")}) AS word FROM benchmark), u AS (SELECT DISTINCT word FROM k),
+ f AS (SELECT id, word FROM rep, u WHERE contains(body, word)), h AS (SELECT query_id, id, count(*) AS score FROM f JOIN k USING (word) GROUP BY 1, 2),
+ r AS (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM h),
+ ctx AS (SELECT query_id, rank, id, content, CAST(len({W("content")}) AS BIGINT) AS tokens FROM r JOIN rep USING (id) WHERE rank <= 20),
+ used AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM ctx)
+ SELECT query_id, 'ref-' || row_number() OVER (PARTITION BY query_id ORDER BY rank) AS ref_id, 'community' AS kind, rank, id, content, tokens FROM used WHERE used <= 2000"""
 #: The naive context as it is without a user and a smaller budget.
 OPEN_CONTEXT = CONTEXT_SQL["naive"].replace(" WHERE doc_id % 3 = 0 OR source = 'src1' OR lang IN ('fr', 'en')", "").replace("used <= 2000", "used <= 12000")
 OVERLAP_WORDS = "list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'))"
