@@ -84,6 +84,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster_report
+
+    return cluster_report(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pipeline import run
 
@@ -91,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_topk, op4_licenses, op5_language_id, op6_warc, op7_packing, op8_line_dedup, op9_token_counts, op10_suffix_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_topk, op4_licenses, op5_language_id, op6_warc, op7_packing, op8_line_dedup, op9_token_counts, op10_suffix_dedup, op13_centroids, pipeline)}
 
 
 TOP_K_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
@@ -134,5 +140,22 @@ LINES_SQL = """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM
  CASE WHEN text IS NOT NULL THEN sha256(coalesce(t, '')) END AS kept_sha256 FROM documents LEFT JOIN kept ON kept.doc_id = documents.doc_id LEFT JOIN counts ON counts.doc_id = documents.doc_id"""
 
 
+def _centroid_sql(k: int = 40, rounds: int = 5) -> str:
+    """Each round as two common tables: the nearest centroid by joined components, and the centroids' floored means."""
+    parts = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS INTEGER) AS c, v AS w FROM (SELECT v, sha256('2:' || CAST(vec_id AS VARCHAR)) AS h FROM v) ORDER BY c LIMIT {k})""",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT r, min(struct_pack(d := d, c := c)) AS m FROM (SELECT r, c, CAST(list_sum(list_transform(list_zip(v, w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v, c{i}) GROUP BY r)""")
+        if i < rounds:
+            parts.append(f"""s{i} AS (SELECT m.c AS c, d, sum(x) AS s, count(*) AS n FROM (SELECT r, unnest(v) AS x, unnest(range(64)) AS d FROM v) JOIN a{i} USING (r) GROUP BY 1, 2),
+ c{i + 1} AS MATERIALIZED (SELECT c, coalesce(f, w) AS w FROM c{i} LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY d) AS f FROM s{i} GROUP BY c) USING (c))""")
+    last = f"""SELECT vec_id, m.c AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+ sha256(array_to_string(w, ',')) AS centroid_sha256 FROM a{rounds} JOIN v USING (r) JOIN c{rounds} ON c = m.c"""
+    return "WITH " + ",\n ".join(parts) + "\n " + last
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": TOP_K_SQL, "op6_warc": WARC_SQL, "op8_line_dedup": LINES_SQL, "op10_suffix_dedup": REPEATS_SQL}
+    return {"op3_topk": TOP_K_SQL, "op6_warc": WARC_SQL, "op8_line_dedup": LINES_SQL, "op10_suffix_dedup": REPEATS_SQL, "op13_centroids": _centroid_sql()}
