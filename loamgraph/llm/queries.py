@@ -84,6 +84,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import damaged_rows, repair_report
+
+    return repair_report(damaged_rows(_table(spark, sf_dir, "conversations")))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .centroids import cluster_report
 
@@ -97,7 +103,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_topk, op4_licenses, op5_language_id, op6_warc, op7_packing, op8_line_dedup, op9_token_counts, op10_suffix_dedup, op13_centroids, pipeline)}
+    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_topk, op4_licenses, op5_language_id, op6_warc, op7_packing, op8_line_dedup, op9_token_counts, op10_suffix_dedup, op11_conversations, op13_centroids, pipeline)}
 
 
 TOP_K_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
@@ -157,5 +163,38 @@ def _centroid_sql(k: int = 40, rounds: int = 5) -> str:
     return "WITH " + ",\n ".join(parts) + "\n " + last
 
 
+def _repair_sql() -> str:
+    """CRC-32 bit by bit; then from each conversation's last row back the cheapest edits from each of the four states, told apart by cost, then letters."""
+    crc = """xor(list_reduce(list_transform(range(1, len(k) + 1), lambda i: CAST(ascii(substr(k, i, 1)) AS BIGINT)),
+ lambda a, b: list_reduce(range(8), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(a, b)), 4294967295), 4294967295) % 20"""
+    inits, to = {0: "su", 1: "u", 2: "a", 3: "u"}, {"s": 1, "u": 2, "a": 3}
+    asks = ["user", "user", "assistant", "user"]
+
+    def past(q: int) -> str:
+        step = lambda letter, cost, state, line: f"{{'c': s{state}.c + {cost}, 'a': '{letter}' || s{state}.a, 't': {line}s{state}.t}}"
+        late = "(CASE WHEN cut THEN 5 ELSE 0 END)"
+        ways = [step("D", "2", q, ""), f"CASE WHEN NOT gone THEN {step('R', f'1 + {late}', to[asks[q][0]], f"'{asks[q]}:' || text || chr(10) || ")} END"]
+        ways += [f"CASE WHEN NOT gone AND i = '{x}' THEN {step('K', late, to[x], "role || ':' || text || chr(10) || ")} END" for x in inits[q]]
+        return f"list_min([{', '.join(ways)}]) AS b{q}"
+
+    def added(own: str, rest: str, q: int, name: str) -> str:
+        state = f"{rest}{to[asks[q][0]]}"
+        return f"list_min([{own}{q}, {{'c': {state}.c + 5, 'a': 'I' || {state}.a, 't': '{asks[q]}:' || chr(10) || {state}.t}}]) AS {name}{q}"
+
+    every = lambda f: ", ".join(f(q) for q in range(4))
+    return f"""WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+ kinds AS (SELECT *, {crc} AS m FROM raw),
+ hit AS (SELECT conv_id, turn, CASE WHEN m = 4 THEN 'user' ELSE role END AS role, CASE m WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE m WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS r FROM hit),
+ told AS (SELECT conv_id, turn, role, text, r, left(role, 1) AS i, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY r) > 1 AS again, NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS late, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY r) AS before FROM placed),
+ rows_ AS (SELECT *, blank OR again AS gone, late AND NOT blank AND NOT again AS cut FROM told),
+ facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again AND NOT blank) AS duplicate, count(*) FILTER (WHERE cut) AS truncated,
+ count(*) FILTER (WHERE r > 1 AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY 1),
+ rec AS (SELECT conv_id, count(*) AS r, {{'c': 0, 'a': '', 't': ''}} AS s0, {{'c': 10, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:' || chr(10)}} AS s1, {{'c': 5, 'a': 'I', 't': 'assistant:' || chr(10)}} AS s2, {{'c': 0, 'a': '', 't': ''}} AS s3 FROM rows_ GROUP BY 1
+ UNION ALL SELECT conv_id, r, {every(lambda q: added("b", "f", q, "s"))} FROM (SELECT conv_id, r, {every(lambda q: f"b{q}")}, {every(lambda q: added("b", "b", q, "f"))} FROM (SELECT rec.conv_id, rec.r - 1 AS r, {every(past)} FROM rec JOIN rows_ ON rows_.conv_id IS NOT DISTINCT FROM rec.conv_id AND rows_.r = rec.r)))
+ SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(s0.c, 0) AS BIGINT) AS cost, coalesce(s0.a, '') AS audit,
+ sha256(coalesce(left(s0.t, length(s0.t) - 1), '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN rec ON rec.conv_id IS NOT DISTINCT FROM o.conv_id AND rec.r = 0"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": TOP_K_SQL, "op6_warc": WARC_SQL, "op8_line_dedup": LINES_SQL, "op10_suffix_dedup": REPEATS_SQL, "op13_centroids": _centroid_sql()}
+    return {"op3_topk": TOP_K_SQL, "op6_warc": WARC_SQL, "op8_line_dedup": LINES_SQL, "op10_suffix_dedup": REPEATS_SQL, "op11_conversations": _repair_sql(), "op13_centroids": _centroid_sql()}
