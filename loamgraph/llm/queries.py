@@ -90,6 +90,12 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(damaged_rows(_table(spark, sf_dir, "conversations")))
 
 
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_join
+
+    return jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .centroids import cluster_report
 
@@ -103,7 +109,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_topk, op4_licenses, op5_language_id, op6_warc, op7_packing, op8_line_dedup, op9_token_counts, op10_suffix_dedup, op11_conversations, op13_centroids, pipeline)}
+    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_topk, op4_licenses, op5_language_id, op6_warc, op7_packing, op8_line_dedup, op9_token_counts, op10_suffix_dedup, op11_conversations, op12_jaccard, op13_centroids, pipeline)}
 
 
 TOP_K_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
@@ -196,5 +202,14 @@ def _repair_sql() -> str:
  sha256(coalesce(left(s0.t, length(s0.t) - 1), '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN rec ON rec.conv_id IS NOT DISTINCT FROM o.conv_id AND rec.r = 0"""
 
 
+JACCARD_SQL = """WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+ s AS (SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [ws] ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i : i + 2])) END AS sh FROM d),
+ x AS (SELECT r, len(sh) AS n, md5_number(array_to_string(unnest(sh), ' ')) AS h FROM s),
+ p AS (SELECT a.r AS a, b.r AS b FROM x a JOIN x b ON a.h = b.h AND a.r < b.r GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+ e AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+ reach AS (SELECT r AS a, r AS b FROM s UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b)
+ SELECT any_value(s.doc_id) AS doc_id, CAST(any_value(len(s.sh)) AS BIGINT) AS n_shingles, min(t.doc_id) AS component_id FROM s JOIN reach ON reach.a = s.r JOIN s t ON t.r = reach.b GROUP BY s.r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": TOP_K_SQL, "op6_warc": WARC_SQL, "op8_line_dedup": LINES_SQL, "op10_suffix_dedup": REPEATS_SQL, "op11_conversations": _repair_sql(), "op13_centroids": _centroid_sql()}
+    return {"op3_topk": TOP_K_SQL, "op6_warc": WARC_SQL, "op8_line_dedup": LINES_SQL, "op10_suffix_dedup": REPEATS_SQL, "op11_conversations": _repair_sql(), "op12_jaccard": JACCARD_SQL, "op13_centroids": _centroid_sql()}
