@@ -1,4 +1,4 @@
-"""Vector search and similarity joins, in numpy blocks over Arrow batches."""
+"""Vector search, in numpy blocks over Arrow batches."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from ..functions.text import same_place_similarity
 #: Queries that are sent to all vectors; more meet the vectors in shards of so many.
 QUERY_BLOCK = 4096
 SHARD = 16384
-#: Vectors of a block of the self-join.
+#: Queries that are scored against a shard at once.
 BLOCK = 1024
 THRESHOLD = 0.2
 #: The share of true neighbours that cells must find, and queries of which that is measured.
@@ -125,38 +125,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "co
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-def similar_pairs(vectors: DataFrame, least: float = 0.88, metric: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """a, b, similarity (4 places) of every pair a < b at `least` or more; zero vectors are left out.
-
-    Vectors are dealt into blocks of bounded size, and each pair of blocks is one task's matrix product.
-    """
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("v is not null")
-    n = ceil(rows.count() / block) or 1
-    kind = vectors.schema[id_col].dataType.simpleString()
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    tiles = dealt.select("id", "v", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-
-    def run(table: pa.Table) -> pa.Table:
-        ids, part = np.array(table.column("id").to_pylist()), table.column("part").to_numpy()
-        v = matrix(table.column("v"))
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        a, b = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
-        s = scores(v[a], v[b], metric)
-        full = (np.linalg.norm(v[a], axis=1) > 0)[:, None] & (np.linalg.norm(v[b], axis=1) > 0)[None, :]
-        i, j = np.nonzero((s >= least) & full & ((ids[a][:, None] < ids[b][None, :]) if lo == hi else np.ones_like(full)))
-        x, y = ids[a[i]], ids[b[j]]
-        kind = table.schema.field("id").type
-        return pa.table({"a": pa.array(np.where(x < y, x, y)).cast(kind), "b": pa.array(np.where(x < y, y, x)).cast(kind), "similarity": np.round(s[i, j], 4)})
-
-    return tiles.groupBy("lo", "hi").applyInArrow(run, f"a {kind}, b {kind}, similarity double")
-
-
-def neighbor_pairs(vectors: DataFrame, k: int = 5, least: float = 0.85, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """a, b, similarity: each vector's k nearest at `least` or more, a pair once."""
-    near = top_k(vectors, vectors.select(F.col(id_col).alias("query_id"), vector_col), k, "cosine", least, id_col, vector_col, skip_self=True)
-    return near.select(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b"), F.col("score").alias("similarity")).dropDuplicates(["a", "b"])
-
-
 def indel_ratio(a: Column, b: Column) -> Column:
     """2 LCS / (len a + len b), of lower-cased texts; two empty ones are equal. Rows run in Arrow batches."""
     def common(x: str, y: str) -> int:

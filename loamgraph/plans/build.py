@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import models
 from ..functions.text import entity_text, hash_id, relation_text
-from ..operators import chunking, community, extract, graph, safety, vector
+from ..operators import chunking, community, extract, graph, safety, simjoin, vector
 from ..operators.retrieve import Corpus, Options, retrieve
 from ..prompts import PROMPTS, fill
 from .durable import connected_components, cut
@@ -37,7 +37,7 @@ def resolve(names: DataFrame, embedder: models.Embedder | None = None, least: fl
     With a model, near names of another spelling are one if the first line of its answer says SAME.
     """
     vectors = cut(names.select("name").distinct().withColumn("embedding", models.embed(F.col("name"), embedder)).withColumn("id", F.xxhash64("name")))
-    pairs = vector.neighbor_pairs(vectors, 5, least, "id", "embedding")
+    pairs = simjoin.neighbor_pairs(vectors, 5, least, "id", "embedding")
     by = lambda c: vectors.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name"))
     spelt = cut(pairs.join(by("a"), "a").join(by("b"), "b").withColumn("ratio", vector.indel_ratio(F.col("a_name"), F.col("b_name"))))
     close = spelt.where(F.col("ratio") > ratio).select("a", "b")

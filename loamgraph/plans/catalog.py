@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import models
 from ..functions import text as tx
-from ..operators import chunking, evaluate, extract, fusion, graph, lexical, safety, store, traverse, vector
+from ..operators import chunking, evaluate, extract, fusion, graph, graphindex, lexical, quantise, safety, simjoin, store, traverse, vector
 from . import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -299,12 +300,33 @@ def vector_topk_cells(spark, sf_dir):
     return rows.top_k(_vectors(spark, sf_dir), _asked(spark, sf_dir), 10)
 
 
+@query()
+def vector_topk_graph(spark, sf_dir):
+    rows, asked = _vectors(spark, sf_dir), _asked(spark, sf_dir)
+    return graphindex.graph_search(rows, asked, width=graphindex.width_for(rows, asked))
+
+
+@query()
+def vector_topk_quantised(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    return quantise.QuantisedIndex(rows).top_k(rows, _asked(spark, sf_dir))
+
+
+@query()
+def similar_documents(spark, sf_dir):
+    """Documents whose whole texts' hashed words have a cosine of 0.95 or more."""
+    from .durable import stored
+
+    texts = t.table(spark, sf_dir, "documents")
+    return simjoin.similar_pairs(stored(texts.select("doc_id", models.embed(F.col("text")).alias("embedding"))), 0.95, "doc_id")
+
+
 PAIRS = f"WITH {VEC} SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 4) AS similarity FROM v a JOIN v b ON a.id < b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.5"
 
 
 @query(PAIRS)
 def entity_pairs_above_threshold(spark, sf_dir):
-    return vector.similar_pairs(_vectors(spark, sf_dir), 0.5)
+    return simjoin.similar_pairs(_vectors(spark, sf_dir), 0.5)
 
 
 NEAR = f"""{VEC}, s AS (SELECT a.id AS x, b.id AS y, round(list_cosine_similarity(a.e, b.e), 9) AS score FROM v a, v b WHERE a.id <> b.id),
@@ -314,7 +336,7 @@ NEAR = f"""{VEC}, s AS (SELECT a.id AS x, b.id AS y, round(list_cosine_similarit
 
 @query(f"WITH {NEAR} SELECT a, b, similarity FROM pairs")
 def er_blocking_pairs(spark, sf_dir):
-    return vector.neighbor_pairs(_vectors(spark, sf_dir), 5, 0.45).withColumn("similarity", F.round("similarity", 6))
+    return simjoin.neighbor_pairs(_vectors(spark, sf_dir), 5, 0.45).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(
@@ -325,7 +347,7 @@ def er_blocking_pairs(spark, sf_dir):
 def merge_components(spark, sf_dir):
     from .durable import connected_components
 
-    pairs = vector.neighbor_pairs(_vectors(spark, sf_dir), 5, 0.45)
+    pairs = simjoin.neighbor_pairs(_vectors(spark, sf_dir), 5, 0.45)
     return connected_components(pairs.select("a", "b")).select(F.col("node").alias("id"), F.col("root").alias("canonical"))
 
 
@@ -1149,7 +1171,6 @@ def built_entities(spark, sf_dir):
 @query()
 def built_comparison(spark, sf_dir):
     from ..operators.retrieve import Options
-    from .. import models
     from .build import compare
 
     q = _questions(spark, sf_dir).withColumn("embedding", models.embed(F.col("text")))

@@ -69,3 +69,21 @@ def test_corpus_holds_whole_texts_and_all_ids(spark, tables):
     reports = corpus.communities.collect()
     assert sorted(line for r in reports for line in r.summary.split("\n")) == sorted(texts.values())
     assert len({r.community_id for r in reports}) == len(reports) == 21
+
+
+def test_similar_documents_equal_all_pairs(spark):
+    from loamgraph.models import hashing_embedder
+
+    rows = spark.read.parquet(f"{FOLDER}/documents.parquet").collect()
+    v = hashing_embedder()([r.text for r in rows]).astype(float)
+    v /= [[max(sum(x * x for x in row) ** 0.5, 1e-12)] for row in v]
+    s = v @ v.T
+    want = {tuple(sorted((rows[i].doc_id, rows[j].doc_id))) for i in range(len(rows)) for j in range(i) if s[i, j] >= 0.95}
+    assert {(r.a, r.b) for r in catalog.QUERIES["similar_documents"](spark, FOLDER).collect()} == want and want
+
+
+@pytest.mark.parametrize("name", ["vector_topk_graph", "vector_topk_quantised"])
+def test_approximate_searches_find_the_neighbours(spark, name):
+    ids = lambda n: {(r.query_id, r.id) for r in catalog.QUERIES[n](spark, FOLDER).collect()}
+    exact = ids("vector_topk_cosine")
+    assert len(exact & ids(name)) >= 0.95 * len(exact)
