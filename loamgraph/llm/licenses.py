@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 GRAM = 3
 #: Diagonals at most this far apart belong to one copy with words added or lost.
 NEAR = 4
-#: The share of a template's grams that a copy must hold. Of a template of fewer than SHORT grams that shares some with
-#: another label's, it must hold all that no other label's has: its name and version.
+#: The share of a template's grams that a copy must hold. Another label's template whose own words would cover so much is a rival: all
+#: that it lacks must stand as well, such as a name or a version.
 COVER = 0.5
-SHORT = 10
 
 # The phrases whose every exact place counts, and their labels.
 PHRASES = [
@@ -86,33 +85,53 @@ def rolling_grams(words: Column, k: int = GRAM) -> Column:
     return bind(words, lambda ws: F.transform(ws, gram(ws)))
 
 
-def telling(rows: list[tuple[int, str, str, bool]]) -> dict[int, set[str]]:
-    """For each short template that shares a gram with another label's, its grams that no other label's has."""
-    grams = {i: [" ".join(w[j : j + GRAM]) for j in range(len(w) - GRAM + 1)] for i, text, _, _ in rows for w in [text.split()]}
-    out: dict[int, set[str]] = {}
-    for i, _, label, base in rows:
-        others = {g for j, _, other, _ in rows if other != label for g in grams[j]}
-        shares = not others.isdisjoint(grams[i])
-        out[i] = set(grams[i]) - others if shares and not base and len(grams[i]) < SHORT else set()
+def _grams(text: str) -> list[str]:
+    words = text.split()
+    return [" ".join(words[i : i + GRAM]) for i in range(len(words) - GRAM + 1)]
+
+
+def telling(templates: list[tuple[str, str]], cover: float = COVER) -> list[list[list[int]]]:
+    """For each template, for each of its rivals, the places of the grams that the rival lacks. Two rivals that lack the same are one."""
+    out = []
+    for text, label in templates:
+        own, apart = _grams(text), []
+        for other, name in templates:
+            theirs = set(_grams(other))
+            if name != label and len(theirs.intersection(own)) >= cover * len(set(own)):
+                missing = [i for i, g in enumerate(own) if g not in theirs]
+                if missing not in apart:
+                    apart.append(missing)
+        out.append(apart)
     return out
 
 
-def _templates(spark: SparkSession, phrases: list[tuple[str, str]], notices: list[tuple[str, str]]) -> DataFrame:
-    """(hash, gram, template, label, base, need, tells, place, tell): a row for each gram of each template, and one marker that all texts hold."""
-    rows = [(i, text, label, i < len(phrases)) for i, (text, label) in enumerate([*phrases, *notices])]
-    for _, text, _, _ in rows:
+def _families(templates: list[tuple[str, str]], cover: float) -> list[int]:
+    """A number for each template that rivals share, directly or through others."""
+    family = list(range(len(templates)))
+    grams = [set(_grams(t)) for t, _ in templates]
+    for _ in templates:
+        for i, (_, a) in enumerate(templates):
+            for j, (_, b) in enumerate(templates):
+                if a != b and len(grams[i] & grams[j]) >= cover * min(len(grams[i]), len(grams[j])):
+                    family[i] = family[j] = min(family[i], family[j])
+    return family
+
+
+def _templates(spark: SparkSession, phrases: list[tuple[str, str]], notices: list[tuple[str, str]], cover: float) -> tuple[DataFrame, DataFrame]:
+    """(hash, gram, template, place: a row for each gram of each template, and one marker that all texts hold; template, label, base, need, tells, family)."""
+    texts = [*phrases, *notices]
+    for text, _ in texts:
         if len(text.split()) < GRAM:
             raise ValueError(f"a template needs {GRAM} words: {text}")
-    told = telling(rows)
-    names = ("template", "text", "label", "base", "told")
-    each = [F.struct(*(F.lit(v).alias(c) for c, v in zip(names, row, strict=False)), F.array(*map(F.lit, sorted(told[row[0]]))).cast("array<string>").alias("told")) for row in rows]
-    table = spark.range(1).select(F.inline(F.array(*each)))
-    table = table.select("template", "label", "base", "told", F.split("text", " ").alias("words"))
-    need = F.size("words") - (GRAM - 1)
-    grams = table.select("template", "label", "base", need.alias("need"), F.size("told").alias("tells"), "told", F.posexplode(F.slice(rolling_grams(F.col("words")), F.lit(1), need)).alias("place", "own"))
-    grams = grams.select("own.hash", "own.gram", "template", "label", "base", "need", "tells", "place", F.array_contains("told", F.col("own.gram")).alias("tell"))
-    marker = spark.range(1).select(_marker()["hash"].alias("hash"), _marker()["gram"].alias("gram"), F.lit(-1).alias("template"), F.lit("").alias("label"), F.lit(False).alias("base"), F.lit(0).alias("need"), F.lit(0).alias("tells"), F.lit(0).alias("place"), F.lit(False).alias("tell"))
-    return grams.unionByName(marker)
+    tells, families = [[]] * len(phrases) + telling(notices, cover), [-1] * len(phrases) + _families(notices, cover)
+    places = lambda rows: F.array(*(F.array(*map(F.lit, r)) for r in rows)).cast("array<array<int>>")
+    each = [F.struct(F.lit(i).alias("template"), F.lit(text).alias("text"), F.lit(label).alias("label"), F.lit(i < len(phrases)).alias("base"), F.lit(families[i]).alias("family"), places(tells[i]).alias("tells")) for i, (text, label) in enumerate(texts)]
+    table = spark.range(1).select(F.inline(F.array(*each))).withColumn("words", F.split("text", " ")).withColumn("need", F.size("words") - (GRAM - 1))
+    grams = table.select("template", F.posexplode(F.slice(rolling_grams(F.col("words")), F.lit(1), F.col("need"))).alias("place", "own")).select("own.hash", "own.gram", "template", "place")
+    marker = spark.range(1).select(_marker()["hash"].alias("hash"), _marker()["gram"].alias("gram"), F.lit(-1).alias("template"), F.lit(0).alias("place"))
+    facts = table.select("template", "label", "base", "need", "tells", "family")
+    blank = spark.range(1).select(F.lit(-1).alias("template"), F.lit("").alias("label"), F.lit(False).alias("base"), F.lit(0).alias("need"), F.array().cast("array<array<int>>").alias("tells"), F.lit(-1).alias("family"))
+    return grams.unionByName(marker), facts.unionByName(blank)
 
 
 def _marker() -> Column:
@@ -124,10 +143,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Every rolling gram of a text is joined to the templates' grams; a match votes for
     the diagonal (place in the text less place in the template). A phrase stands where its
-    diagonal has all its votes. A notice's diagonals within NEAR of each other make one copy, which
-    is verified: words are compared, not hashes alone, and `cover` of the template's grams must stand in it, a gram that
-    stands there often counting once, and span no more than the template and its drift; short templates must hold the grams that tell them from other labels'. The gram table is a constant of this
-    module's size, so it's broadcast; texts are never shuffled, only votes.
+    diagonal has all its votes. A notice's diagonals within NEAR of each other make one copy, of which the best window of a bounded drift
+    is verified: words are compared, not hashes alone, `cover` of the template's grams must stand in it, a gram that
+    stands there often counting once, and all that tells the template from each of its rivals (telling()). Of copies of rivals that share words, those
+    stay that no other beats by its share of grams, then by its drift. The tables of grams and templates are constants of this
+    module's size, so they're broadcast; texts are never shuffled, only votes.
 
     Null and empty texts have no words and no labels; null ids and repeated
     rows keep their rows; other columns are ignored.
@@ -136,20 +156,35 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.concat(F.array(_marker()), rolling_grams(words_of(F.col(text_col)))).alias("grams"))
     rows = rows.withColumn("n_words", (F.size("grams") - 1).cast("long"))
     grams = rows.select("doc_id", "row", "n_words", F.posexplode("grams").alias("at", "own")).select("doc_id", "row", "n_words", "at", "own.hash", "own.gram")
-    hits = grams.join(F.broadcast(_templates(spark, phrases, notices)), ["hash", "gram"])
-    key = ["row", "doc_id", "n_words", "template", "label", "base", "need", "tells"]
-    told = F.when(F.col("tell"), F.col("place"))
-    votes = hits.groupBy(*key, (F.col("at") - 1 - F.col("place")).alias("diagonal")).agg(F.collect_set("place").alias("places"), F.collect_set(told).alias("told"))
+    told, facts = _templates(spark, phrases, notices, cover)
+    votes = grams.join(F.broadcast(told), ["hash", "gram"]).groupBy("row", "doc_id", "n_words", "template", (F.col("at") - 1 - F.col("place")).alias("diagonal")).agg(F.collect_set("place").alias("places"))
+    votes = votes.join(F.broadcast(facts), "template")
 
     along = Window.partitionBy("row", "template").orderBy("diagonal")
     fresh = F.coalesce(F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(along) > NEAR), F.lit(True))
     votes = votes.withColumn("copy", F.sum(fresh.cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
-    copies = votes.groupBy(*key, "copy").agg(distinct("places").alias("places"), distinct("told").alias("told"), F.min("diagonal").alias("start"), F.max("diagonal").alias("end"))
-    held = F.col("places") / F.greatest(F.col("need"), F.lit(1))
-    exact = F.col("base") & (F.col("places") == F.col("need"))
-    verified = ~F.col("base") & (F.col("template") >= 0) & (held >= cover) & (F.col("told") == F.col("tells")) & (F.col("end") - F.col("start") <= F.greatest(F.col("need"), F.lit(NEAR)))
-    copies = copies.select("row", "doc_id", "n_words", "label", "start", exact.alias("exact"), F.when(exact, F.lit(1.0)).when(verified, held).alias("share"))
+
+    # From each diagonal of a copy on, those whose drift from it isn't more than the template is long.
+    longest = max([NEAR, *(len(_grams(t)) for t, _ in notices)])
+    ahead = Window.partitionBy("row", "template", "copy").orderBy("diagonal").rangeBetween(0, longest)
+    near = F.filter(F.collect_list(F.struct("diagonal", "places")).over(ahead), lambda v: v["diagonal"] - F.col("diagonal") <= F.greatest(F.col("need"), F.lit(NEAR)))
+    runs = votes.withColumn("near", near).withColumn("held", F.array_distinct(F.flatten("near.places"))).withColumn("drift", F.array_max("near.diagonal") - F.col("diagonal"))
+    share = F.size("held") / F.greatest(F.col("need"), F.lit(1))
+    exact = F.col("base") & (F.size("held") == F.col("need"))
+    verified = ~F.col("base") & (F.col("template") >= 0) & (share >= cover) & F.forall("tells", lambda t: F.size(F.array_except(t, F.col("held"))) == 0)
+    from_ = F.array_min(F.transform("near", lambda v: v["diagonal"] + F.array_min(v["places"])))
+    to = F.array_max(F.transform("near", lambda v: v["diagonal"] + F.array_max(v["places"]))) + GRAM
+    window = F.struct(F.when(exact, F.lit(1.0)).when(verified, share).alias("share"), (-F.col("drift")).alias("tight"), (-F.col("diagonal")).alias("first"), exact.alias("exact"), from_.alias("from"), to.alias("to"))
+    key = ["row", "doc_id", "n_words", "template", "label", "family", "copy"]
+    # Nulls are the smallest, so a window that is verified comes before all others.
+    copies = runs.groupBy(*key).agg(F.max(window).alias("w")).select("row", "doc_id", "n_words", "label", "family", "w.*")
+
+    # Copies that share a word begin within the longest template and its drift of each other.
+    around = Window.partitionBy("row", "family").orderBy("from").rangeBetween(-(2 * longest + GRAM), 2 * longest + GRAM)
+    rivals = F.collect_list(F.when((F.col("family") >= 0) & F.col("share").isNotNull(), F.struct("from", "to", "share", "tight", "label"))).over(around)
+    beats = lambda r: (r["label"] != F.col("label")) & (r["from"] < F.col("to")) & (F.col("from") < r["to"]) & (F.struct(r["share"], r["tight"]) > F.struct(F.col("share"), F.col("tight")))
+    copies = copies.withColumn("rivals", rivals)
+    copies = copies.select("row", "doc_id", "n_words", "label", (-F.col("first")).alias("start"), "exact", F.when(~F.exists("rivals", beats), F.col("share")).alias("share"))
     listed = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
     where = lambda c: F.when(F.col("exact"), F.col(c))
     return (
