@@ -103,8 +103,11 @@ def summarized(rows: DataFrame, model: models.Model | None = None, prompt: str =
 
 
 def with_access(rows: DataFrame, keys: list[str], chunks: DataFrame) -> DataFrame:
-    """rows with acl: open to those who may see every chunk (id, acl) that the row's source_ids name. Rows without a source are open."""
-    each = rows.select(*keys, F.explode("source_ids").alias("id")).join(chunks.select("id", "acl"), "id")
+    """rows with acl: open to those who may see every chunk (id, acl) that the row's source_ids name. Rows without a source are open; one that names
+    a chunk which isn't there is closed to all."""
+    gone = F.struct(F.lit(None).alias("owner"), F.array().alias("visible_to_groups"), F.array().alias("visible_to_users"), F.lit(False).alias("public")).cast(chunks.schema["acl"].dataType)
+    each = rows.select(*keys, F.explode("source_ids").alias("id")).join(chunks.select("id", "acl", F.lit(True).alias("there")), "id", "left")
+    each = each.withColumn("acl", F.when(F.col("there"), F.col("acl")).otherwise(gone))
     return rows.join(each.groupBy(*keys).agg(joint(F.col("acl")).alias("acl")), keys, "left")
 
 

@@ -45,6 +45,8 @@ class Options:
     groups: list[str] = field(default_factory=list)
     reranker: models.Scorer | None = None
     hyde: models.Model | None = None
+    #: Local mode takes the chunks that entities came from in place of the nearest.
+    sourced: bool = False
     embedder: models.Embedder | None = None
 
     def __post_init__(self):
@@ -135,11 +137,14 @@ def _context(parts: list[tuple[str, DataFrame]]) -> DataFrame:
 
 
 def local(corpus: Corpus, queries: DataFrame, opt: Options) -> DataFrame:
-    """Entities, their relations, and the nearest chunks where any of the entities names a source."""
+    """Entities, their relations, and chunks where any of the entities names a source: the nearest, or with opt.sourced those that the entities came from."""
     entities, relations = _entity_rows(corpus, opt), _relation_rows(corpus, opt)
     hits = _search(entities, queries, opt.top_k, opt, "keywords" if "keywords" in queries.columns else "text")
-    sourced = hits.join(entities.where(F.size("source_ids") > 0).select("id"), "id", "left_semi").select("query_id").distinct()
-    chunks = near_chunks(queries.join(sourced, "query_id", "left_semi"), corpus, opt)
+    if opt.sourced:
+        chunks = source_chunks(hits, corpus, opt)
+    else:
+        sourced = hits.join(entities.where(F.size("source_ids") > 0).select("id"), "id", "left_semi").select("query_id").distinct()
+        chunks = near_chunks(queries.join(sourced, "query_id", "left_semi"), corpus, opt)
     return _context([("entity", hits.join(entities.select("id", "content"), "id")), ("relation", incident(hits, relations)), ("chunk", chunks)])
 
 
@@ -152,9 +157,10 @@ def global_(corpus: Corpus, queries: DataFrame, opt: Options) -> DataFrame:
 
 
 def community(corpus: Corpus, queries: DataFrame, opt: Options) -> DataFrame:
+    """Reports by keywords, of those that the user may see."""
     from .community import keyword_rank
 
-    hits = keyword_rank(corpus.communities, queries, opt.top_k)
+    hits = keyword_rank(_seen(corpus.communities, opt), queries, opt.top_k)
     return _context([("community", hits.withColumnRenamed("community_id", "id"))])
 
 
@@ -250,6 +256,15 @@ def grounded(answered: DataFrame, context: DataFrame, verifier: models.Scorer |
     return best.select("query_id", "claim_no", "claim", F.col("b.score").alias("score"), F.col("b.id").alias("supporting_id"), (F.col("b.score") >= least).alias("supported"))
 
 
+def with_spans(checked: DataFrame, context: DataFrame, verifier: models.Scorer | None = None) -> DataFrame:
+    """grounded()'s rows with supporting_span: of the supporting item's sentences the one that bears the claim out best, the first of equals; null without an item or a sentence."""
+    told = context.select("query_id", F.col("id").alias("supporting_id"), F.posexplode(sentences(F.col("content"))).alias("place", "span"))
+    key = ["query_id", "claim_no"]
+    scored = checked.select(*key, "claim", "supporting_id").join(told, ["query_id", "supporting_id"]).withColumn("score", models.score(F.col("claim"), F.col("span"), verifier))
+    best = scored.groupBy(*key).agg(F.max(F.struct("score", (-F.col("place")).alias("first"), "span"))["span"].alias("supporting_span"))
+    return checked.join(best, key, "left")
+
+
 def retry_prompts(answered: DataFrame, checked: DataFrame) -> DataFrame:
     """Prompts again for answers with unsupported claims, which they list."""
     bad = checked.where("not supported").groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("claim_no", "claim"))), lambda x: F.concat(F.lit("- "), x["claim"])), "\n").alias("unsupported"))

@@ -53,7 +53,8 @@ def build(docs: DataFrame, model: models.Model, embedder: models.Embedder | None
     """docs: doc_id, text, acl. The model answers the extraction prompt of each chunk and, with_reports, the report prompt of each community.
 
     With a summarizer, descriptions of several parts become one; with an adjudicator, it tells whether near names are the same. A chunk may be
-    seen by whom any of its documents lets in, an entity or a relation by whom all its chunks do.
+    seen by whom any of its documents lets in, an entity or a relation by whom all its chunks do, a report by whom all
+    its members and the relations among them do.
 
     Equal chunks of several documents are one chunk; doc_chunks says whose they are, so that
     deletion counts references.
@@ -82,7 +83,8 @@ def build(docs: DataFrame, model: models.Model, embedder: models.Embedder | None
     entities = entities.withColumn("description", F.coalesce("description", F.lit("")))
     entities = cut(entities.withColumn("embedding", models.embed(entity_text(F.col("name"), F.col("description")), embedder)))
     groups = cut(community.detect(entities, relations)) if with_reports else None
-    return Built(chunks, doc_chunks, entities, relations, groups, cut(community.reports(groups, entities, relations, model)) if with_reports else None)
+    reported = cut(community.report_access(community.reports(groups, entities, relations, model), groups, entities, relations)) if with_reports else None
+    return Built(chunks, doc_chunks, entities, relations, groups, reported)
 
 
 def compare(corpus: Corpus, queries: DataFrame, variants: dict[str, Options]) -> DataFrame:

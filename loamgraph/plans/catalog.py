@@ -411,14 +411,11 @@ def context_refs(spark, sf_dir):
     return fusion.references(_budgeted(spark, sf_dir), ["rank"]).select("query_id", "ref_id", "id")
 
 
-@query(
-    """WITH s AS (SELECT item_id AS query_id, doc_id, length(d.text) AS n, hash_len AS x FROM benchmark b, (SELECT doc_id, text, n_chars % 97 AS hash_len FROM documents) d WHERE item_id < 5)
- SELECT query_id, doc_id % 7 AS orig_idx, CAST(max(x) AS DOUBLE) AS rerank_score FROM s GROUP BY 1, 2"""
-)
+@query(f"WITH found AS ({_vector_sql('list_cosine_similarity(e, qe)', k=50)}) SELECT query_id, id % 7 AS orig_idx, max(score) AS rerank_score FROM found GROUP BY 1, 2")
 def rerank_best_piece(spark, sf_dir):
-    d = t.table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 97).cast("double").alias("rerank_score"))
-    rows = d.select("doc_id", "rerank_score", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("q"))
-    return fusion.best_piece(rows.select(F.col("q").cast("long").alias("query_id"), (F.col("doc_id") % 7).alias("orig_idx"), "rerank_score"))
+    """The fifty nearest rows of each question as pieces of seven documents."""
+    hits = vector.top_k(_vectors(spark, sf_dir), _asked(spark, sf_dir), 50)
+    return fusion.best_piece(hits.select("query_id", (F.col("id") % 7).alias("orig_idx"), F.round("score", 6).alias("rerank_score")))
 
 
 # Safety.
@@ -610,14 +607,14 @@ def edge_degree(spark, sf_dir):
     return graph.edge_degrees(t.relations(spark, sf_dir))
 
 
-@query(f"WITH {t.ENTITIES}, {t.SPARSE}, {DEGREES} SELECT name, coalesce(degree, 0) AS degree FROM entities LEFT JOIN deg USING (name) ORDER BY 2 DESC, 1 LIMIT 300")
+@query(f"WITH {t.ENTITIES}, {t.RELATIONS}, {DEGREES} SELECT name, coalesce(degree, 0) AS degree FROM entities LEFT JOIN deg USING (name) ORDER BY 2 DESC, 1 LIMIT 300")
 def popular_labels(spark, sf_dir):
-    return graph.popular(t.entities(spark, sf_dir), t.sparse_relations(spark, sf_dir))
+    return graph.popular(t.entities(spark, sf_dir), t.relations(spark, sf_dir))
 
 
-@query(f"WITH {t.ENTITIES}, {t.SPARSE} SELECT name, type FROM entities WHERE name NOT IN (SELECT src_id FROM relations UNION SELECT tgt_id FROM relations)")
+@query(f"WITH {t.ENTITIES}, {t.TRADE} SELECT name, type FROM entities WHERE name NOT IN (SELECT src_id FROM relations UNION SELECT tgt_id FROM relations)")
 def orphan_nodes(spark, sf_dir):
-    return graph.orphans(t.entities(spark, sf_dir), t.sparse_relations(spark, sf_dir)).select("name", "type")
+    return graph.orphans(t.entities(spark, sf_dir), t.trade(spark, sf_dir)).select("name", "type")
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS name, max(ts) AS last_seen FROM events WHERE event_type = 'signup' GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-30' - INTERVAL 7 DAY")
@@ -626,42 +623,42 @@ def stale_entities(spark, sf_dir):
     return graph.stale(e.withColumn("created_at", F.lit(None).cast("timestamp_ntz")), t.ntz("2024-01-30"), 7).select("name", "last_seen")
 
 
-@query(f"WITH {t.SPARSE}, {t.BOTH_WAYS} SELECT src AS name, dst AS neighbor FROM edges WHERE src IN ('S1', 'S2', 'P7')")
+@query(f"WITH {t.RELATIONS}, {t.BOTH_WAYS} SELECT src AS name, dst AS neighbor FROM edges WHERE src IN ('S1', 'S2', 'P7')")
 def neighbors_1hop(spark, sf_dir):
     names = spark.createDataFrame([("S1",), ("S2",), ("P7",)], "name string")
-    return traverse.neighbors(t.sparse_relations(spark, sf_dir), names)
+    return traverse.neighbors(t.relations(spark, sf_dir), names)
 
 
-@query(f"WITH RECURSIVE {t.SPARSE}, {t.BOTH_WAYS}, h(name, depth) AS (SELECT 'S1', 0 UNION SELECT dst, depth + 1 FROM h JOIN edges ON src = name WHERE depth < 3) SELECT name, CAST(min(depth) AS INTEGER) AS depth FROM h GROUP BY 1")
+@query(f"WITH RECURSIVE {t.TRADE}, {t.BOTH_WAYS}, h(name, depth) AS (SELECT 'S1', 0 UNION SELECT dst, depth + 1 FROM h JOIN edges ON src = name WHERE depth < 3) SELECT name, CAST(min(depth) AS INTEGER) AS depth FROM h GROUP BY 1")
 def khop_subgraph(spark, sf_dir):
-    return traverse.reach(t.sparse_relations(spark, sf_dir), spark.createDataFrame([("S1",)], "name string"), 3)
+    return traverse.reach(t.trade(spark, sf_dir), spark.createDataFrame([("S1",)], "name string"), 3)
 
 
 @query(
-    f"""WITH RECURSIVE {t.SPARSE}, {t.BOTH_WAYS}, h(name, depth) AS (SELECT 'S1', 0 UNION SELECT dst, depth + 1 FROM h JOIN edges ON src = name WHERE depth < 3), near AS (SELECT DISTINCT name FROM h)
+    f"""WITH RECURSIVE {t.TRADE}, {t.BOTH_WAYS}, h(name, depth) AS (SELECT 'S1', 0 UNION SELECT dst, depth + 1 FROM h JOIN edges ON src = name WHERE depth < 3), near AS (SELECT DISTINCT name FROM h)
  SELECT src_id, tgt_id FROM relations WHERE src_id IN (SELECT name FROM near) AND tgt_id IN (SELECT name FROM near)"""
 )
 def khop_edges(spark, sf_dir):
-    return traverse.subgraph(t.entities(spark, sf_dir), t.sparse_relations(spark, sf_dir), spark.createDataFrame([("S1",)], "name string"), 3)[1]
+    return traverse.subgraph(t.entities(spark, sf_dir), t.trade(spark, sf_dir), spark.createDataFrame([("S1",)], "name string"), 3)[1]
 
 
 @query(
-    f"""WITH RECURSIVE {t.SPARSE}, {t.BOTH_WAYS}, h(name, depth) AS (SELECT 'S1', 0 UNION SELECT dst, depth + 1 FROM h JOIN edges ON src = name WHERE depth < 1), inner_ AS (SELECT DISTINCT name FROM h)
+    f"""WITH RECURSIVE {t.RELATIONS}, {t.BOTH_WAYS}, h(name, depth) AS (SELECT 'S1', 0 UNION SELECT dst, depth + 1 FROM h JOIN edges ON src = name WHERE depth < 1), inner_ AS (SELECT DISTINCT name FROM h)
  SELECT src_id, tgt_id FROM relations WHERE src_id IN (SELECT name FROM inner_) OR tgt_id IN (SELECT name FROM inner_)"""
 )
 def neighborhood_edges(spark, sf_dir):
-    return traverse.neighborhood(t.sparse_relations(spark, sf_dir), spark.createDataFrame([("S1",)], "name string"), 2)[1]
+    return traverse.neighborhood(t.relations(spark, sf_dir), spark.createDataFrame([("S1",)], "name string"), 2)[1]
 
 
 @query(
-    f"""WITH RECURSIVE {t.SPARSE}, {t.BOTH_WAYS}, goals AS (SELECT 'S' || s_suppkey AS goal FROM supplier WHERE s_suppkey BETWEEN 2 AND 12),
+    f"""WITH RECURSIVE {t.TRADE}, {t.BOTH_WAYS}, goals AS (SELECT 'S' || s_suppkey AS goal FROM supplier WHERE s_suppkey <> 1),
  h(name, path, depth) AS (SELECT 'S1', ['S1'], 0 UNION ALL SELECT dst, list_append(path, dst), depth + 1 FROM h JOIN edges ON src = name WHERE depth < 4 AND NOT list_contains(path, dst)),
  r AS (SELECT name, path, row_number() OVER (PARTITION BY name ORDER BY depth, path) AS n FROM h)
  SELECT 'S1' AS start, goal, array_to_string(path, '>') AS path FROM r JOIN goals ON name = goal WHERE n = 1"""
 )
 def shortest_path(spark, sf_dir):
-    pairs = t.table(spark, sf_dir, "supplier").where("s_suppkey BETWEEN 2 AND 12").select(F.lit("S1").alias("start"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("goal"))
-    return traverse.shortest_path(t.sparse_relations(spark, sf_dir), pairs, 4).select("start", "goal", F.array_join("path", ">").alias("path"))
+    pairs = t.table(spark, sf_dir, "supplier").where("s_suppkey <> 1").select(F.lit("S1").alias("start"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("goal"))
+    return traverse.shortest_path(t.trade(spark, sf_dir), pairs, 4).select("start", "goal", F.array_join("path", ">").alias("path"))
 
 
 @query(
@@ -727,7 +724,7 @@ def delete_doc_effects(spark, sf_dir):
 def community_detect(spark, sf_dir):
     from ..operators import community
 
-    return community.detect(t.entities(spark, sf_dir), t.sparse_relations(spark, sf_dir))
+    return community.detect(t.entities(spark, sf_dir), t.trade(spark, sf_dir))
 
 
 @query("SELECT CAST(label AS VARCHAR) AS community_id, array_to_string(list_sort(list('E' || vec_id)), ',') AS members, count(*) AS size FROM embeddings GROUP BY 1")
@@ -753,11 +750,11 @@ def community_keyword_rank(spark, sf_dir):
     return community.keyword_rank(rows, _questions(spark, sf_dir)).drop("content")
 
 
-@query(f"WITH {t.SPARSE}, n AS (SELECT 'S1' AS name UNION SELECT tgt_id FROM relations WHERE src_id = 'S1'), c AS (SELECT DISTINCT src_id AS name, CAST(CAST(src_id[2:] AS BIGINT) % 10 AS VARCHAR) AS community_id FROM relations UNION SELECT DISTINCT tgt_id, CAST(CAST(tgt_id[2:] AS BIGINT) % 10 AS VARCHAR) FROM relations) SELECT community_id, count(*) AS size FROM c WHERE community_id IN (SELECT community_id FROM c JOIN n USING (name)) GROUP BY 1")
+@query(f"WITH {t.RELATIONS}, n AS (SELECT 'S1' AS name UNION SELECT tgt_id FROM relations WHERE src_id = 'S1'), c AS (SELECT DISTINCT src_id AS name, CAST(CAST(src_id[2:] AS BIGINT) % 10 AS VARCHAR) AS community_id FROM relations UNION SELECT DISTINCT tgt_id, CAST(CAST(tgt_id[2:] AS BIGINT) % 10 AS VARCHAR) FROM relations) SELECT community_id, count(*) AS size FROM c WHERE community_id IN (SELECT community_id FROM c JOIN n USING (name)) GROUP BY 1")
 def community_affected(spark, sf_dir):
     from ..operators import community
 
-    rel = t.sparse_relations(spark, sf_dir)
+    rel = t.relations(spark, sf_dir)
     names = rel.select(F.explode(F.array("src_id", "tgt_id")).alias("name")).distinct()
     c = names.select("name", (F.substring("name", 2, 20).cast("bigint") % 10).cast("string").alias("community_id"))
     return community.affected(c, rel, spark.createDataFrame([("S1",)], "name string")).select("community_id", "size")
@@ -943,8 +940,8 @@ def _corpus(spark, sf_dir):
     rel = v.crossJoin(n).select(name(F.col("vec_id")).alias("src_id"), name((F.col("vec_id") * 7 + 1) % F.col("n")).alias("tgt_id"), F.col("label").cast("string").alias("description"), t.ntz("2024-01-01").alias("valid_from"), F.when(F.col("label") > 5, t.ntz("2024-06-01")).alias("valid_to"), "embedding")
     # A report for each source and block of REPORT_IDS ids holds all their texts, so that no report grows with the table.
     block = F.concat_ws("/", "source", F.floor(F.col("doc_id") / REPORT_IDS).cast("string"))
-    parts = t.table(spark, sf_dir, "documents").groupBy(block.alias("community_id"), "source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("parts"))
-    reports = parts.select("community_id", F.col("source").alias("title"), F.array_join(F.transform("parts", lambda x: x["text"]), "\n").alias("summary"))
+    parts = t.documents(spark, sf_dir).groupBy(block.alias("community_id"), "source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("parts"), safety.joint(F.col("acl")).alias("acl"))
+    reports = parts.select("community_id", F.col("source").alias("title"), F.array_join(F.transform("parts", lambda x: x["text"]), "\n").alias("summary"), "acl")
     return Corpus(chunks, ents, rel, reports)
 
 
@@ -968,7 +965,8 @@ CONTEXT_SQL = {
 
 
 CONTEXT_SQL["community"] = f"""WITH rep AS (SELECT source || '/' || CAST(doc_id // {REPORT_IDS} AS VARCHAR) AS id, source || chr(10) || string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS content,
- lower(source || ' ' || string_agg(text, chr(10) ORDER BY doc_id)) AS body FROM documents GROUP BY source, doc_id // {REPORT_IDS}),
+ lower(source || ' ' || string_agg(text, chr(10) ORDER BY doc_id)) AS body FROM documents GROUP BY source, doc_id // {REPORT_IDS}
+ HAVING source = 'src1' OR count(DISTINCT lang) FILTER (WHERE doc_id % 3 <> 0) = 0 OR (count(DISTINCT lang) FILTER (WHERE doc_id % 3 <> 0) = 1 AND min(lang) FILTER (WHERE doc_id % 3 <> 0) IN ('fr', 'en'))),
  k AS (SELECT item_id AS query_id, unnest({WORDS("text")}) AS word FROM benchmark), u AS (SELECT DISTINCT word FROM k),
  f AS (SELECT id, word FROM rep, u WHERE contains(body, word)), h AS (SELECT query_id, id, count(*) AS score FROM f JOIN k USING (word) GROUP BY 1, 2),
  r AS (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM h),
@@ -1011,13 +1009,14 @@ def grounded_claims(spark, sf_dir):
     return retrieve.grounded(q.select("query_id", F.col("text").alias("answer")), ctx)
 
 
-@query("SELECT DISTINCT md5(text) AS args_hash, text AS answer FROM documents WHERE NOT contains(text, chr(10))")
+@query(f"SELECT DISTINCT md5(coalesce(text, '')) AS args_hash, string_split({STRIP("coalesce(text, '')")}, chr(10))[-1] AS answer FROM documents")
 def llm_through_cache(spark, sf_dir):
-    """Prompts of one line, half of them cached; the offline model repeats a prompt's last line."""
+    """Every text as a prompt, half of them cached; the offline model repeats a prompt's last line."""
     from ..operators import retrieve
 
-    d = t.table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("\n"))).select("doc_id", F.col("text").alias("prompt"))
-    cache = d.where("doc_id % 2 = 0").select(tx.hash_id(F.col("prompt")).alias("args_hash"), F.col("prompt").alias("content")).dropDuplicates(["args_hash"])
+    d = t.table(spark, sf_dir, "documents").select("doc_id", tx.empty_if_null(F.col("text")).alias("prompt"))
+    said = F.element_at(F.split(tx.strip(F.col("prompt")), "\n"), -1)
+    cache = d.where("doc_id % 2 = 0").select(tx.hash_id(F.col("prompt")).alias("args_hash"), said.alias("content")).dropDuplicates(["args_hash"])
     return retrieve.through_cache(d, cache)[0].select("args_hash", F.col("content").alias("answer")).distinct()
 
 
@@ -1098,10 +1097,10 @@ def merged_descriptions(spark, sf_dir):
     return e.select("user_id", F.md5(merged("concatenate")).alias("concatenated"), merged("keep_first").alias("first"), merged("join_unique").alias("once"))
 
 
-@query(f"WITH {t.SPARSE}, e AS (SELECT src_id AS name FROM relations UNION ALL SELECT tgt_id FROM relations), d AS (SELECT name, count(*) AS degree FROM e GROUP BY 1) SELECT 'S' || s_suppkey AS name, coalesce(degree, 0) AS degree FROM supplier LEFT JOIN d ON name = 'S' || s_suppkey")
+@query(f"WITH {t.RELATIONS}, e AS (SELECT src_id AS name FROM relations UNION ALL SELECT tgt_id FROM relations), d AS (SELECT name, count(*) AS degree FROM e GROUP BY 1) SELECT 'S' || s_suppkey AS name, coalesce(degree, 0) AS degree FROM supplier LEFT JOIN d ON name = 'S' || s_suppkey")
 def entity_info(spark, sf_dir):
     ents = t.entities(spark, sf_dir)
-    return graph.entity_info(ents, t.sparse_relations(spark, sf_dir), ents.where("type = 'supplier'")).select("name", "degree")
+    return graph.entity_info(ents, t.relations(spark, sf_dir), ents.where("type = 'supplier'")).select("name", "degree")
 
 
 # Streams, run to their end.
@@ -1143,12 +1142,12 @@ def stream_usage_daily(spark, sf_dir):
 
 
 def rule_model(prompts: list[str]) -> list[str]:
-    """Each text's longest words are its entities, in pairs its relations."""
+    """A text's words of 12 letters and more are its entities, each with the next its relations."""
     import re
 
     out = []
     for p in prompts:
-        words = sorted({w for w in re.findall(r"[^\W\d_]{9,}", p.rsplit("\n\n", 1)[-1].lower())})[:6]
+        words = sorted({w for w in re.findall(r"[^\W\d_]{12,}", p.rsplit("\n\n", 1)[-1].lower())})
         parts = [f'("entity"<|#|>{w}<|#|>word<|#|>{w} of {len(w)} letters<|#|>0.9)' for w in words]
         parts += [f'("relationship"<|#|>{a}<|#|>{b}<|#|>near<|#|>{a} with {b}<|#|>0.8)' for a, b in zip(words, words[1:], strict=False)]
         out.append("##".join(parts))

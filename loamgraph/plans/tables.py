@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,13 +70,15 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 RELATIONS = """relations AS (SELECT DISTINCT 'S' || l_suppkey AS src_id, 'P' || l_partkey AS tgt_id FROM lineitem)"""
 
 
-def sparse_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of the first line of large orders only: a graph with orphans, and paths longer than two."""
-    li = table(spark, sf_dir, "lineitem").where((F.col("l_linenumber") == 1) & (F.col("l_quantity") >= 40))
-    return li.select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("src_id"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("tgt_id")).distinct()
+def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and customers to their nations, nations to regions, customers to their orders: a sparse graph with hubs, long paths and nodes beside it."""
+    edges = lambda name, src, a, tgt, b: table(spark, sf_dir, name).select(F.concat(F.lit(src), F.col(a).cast("string")).alias("src_id"), F.concat(F.lit(tgt), F.col(b).cast("string")).alias("tgt_id"))
+    parts = [edges("supplier", "S", "s_suppkey", "N", "s_nationkey"), edges("customer", "C", "c_custkey", "N", "c_nationkey"), edges("nation", "N", "n_nationkey", "R", "n_regionkey"), edges("orders", "C", "o_custkey", "O", "o_orderkey")]
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
-SPARSE = """relations AS (SELECT DISTINCT 'S' || l_suppkey AS src_id, 'P' || l_partkey AS tgt_id FROM lineitem WHERE l_linenumber = 1 AND l_quantity >= 40)"""
+TRADE = """relations AS (SELECT 'S' || s_suppkey AS src_id, 'N' || s_nationkey AS tgt_id FROM supplier UNION SELECT 'C' || c_custkey, 'N' || c_nationkey FROM customer
+ UNION SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation UNION SELECT 'C' || o_custkey, 'O' || o_orderkey FROM orders)"""
 BOTH_WAYS = "edges AS (SELECT src_id AS src, tgt_id AS dst FROM relations UNION SELECT tgt_id, src_id FROM relations)"
 
 

@@ -409,7 +409,7 @@ def test_policies_of_shared_and_of_merged_content(spark):
     assert got["apart"].joint.visible_to_users == [] and got["apart"].joint.public is False
 
 
-@pytest.mark.parametrize("mode", [m for m in retrieve.MODES if m not in ("bypass", "community")])
+@pytest.mark.parametrize("mode", [m for m in retrieve.MODES if m != "bypass"])
 def test_no_mode_shows_what_a_user_may_not_see(spark, mode):
     boss = ("boss", [], [], False)
     v = [1.0, 0.0]
@@ -417,6 +417,7 @@ def test_no_mode_shows_what_a_user_may_not_see(spark, mode):
         spark.createDataFrame([("c1", "secret plan", v, boss), ("c2", "open plan", v, None)], f"id string, content string, embedding array<double>, acl {POLICY}"),
         spark.createDataFrame([("A", "x", "secret plan", ["c1"], v, boss), ("B", "x", "open plan", ["c2"], v, None)], f"name string, type string, description string, source_ids array<string>, embedding array<double>, acl {POLICY}"),
         spark.createDataFrame([("A", "B", "secret plan", v, boss), ("B", "C", "open plan", v, None)], f"src_id string, tgt_id string, description string, embedding array<double>, acl {POLICY}"),
+        spark.createDataFrame([("1", "report", "secret plan", boss), ("2", "report", "open plan", None)], f"community_id string, title string, summary string, acl {POLICY}"),
     )
     q = spark.createDataFrame([(1, "secret open plan", v)], "query_id int, text string, embedding array<double>")
     see = lambda user: {r.content for r in retrieve.retrieve(corpus, q, retrieve.Options(mode=mode, user=user)).collect()}
@@ -544,3 +545,43 @@ def test_pdf_without_a_reader_is_an_error_row(spark, monkeypatch):
 
     monkeypatch.setitem(sys.modules, "pypdf", None)
     assert files.parse_pdf(b"%PDF")[0][-1] == "error"
+
+
+def test_reports_are_as_closed_as_what_they_are_written_from(spark):
+    from loamgraph.operators import community
+
+    boss, eve = ("boss", [], [], False), ("eve", [], [], False)
+    groups = spark.createDataFrame([("c", "A"), ("c", "B"), ("d", "C"), ("d", "D"), ("e", "E")], "community_id string, name string")
+    ents = spark.createDataFrame([("A", None), ("B", boss), ("C", None), ("D", None), ("E", None)], f"name string, acl {POLICY}")
+    rels = spark.createDataFrame([("C", "D", eve), ("A", "E", boss)], f"src_id string, tgt_id string, acl {POLICY}")
+    got = {r.community_id: r.acl and r.acl.visible_to_users for r in community.report_access(groups.select("community_id").distinct(), groups, ents, rels).collect()}
+    assert got == {"c": ["boss"], "d": ["eve"], "e": None}
+
+
+def test_a_named_source_that_is_gone_closes_its_rows(spark):
+    chunks = spark.createDataFrame([("c1", None), ("c2", ("boss", [], [], False))], f"id string, acl {POLICY}")
+    rows = spark.createDataFrame([("A", ["c1"]), ("B", ["c1", "gone"]), ("C", ["gone"]), ("D", []), ("E", ["c2", "gone"])], "name string, source_ids array<string>")
+    own = graph.with_access(rows, ["name"], chunks)
+    assert {r.name for r in safety.visible(own, "eve").collect()} == {"A", "D"} == {r.name for r in safety.visible(own, "boss").collect()}
+    left = graph.with_access(rows, ["name"], chunks.where("id <> 'c2'"))
+    assert {r.name for r in safety.visible(left, "boss").collect()} == {"A", "D"}
+
+
+def test_local_mode_with_the_entities_own_chunks(spark):
+    v, w = [1.0, 0.0], [0.0, 1.0]
+    acl = ("boss", [], [], False)
+    corpus = retrieve.Corpus(
+        spark.createDataFrame([("c1", "near", v, None), ("c2", "own text", w, None), ("c3", "own secret", w, acl)], f"id string, content string, embedding array<double>, acl {POLICY}"),
+        spark.createDataFrame([("A", "x", "plan", ["c2", "c3"], v, None), ("B", "x", "other plan", ["c2"], v, None)], f"name string, type string, description string, source_ids array<string>, embedding array<double>, acl {POLICY}"),
+        spark.createDataFrame([], f"src_id string, tgt_id string, description string, embedding array<double>, acl {POLICY}"),
+    )
+    q = spark.createDataFrame([(1, "plan", v)], "query_id int, text string, embedding array<double>")
+    chunks = lambda **o: [r.id for r in retrieve.retrieve(corpus, q, retrieve.Options(mode="local", **o)).where("kind = 'chunk'").orderBy("rank").collect()]
+    assert chunks() == ["c1"] and chunks(sourced=True) == ["c2", "c3"] and chunks(sourced=True, user="eve") == ["c2"]
+
+
+def test_claims_name_the_sentence_that_bears_them_out(spark):
+    answered = spark.createDataFrame([(1, "Cats sleep long. Dogs fly."), (2, "Alone.")], "query_id int, answer string")
+    context = spark.createDataFrame([(1, "a", "Birds sing. Cats sleep all day long. Dogs bark."), (1, "b", "Dogs eat.")], "query_id int, id string, content string")
+    got = {(r.query_id, r.claim_no): (r.supporting_id, r.supporting_span) for r in retrieve.with_spans(retrieve.grounded(answered, context), context).collect()}
+    assert got == {(1, 0): ("a", "Cats sleep all day long."), (1, 1): ("b", "Dogs eat."), (2, 0): (None, None)}
