@@ -31,8 +31,6 @@ TILE, PART = 1024, 1 << 20
 SEEDS = 2
 #: A key that holds over one part in HOT of all rows, and over HOT_LEAST of them, is dealt to several tasks.
 HOT, HOT_LEAST = 2000, 1000
-#: Words that a worker remembers.
-REMEMBERED = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -42,30 +40,64 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class Words(dict):
-    """XXH64 of words, remembered."""
+# A number for each byte, A-Z as a-z, and powers of an odd multiplier and of its inverse.
+_LETTERS = np.random.default_rng(12).integers(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_LETTERS[65:91] = _LETTERS[97:123]
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_MULTIPLIER = 0x9E3779B97F4A7C15
+
+
+def _powers(p: int, n: int) -> np.ndarray:
+    out = np.full(n, p, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+#: Bytes of a text that are hashed at once; only a longer word makes it more.
+RUN = 1 << 18
+_UP, _DOWN = _powers(_MULTIPLIER, RUN), _powers(pow(_MULTIPLIER, -1, 1 << 64), RUN)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
 
+def _word_hashes(b: np.ndarray) -> np.ndarray:
+    gap = _SPACE[b]
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    edge = np.concatenate([[0] * (not gap[0]), edge, [len(b)] * (not gap[-1])]).astype(np.int64)
+    begin, end = edge[::2], edge[1::2]
+    up, down = (_UP, _DOWN) if len(b) <= RUN else (_powers(_MULTIPLIER, len(b)), _powers(pow(_MULTIPLIER, -1, 1 << 64), len(b)))
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_LETTERS[b] * up[: len(b)], out=total[1:])
+    return (total[end] - total[begin]) * down[begin]
 
-_words = Words()
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of a text, in order: a polynomial of its bytes modulo 2**64, from one sum over all bytes."""
+    parts, at = [], 0
+    while at < len(text):
+        to = at + RUN
+        if to < len(text):
+            # After the last white space that fits, or the next.
+            back = max(text.rfind(c, at, to) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+            ahead = min((i for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c") if (i := text.find(c, to)) >= 0), default=len(text) - 1) if back < 0 else back
+            to = ahead + 1
+        parts.append(_word_hashes(np.frombuffer(text[at:to], np.uint8)))
+        at = to
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
 def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles; a text of fewer words is one shingle, one without words has none."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    n = min(width, len(words))
-    out = np.full(len(words) - n + 1, n, np.uint64)
+    h = word_hashes(text or b"")
+    if not len(h):
+        return h
+    n = min(width, len(h))
+    out = np.full(len(h) - n + 1, n, np.uint64)
     for i in range(n):
         out = mix(out + h[i : len(h) - n + 1 + i])
-    return np.unique(out)
+    out.sort()
+    fresh = np.ones(len(out), bool)
+    fresh[1:] = out[1:] != out[:-1]
+    return out[fresh]
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
@@ -127,6 +159,11 @@ def combination_keys(h: np.ndarray, frequency: np.ndarray, least: int = LEAST) -
     """
     n = len(h)
     must = needed(n, least)
+    if n < 1 << PAIRED:
+        # Enough rare ones, each a key: the prefix is the first of them, whatever the size class.
+        rare = h[frequency == 0]
+        if len(rare) > n - must:
+            return np.sort(mix(rare[: n - must + 1] + np.uint64(3)))
     order = np.lexsort((h, frequency))
     h, frequency = h[order], frequency[order]
     out = []
@@ -153,11 +190,14 @@ def combination_keys(h: np.ndarray, frequency: np.ndarray, least: int = LEAST) -
     return np.unique(np.concatenate(out))
 
 
-def frequency_of(h: np.ndarray, counters: np.ndarray) -> np.ndarray:
-    """0, 1 or 2: rare, frequent or very frequent, by the counter that a shingle falls on."""
-    at = counters[(h >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)]
+def frequency_classes(counters: np.ndarray) -> np.ndarray:
+    """0, 1 or 2 for each counter: its shingles are rare, frequent or very frequent."""
     mean = counters.sum() / COUNTERS
-    return (at >= max(FREQUENT[0], FREQUENT[1] * mean)).astype(np.int64) + (at >= max(VERY[0], VERY[1] * mean))
+    return (counters >= max(FREQUENT[0], FREQUENT[1] * mean)).astype(np.int8) + (counters >= max(VERY[0], VERY[1] * mean))
+
+
+def counter_of(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
 
 def near(values: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, least: int = LEAST) -> np.ndarray:
@@ -219,10 +259,9 @@ def _count_shingles(base: DataFrame, width: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
-        shift = np.uint64(64 - COUNTERS.bit_length() + 1)
         for batch in batches:
             for text in byte_values(batch.column(0)):
-                np.add.at(total, (shingles(text, width) >> shift).astype(np.int64), 1)
+                np.add.at(total, counter_of(shingles(text, width)), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "n"])
 
@@ -234,14 +273,14 @@ def _count_shingles(base: DataFrame, width: int) -> np.ndarray:
 
 def _keys(base: DataFrame, width: int, least: int) -> DataFrame:
     """key, sid: the combinations of every set that may be alike to another one."""
-    counters = base.sparkSession.sparkContext.broadcast(_count_shingles(base, width))
+    classes = base.sparkSession.sparkContext.broadcast(frequency_classes(_count_shingles(base, width)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, sids = [], []
             for sid, text in zip(batch.column(0).to_numpy(), byte_values(batch.column(1)), strict=True):
                 h = shingles(text, width)
-                keys.append(combination_keys(h, frequency_of(h, counters.value), least).view(np.int64))
+                keys.append(combination_keys(h, classes.value[counter_of(h)], least).view(np.int64))
                 sids.append(np.full(len(keys[-1]), sid))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (keys, sids)], ["key", "sid"])
 
@@ -434,7 +473,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = stored(roots.groupBy("comp").agg(F.min("id").alias("component_id"), F.count("*").alias("n")))
     named = spread_join(roots.select("sid", "comp"), classes, ["comp"], "n").select("sid", "component_id")
     sets = stored(base.select("sid", *NAME, "copies").join(named, "sid").drop("sid"))
-    told = _told(docs, id_col, text_col, width, False)
+    told = stored(_told(docs, id_col, text_col, width, False))
     out = spread_join(told.where("size > 0"), sets, NAME, "copies").select("id", "size", "component_id")
     alone = told.where("size = 0").select("id", "size", F.col("id").alias("component_id"))
     return out.unionByName(alone).select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), "component_id")

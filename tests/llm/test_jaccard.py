@@ -111,6 +111,20 @@ def test_alike_sets_share_a_key_whatever_the_frequencies():
                 assert near(values, np.array([0]), np.array([1]))[0]
 
 
+def test_word_hashes_tell_words_apart_and_nothing_else(monkeypatch):
+    rng = random.Random(2)
+    words = [bytes(rng.choice(b"abAB\xc3\xa9!") for _ in range(rng.randrange(1, 9))) for _ in range(3000)] + [b"x" * 300, b"y" * 90]
+    text = b"".join(w + rng.choice([b" ", b"\n ", b"\t\x0b", b"\r\x0c"]) for w in words)
+    want = {}
+    for run in (1 << 18, 64):
+        monkeypatch.setattr(jaccard, "RUN", run)
+        for t in (text, b" " + text.strip(), text.upper().lower()):
+            got = jaccard.word_hashes(t).tolist()
+            assert len(got) == len(words) and all(want.setdefault(w.lower(), h) == h for w, h in zip(words, got))
+    assert len(set(want.values())) == len(want)
+    assert len(jaccard.word_hashes(b"")) == len(jaccard.word_hashes(b" \n")) == 0
+
+
 def test_combinations_are_fewer_than_all_pairs():
     rng = np.random.default_rng(5)
     for n in (100, 1000, 5000):
