@@ -727,6 +727,26 @@ def community_detect(spark, sf_dir):
     return community.detect(t.entities(spark, sf_dir), t.trade(spark, sf_dir))
 
 
+@query()
+def community_levels(spark, sf_dir):
+    """The whole trade graph's communities from the finest level up."""
+    from ..operators import community
+
+    return community.hierarchy(t.trade(spark, sf_dir))
+
+
+@query()
+def community_update(spark, sf_dir):
+    """Customers, suppliers and orders begin by nation, and those of the first region's nations have changed."""
+    from ..operators import community
+
+    rel = t.trade(spark, sf_dir)
+    by = rel.where("tgt_id like 'N%'").select(F.col("tgt_id").alias("community_id"), F.col("src_id").alias("name"))
+    orders = rel.where("tgt_id like 'O%'").join(by, F.col("src_id") == F.col("name")).select("community_id", F.col("tgt_id").alias("name"))
+    changed = rel.where("tgt_id = 'R0'").select(F.col("src_id").alias("name"))
+    return community.update(by.unionByName(orders), t.entities(spark, sf_dir), rel, changed)
+
+
 @query("SELECT CAST(label AS VARCHAR) AS community_id, array_to_string(list_sort(list('E' || vec_id)), ',') AS members, count(*) AS size FROM embeddings GROUP BY 1")
 def community_membership(spark, sf_dir):
     from ..operators import community
