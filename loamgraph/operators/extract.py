@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
+from pyspark.sql.types import DataType, StringType
 
 from .. import models
+from ..functions.jsonfix import mend
 from ..functions.text import clamp, confidence, empty_if_null, entity_name, strip
 
 # Delimiters of the extraction format.
@@ -42,9 +44,21 @@ def relations(answers: DataFrame, least: float = LEAST_CONFIDENCE, id_col: str =
     return rows.where((F.col("src_id") != "") & (F.col("tgt_id") != "") & (F.col("confidence") >= least))
 
 
+@F.pandas_udf(StringType())
+def _mended(texts: pd.Series) -> pd.Series:
+    return texts.map(mend, na_action="ignore").astype(object)
+
+
 def parse_json(text, schema: DataType | str):
-    """The first JSON object or array in an answer, read by the schema; null where none can be read."""
-    return F.from_json(F.regexp_extract(empty_if_null(text), r"(?s)([\[{].*[\]}])", 1), schema)
+    """The JSON object or array in an answer, read by the schema; null where none begins.
+
+    What stands between the outermost brackets is read as it is if it is valid; only other answers are mended, in Arrow batches.
+    """
+    body = empty_if_null(text)
+    inner = F.regexp_extract(body, r"(?s)([\[{].*[\]}])", 1)
+    valid = F.try_parse_json(inner).isNotNull()
+    fixed = _mended(F.when(~valid & body.rlike(r"[\[{]"), body))
+    return F.from_json(F.when(valid, inner).otherwise(fixed), schema)
 
 
 def extract(chunks: DataFrame, prompt: str, model: models.Model | None = None, gleanings: int = 0, continue_prompt: str = "MANY ENTITIES WERE MISSED", id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DateType, TimestampType
 
 from ..plans.durable import cut
 
@@ -22,13 +23,50 @@ def snapshot(entities: DataFrame, relations: DataFrame, t: Column) -> tuple[Data
     return entities.join(ends, "name", "left_semi"), kept
 
 
-def at_snapshots(relations: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Relations at each of a list of times, snapshot_at: a relation is joined to the days it is valid on.
+#: Levels of pieces of time: the span of the snapshots has 2**LEVELS smallest ones.
+LEVELS = 14
 
-    Times are few and sorted; a relation starts at the first not before valid_from, so the join is an
-    interval condition on the small side.
+
+def _place(t: Column, kind: DataType) -> Column:
+    """A number that grows with time, in seconds or finer, whatever the session's time zone."""
+    if isinstance(kind, TimestampType):
+        return F.unix_micros(t)
+    days = F.datediff(t.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    if isinstance(kind, DateType):
+        return days
+    return days * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
+
+
+def at_snapshots(relations: DataFrame, snapshots: DataFrame, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
+    """Relations at each of many times, snapshot_at: an equi-join of pieces of time.
+
+    The span of the snapshots is halved LEVELS times. A relation's interval is cut into the fewest pieces of any level, two a level at most, and a
+    snapshot belongs to one piece a level, so a pair meets once at most; then the bounds are compared as they are. Bounds are inclusive, a
+    missing one is open. Null snapshots meet nothing; a snapshot that is listed twice gives its rows twice.
     """
-    return relations.join(snapshots, valid_at(F.col("snapshot_at")))
+    kind = snapshots.schema["snapshot_at"].dataType
+    row = snapshots.agg(F.min(_place(F.col("snapshot_at"), kind)).alias("lo"), F.max(_place(F.col("snapshot_at"), kind)).alias("hi")).first()
+    if row["lo"] is None:
+        return relations.crossJoin(snapshots.where("false"))
+    unit = (row["hi"] - row["lo"]) // (1 << LEVELS) + 1
+    piece = lambda t: F.floor((t - row["lo"]) / F.lit(unit)).cast("long")
+    of = lambda c: _place(F.col(c), relations.schema[c].dataType)
+    lo = F.greatest(F.coalesce(of(start), F.lit(row["lo"])), F.lit(row["lo"]))
+    hi = F.least(F.coalesce(of(end), F.lit(row["hi"])), F.lit(row["hi"]))
+    # Bounds of a level's pieces: the first that lies inside, and the first beyond.
+    held = relations.withColumns({"_lo": piece(lo), "_hi": piece(hi) + 1}).where(F.col("_lo") < F.col("_hi"))
+
+    def pieces(level: Column) -> Column:
+        size = F.pow(F.lit(2.0), level)
+        a, b = F.ceil(F.col("_lo") / size).cast("long"), F.floor(F.col("_hi") / size).cast("long")
+        one = lambda here, n: F.when((a < b) & here, F.struct(level.alias("level"), n.alias("piece")))
+        return F.array(one(a % 2 == 1, a), one(b % 2 == 1, b - 1))
+
+    levels = F.sequence(F.lit(0), F.lit(LEVELS))
+    held = held.withColumn("_piece", F.explode(F.array_compact(F.flatten(F.transform(levels, pieces))))).drop("_lo", "_hi")
+    at = piece(_place(F.col("snapshot_at"), kind))
+    each = snapshots.where("snapshot_at is not null").withColumn("_piece", F.explode(F.transform(levels, lambda n: F.struct(n.alias("level"), F.floor(at / F.pow(F.lit(2.0), n)).cast("long").alias("piece")))))
+    return held.join(each, "_piece").drop("_piece").where(valid_at(F.col("snapshot_at"), start, end))
 
 
 def both_ways(relations: DataFrame) -> DataFrame:

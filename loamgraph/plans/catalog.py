@@ -175,7 +175,27 @@ def snapshot_subgraph_nodes(spark, sf_dir):
 def multi_snapshot_counts(spark, sf_dir):
     days = F.array(*(t.ntz(f"{y}-01-01") for y in range(1996, 2001)))
     s = spark.range(1).select(F.explode(days).alias("snapshot_at"))
-    return traverse.at_snapshots(t.orders(spark, sf_dir), F.broadcast(s)).groupBy("snapshot_at").agg(F.count("*").alias("n"))
+    return traverse.at_snapshots(t.orders(spark, sf_dir), s).groupBy("snapshot_at").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {t.ORDERS}, s AS (SELECT DISTINCT o_orderdate AS snapshot_at FROM orders)
+ SELECT snapshot_at, count(*) AS n, count(valid_to) AS closed FROM s JOIN relations ON valid_from <= snapshot_at AND (valid_to IS NULL OR valid_to >= snapshot_at) GROUP BY 1"""
+)
+def snapshot_counts_by_day(spark, sf_dir):
+    """All orders at each of the thousands of days that have one."""
+    s = t.table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("snapshot_at")).distinct()
+    return traverse.at_snapshots(t.orders(spark, sf_dir), s).groupBy("snapshot_at").agg(F.count("*").alias("n"), F.count("valid_to").alias("closed"))
+
+
+@query("SELECT doc_id, source, CAST(n_chars AS BIGINT) AS n, lang FROM documents")
+def json_mended(spark, sf_dir):
+    """An answer about each document: valid, cut off, with a comma too many, or in another notation's quotes."""
+    d = t.table(spark, sf_dir, "documents")
+    ends = lambda n: F.col("doc_id") % 4 == n
+    body = F.format_string('{"source": "%s", "about": {"n": %d, "lang": "%s"', "source", "n_chars", "lang")
+    said = F.concat(F.lit("Sure, here it is:\n"), F.when(ends(1), body).when(ends(2), F.concat(body, F.lit(",}, }"))).when(ends(3), F.translate(F.concat(body, F.lit("}} as asked")), '"', "'")).otherwise(F.concat(body, F.lit("}}"))))
+    return d.select("doc_id", extract.parse_json(said, "source string, about struct<n:bigint,lang:string>").alias("r")).select("doc_id", "r.source", F.col("r.about.n").alias("n"), F.col("r.about.lang").alias("lang"))
 
 
 @query(f"WITH {t.MENTIONS} SELECT chunk_id, name, round(confidence, 6) AS confidence FROM mentions WHERE confidence >= 0.3")
