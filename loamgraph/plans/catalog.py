@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import models
 from ..functions import text as tx
-from ..operators import chunking, evaluate, extract, fusion, graph, graphindex, lexical, quantise, safety, simjoin, store, traverse, vector
+from ..operators import chunking, evaluate, extract, fusion, graph, graphindex, lexical, phrases, quantise, safety, simjoin, store, traverse, vector
 from . import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -249,12 +249,25 @@ def bm25_topk(spark, sf_dir):
     return lexical.top_k(t.table(spark, sf_dir, "documents"), _questions(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
 
 
+@query(
+    f"""WITH d AS (SELECT doc_id AS id, {LEX("text")} AS t FROM documents), q AS (SELECT item_id AS query_id, {LEX("text")} AS w FROM benchmark),
+ j AS (SELECT id, t, ' ' || array_to_string(t, ' ') || ' ' AS line FROM d)
+ SELECT query_id, id FROM q JOIN j ON (contains(line, ' ' || w[1] || ' ' || w[2] || ' ' || w[3] || ' ') AND NOT list_contains(t, w[4])) OR (list_contains(t, w[5]) AND contains(line, ' ' || w[6] || ' ' || w[7] || ' '))
+ WHERE len(w) > 6"""
+)
+def lexical_syntax(spark, sf_dir):
+    """Each item's words as a question: a phrase without a word, or a word with another phrase, over all documents."""
+    q = _questions(spark, sf_dir).select("query_id", tx.lexical_tokens(F.col("text")).alias("w")).where("size(w) > 6")
+    q = q.select("query_id", F.format_string('("%s %s %s" AND NOT "%s") OR ("%s" AND "%s %s")', *(F.col("w")[i] for i in range(7))).alias("text"))
+    return phrases.search(t.table(spark, sf_dir, "documents"), q, None).select("query_id", "id")
+
+
 @query(f"WITH {BM25} SELECT term, id, tf FROM postings")
 def bm25_postings(spark, sf_dir):
     return lexical.postings(t.table(spark, sf_dir, "documents"))
 
 
-@query(f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
+@query(f"WITH {BM25.split(f',{chr(10)} terms AS')[0]} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_idf(spark, sf_dir):
     d = t.table(spark, sf_dir, "documents")
     return lexical.idf(lexical.postings(d), lexical.lengths(d)).withColumn("idf", F.round("idf", 6))
