@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import models
 from ..functions import text as tx
-from ..operators import chunking, evaluate, extract, fusion, graph, graphindex, lexical, phrases, quantise, safety, simjoin, store, traverse, vector
+from ..operators import chunking, evaluate, extract, fusion, graph, graphindex, lexical, phrases, quantise, recognise, safety, simjoin, stemmed, store, traverse, vector
 from . import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -262,6 +262,12 @@ def lexical_syntax(spark, sf_dir):
     return phrases.search(t.table(spark, sf_dir, "documents"), q, None).select("query_id", "id")
 
 
+@query()
+def stemmed_topk(spark, sf_dir):
+    """The documents that hold all stems of an item, wherever they stand."""
+    return stemmed.stemmed_search(t.table(spark, sf_dir, "documents"), _questions(spark, sf_dir), 10)
+
+
 @query(f"WITH {BM25} SELECT term, id, tf FROM postings")
 def bm25_postings(spark, sf_dir):
     return lexical.postings(t.table(spark, sf_dir, "documents"))
@@ -498,6 +504,19 @@ def pii_offsets(spark, sf_dir):
     return safety.findings(t.table(spark, sf_dir, "documents"))
 
 
+@query()
+def pii_recognised(spark, sf_dir):
+    """Personal data of all whole documents, checked by digits and context, one finding a place."""
+    found = recognise.recognised(t.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.category", "f.start", "f.end", "f.score", F.md5("f.text").alias("text_md5"))
+
+
+@query()
+def pii_spliced(spark, sf_dir):
+    found = recognise.recognised(t.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.md5(recognise.spliced(F.col("text"), F.col("findings"))).alias("masked_md5"), F.size("findings").alias("n"))
+
+
 def _masked(text: str, to: str) -> str:
     for p in safety.PERSONAL.values():
         text = f"regexp_replace({text}, '{p}', '{to}', 'g')"
