@@ -1175,6 +1175,36 @@ def entity_info(spark, sf_dir):
     return graph.entity_info(ents, t.relations(spark, sf_dir), ents.where("type = 'supplier'")).select("name", "degree")
 
 
+@query(f"WITH {t.ENTITIES}, {t.TRADE}, {DEGREES} SELECT name, type, coalesce(degree, 0) AS degree FROM entities LEFT JOIN deg USING (name)")
+def knowledge_graph_nodes(spark, sf_dir):
+    return graph.knowledge_graph(t.entities(spark, sf_dir), t.trade(spark, sf_dir))[0].select("name", "type", "degree")
+
+
+@query("SELECT user_id, event_type, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
+def first_seen_events(spark, sf_dir):
+    return store.first_seen(t.table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "ts")
+
+
+@query(f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{safety.PERSONAL['EMAIL']}')) AS INTEGER) AS n FROM documents WHERE regexp_matches(text, '{safety.PERSONAL['EMAIL']}')")
+def documents_with_findings(spark, sf_dir):
+    """Every document's status with its findings, of which those with any are kept."""
+    d = t.table(spark, sf_dir, "documents").select("doc_id", "text")
+    status = recognise.recognised(d, recognisers={"EMAIL": recognise.RECOGNISERS["EMAIL"]}).withColumnRenamed("findings", "pii_findings")
+    return store.with_findings(status).select("doc_id", F.size("pii_findings").alias("n"))
+
+
+@query(
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ r AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g)
+ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS began, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS ended, count(*) AS n FROM r GROUP BY user_id, run"""
+)
+def user_sessions(spark, sf_dir):
+    from ..streaming import ingest
+
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return ingest.sessions(t.table(spark, sf_dir, "events")).select("user_id", at("start").alias("began"), at("end").alias("ended"), "n")
+
+
 # Streams, run to their end.
 
 
