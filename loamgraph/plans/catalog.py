@@ -1240,6 +1240,26 @@ def stream_usage_daily(spark, sf_dir):
     return spark.read.parquet(f"{out}/days")
 
 
+@query("SELECT user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS used, sum(CAST(floor(value) AS BIGINT)) > 500 AS over FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2")
+def stream_daily_budget(spark, sf_dir):
+    """The running budget of all events, kept in state; of each day the last total."""
+    from ..streaming import budget
+
+    schema = t.table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet").withColumn("tokens", F.floor("value").cast("bigint"))
+    out = _folder(spark, "budget")
+    before = spark.conf.get(budget.STORE[0], None)
+    spark.conf.set(*budget.STORE)
+    try:
+        work = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{out}/told")
+        daily = budget.daily_budget(stream, 500).writeStream.outputMode("update").foreachBatch(work)
+        daily.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(budget.STORE[0], before) if before else spark.conf.unset(budget.STORE[0])
+    told = spark.read.parquet(f"{out}/told")
+    return told.groupBy("user_id", "day").agg(F.max(F.struct("batch", "used", "over")).alias("m")).select("user_id", "day", "m.used", "m.over")
+
+
 # The whole of ingestion, with a model that answers by rule.
 
 
