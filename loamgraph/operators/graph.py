@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import models
-from ..functions.text import strip
+from ..functions.text import merge_descriptions, strip
 from .safety import joint
 
 JOINER = " | "
@@ -179,14 +179,24 @@ def fold_aliases(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
     return mentions.join(to, "name", "left").withColumn("name", F.coalesce("canonical", "name")).drop("canonical")
 
 
-def merge_entities(entities: DataFrame, relations: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entities folded into their canonical ones and the edges redirected and merged."""
+def merge_entities(entities: DataFrame, relations: DataFrame, aliases: DataFrame, strategy: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Entities folded into their canonical ones and the edges redirected and merged.
+
+    Without a strategy each description counts once, the canonical entity's first. Otherwise descriptions are merged by text.merge_descriptions(), and
+    confidence_weighted takes the type of the most confident entity, of equals the first.
+    """
     seq = F.struct((F.coalesce(F.col("canonical"), F.col("name")) != F.col("name")).alias("folded"), F.col("name"))
     to = aliases.select(F.col("alias").alias("name"), "canonical")
     rows = entities.join(to, "name", "left").withColumn("seq", seq).withColumn("name", F.coalesce("canonical", "name"))
+    first = F.col("seq") if strategy != "confidence_weighted" else F.struct(-F.coalesce("confidence", F.lit(0.0)), "seq")
+    parts = _in_order("description", "seq")
+    if strategy is None:
+        text = F.array_join(F.array_distinct(F.flatten(F.transform(parts, lambda d: F.split(d, r"\Q | \E")))), JOINER)
+    else:
+        text = merge_descriptions(F.filter(parts, lambda d: strip(d) != ""), strategy)
     one = rows.groupBy("name").agg(
-        F.min_by("type", "seq").alias("type"),
-        F.array_join(F.array_distinct(F.flatten(F.transform(_in_order("description", "seq"), lambda d: F.split(d, r"\Q | \E")))), JOINER).alias("description"),
+        F.min_by("type", first).alias("type"),
+        text.alias("description"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_ids")))).alias("source_ids"),
         F.max("confidence").alias("confidence"),
     )

@@ -59,3 +59,16 @@ def test_maintenance_drops_orphans_that_no_chunk_names(spark):
     kept = maintain(Built(None, None, ents, rels, None, None))
     assert {r.name for r in kept.entities.collect()} == {"A", "B"}
     assert {(r.community_id, r.name) for r in kept.communities.collect()} == {("A", "A"), ("A", "B")}
+
+
+def test_entities_merge_by_strategy(spark):
+    from loamgraph.operators import graph
+
+    ents = spark.createDataFrame([("A", "person", "one\ntwo", ["c1"], 0.5), ("B", "city", "two\nthree", ["c2"], 0.9), ("C", "river", " ", ["c3"], 0.9), ("D", "lake", "alone", ["c4"], 0.1)], "name string, type string, description string, source_ids array<string>, confidence double")
+    rels = spark.createDataFrame([("B", "D", "k", "d", ["c2"], 0.5, None, None)], "src_id string, tgt_id string, keywords string, description string, source_ids array<string>, confidence double, valid_from timestamp, valid_to timestamp")
+    aliases = spark.createDataFrame([("B", "A"), ("C", "A")], "alias string, canonical string")
+    merged = lambda how: {r.name: (r.type, r.description, r.confidence) for r in graph.merge_entities(ents, rels, aliases, how)[0].collect()}["A"]
+    assert merged("concatenate") == ("person", "one\ntwo\ntwo\nthree", 0.9)
+    assert merged("confidence_weighted") == ("city", "one\ntwo\ntwo\nthree", 0.9)
+    assert merged("keep_first") == ("person", "one\ntwo", 0.9) and merged("join_unique") == ("person", "one\ntwo\nthree", 0.9)
+    assert [(r.src_id, r.tgt_id) for r in graph.merge_entities(ents, rels, aliases, "join_unique")[1].collect()] == [("A", "D")]
