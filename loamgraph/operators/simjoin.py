@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil, sqrt
 
 import numpy as np
@@ -11,15 +11,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from ..plans.durable import stored
 from .vector import PLACES, matrix
 
-#: Vectors that a cell has on average until there are PIVOTS cells, and rows of a block.
-CELL, PIVOTS, BLOCK = 2048, 1024, 1024
+#: Vectors that a cell has on average at least. There are LEAST_PIVOTS cells, or the fourth root of the number of vectors, as a row may visit half of them, and PIVOTS at most.
+CELL, LEAST_PIVOTS, PIVOTS = 2048, 8, 1024
+#: Rows of a block: one part in BLOCKS of all, between these bounds. Its visitors are dealt to PARTS tasks.
+LEAST_BLOCK, BLOCK, BLOCKS, PARTS = 1024, 65536, 32, 4
+#: Products at once, pairs scored in double precision at once, and pairs from which on a block keeps k a row.
+PRODUCT, SCORED, HELD = 1 << 21, 1 << 16, 1 << 20
 #: Vectors among which pivots are sought, at most; any pivots give the same pairs.
 SAMPLE, ROUNDS = 16384, 6
-#: A ring is a quarter of the reach wide, but no thinner than this.
-THINNEST = 0.05
 #: What rounding may have taken from a distance.
 SLACK = 1e-6
 ROWS = 1024
@@ -50,143 +51,239 @@ def choose_pivots(x: np.ndarray, m: int) -> np.ndarray:
     return p
 
 
+class Meeting:
+    """A block's rows in the order of their distance from the pivot, and what of them may be near rows that come by in the same order: windows within reach."""
+
+    def __init__(self, parts: list[pa.RecordBatch], r: float):
+        table = pa.Table.from_batches(parts).combine_chunks()
+        self.reach, self.type = r, table.schema.field("id").type
+        self.ids, self.distance = table.column("id").to_numpy(), table.column("distance").to_numpy()
+        self.x = unit_rows(matrix(table.column("v")))
+
+    def windows(self, distance: np.ndarray, own: bool) -> Iterator[tuple[int, int, int, int]]:
+        """(s, e, lo, hi): rows s to e, and the block's rows lo to hi, among which are all in reach of any of them; of the block's own, those from s on."""
+        step = max(1, PRODUCT // len(self.ids))
+        for s in range(0, len(distance), step):
+            e = min(len(distance), s + step)
+            lo = s if own else int(np.searchsorted(self.distance, distance[s] - self.reach, "left"))
+            yield s, e, lo, int(np.searchsorted(self.distance, distance[e - 1] + self.reach, "right"))
+
+
+class Counted(Meeting):
+    """n: pairs that meet."""
+
+    def met(self, ids: np.ndarray, x: np.ndarray, distance: np.ndarray, own: bool = False) -> Iterator[pa.RecordBatch]:
+        n = sum((e - s) * (hi - lo) - ((e - s) * (e - s + 1) // 2 if own else 0) for s, e, lo, hi in self.windows(distance, own))
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        return iter(())
+
+
+def best_of(x: np.ndarray, y: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of each x's k best y; ties to the smaller y."""
+    group, place = (np.unique(c, return_inverse=True)[1] for c in (x, y))
+    order = np.lexsort((place, -score, group))
+    start = np.r_[True, group[order][1:] != group[order][:-1]][: len(order)]
+    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))
+    return order[rank < k]
+
+
+class Matched(Meeting):
+    """x, y, score of pairs in reach, once; with k, of the k best of each row, both ways round: of a visitor in a window, of the block's rows among all that came by."""
+
+    def __init__(self, parts: list[pa.RecordBatch], r: float, least: float, k: int | None):
+        super().__init__(parts, r)
+        self.least, self.k, self.held, self.many = least, k, [], 0
+        self.narrow = self.x.astype(np.float32)
+        #: What single precision may take from a product of unit vectors.
+        self.loose = np.float32(least - 1e-6 - 1.2e-7 * self.x.shape[1])
+
+    def _batch(self, x: np.ndarray, y: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x).cast(self.type), pa.array(y).cast(self.type), pa.array(score, pa.float64())], ["x", "y", "score"])
+
+    def met(self, ids: np.ndarray, x: np.ndarray, distance: np.ndarray, own: bool = False) -> Iterator[pa.RecordBatch]:
+        narrow = self.narrow if own else x.astype(np.float32)
+        for s, e, lo, hi in self.windows(distance, own):
+            i, j = np.nonzero(narrow[s:e] @ self.narrow[lo:hi].T >= self.loose)
+            i, j = i + s, j + lo
+            if own:
+                i, j = i[i < j], j[i < j]
+            for at in range(0, len(i), SCORED):
+                a, b = i[at : at + SCORED], j[at : at + SCORED]
+                score = np.einsum("nd,nd->n", x[a], self.x[b])
+                score = score if self.k is None else np.round(score, PLACES)
+                fits = (score >= self.least) & (ids[a] != self.ids[b])
+                if fits.any():
+                    yield from self._found(ids[a[fits]], self.ids[b[fits]], score[fits], own)
+
+    def _found(self, x: np.ndarray, y: np.ndarray, score: np.ndarray, own: bool) -> Iterator[pa.RecordBatch]:
+        if self.k is None:
+            yield self._batch(x, y, score)
+            return
+        if own:
+            self.held.append((x, y, score))
+        else:
+            best = best_of(x, y, score, self.k)
+            yield self._batch(x[best], y[best], score[best])
+        self.held.append((y, x, score))
+        self.many += len(x)
+        if self.many > HELD:
+            self._prune()
+
+    def _prune(self) -> None:
+        x, y, score = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        best = best_of(x, y, score, self.k)
+        self.held, self.many = [(x[best], y[best], score[best])], 0
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            self._prune()
+            yield self._batch(*self.held[0])
+
+
 class PivotJoin:
     """The blocks of vectors in which pairs of a cosine of `least` or more must lie.
 
     Each vector lives in the cell of its nearest pivot. It visits the cell of an earlier pivot only if the plane halfway between the two pivots is within
-    reach, as a partner there lies beyond that plane. In a cell, rings of distance from the pivot whose gap exceeds the reach don't meet. Rings
-    are cut into blocks of bounded size; a pair of blocks is one task's matrix product, and every pair of vectors in reach meets in exactly one.
+    reach, as a partner there lies beyond that plane. Cells are cut into blocks of bounded size by a hash; a row of a later block visits the earlier ones of its own cell. A block is held
+    by a task, and its visitors stream past it in the order of their distance from the pivot: rows whose distances differ by more than the reach don't meet. Visitors are dealt to
+    PARTS tasks. So a row moves once for a block that it visits, whatever that block's size, and every pair of vectors in reach meets in exactly one task.
 
     Null vectors and those of length zero are left out; all others must be equally long and without nulls. What the driver holds is PIVOTS centres
-    at most, and a number a ring of each.
+    at most, and three numbers of each.
     """
 
-    def __init__(self, vectors: DataFrame, least: float, id_col: str = "vec_id", vector_col: str = "embedding", cell: int = CELL, block: int = BLOCK):
+    def __init__(self, vectors: DataFrame, least: float, id_col: str = "vec_id", vector_col: str = "embedding", cell: int | None = None, block: int | None = None):
         if not 0 < least <= 1:
             raise ValueError("a pivot join needs a cosine above 0")
-        self.least, self.block, self.reach = least, block, reach(least)
-        self.width = max(self.reach / 4, THINNEST)
+        self.least, self.reach = least, reach(least)
         rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-        self.rows = rows.where("v is not null and exists(v, x -> x <> 0)")
+        self.rows = rows.where("v is not null and exists(v, x -> x <> 0)").withColumn("h", F.xxhash64("id"))
         self.n = self.rows.count()
-        m = min(PIVOTS, ceil(self.n / cell)) or 1
-        got = self.rows.orderBy(F.xxhash64("id"), "id").limit(min(SAMPLE, 64 * m)).select("v").collect() if m > 1 else []
-        self.pivots = choose_pivots(unit_rows(np.array([r["v"] for r in got], np.float64)), m) if m > 1 else None
+        m = min(ceil(self.n / CELL), max(LEAST_PIVOTS, ceil(self.n**0.25))) if cell is None else ceil(self.n / cell)
+        m = min(PIVOTS, m) or 1
+        self.block = min(BLOCK, max(LEAST_BLOCK, ceil(self.n / BLOCKS))) if block is None else block
+        got = self.rows.orderBy("h", "id").limit(min(SAMPLE, 64 * m)).select("v").collect() if m > 1 else []
+        self.pivots = choose_pivots(unit_rows(np.array([r["v"] for r in got], np.float64)), m) if m > 1 else np.zeros((1, 1))
         self.kind = vectors.schema[id_col].dataType
 
-    def _placed(self, visits: bool, bounds: list[tuple[float, float]] | None = None) -> DataFrame:
-        """id, v, cell, visitor, ring, distance of rows at home, or of the cells that they visit; bounds are the distances that a cell's own rows have from its pivot."""
-        told = self.rows.sparkSession.sparkContext.broadcast((self.pivots, bounds))
-        r, width = self.reach, self.width
+    def tiles(self) -> DataFrame:
+        """tile, part, visitor, distance, id, v: the rows of every block, once a part, and its visitors; sorted within partitions, a tile's part in one of them."""
+        sc, pivots, r = self.rows.sparkSession.sparkContext, self.pivots, self.reach
+        told = sc.broadcast(pivots)
+
+        def homes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            every = distances(x, told.value) if len(told.value) > 1 else np.zeros((len(x), 1))
+            home = every.argmin(axis=1)
+            return every, home, every[np.arange(len(x)), home]
+
+        def lives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, ROWS):
+                    _, home, own = homes(unit_rows(matrix(whole.column(0).slice(at, ROWS))))
+                    yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(own)], ["cell", "distance"])
+
+        held = self.rows.select("v").mapInArrow(lives, "cell int, distance double")
+        count, lo, hi = np.zeros(len(pivots), np.int64), np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
+        for row in held.groupBy("cell").agg(F.count("*").alias("n"), F.min("distance").alias("lo"), F.max("distance").alias("hi")).collect():
+            count[row["cell"]], lo[row["cell"]], hi[row["cell"]] = row["n"], row["lo"], row["hi"]
+        blocks = -(-count // self.block)
+        first = np.r_[0, np.cumsum(blocks)]
+        tiles = int(first[-1])
+        parts = PARTS if tiles > 1 else 1
+        bounds = sc.broadcast((blocks, first, lo, hi))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pivots, bounds = told.value
-            apart = None if pivots is None else 2 * np.maximum(distances(pivots, pivots), 1e-12)
+            blocks, first, lo, hi = bounds.value
+            pivots = told.value
+            apart = 2 * np.maximum(distances(pivots, pivots), 1e-12)
             for whole in batches:
                 for at in range(0, whole.num_rows, ROWS):
                     batch = whole.slice(at, ROWS)
-                    x = unit_rows(matrix(batch.column(1)))
-                    if pivots is None:
-                        row, cell, d = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x))
-                    else:
-                        every = distances(x, pivots)
-                        home = every.argmin(axis=1)
-                        own = every[np.arange(len(x)), home]
-                        if visits:
-                            lo, hi = np.array(bounds).T
-                            # The distance of a row from the plane halfway between its pivot and another.
-                            plane = (every**2 - (own**2)[:, None]) / apart[home]
-                            goes = (plane <= r) & (every - r <= hi) & (every + r >= lo) & (np.arange(len(pivots)) < home[:, None])
-                            row, cell = np.nonzero(goes)
-                            d = every[row, cell]
-                        else:
-                            row, cell, d = np.arange(len(x)), home, own
-                    take = pa.array(row)
-                    ring = (d / width).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(cell.astype(np.int32)), pa.array(np.full(len(row), int(visits), np.int32)), pa.array(ring), pa.array(d)], ["id", "v", "cell", "visitor", "ring", "distance"])
-
-        ints = [StructField(c, IntegerType()) for c in ("cell", "visitor", "ring")]
-        return self.rows.mapInArrow(run, StructType([*self.rows.schema.fields, *ints, StructField("distance", DoubleType())]))
-
-    def blocks(self) -> tuple[DataFrame, DataFrame]:
-        """(all placed rows, cell, visitor, ring, n of each ring)."""
-        home = self._placed(False)
-        counts = stored(home.groupBy("cell", "visitor", "ring").agg(F.count("*").alias("n"), F.min("distance").alias("lo"), F.max("distance").alias("hi")))
-        if self.pivots is None:
-            return home, counts.drop("lo", "hi")
-        bounds = [(np.inf, -np.inf)] * len(self.pivots)
-        for row in counts.groupBy("cell").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect():
-            bounds[row["cell"]] = (row["lo"], row["hi"])
-        guests = self._placed(True, bounds)
-        more = guests.groupBy("cell", "visitor", "ring").agg(F.count("*").alias("n"))
-        return home.unionByName(guests), stored(counts.drop("lo", "hi").unionByName(more))
-
-    def _meetings(self, counts: DataFrame) -> DataFrame:
-        """cell, a_visitor, a_ring, a_n, b_...: the rings of a cell that meet, in both orders; visitors meet a cell's own rows only."""
-        side = lambda s: counts.select("cell", *(F.col(c).alias(f"{s}_{c}") for c in ("visitor", "ring", "n")))
-        both = side("a").join(side("b"), "cell")
-        gap = (F.abs(F.col("a_ring") - F.col("b_ring")) - 1) * self.width
-        return both.where((F.col("a_visitor") + F.col("b_visitor") < 2) & (gap <= self.reach))
+                    h = batch.column(2).to_numpy().view(np.uint64)
+                    every, home, own = homes(unit_rows(matrix(batch.column(1))))
+                    block = ((h >> np.uint64(8)) % blocks[home].astype(np.uint64)).astype(np.int64)
+                    n = len(home)
+                    # The distance of a row from the plane halfway between its pivot and another.
+                    plane = (every**2 - (own**2)[:, None]) / apart[home]
+                    goes = (plane <= r) & (every - r <= hi) & (every + r >= lo) & (np.arange(len(pivots)) < home[:, None])
+                    row, cell = np.nonzero(goes)
+                    some = [(np.repeat(np.arange(n), parts), np.repeat(first[home] + block, parts), np.tile(np.arange(parts), n), 0, np.repeat(own, parts))]
+                    for who, to, many, d in ((np.arange(n), home, block, own), (row, cell, blocks[cell], every[row, cell])):
+                        copies = np.repeat(np.arange(len(who)), many)
+                        nth = np.arange(len(copies)) - np.repeat(np.cumsum(many) - many, many)
+                        some.append((who[copies], first[to[copies]] + nth, (h[who[copies]] % np.uint64(parts)).astype(np.int64), 1, d[copies]))
+                    for who, tile, part, visitor, d in some:
+                        for s in range(0, len(who), ROWS):
+                            w = pa.array(who[s : s + ROWS])
+                            numbers = [pa.array(c.astype(np.int32)) for c in (tile[s : s + ROWS], part[s : s + ROWS], np.full(len(w), visitor))]
+                            yield pa.RecordBatch.from_arrays([*numbers, pa.array(d[s : s + ROWS]), batch.column(0).take(w), batch.column(1).take(w)], ["tile", "part", "visitor", "distance", "id", "v"])
+
+        ints = [StructField(c, IntegerType()) for c in ("tile", "part", "visitor")]
+        dealt = self.rows.mapInArrow(run, StructType([*ints, StructField("distance", DoubleType()), *self.rows.schema.fields[:2]]))
+        return dealt.repartition(max(1, tiles * parts), "tile", "part").sortWithinPartitions("tile", "part", "visitor", "distance")
+
+    def _met(self, make: Callable[[list[pa.RecordBatch]], Meeting], schema: str) -> DataFrame:
+        """What make(a block's rows) says of each block's own pairs, which meet in the first part, and of its visitors."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, held, now = None, [], None
+
+            def opened() -> Iterator[pa.RecordBatch]:
+                nonlocal held, now
+                now, held = make(held), []
+                if at[1] == 0:
+                    yield from now.met(now.ids, now.x, now.distance, True)
+
+            def closed() -> Iterator[pa.RecordBatch]:
+                if held:
+                    yield from opened()
+                if now is not None:
+                    yield from now.rest()
+
+            for batch in batches:
+                tile, part, visitor = (batch.column(c).to_numpy() for c in ("tile", "part", "visitor"))
+                cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in (tile, part, visitor)])) + 1
+                for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                    if s == e:
+                        continue
+                    rows = batch.slice(s, e - s)
+                    if (tile[s], part[s]) != at:
+                        yield from closed()
+                        at, held, now = (tile[s], part[s]), [], None
+                    if visitor[s] == 0:
+                        held.append(rows)
+                        continue
+                    if now is None and held:
+                        yield from opened()
+                    if now is None:
+                        # A hash may leave a block without rows.
+                        continue
+                    x = unit_rows(matrix(rows.column("v")))
+                    yield from now.met(rows.column("id").to_numpy(zero_copy_only=False), x, rows.column("distance").to_numpy())
+            yield from closed()
+
+        return self.tiles().mapInArrow(run, schema)
 
     def compared(self) -> int:
         """How many pairs of vectors meet."""
-        met = self._meetings(self.blocks()[1])
-        same = (F.col("a_visitor") == F.col("b_visitor")) & (F.col("a_ring") == F.col("b_ring"))
-        twice = F.when(same, F.col("a_n") * (F.col("a_n") - 1)).otherwise(F.col("a_n") * F.col("b_n"))
-        return (met.agg(F.sum(twice)).first()[0] or 0) // 2
-
-    def tiles(self) -> DataFrame:
-        """id, v, cell, own, lo, hi: rows by the pair of blocks lo and hi that they are in; own is the row's."""
-        placed, counts = self.blocks()
-        cut = lambda n: F.ceil(F.col(n) / self.block).cast("int")
-        partners = self._meetings(counts).groupBy("cell", F.col("a_visitor").alias("visitor"), F.col("a_ring").alias("ring")).agg(F.first(cut("a_n")).alias("parts"), F.collect_list(F.struct(F.col("b_visitor").alias("visitor"), F.col("b_ring").alias("ring"), cut("b_n").alias("parts"))).alias("partners"))
-        # A row a ring of PIVOTS cells at most, each with as many partners as a cell has rings.
-        dealt = placed.drop("distance").join(F.broadcast(partners), ["cell", "visitor", "ring"])
-        code = lambda visitor, ring, part: (F.shiftleft(visitor.cast("long"), 62) + F.shiftleft(ring.cast("long"), 40) + part).alias("own")
-        dealt = dealt.select("id", "v", "cell", code(F.col("visitor"), F.col("ring"), F.pmod(F.xxhash64("id"), "parts")), F.explode("partners").alias("p"))
-        met = dealt.select("id", "v", "cell", "own", "p", F.explode(F.sequence(F.lit(0), F.col("p.parts") - 1)).alias("part"))
-        other = code(F.col("p.visitor"), F.col("p.ring"), F.col("part"))
-        return met.select("id", "v", "cell", "own", other.alias("other")).select("id", "v", "cell", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        r = self.reach
+        return self._met(lambda held: Counted(held, r), "n long").agg(F.sum("n")).first()[0] or 0
 
     def matched(self, k: int | None = None) -> DataFrame:
-        """x, y, score of every pair in reach, once; with k, of each row's k best in each pair of blocks, both ways round."""
-        kind, least = self.kind.simpleString(), self.least
-
-        def run(table: pa.Table) -> pa.Table:
-            type_ = table.schema.field("id").type
-            table = table.sort_by("id")
-            ids, own = np.array(table.column("id").to_pylist()), table.column("own").to_numpy()
-            x = unit_rows(matrix(table.column("v")))
-            lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-            a, b = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-            s = x[a] @ x[b].T
-            if k is None:
-                fits = (s >= least) & (ids[a][:, None] < ids[b][None] if lo == hi else ids[a][:, None] != ids[b][None])
-                i, j = np.nonzero(fits)
-                left, right, score = ids[a[i]], ids[b[j]], s[i, j]
-            else:
-                s = np.where(ids[a][:, None] != ids[b][None], np.round(s, PLACES), -2)
-                found = []
-                for own_, other, t in [(a, b, s)] if lo == hi else [(a, b, s), (b, a, s.T)]:
-                    # Columns are in the order of ids, so a stable sort leaves ties to the smaller one.
-                    best = np.argsort(-t, axis=1, kind="stable")[:, :k]
-                    i = np.repeat(np.arange(len(own_)), best.shape[1])
-                    j = best.ravel()
-                    fits = t[i, j] >= least
-                    found.append((ids[own_[i[fits]]], ids[other[j[fits]]], t[i[fits], j[fits]]))
-                left, right, score = (np.concatenate(c) for c in zip(*found, strict=True))
-            return pa.table({"x": pa.array(left).cast(type_), "y": pa.array(right).cast(type_), "score": pa.array(score, pa.float64())})
-
-        return self.tiles().groupBy("cell", "lo", "hi").applyInArrow(run, f"x {kind}, y {kind}, score double")
-
-
-def similar_pairs(vectors: DataFrame, least: float = 0.88, id_col: str = "vec_id", vector_col: str = "embedding", cell: int = CELL, block: int = BLOCK) -> DataFrame:
+        """x, y, score of every pair in reach, once; with k, of each row's k best in each block, both ways round."""
+        kind, least, r = self.kind.simpleString(), self.least, self.reach
+        return self._met(lambda held: Matched(held, r, least, k), f"x {kind}, y {kind}, score double")
+
+
+def similar_pairs(vectors: DataFrame, least: float = 0.88, id_col: str = "vec_id", vector_col: str = "embedding", cell: int | None = None, block: int | None = None) -> DataFrame:
     """a, b, similarity (4 places) of every pair a < b whose cosine is `least` (above 0) or more, by PivotJoin. Rows that repeat an id don't pair with each other."""
     found = PivotJoin(vectors, least, id_col, vector_col, cell, block).matched()
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round("score", 4).alias("similarity"))
 
 
-def neighbor_pairs(vectors: DataFrame, k: int = 5, least: float = 0.85, id_col: str = "vec_id", vector_col: str = "embedding", cell: int = CELL, block: int = BLOCK) -> DataFrame:
+def neighbor_pairs(vectors: DataFrame, k: int = 5, least: float = 0.85, id_col: str = "vec_id", vector_col: str = "embedding", cell: int | None = None, block: int | None = None) -> DataFrame:
     """a, b, similarity: each vector's k nearest of a cosine of `least` (above 0) or more, a pair once; ties to the smaller id. Blocks keep k a row."""
     found = PivotJoin(vectors, least, id_col, vector_col, cell, block).matched(k)
     rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("score"), "y"))

@@ -67,6 +67,20 @@ def test_pivots_skip_most_pairs_of_clustered_vectors(spark):
         simjoin.PivotJoin(rows, 0.0)
 
 
+def test_rows_of_a_pivot_join_move_once_a_block(spark):
+    rows = frame(spark, np.random.default_rng(3).normal(size=(6000, 8)))
+    join = simjoin.PivotJoin(rows, 0.5)
+    # Four copies of each row at home, and one a block that it visits: at most all blocks of earlier cells and of its own.
+    assert join.tiles().count() <= 10 * 6000
+
+
+def test_blocks_without_rows_and_rows_that_only_visit(spark):
+    x = clustered(30, 6, 3, 0.5, 4)
+    s = cosines(x)
+    want = {(i, j) for i in range(30) for j in range(i + 1, 30) if s[i, j] >= 0.3}
+    assert {(r.a, r.b) for r in simjoin.similar_pairs(frame(spark, x), 0.3, cell=4, block=1).collect()} == want
+
+
 def test_pivot_join_of_few_rows(spark):
     assert simjoin.similar_pairs(frame(spark, [])).collect() == []
     assert simjoin.similar_pairs(frame(spark, [[1.0, 0.0], None, [0.0, 0.0]])).collect() == []
