@@ -220,6 +220,35 @@ def test_cells_reach_the_recall_they_are_asked_for(spark):
     assert cells.probes_for(rows, q) < 24
 
 
+def test_cells_grow_with_the_vectors_and_are_cut_into_shards(spark, monkeypatch):
+    r = np.random.default_rng(10)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(r.normal(size=(700, 8)))] + [(i, [1.0] * 8) for i in range(700, 800)] + [(800, None)], "vec_id long, embedding array<double>")
+    q = rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    monkeypatch.setattr(vector, "SHARD", 16)
+    cells = vector.Cells(rows)
+    assert len(cells.centroids) == 20 and len(vector.Cells(rows.crossJoin(spark.range(20)).drop("id")).centroids) == 32
+    exact = [tuple(x) for x in vector.top_k(rows, q, 10).orderBy("query_id", "rank").collect()]
+    assert [tuple(x) for x in cells.top_k(rows, q, 10, probes=20).orderBy("query_id", "rank").collect()] == exact
+
+
+def test_a_block_of_scores_is_bounded():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(11)
+    q, v = r.normal(size=(2000, 4)), r.normal(size=(10_000, 4))
+    tracemalloc.start()
+    found = list(vector.best(pa.array(range(2000)), q, pa.array(range(10_000)), v, "cosine", 3))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All scores at once are 160 MB, and several such arrays.
+    assert peak < 150 << 20
+    got = {(i, j) for b in found for i, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    s = np.round(vector.scores(q, v, "cosine"), vector.PLACES)
+    assert got == {(i, int(j)) for i in range(2000) for j in np.argsort(-s[i])[:3]}
+
+
 def test_indel_ratio(spark):
     def lcs(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
