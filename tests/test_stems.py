@@ -68,3 +68,12 @@ def test_search_by_stems_equals_brute_force(spark):
     for q in range(len(questions)):
         own = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
         assert own == sorted(own, key=lambda r: (-r.score, r.id))
+
+
+def test_places_of_frequent_words_are_not_kept(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(stemmed, "stored", lambda rows, real=stemmed.stored: kept.append(real(rows)) or kept[-1])
+    docs = spark.createDataFrame([(i, "the " * 50 + ("rare find" if i == 7 else "other find")) for i in range(60)], "doc_id int, text string")
+    q = spark.createDataFrame([(i, "the rare finds") for i in range(20)], "query_id int, text string")
+    assert {(r.query_id, r.id) for r in stemmed.stemmed_search(docs, q, None).collect()} == {(i, 7) for i in range(20)}
+    assert max(rows.count() for rows in kept) <= 100
