@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from .. import models
 from ..functions.text import empty_if_null, sentences, strip, tokens
-from . import vector
 
 SIZE, OVERLAP = 1200, 100
 RERANK_SIZE = 4096
+#: Sentences of a document that are embedded at once.
+SENTENCES = 256
 
 
 def window_starts(n: Column, size: int, overlap: int) -> Column:
@@ -69,18 +70,29 @@ def _joined(items: Column, goes_on: Callable[[Column, Column], Column]) -> Colum
 
 def semantic(docs: DataFrame, drift: float = 0.5, least: int = 100, most: int = 2000, embedder: models.Embedder | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sentences parted where neighbouring embeddings drift, then packed: pieces join while they fit `most`
-    characters, longer ones are cut, ones under `least` join the piece before. Only the embedding runs in Python.
+    characters, longer ones are cut, ones under `least` join the piece before. Only the embedding runs in Python, which returns
+    no vectors but whether neighbours are near.
     """
     model = embedder or models.hashing_embedder()
 
+    def near(parts: list[str]) -> np.ndarray:
+        """Whether each sentence is near the one before; SENTENCES are embedded at once, with the last one before them."""
+        out = np.zeros(len(parts), bool)
+        for at in range(1, len(parts), SENTENCES):
+            e = np.asarray(model(list(parts[at - 1 : at + SENTENCES])), np.float64)
+            # Sums in the order of the components.
+            dot = lambda a, b: np.cumsum(a * b, axis=1)[:, -1]
+            norm = np.sqrt(dot(e, e))
+            out[at : at + SENTENCES] = 1 - dot(e[1:], e[:-1]) / (norm[1:] * norm[:-1] + 1e-10) <= drift
+        return out
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda parts: list(np.asarray(model(list(parts)), np.float64)) if len(parts) else [])
+            yield s.map(near)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), sentences(F.col(text_col)).alias("parts"))
-    rows = rows.withColumn("e", F.pandas_udf(run, "array<array<double>>")("parts"))
-    near = lambda i: vector.cosine(F.get("e", i), F.get("e", i - 1), 1e-10)
-    pieces = _joined(F.transform("parts", lambda s, i: F.struct(s.alias("text"), F.coalesce(1 - near(i) <= drift, F.lit(False)).alias("near"))), lambda _, item: item["near"])
+    rows = rows.withColumn("near", F.pandas_udf(run, "array<boolean>")("parts"))
+    pieces = _joined(F.transform("parts", lambda s, i: F.struct(s.alias("text"), F.get("near", i).alias("near"))), lambda _, item: item["near"])
     packed = _joined(F.transform(pieces, lambda p: F.struct(p.alias("text"))), lambda text, item: F.length(text) + F.length(item["text"]) <= most)
 
     def cuts(p: Column) -> Column:
