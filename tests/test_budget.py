@@ -61,3 +61,43 @@ def test_running_totals_equal_batch_sums_without_late_rows(rocks, tmp_path):
     reports = [r for r in watched.reports if r["name"] == "budget"]
     assert sum(r["rows"] for r in reports) == sum(map(len, files)) + 1 and max(r["state_rows"] for r in reports) > 0
     assert [r["error"] for r in watched.ended][:2] == [None, None]
+
+
+def test_a_batch_costs_a_user_one_read_one_write_and_one_timer():
+    class Handle:
+        def __init__(self):
+            self.value, self.calls, self.timers = None, [], set()
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.add(at)
+
+        def deleteTimer(self, at):  # noqa: N802
+            self.timers.remove(at)
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 12 * budget.DAY
+
+    handle, p = Handle(), budget.DailyBudget(100)
+    p.init(handle)
+    rows = lambda days: [{"day": d, "tokens": 60} for d in days]
+    told = [tuple(r) for r in p.handleInputRows((7,), rows(range(10, 40)), None)]
+    assert told == [(7, d, 60, False, "running") for d in range(10, 40)]
+    assert handle.calls == ["get", "update"] and handle.timers == {11 * budget.DAY}
+    assert [tuple(r) for r in p.handleInputRows((7,), rows([9, 10]), None)] == [(7, 9, 60, False, "running"), (7, 10, 120, True, "running")]
+    assert handle.timers == {10 * budget.DAY}
+    assert [tuple(r)[1:3] for r in p.handleExpiredTimer((7,), handle, None)] == [(9, 60), (10, 120), (11, 60)]
+    assert 13 * budget.DAY in handle.timers and min(handle.value[0]) == 12
