@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..plans.durable import stored
 
 #: Edge ends up to which a level is one task's work; a larger graph's phases are joins. The result is the same.
-BLOCK_ENDS = 400_000
+BLOCK_ENDS = 2_000_000
 #: Phases of a sweep, as a power of two; sweeps of a level, at most, and the share of nodes that must move for another.
 PHASE_BITS, SWEEPS, MOVED = 3, 10, 0.001
 #: The share of a level's nodes that must join others for a further level.
@@ -224,24 +224,52 @@ def one_level(ends: DataFrame, nodes: DataFrame, total: float, refined: bool = T
     return stored(state.select("node", "label", "moved").join(parts.select("node", F.col("label").alias("sub")), "node").select("node", "label", "sub", "moved"))
 
 
-def modularity_of(ends: DataFrame, labels: DataFrame, total: float) -> float:
-    """Of labels (node, label): the share of edge ends inside, less what degrees alone would put there."""
+def without_leaves(ends: DataFrame, nodes: DataFrame, alike: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ends, nodes with k, leaves: node, hub, w) of a graph whose leaves are taken into their hubs: nodes with one neighbour, which has others.
+
+    A leaf is in its neighbour's community wherever modularity is greatest, so hubs and leaves move as one. With `alike`, only leaves that have their hub's label are taken;
+    a hub is active if it or a leaf is.
+    """
+    degrees = stored(ends.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.sum("w").alias("k"), F.min("dst").alias("hub")))
+    leaves = degrees.where("n = 1").select("node", "hub", F.col("k").alias("w")).join(degrees.where("n > 1").select(F.col("node").alias("hub")), "hub", "left_semi")
+    label = nodes.select("node", "label")
+    if alike:
+        leaves = leaves.join(label, "node").join(label.select(F.col("node").alias("hub"), "label"), ["hub", "label"], "left_semi")
+    leaves = stored(leaves.select("node", "hub", "w"))
+    gone = leaves.select("node")
+    left = stored(ends.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+    some = "active" in nodes.columns
+    told = leaves.join(nodes.select("node", "active"), "node") if some else leaves
+    more = told.groupBy(F.col("hub").alias("node")).agg(F.sum("w").alias("more"), *([F.max("active").alias("woken")] if some else []))
+    own = nodes.join(gone, "node", "left_anti").join(degrees.select("node", "k"), "node").join(more, "node", "left")
+    awake = [(F.col("active") | F.coalesce("woken", F.lit(False))).alias("active")] if some else []
+    return left, stored(own.select("node", "label", (F.col("k") + F.coalesce("more", F.lit(0.0))).alias("k"), *awake)), leaves
+
+
+def with_leaves(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """rows (node and the rest), and for each leaf those of its hub."""
+    held = leaves.select(F.col("node").alias("leaf"), F.col("hub").alias("node")).join(rows, "node")
+    return rows.unionByName(held.drop("node").withColumnRenamed("leaf", "node"))
+
+
+def modularity_of(ends: DataFrame, nodes: DataFrame, labels: DataFrame, total: float, inside: float) -> float:
+    """Of labels (node, label): the share of edge ends inside, `inside` being those within nodes, less what the nodes' k alone would put there."""
     side = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
-    both = ends.join(side("src"), "src").join(side("dst"), "dst")
-    each = both.groupBy(F.col("lsrc").alias("label")).agg(F.sum("w").alias("k"), F.sum(F.when(F.col("lsrc") == F.col("ldst"), F.col("w")).otherwise(0.0)).alias("own"))
-    row = each.agg(F.sum("own").alias("own"), F.sum(F.col("k") * F.col("k")).alias("sq")).first()
-    return (row.own or 0.0) / total - (row.sq or 0.0) / total**2
+    own = ends.join(side("src"), "src").join(side("dst"), "dst").where("lsrc = ldst").agg(F.sum("w")).first()[0] or 0.0
+    each = nodes.select("node", "k").join(labels, "node").groupBy("label").agg(F.sum("k").alias("k"))
+    return (own + inside) / total - (each.agg(F.sum(F.col("k") * F.col("k"))).first()[0] or 0.0) / total**2
 
 
 def levels_of(ends: DataFrame, nodes: DataFrame, total: float, turn: int, block_ends: int | None = None, refined: bool = True) -> list[DataFrame]:
     """node, at, label, moved (in the first level) of the first nodes after each level, `at` being its node that they are in: local moves, parts of each community, then parts as nodes of the next level that begin in their communities.
 
-    nodes: node, label, and active if only some may move in the first level. Once a level fits one task, it and all further ones are done there.
+    nodes: node, label, k if it isn't the sum of the node's ends, and active if only some may move in the first level. Once a level fits one task, it and all further ones are done there.
     """
     most = BLOCK_ENDS if block_ends is None else block_ends
     out, place = [], nodes.select("node", F.col("node").alias("at"))
-    degrees = ends.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"))
-    nodes = stored(nodes.join(degrees, "node").withColumn("draw", F.xxhash64("node")))
+    if "k" not in nodes.columns:
+        nodes = nodes.join(ends.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")), "node")
+    nodes = stored(nodes.withColumn("draw", F.xxhash64("node")))
     while not ends.isEmpty():
         if ends.count() <= most:
             rest = _rest_in_one_task(ends, nodes, total, refined or bool(out), turn)
@@ -272,10 +300,13 @@ def communities_of(ends: DataFrame, nodes: DataFrame, block_ends: int | None = N
     total = ends.agg(F.sum("w")).first()[0] or 0.0
     if not total:
         return [nodes.select("node", F.col("node").alias("at"), "label")]
+    ends, nodes, leaves = without_leaves(ends, nodes)
+    inside = 2 * (leaves.agg(F.sum("w")).first()[0] or 0.0)
     best, found = -1.0, []
     for turn in range(rounds):
         each = [x.select("node", "at", "label") for x in levels_of(ends, nodes, total, ROUND_TURN * turn, block_ends)]
-        value = modularity_of(ends, each[-1], total)
+        each = each or [nodes.select("node", F.col("node").alias("at"), "label")]
+        value = modularity_of(ends, nodes, each[-1].select("node", "label"), total, inside)
         if told:
             told(turn, len(each), value)
         gained = value > best + GAIN
@@ -284,5 +315,5 @@ def communities_of(ends: DataFrame, nodes: DataFrame, block_ends: int | None = N
         if not gained:
             break
         firsts = each[-1].groupBy("label").agg(F.min("node").alias("first"))
-        nodes = stored(each[-1].join(firsts, "label").select("node", F.col("first").alias("label")))
-    return found
+        nodes = stored(each[-1].join(firsts, "label").select("node", F.col("first").alias("label")).join(nodes.select("node", "k"), "node"))
+    return [with_leaves(x, leaves) for x in found]

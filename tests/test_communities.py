@@ -127,3 +127,19 @@ def test_graphs_without_edges(spark):
     assert {(r.community_id, r.name) for r in community.detect(ents, none).collect()} == {("a", "a"), ("b", "b")}
     loop = relations(spark, [("a", "a")])
     assert {(r.community_id, r.name, r.moved) for r in community.update(community.detect(ents, loop), ents, loop, ents).collect()} == {("a", "a", False), ("b", "b", False)}
+
+
+def test_leaves_are_taken_into_their_hubs_and_come_back(spark):
+    # A path of three with leaves on its ends, and a pair, of which neither is a leaf.
+    edges = [(0, 10 + i) for i in range(5)] + [(1, 20 + i) for i in range(4)] + [(0, 2), (1, 2), (7, 8)]
+    ends = ends_of(spark, edges, [1.0] * len(edges))
+    nodes = ends.select(F.col("src").alias("node")).distinct().withColumn("label", F.when(F.col("node") < 20, 0).otherwise(1).cast("long"))
+    left, own, leaves = partition.without_leaves(ends, nodes)
+    assert {(r.src, r.dst) for r in left.collect()} == {(0, 2), (2, 0), (1, 2), (2, 1), (7, 8), (8, 7)}
+    assert {(r.node, r.k) for r in own.collect()} == {(0, 11.0), (1, 9.0), (2, 2.0), (7, 1.0), (8, 1.0)}
+    back = partition.with_leaves(own.select("node", F.col("node").alias("at")), leaves)
+    assert {tuple(r) for r in back.collect()} == {(n, n) for n in (0, 1, 2, 7, 8)} | {(10 + i, 0) for i in range(5)} | {(20 + i, 1) for i in range(4)}
+    # Leaves of another label than their hub's stay where they are; a leaf that has changed wakes its hub.
+    _, own, leaves = partition.without_leaves(ends, nodes.withColumn("active", F.col("node") == 12), alike=True)
+    assert {r.node for r in leaves.collect()} == {10, 11, 12, 13, 14}
+    assert {r.node for r in own.collect() if r.active} == {0} and own.count() == 9
