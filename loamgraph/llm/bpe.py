@@ -1,186 +1,124 @@
-"""Ids of a byte-level BPE tokenizer with word ends, for many distinct words at once."""
+"""Ids of a byte-level BPE tokenizer with word ends, for many texts at once."""
 
 from __future__ import annotations
 
 import json
+import unicodedata
 from functools import lru_cache
 from os.path import commonprefix
+from struct import pack
 
 import numpy as np
-import regex
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from .tokencount import byte_alphabet
 
-#: Chunks and pieces remembered by each Python worker.
-CHUNKS_KEPT = 500_000
-PIECES_KEPT = 250_000
-#: Longer chunks, and those with characters from here on, go through the library.
+#: Pieces remembered by each Python worker.
+PIECES_KEPT = 600_000
+#: Longer ones aren't.
 LONGEST = 64
-PLAIN = chr(0x130)
-NEVER = np.iinfo(np.int32).max
+#: Characters from which on a chunk goes through the whole library.
+PLAIN = 0x130
+#: What a byte belongs to: white space that ends a chunk, a letter, a number, any other sign, or an odd one.
+WHITE, LETTER, NUMBER, SIGN, ODD = range(5)
 
 
 class WordBpe:
-    """encode(text) for the tokenizer file's whole pipeline, with white-space separated chunks cached.
+    """encode(texts) for the tokenizer file's whole pipeline.
 
-    The file's splitting pattern never matches white space, so a text's ids are its
-    chunks' ids joined. A batch's unseen pieces are merged together, one
-    lowest-ranked pair of each piece a step, in numpy.
+    The file's splitting pattern never matches white space, so a text's ids are its chunks' ids joined, and those of a chunk its pieces':
+    runs of letters, single numbers, runs of other signs. A batch of texts is cut into pieces by its bytes, all at once, equal pieces are
+    told together, and ids are gathered. Chunks with an apostrophe, a special token's beginning, controls or characters from PLAIN on are
+    not cut: the library encodes them. Unseen pieces go to the library's model.
     """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        # What all special tokens begin with; None if there are none.
-        special = [t["content"] for t in spec["added_tokens"]]
-        self.mark = commonprefix(special) if special else None
-        end = spec["model"]["end_of_word_suffix"]
-        self.first, self.last = np.zeros(256, np.int64), np.zeros(256, np.int64)
-        for c, b in byte_alphabet().items():
-            self.first[b], self.last[b] = vocab[c], vocab[c + end]
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
-        keys = np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], np.uint64)
-        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        # Open addressing: a pair's rank is found in as many probes as the longest run needs.
-        self.bits = 20
-        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NEVER, np.int32)
-        self.probes = 1
-        for rank, (key, slot) in enumerate(zip(keys.tolist(), self._slot(keys).tolist(), strict=True)):
-            probes = 1
-            while self.keys[slot] >= 0 and self.keys[slot] != key:
-                slot, probes = (slot + 1) & ((1 << self.bits) - 1), probes + 1
-            if self.keys[slot] < 0:
-                self.keys[slot], self.ranks[slot] = key, rank
-            self.probes = max(self.probes, probes)
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Ranks of pairs; NEVER where one side is missing (-1) or no merge has the pair."""
-        key = left << 16 | right
-        key[(left < 0) | (right < 0)] = -2
-        slot = self._slot(key.astype(np.uint64))
-        found = self.keys[slot]
-        rank = np.where(found == key, self.ranks[slot], NEVER)
-        open_ = np.flatnonzero((found != key) & (found >= 0) & (key >= 0)) if key.ndim == 1 else np.flatnonzero(((found != key) & (found >= 0) & (key >= 0)).ravel())
-        flat_key, flat_slot, flat_rank = key.ravel(), slot.ravel(), rank.ravel()
-        for _ in range(1, self.probes):
-            if not len(open_):
-                break
-            flat_slot[open_] = (flat_slot[open_] + 1) & ((1 << self.bits) - 1)
-            seen = self.keys[flat_slot[open_]]
-            hit = seen == flat_key[open_]
-            flat_rank[open_[hit]] = self.ranks[flat_slot[open_[hit]]]
-            open_ = open_[~hit & (seen >= 0)]
-        return flat_rank.reshape(key.shape)
-
-    def _merge(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word, as little-endian unsigned 32-bit integers; words are of similar length."""
-        sizes = np.array([len(w) for w in words])
-        width = int(sizes.max())
-        raw = np.zeros((len(words), width), np.uint8)
-        raw[np.arange(width) < sizes[:, None]] = np.frombuffer(b"".join(words), np.uint8)
-        symbols = self.first[raw]
-        rows = np.arange(len(words))
-        symbols[rows, sizes - 1] = self.last[raw[rows, sizes - 1]]
-        symbols[np.arange(width) >= sizes[:, None]] = -1
-        out: list[bytes] = [b""] * len(words)
-        ranks = self._rank(symbols[:, :-1], symbols[:, 1:])
-        left = rows
-        while True:
-            best = ranks.min(axis=1) if ranks.shape[1] else np.full(len(left), NEVER)
-            over = best == NEVER
-            if over.any():
-                for i, ids in zip(left[over].tolist(), symbols[over], strict=True):
-                    out[i] = ids[ids >= 0].astype("<u4").tobytes()
-                symbols, ranks, left, best = symbols[~over], ranks[~over], left[~over], best[~over]
-                if not len(left):
-                    return out
-            m, w = symbols.shape
-            row = np.arange(m)
-            at = ranks.argmin(axis=1)
-            symbols[row, at] = self.made[best]
-            keep = np.ones((m, w), bool)
-            keep[row, at + 1] = False
-            symbols = symbols[keep].reshape(m, w - 1)
-            keep = np.ones((m, w - 1), bool)
-            keep[row, at] = False
-            ranks = ranks[keep].reshape(m, w - 2)
-            if w > 2:
-                has = at > 0
-                ranks[row[has], at[has] - 1] = self._rank(symbols[row[has], at[has] - 1], symbols[row[has], at[has]])
-                has = at < w - 2
-                ranks[row[has], at[has]] = self._rank(symbols[row[has], at[has]], symbols[row[has], at[has] + 1])
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) + len(chunks) > CHUNKS_KEPT:
-            self.chunks = {"": b""}
-        if len(self.pieces) > PIECES_KEPT:
+        # What all special tokens begin with; empty if there are none.
+        self.mark = commonprefix([t["content"] for t in spec["added_tokens"]]).encode("utf-8")
+        self.kind, self.low = np.full(256, ODD, np.int8), np.arange(256, dtype=np.uint8)
+        self.kind2, self.low2 = np.full(192, ODD, np.int8), np.arange(192, dtype=np.uint8) & 63 | 128
+        for c in range(PLAIN):
+            sort = unicodedata.category(chr(c))[0]
+            kind = WHITE if chr(c) in " \t\n\r" else ODD if sort in "CZ" or chr(c) == "'" else LETTER if sort == "L" else NUMBER if sort == "N" else SIGN
+            if c < 128:
+                self.kind[c], self.low[c] = kind, ord(chr(c).lower())
+            else:
+                self.kind2[c - 128], self.low2[c - 128] = kind, chr(c).lower().encode("utf-8")[1]
+        signs = {b: c for c, b in byte_alphabet().items()}
+        self.signs = [signs[b] for b in range(256)]
+        self.pieces: dict[bytes, bytes] = {}
+
+    def _learn(self, values: list[bytes], odd: list[bool]) -> list[bytes]:
+        """Ids of values not seen so far."""
+        out, merge, signs = [], self.library.model.tokenize, self.signs
+        for v, o in zip(values, odd, strict=True):
+            if o:
+                ids = self.library.encode(v.decode("utf-8"), add_special_tokens=False).ids
+            else:
+                ids = [t.id for t in merge(v.decode("latin-1").translate(signs))]
+            out.append(pack(f"<{len(ids)}I", *ids))
+        if len(self.pieces) + len(values) > PIECES_KEPT:
             self.pieces = {}
-        known, new = self.pieces, set()
-        single: list[tuple[str, str]] = []
-        several: list[tuple[str, list[str]]] = []
-        odd: list[str] = []
-        for chunk in chunks:
-            ascii_ = chunk.isascii()
-            if len(chunk) > LONGEST or not ascii_ and max(chunk) >= PLAIN or self.mark is not None and self.mark in chunk:
-                odd.append(chunk)
-                continue
-            low = chunk.lower()
-            if low.isalpha():
-                single.append((chunk, low))
-                if low not in known:
-                    new.add(low)
-                continue
-            # A word before one point or comma, the most frequent of the others, needs no pattern.
-            body = low[:-1]
-            pieces = [body, low[-1]] if low[-1] in ".," and body.isalpha() else self.pattern.findall(low)
-            several.append((chunk, pieces))
-            for p in pieces:
-                if p not in known:
-                    new.add(p)
-        by_size = sorted(((p.encode("utf-8"), p) for p in new), key=lambda x: len(x[0]))
-        for at in range(0, len(by_size), 4096):
-            part = by_size[at : at + 4096]
-            known.update(zip((p for _, p in part), self._merge([b for b, _ in part]), strict=True))
-        kept = self.chunks
-        for chunk, piece in single:
-            kept[chunk] = known[piece]
-        for chunk, pieces in several:
-            kept[chunk] = b"".join([known[p] for p in pieces])
-        for chunk in odd:
-            kept[chunk] = np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        self.pieces.update((v, ids) for v, ids in zip(values, out, strict=True) if len(v) <= LONGEST)
+        return out
+
+    def _split(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(places at which pieces begin, which of them are whole odd chunks, the bytes of all pieces, where each begins in those)."""
+        kind, low = self.kind[raw], self.low[raw]
+        lead = np.flatnonzero((raw >= 0xC2) & (raw <= 0xC4))
+        if len(lead):
+            code = (raw[lead].astype(np.int64) - 0xC2) * 64 + (raw[lead + 1] & 63)
+            kind[lead] = kind[lead + 1] = self.kind2[code]
+            low[lead + 1] = self.low2[code]
+        strange = kind == ODD
+        if self.mark:
+            n = len(raw) - len(self.mark) + 1
+            begins = np.logical_and.reduce([raw[k : n + k] == b for k, b in enumerate(self.mark)]) if n > 0 else np.zeros(0, bool)
+            strange[np.flatnonzero(begins)] = True
+        if strange.any():
+            white = kind == WHITE
+            chunk = np.cumsum(white)
+            whole = np.isin(chunk, chunk[strange]) & ~white
+            kind[whole] = ODD
+            low[whole] = raw[whole]
+        inside = kind != WHITE
+        begin = inside.copy()
+        begin[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER) & (raw[1:] & 0xC0 != 0x80)
+        at = np.flatnonzero(begin)
+        return at, kind[at] == ODD, low[inside], np.flatnonzero(begin[inside])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = [b""] * len(texts)
-        again: list[int] = []
-        unseen: set[str] = set()
-        get = self.chunks.get
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        for i, chunks in enumerate(split):
-            ids = list(map(get, chunks))
-            if None in ids:
-                again.append(i)
-                unseen.update([c for c, x in zip(chunks, ids, strict=True) if x is None])
-            else:
-                out[i] = b"".join(ids)
-        if unseen:
-            kept = self.chunks
-            self._learn(unseen)
-            if self.chunks is not kept:  # it was emptied; what these texts use is learnt again
-                self._learn({c for i in again for c in split[i]} - self.chunks.keys())
-            get = self.chunks.__getitem__
-            for i in again:
-                out[i] = b"".join(map(get, split[i]))
-        return out
+        blobs = [t.encode("utf-8") for t in texts]
+        raw = np.frombuffer(b" ".join(blobs), np.uint8)
+        at, odd, data, place = self._split(raw)
+        if not len(at):
+            return [b""] * len(texts)
+        offsets = np.append(place, len(data)).astype(np.int32)
+        each = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        codes = each.indices.to_numpy()
+        _, begins, blob = each.dictionary.buffers()
+        begins, blob = np.frombuffer(begins, np.int32)[: len(each.dictionary) + 1].tolist(), blob.to_pybytes()
+        values = [blob[a:b] for a, b in zip(begins[:-1], begins[1:], strict=True)]
+        own = list(map(self.pieces.get, values))
+        new = [i for i, ids in enumerate(own) if ids is None]
+        if new:
+            strange = np.zeros(len(values), bool)
+            strange[codes[odd]] = True
+            for i, ids in zip(new, self._learn([values[i] for i in new], strange[new].tolist()), strict=True):
+                own[i] = ids
+        # The ids of every piece, one after the other.
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        flat = np.frombuffer(b"".join(own), "<u4")
+        ends = np.append(0, np.cumsum(size[codes]))
+        ids = flat[np.repeat((np.cumsum(size) - size)[codes] - ends[:-1], size[codes]) + np.arange(ends[-1])]
+        bounds = np.cumsum([0] + [len(b) + 1 for b in blobs])
+        bounds = ends[np.searchsorted(at, bounds)].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)

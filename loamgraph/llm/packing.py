@@ -25,7 +25,7 @@ POPULATION = 4
 #: Loose pieces that a bin with room is offered in exchange.
 SWAPS = 24
 #: Characters tokenised at once.
-CHARS = 1 << 20
+CHARS = 1 << 21
 
 PIECE = "item long, doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
