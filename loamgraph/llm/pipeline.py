@@ -11,7 +11,7 @@ from .langid import UNKNOWN, identify, train_model
 from .linededup import remove_repeated_chunks
 from .packing import pack_documents
 from .queries import vocabulary
-from .similar import one_of_similar
+from .simhash import one_of_near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose best language has a smaller mean probability isn't in any language known.
@@ -40,13 +40,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of similar texts: that with the smallest id, as one_of_similar() says.
+    """Keeps one document of each component of near-duplicates, by op2's fingerprints and links: that with the smallest id, as one_of_near_duplicates() says.
 
     Rows are told apart by id and text: two unlike texts of one id both stay, a repeated row stays once, rows with null
-    ids are compared like others and stay only if their class has no id. All texts without words are one class.
+    ids are compared like others and stay only if their component has no id. All texts without words are one component.
     Only COLUMNS are returned; an empty table gives no rows.
     """
-    return one_of_similar(docs.select(*COLUMNS))
+    return one_of_near_duplicates(docs.select(*COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Networks, similarity classes and tokenizers have no SQL form; tests compare the stages with brute force.
+#: Networks, fingerprints and tokenizers have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

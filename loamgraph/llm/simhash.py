@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
@@ -11,7 +12,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, connected_components, local_components, stored, whole_groups
+from pyspark.sql.types import LongType, StructField, StructType
+
+from .common import byte_values, connected_components, local_components, shared_folder, stored, whole_groups
 
 BITS = 64
 #: Fingerprints of a block's tile that are compared with each other at once.
@@ -162,6 +165,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = stored(fingerprints(docs, id_col, text_col, width, seed))
     firsts = stored(rows.groupBy("fp").agg(F.min("id").alias("first")))
+    roots = _roots(firsts, distance, blocks)
+    classes = roots.select(F.col("node.fp").alias("fp"), F.col("root.id").alias("component_id"))
+    classes = firsts.join(classes.withColumn("linked", F.lit(True)), "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"))
+    return rows.join(classes, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _roots(firsts: DataFrame, distance: int, blocks: int | None = None) -> DataFrame:
+    """(node, root) of every fingerprint that is linked to another, of distinct ones (fp, first: the smallest id, or null)."""
     if blocks is None:
         blocks = blocks_for(firsts.count(), distance)
     if not 1 <= distance < blocks:
@@ -175,7 +186,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         word = values["word"].view(np.uint64)
         return np.bitwise_count(word[i] ^ word[j]) <= distance
 
-    roots = connected_components(near_links(keyed, hot_keys(keyed, nodes), near))
-    classes = roots.select(F.col("node.fp").alias("fp"), F.col("root.id").alias("component_id"))
-    classes = firsts.join(classes.withColumn("linked", F.lit(True)), "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"))
-    return rows.join(classes, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return connected_components(near_links(keyed, hot_keys(keyed, nodes), near))
+
+
+def one_of_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, distance: int = 4) -> DataFrame:
+    """The documents, one of each component that near_duplicates() finds: that with the smallest id.
+
+    Null ids come after all others, and equal ids are told apart by their texts, then by the other columns: rows of one id are one document
+    only if their fingerprints are linked, a repeated row stays once, and rows with null ids are compared like others. Texts without words
+    are one component. Columns need an order (no maps). An empty table gives no rows.
+
+    Texts move once, to where the rows of their fingerprint meet, combined before the shuffle; what is lost is looked up there.
+    """
+    spark = docs.sparkSession
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    place = {id_col: "id", text_col: "text"} | {c: f"c{i}" for i, c in enumerate(rest)}
+    rows = docs.select(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(place[c]) for c in rest))
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(t, width, seed) for t in byte_values(batch.column(2))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], [*names, "fp"])
+
+    told = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("fp", LongType())]))
+    name = f"loam_{uuid.uuid4().hex}"
+    buckets = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    held = told.groupBy("fp").agg(F.min(F.struct(*names)).alias("row"))
+    held.write.option("compression", "zstd").option("path", f"{shared_folder(spark).rstrip('/')}/{name}").bucketBy(buckets, "fp").saveAsTable(name)
+    base = spark.table(name)
+    roots = _roots(stored(base.select("fp", F.col("row.id").alias("first"))), distance)
+    lost = roots.where("node <> root").select(F.col("node.fp").alias("fp"))
+    return base.join(lost, "fp", "left_anti").select(*(F.col(f"row.{place[c]}").alias(c) for c in docs.columns))
