@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -12,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import byte_values, connected_components, stored, whole_groups
-from .similar import span_similar
+from .common import byte_values, connected_components, shared_folder, stored, whole_groups
+from .similar import repeated, span_similar
 from .simhash import span_groups
 
 WIDTH = 3
@@ -31,6 +32,8 @@ TILE, PART = 1024, 1 << 20
 SEEDS = 2
 #: A key that holds over one part in HOT of all rows, and over HOT_LEAST of them, is dealt to several tasks.
 HOT, HOT_LEAST = 2000, 1000
+#: Of so many sets one is drawn to find keys that over HOT_LEAST of them hold.
+DRAWN = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -241,6 +244,15 @@ def _told(docs: DataFrame, id_col: str, text_col: str, width: int, full: bool) -
     return rows.mapInArrow(run, StructType([f for f in rows.schema.fields if f.name in own] + [StructField(c, LongType()) for c in names[len(own) :]]))
 
 
+def _bucketed(base: DataFrame) -> DataFrame:
+    """base as a table in buckets by NAME, which it is dealt by already: joins by NAME leave the texts in place."""
+    spark = base.sparkSession
+    name = f"loam_{uuid.uuid4().hex}"
+    buckets = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    base.write.option("compression", "zstd").option("path", f"{shared_folder(spark).rstrip('/')}/{name}").bucketBy(buckets, *NAME).saveAsTable(name)
+    return spark.table(name)
+
+
 def spread_join(rows: DataFrame, table: DataFrame, on: list[str], held: str, how: str = "inner") -> DataFrame:
     """rows joined to the table, one row a key, `held` of which say how many rows have the key: hot keys are dealt to several tasks.
 
@@ -308,6 +320,12 @@ def _sets(table: pa.Table, width: int) -> list[np.ndarray]:
     return [shingles(t, width) for t in byte_values(table.column("text").combine_chunks())]
 
 
+def _texts(rows: DataFrame, base: DataFrame) -> DataFrame:
+    """rows (sid, the rest) with each set's text: the rows are brought to where the texts are."""
+    named = rows.join(base.select("sid", *NAME), "sid")
+    return named.join(base.select(*NAME, "text"), NAME).select(*rows.columns, "text")
+
+
 def _facts(base: DataFrame) -> DataFrame:
     return base.select("sid", "size", *SKETCH)
 
@@ -331,7 +349,7 @@ def _seed_edges(open_: DataFrame, base: DataFrame, turn: int, width: int, least:
         return table.select(["sid", "key", "part"]).take(pa.array(np.unique(np.r_[a, b]).astype(np.int64))).combine_chunks().to_batches()[0] if len(a) else pa.RecordBatch.from_pylist([], table.select(["sid", "key", "part"]).schema)
 
     met = _by_task(light, ["key", "part"], meet, "sid long, key long, part int")
-    texts = met.join(base.select("sid", "text"), "sid")
+    texts = _texts(met, base)
 
     def span(table: pa.Table) -> pa.RecordBatch:
         sids, bounds = table.column("sid").to_numpy(), _groups(table, ["key", "part"])[1]
@@ -413,7 +431,7 @@ def span_across(sets: list[np.ndarray], comp: np.ndarray, asks: np.ndarray, leas
 
 def _confirmed(rows: DataFrame, base: DataFrame, width: int, least: int) -> DataFrame:
     """a, b: comps that alike sets join, of rows (cluster, comp, sid, size)."""
-    tiles = _tiles(rows, "cluster", F.col("size"), PART).join(base.select("sid", "text"), "sid")
+    tiles = _texts(_tiles(rows, "cluster", F.col("size"), PART).drop("size"), base)
 
     def meet(table: pa.Table) -> pa.RecordBatch:
         comp, top, bounds = table.column("comp").to_numpy(), table.column("top").to_numpy(), _groups(table, ["cluster", "lo", "hi"])[1]
@@ -438,10 +456,21 @@ def _still_open(rows: DataFrame) -> DataFrame:
     return stored(spread_join(rows, keys, ["key"], "n").drop("n"))
 
 
+def _shared(keys: DataFrame) -> DataFrame:
+    """The rows (key, sid) of keys that several sets hold.
+
+    A sample tells keys that many hold, whose rows stay where they are; the others' rows move once, to neighbours of the same key.
+    """
+    drawn = keys.where(F.pmod(F.xxhash64("sid"), F.lit(DRAWN)) == 0).groupBy("key").agg(F.count("*").alias("n"))
+    hot = F.broadcast(stored(drawn.where(F.col("n") > max(1, HOT_LEAST // DRAWN)).select("key")))
+    rest = keys.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: repeated(batches, ["key", "sid"]), "key long, sid long")
+    return keys.join(hot, "key", "left_semi").unionByName(rest)
+
+
 def _joined(base: DataFrame, width: int, least: int) -> DataFrame:
     """(node, root) of the sets that links join, node and root being sids."""
     keys = stored(_keys(base, width, least))
-    open_ = _still_open(keys.withColumn("comp", F.col("sid")))
+    open_ = stored(_shared(keys).withColumn("comp", F.col("sid")))
     edges, comps = None, base.sparkSession.createDataFrame([], "node long, root long")
     for turn in range(SEEDS):
         found = stored(_seed_edges(open_, base, turn, width, least))
@@ -468,7 +497,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     own = _told(docs, id_col, text_col, width, True).where("size > 0")
     base = own.groupBy(*NAME).agg(F.min(F.struct("none", "id", "text")).alias("row"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in SKETCH))
-    base = stored(base.select(*NAME, "row.id", "row.text", "copies", *SKETCH).withColumn("sid", F.monotonically_increasing_id()))
+    base = _bucketed(base.select(*NAME, "row.id", "row.text", "copies", *SKETCH).withColumn("sid", F.monotonically_increasing_id()))
     roots = stored(_with_comps(base.select("sid", "id"), _joined(base, width, least)))
     classes = stored(roots.groupBy("comp").agg(F.min("id").alias("component_id"), F.count("*").alias("n")))
     named = spread_join(roots.select("sid", "comp"), classes, ["comp"], "n").select("sid", "component_id")

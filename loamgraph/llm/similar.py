@@ -200,10 +200,10 @@ def _common(base: DataFrame, width: int, seed: int) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in got], np.int64).view(np.uint64))
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, *SET), sorted by key, whose key a neighbour has too."""
+def repeated(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of longs, sorted by the first, a key, whose key a neighbour has too."""
     # The last row so far, and whether it was told.
-    last, told = [np.zeros(0, np.int64)] * 3, False
+    last, told = [np.zeros(0, np.int64)] * len(names), False
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -213,7 +213,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit[0] &= not told
         told = bool(again[-1]) if len(again) else False
         last = [c[-1:] for c in columns]
-        yield pa.RecordBatch.from_arrays([pa.array(c[hit]) for c in columns], ["key", *SET])
+        yield pa.RecordBatch.from_arrays([pa.array(c[hit]) for c in columns], names)
 
 
 def _node(prefix: str = "") -> Column:
@@ -233,7 +233,7 @@ def _links(base: DataFrame, width: int, least: float, seed: int) -> DataFrame:
 
     schema = "key long, same long, size long"
     keys = base.select(*SET, "row.text").mapInArrow(run, schema)
-    met = stored(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, schema))
+    met = stored(keys.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: repeated(batches, ["key", *SET]), schema))
     hot = met.groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > TILE)
     sets = base.select("same", "row.none", "row.id", *FACTS)
     keyed = met.join(sets, SET).select("key", _node().alias("node"), *FACTS)
