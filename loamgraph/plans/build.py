@@ -12,7 +12,7 @@ from ..functions.text import entity_text, hash_id, relation_text
 from ..operators import chunking, community, extract, graph, safety, simjoin, vector
 from ..operators.retrieve import Corpus, Options, retrieve
 from ..prompts import PROMPTS, fill
-from .durable import connected_components, cut
+from .durable import connected_components, stored
 
 SAME = 0.88
 SAME_NAME = 0.9
@@ -36,10 +36,12 @@ def resolve(names: DataFrame, embedder: models.Embedder | None = None, least: fl
 
     With a model, near names of another spelling are one if the first line of its answer says SAME.
     """
-    vectors = cut(names.select("name").distinct().withColumn("embedding", models.embed(F.col("name"), embedder)).withColumn("id", F.xxhash64("name")))
+    vectors = stored(names.select("name").distinct().withColumn("embedding", models.embed(F.col("name"), embedder)).withColumn("id", F.xxhash64("name")))
     pairs = simjoin.neighbor_pairs(vectors, 5, least, "id", "embedding")
     by = lambda c: vectors.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name"))
-    spelt = cut(pairs.join(by("a"), "a").join(by("b"), "b").withColumn("ratio", vector.indel_ratio(F.col("a_name"), F.col("b_name"))))
+    spelt = pairs.join(by("a"), "a").join(by("b"), "b").withColumn("ratio", vector.indel_ratio(F.col("a_name"), F.col("b_name")))
+    if model is not None:
+        spelt = stored(spelt)
     close = spelt.where(F.col("ratio") > ratio).select("a", "b")
     if model is not None:
         asked = spelt.where(F.col("ratio") <= ratio).withColumn("answer", models.complete(fill("same_entity", a=F.col("a_name"), b=F.col("b_name")), model))
@@ -59,31 +61,34 @@ def build(docs: DataFrame, model: models.Model, embedder: models.Embedder | None
     Equal chunks of several documents are one chunk; doc_chunks says whose they are, so that
     deletion counts references.
     """
-    rows = chunking.by_tokens(docs.withColumn("text", safety.apply_policy(F.col("text"), pii)).where("text is not null"), size, overlap)
+    if "acl" not in docs.columns:
+        docs = docs.withColumn("acl", F.lit(None).cast("struct<owner:string,visible_to_groups:array<string>,visible_to_users:array<string>,public:boolean>"))
+    docs = docs.select(F.struct("doc_id", "acl").alias("doc"), safety.apply_policy(F.col("text"), pii).alias("text")).where("text is not null")
+    rows = chunking.by_tokens(docs, size, overlap, id_col="doc").withColumnRenamed("doc_id", "doc")
     rows = safety.drop_injected(rows).withColumn("id", hash_id(F.col("content")))
-    doc_chunks = rows.select("doc_id", F.col("id").alias("chunk_id"), "chunk_order_index")
-    acl = docs.select("doc_id", "acl") if "acl" in docs.columns else docs.select("doc_id", F.lit(None).cast("struct<owner:string,visible_to_groups:array<string>,visible_to_users:array<string>,public:boolean>").alias("acl"))
-    chunks = rows.join(acl, "doc_id").groupBy("id").agg(F.min("content").alias("content"), safety.either(F.col("acl")).alias("acl"))
-    chunks = cut(chunks.withColumn("embedding", models.embed(F.col("content"), embedder)))
-    answers = cut(extract.extract(chunks, PROMPTS["extract"].split("{text}")[0], model, gleanings, PROMPTS["extract_more"], "id"))
-    order = lambda r: r.withColumn("seq", F.struct("chunk_id", "seq"))
-    mentions = cut(order(extract.entities(answers)))
-    aliases = cut(resolve(mentions, embedder, model=adjudicator))
-    relations = graph.merge_relations(graph.redirect(order(extract.relations(answers)), aliases))
-    relations = graph.with_access(graph.summarized(relations, summarizer, PROMPTS["summarize"]), ["src_id", "tgt_id"], chunks)
-    relations = cut(relations.withColumn("embedding", models.embed(relation_text(F.col("src_id"), F.col("tgt_id"), F.col("description")), embedder)))
+    doc_chunks = rows.select("doc.doc_id", F.col("id").alias("chunk_id"), "chunk_order_index")
+    # Policies travel with the chunks, which move once.
+    chunks = rows.where("doc.doc_id is not null").groupBy("id").agg(F.min("content").alias("content"), safety.either(F.col("doc.acl")).alias("acl"))
+    chunks = stored(chunks.withColumn("embedding", models.embed(F.col("content"), embedder)))
+    told = chunks.select(F.struct("id", "acl").alias("chunk"), "content")
+    answers = stored(extract.extract(told, PROMPTS["extract"].split("{text}")[0], model, gleanings, PROMPTS["extract_more"], "chunk"))
+    source = lambda r: r.withColumns({"acl": F.col("chunk_id.acl"), "seq": F.struct(F.col("chunk_id.id").alias("chunk_id"), "seq"), "chunk_id": F.col("chunk_id.id")})
+    mentions = stored(source(extract.entities(answers)))
+    aliases = stored(resolve(mentions, embedder, model=adjudicator))
+    relations = graph.merge_relations(graph.redirect(source(extract.relations(answers)), aliases))
+    relations = graph.summarized(relations, summarizer, PROMPTS["summarize"])
+    relations = stored(relations.withColumn("embedding", models.embed(relation_text(F.col("src_id"), F.col("tgt_id"), F.col("description")), embedder)))
     entities = graph.merge_mentions(graph.fold_aliases(mentions, aliases))
     if summarizer is not None:
         entities = graph.summarized(entities, summarizer, PROMPTS["summarize"])
-    entities = graph.with_access(entities, ["name"], chunks)
     # A bare endpoint is as open as the relations that name it.
     ends = relations.select(F.explode(F.array("src_id", "tgt_id")).alias("name"), "acl").groupBy("name").agg(safety.either(F.col("acl")).alias("end_acl"))
     bare = F.col("source_ids").isNull()
     entities = graph.with_endpoints(entities, relations).join(ends, "name", "left").withColumn("acl", F.when(bare, F.col("end_acl")).otherwise(F.col("acl"))).drop("end_acl")
     entities = entities.withColumn("description", F.coalesce("description", F.lit("")))
-    entities = cut(entities.withColumn("embedding", models.embed(entity_text(F.col("name"), F.col("description")), embedder)))
-    groups = cut(community.detect(entities, relations)) if with_reports else None
-    reported = cut(community.report_access(community.reports(groups, entities, relations, model), groups, entities, relations)) if with_reports else None
+    entities = stored(entities.withColumn("embedding", models.embed(entity_text(F.col("name"), F.col("description")), embedder)))
+    groups = stored(community.detect(entities, relations)) if with_reports else None
+    reported = stored(community.report_access(community.reports(groups, entities, relations, model), groups, entities, relations)) if with_reports else None
     return Built(chunks, doc_chunks, entities, relations, groups, reported)
 
 
@@ -101,5 +106,5 @@ def maintain(built: Built) -> Built:
     sourced = F.coalesce(F.size("source_ids"), F.lit(0)) > 0
     on_edges = built.relations.select(F.explode(F.array("src_id", "tgt_id")).alias("name")).distinct()
     kept = built.entities.where(sourced).unionByName(built.entities.where(~sourced).join(on_edges, "name", "left_semi"))
-    groups = cut(community.detect(kept, built.relations))
+    groups = stored(community.detect(kept, built.relations))
     return Built(built.chunks, built.doc_chunks, kept, built.relations, groups, built.reports)
