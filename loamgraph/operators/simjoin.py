@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from ..plans.durable import stored
 from .vector import PLACES, matrix
 
 #: Vectors that a cell has on average at least. There are LEAST_PIVOTS cells, or the fourth root of the number of vectors, as a row may visit half of them, and PIVOTS at most.
@@ -284,8 +285,35 @@ def similar_pairs(vectors: DataFrame, least: float = 0.88, id_col: str = "vec_id
 
 
 def neighbor_pairs(vectors: DataFrame, k: int = 5, least: float = 0.85, id_col: str = "vec_id", vector_col: str = "embedding", cell: int | None = None, block: int | None = None) -> DataFrame:
-    """a, b, similarity: each vector's k nearest of a cosine of `least` (above 0) or more, a pair once; ties to the smaller id. Blocks keep k a row."""
-    found = PivotJoin(vectors, least, id_col, vector_col, cell, block).matched(k)
-    rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("score"), "y"))
-    best = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    """a, b, similarity: each vector's k nearest of a cosine of `least` (above 0) or more, a pair once; ties to the smaller id. Blocks keep k a row.
+
+    Of equal vectors the k + 1 smallest ids meet the others, as no further one is among anyone's nearest; what the smallest finds holds for all of them.
+    """
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("v is not null")
+    if rows.groupBy("id").count().where("count > 1").isEmpty():
+        best = _nearest_of_distinct(rows, k, least, cell, block)
+    else:
+        # Rows that repeat an id may have several vectors; all of them meet.
+        rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("score"), "y"))
+        best = PivotJoin(rows, least, "id", "v", cell, block).matched(k).withColumn("rank", rank).where(F.col("rank") <= k)
     return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("score").alias("similarity")).dropDuplicates(["a", "b"])
+
+
+def _nearest_of_distinct(rows: DataFrame, k: int, least: float, cell: int | None, block: int | None) -> DataFrame:
+    """x, y, score of each row's k nearest; rows (id, v) have an id each."""
+    # Other vectors have no cosine with any.
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    rows = rows.withColumn("norm", norm).where((F.col("norm") > 0) & (F.col("norm") < float("inf"))).drop("norm")
+    nth = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    first = stored(rows.withColumn("nth", nth).where(F.col("nth") <= k + 1))
+    one = first.where("nth = 1").select(F.col("id").alias("one"), "v")
+    found = PivotJoin(first, least, "id", "v", cell, block).matched(k)
+    rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("score"), "y"))
+    found = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    near = F.struct((-F.col("score")).alias("far"), F.col("y"))
+    lists = found.groupBy(F.col("x").alias("one")).agg(F.collect_list(near).alias("near"))
+    # A vector is as near as can be to its equals.
+    own = F.array(F.struct(F.lit(-1.0).alias("far"), F.col("one").alias("y")))
+    lists = one.join(lists, "one", "left").select("v", F.array_sort(F.concat(own, F.coalesce("near", F.array().cast(lists.schema["near"].dataType)))).alias("near"))
+    each = rows.join(lists, "v").select(F.col("id").alias("x"), F.explode(F.slice(F.filter("near", lambda n: n["y"] != F.col("id")), 1, k)).alias("n"))
+    return each.select("x", F.col("n.y").alias("y"), (-F.col("n.far")).alias("score"))

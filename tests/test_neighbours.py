@@ -166,3 +166,29 @@ def test_quantised_search_of_few_rows(spark):
     q = rows.limit(1).select(F.col("vec_id").alias("query_id"), "embedding")
     assert [(r.id, r.score) for r in quantise.QuantisedIndex(rows, parts=2).top_k(rows, q, 3, probes=3).orderBy("rank").collect()] == [(0, 1.0), (1, 0.0), (2, 0.0)]
     assert quantise.QuantisedIndex(frame(spark, [None]), parts=2).top_k(frame(spark, [None]), q).collect() == []
+
+
+def test_equal_vectors_meet_as_a_few(spark, monkeypatch):
+    met = []
+    tiles = simjoin.PivotJoin.tiles
+    monkeypatch.setattr(simjoin.PivotJoin, "tiles", lambda self: met.append(self.n) or tiles(self))
+    base = clustered(12, 8, 3, 0.2, 11)
+    # Twice as long as another, so as near to it as its equals.
+    base[5] = base[4] * 2
+    of = np.random.default_rng(2).integers(0, 12, 600)
+    x = base[of]
+    s = np.round(cosines(x), 9)
+    want = set()
+    for i in range(600):
+        near = sorted((j for j in range(600) if j != i and s[i, j] >= 0.85), key=lambda j: (-s[i, j], j))[:5]
+        want |= {(min(i, j), max(i, j)) for j in near}
+    rows = [*x, np.zeros(8), np.zeros(8), None, np.full(8, np.nan), np.full(8, np.nan), np.full(8, np.inf), np.full(8, np.inf)]
+    got = [(r.a, r.b) for r in simjoin.neighbor_pairs(frame(spark, rows)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert met == [12 * 6]
+
+
+def test_rows_that_repeat_an_id_keep_their_vectors(spark):
+    x = np.array([[1.0, 0.0], [0.0, 1.0], [1.0, 0.0], [0.0, 1.0], [1.0, 0.1]])
+    got = sorted((r.a, r.b) for r in simjoin.neighbor_pairs(frame(spark, x, [1, 1, 2, 3, 4])).collect())
+    assert got == [(1, 2), (1, 3), (1, 4), (2, 4)]
