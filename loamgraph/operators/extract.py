@@ -18,11 +18,11 @@ LEAST_CONFIDENCE = 0.3
 
 def records(answers: DataFrame, id_col: str = "chunk_id", text_col: str = "answer") -> DataFrame:
     """chunk_id, seq, fields of each record; one that holds the stop marker is left out whole."""
-    parts = F.split(empty_if_null(F.col(text_col)), f"\\Q{RECORD}\\E")
-    rows = answers.select(F.col(id_col).alias("chunk_id"), F.posexplode(parts).alias("seq", "record"))
-    rows = rows.where(~F.col("record").contains(STOP))
-    bare = F.regexp_replace(strip(F.col("record")), r"^\(+|\)+$", "")
-    return rows.select("chunk_id", "seq", F.transform(F.split(bare, f"\\Q{FIELD}\\E"), lambda f: F.regexp_replace(strip(f), '^["\']+|["\']+$', "")).alias("fields"))
+    bare = lambda record: F.regexp_replace(strip(record), r"^\(+|\)+$", "")
+    read = lambda record: F.transform(F.split(bare(record), f"\\Q{FIELD}\\E"), lambda f: F.regexp_replace(strip(f), '^["\']+|["\']+$', ""))
+    # Fields are read before records are parted, so once, however many columns come of them.
+    parts = F.transform(F.split(empty_if_null(F.col(text_col)), f"\\Q{RECORD}\\E"), lambda record: F.when(~record.contains(STOP), read(record)))
+    return answers.select(F.col(id_col).alias("chunk_id"), F.posexplode(parts).alias("seq", "fields")).where("fields is not null")
 
 
 def entities(answers: DataFrame, least: float = LEAST_CONFIDENCE, id_col: str = "chunk_id", text_col: str = "answer") -> DataFrame:
