@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import byte_values, connected_components, shared_folder, stored, whole_groups
 from .similar import repeated, span_similar
@@ -28,6 +28,9 @@ PAIRED = 10
 #: Words of a sketch, and sets and shingles that one task compares with each other.
 WORDS = 8
 TILE, PART = 1024, 1 << 20
+#: Shingles from which on a sketch's bits rule little out, so a set has COUNTS counters too; sets of a cluster that one task compares by them, and pairs at once.
+LARGE, COUNTS = 2048, 512
+WIDE, AT_ONCE = 4096, 4096
 #: Rounds in which each set meets others under one of its keys, so that dense groups are one class before all keys are compared.
 SEEDS = 2
 #: A key that holds over one part in HOT of all rows, and over HOT_LEAST of them, is dealt to several tasks.
@@ -109,6 +112,13 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def counts(h: np.ndarray) -> bytes | None:
+    """How many shingles of a large set fall on each of COUNTS counters, modulo 256: sets that differ by d shingles differ by d at most, summed around the circle."""
+    if len(h) < LARGE:
+        return None
+    return np.bincount((mix(h + np.uint64(2)) % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS).astype(np.uint8).tobytes()
+
+
 def level_of(n: int) -> int:
     return max(0, n.bit_length() - 1)
 
@@ -204,7 +214,7 @@ def counter_of(h: np.ndarray) -> np.ndarray:
 
 
 def near(values: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, least: int = LEAST) -> np.ndarray:
-    """Whether sets may be alike: by size, and by the Hamming distance of their sketches, which no alike pair exceeds."""
+    """Whether sets may be alike: by size, and by the distance of their sketches and, where both have them, counters, which no alike pair exceeds."""
     a, b = values["size"][i], values["size"][j]
     hit = OUT_OF * np.minimum(a, b) >= least * np.maximum(a, b)
     at = np.flatnonzero(hit)
@@ -214,34 +224,55 @@ def near(values: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, least: int
         bits += np.bitwise_count((word[i[at]] ^ word[j[at]]).view(np.uint64))
     # Of a + b shingles, alike sets have (OUT_OF - least) / (OUT_OF + least) on one side only.
     hit[at] = (OUT_OF + least) * bits <= (OUT_OF - least) * (a[at] + b[at])
+    if "counts" in values:
+        rows, place = values["counts"], values["place"]
+        at = np.flatnonzero(hit)
+        at = at[(place[i[at]] >= 0) & (place[j[at]] >= 0)]
+        for s in range(0, len(at), AT_ONCE):
+            part = at[s : s + AT_ONCE]
+            apart = np.abs((rows[place[i[part]]] - rows[place[j[part]]]).view(np.int8).astype(np.int16)).sum(axis=1, dtype=np.int64)
+            hit[part] = (OUT_OF + least) * apart <= (OUT_OF - least) * (a[part] + b[part])
     return hit
 
 
+def compared(table: pa.Table, names: list[str]) -> dict[str, np.ndarray]:
+    """The columns that near() compares, with the others named; counts as a matrix, and place as each row's row of it, or -1."""
+    values = {c: table.column(c).to_numpy() for c in (*names, "size", *SKETCH)}
+    if "counts" in table.column_names:
+        each = table.column("counts").to_pylist()
+        has = np.array([c is not None for c in each], bool)
+        values["counts"] = np.frombuffer(b"".join(c for c in each if c is not None), np.uint8).reshape(-1, COUNTS)
+        values["place"] = np.where(has, np.cumsum(has) - 1, -1)
+    return values
+
+
 NAME = ["h1", "h2", "size"]
 SKETCH = [f"w{i}" for i in range(WORDS)]
 
 
 def _told(docs: DataFrame, id_col: str, text_col: str, width: int, full: bool) -> DataFrame:
-    """none, id, text and sketch (if `full`), and NAME of each document's set: 128 bits and its size."""
+    """none, id, text, sketch and counts (if `full`), and NAME of each document's set: 128 bits and its size."""
     rows = docs.select(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     own = ["none", "id", "text"] if full else ["id"]
     names = [*own, *NAME, *(SKETCH if full else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            halves, sizes, words = [], [], []
+            halves, sizes, words, large = [], [], [], []
             for text in byte_values(batch.column("text")):
                 h = shingles(text, width)
                 halves.append(xxhash.xxh3_128_digest(h.tobytes()))
                 sizes.append(len(h))
                 if full:
                     words.append(sketch(h))
+                    large.append(counts(h))
             name = np.frombuffer(b"".join(halves), ">i8").astype(np.int64).reshape(-1, 2)
             columns = [*(batch.column(c) for c in own), pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(sizes, pa.int64())]
-            columns += [pa.array(c) for c in np.array(words, np.int64).reshape(-1, WORDS).T] if full else []
-            yield pa.RecordBatch.from_arrays(columns, names)
+            columns += [*(pa.array(c) for c in np.array(words, np.int64).reshape(-1, WORDS).T), pa.array(large, pa.binary())] if full else []
+            yield pa.RecordBatch.from_arrays(columns, [*names, "counts"] if full else names)
 
-    return rows.mapInArrow(run, StructType([f for f in rows.schema.fields if f.name in own] + [StructField(c, LongType()) for c in names[len(own) :]]))
+    told = [StructField(c, LongType()) for c in names[len(own) :]] + ([StructField("counts", BinaryType())] if full else [])
+    return rows.mapInArrow(run, StructType([f for f in rows.schema.fields if f.name in own] + told))
 
 
 def _bucketed(base: DataFrame) -> DataFrame:
@@ -326,8 +357,8 @@ def _texts(rows: DataFrame, base: DataFrame) -> DataFrame:
     return named.join(base.select(*NAME, "text"), NAME).select(*rows.columns, "text")
 
 
-def _facts(base: DataFrame) -> DataFrame:
-    return base.select("sid", "size", *SKETCH)
+def _facts(base: DataFrame, counted: bool = False) -> DataFrame:
+    return base.select("sid", "size", *SKETCH, *(["counts"] if counted else []))
 
 
 def _seed_edges(open_: DataFrame, base: DataFrame, turn: int, width: int, least: int) -> DataFrame:
@@ -335,16 +366,16 @@ def _seed_edges(open_: DataFrame, base: DataFrame, turn: int, width: int, least:
 
     A key's sets are cut into parts of bounded size; the first set of all is in each part, so the parts of a dense group hang together.
     """
-    pick = stored(open_.groupBy("sid").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key"))["key"].alias("key")).join(_facts(base), "sid"))
+    pick = stored(open_.groupBy("sid").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key"))["key"].alias("key")).join(_facts(base, True), "sid"))
     parts = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("size") / PART)).cast("int")
     held = stored(pick.groupBy("key").agg(F.count("*").alias("n"), parts.alias("parts"), F.min("sid").alias("first")).where("n > 1"))
     dealt = spread_join(pick, held, ["key"], "n").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
-    firsts = held.where("parts > 1").select("key", F.col("first").alias("sid"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(_facts(base), "sid")
-    columns = ["sid", "key", "part", "size", *SKETCH]
+    firsts = held.where("parts > 1").select("key", F.col("first").alias("sid"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(_facts(base, True), "sid")
+    columns = ["sid", "key", "part", "size", *SKETCH, "counts"]
     light = dealt.select(columns).unionByName(firsts.select(columns)).distinct()
 
     def meet(table: pa.Table) -> pa.RecordBatch:
-        values = {c: table.column(c).to_numpy() for c in ("size", *SKETCH)}
+        values = compared(table, [])
         a, b = span_groups(_groups(table, ["key", "part"])[0], lambda i, j: near(values, i, j, least))
         return table.select(["sid", "key", "part"]).take(pa.array(np.unique(np.r_[a, b]).astype(np.int64))).combine_chunks().to_batches()[0] if len(a) else pa.RecordBatch.from_pylist([], table.select(["sid", "key", "part"]).schema)
 
@@ -383,12 +414,12 @@ def _tiles(rows: DataFrame, group: str, weight: Column, unit: int) -> DataFrame:
     return dealt.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")}).drop("other", "n", "p", "q")
 
 
-def _far_edges(rows: DataFrame, base: DataFrame, least: int) -> DataFrame:
-    """a, b: comps that sets near by their sketches join, of rows (key, sid, comp)."""
-    tiles = _tiles(rows, "key", F.lit(1), TILE).join(_facts(base), "sid")
+def _far_edges(rows: DataFrame, base: DataFrame, least: int, group: str = "key", unit: int = TILE, counted: bool = False) -> DataFrame:
+    """a, b: comps that sets near by their sketches, and if `counted` by their counters, join, of rows (group, sid, comp)."""
+    tiles = _tiles(rows, group, F.lit(1), unit).join(_facts(base, counted), "sid")
 
     def meet(table: pa.Table) -> pa.RecordBatch:
-        values = {c: table.column(c).to_numpy() for c in ("comp", "part", "lo", "hi", "size", *SKETCH)}
+        values = compared(table, ["comp", "part", "lo", "hi"])
         comp, part, whole = values["comp"], values["part"], values["lo"] == values["hi"]
         apart = lambda i, j: (comp[i] != comp[j]) & (whole[i] | (part[i] != part[j]))
 
@@ -397,11 +428,11 @@ def _far_edges(rows: DataFrame, base: DataFrame, least: int) -> DataFrame:
             out[out] = near(values, i[out], j[out], least)
             return out
 
-        a, b = span_groups(_groups(table, ["key", "lo", "hi"])[0], hit)
+        a, b = span_groups(_groups(table, [group, "lo", "hi"])[0], hit)
         pairs = np.unique(np.sort(np.stack([comp[a], comp[b]], axis=1), axis=1), axis=0).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in (0, 1)], ["a", "b"])
 
-    return _by_task(tiles, ["key", "lo", "hi"], meet, "a long, b long")
+    return _by_task(tiles, [group, "lo", "hi"], meet, "a long, b long")
 
 
 def span_across(sets: list[np.ndarray], comp: np.ndarray, asks: np.ndarray, least: int = LEAST) -> list[tuple[int, int]]:
@@ -477,9 +508,12 @@ def _joined(base: DataFrame, width: int, least: int) -> DataFrame:
         edges = found if edges is None else edges.unionByName(found)
         comps = stored(connected_components(edges))
         open_ = _still_open(_with_comps(open_.drop("comp"), comps))
-    clusters = stored(connected_components(_far_edges(open_, base, least)))
-    members = _with_comps(base.select("sid", "size"), comps).join(clusters.select(F.col("node").alias("comp"), F.col("root").alias("cluster")), "comp")
-    links = _confirmed(stored(members), base, width, least)
+    sets = stored(_with_comps(base.select("sid", "size"), comps))
+    members = lambda found: stored(sets.join(stored(found).select(F.col("node").alias("comp"), F.col("root").alias("cluster")), "comp"))
+    clusters = members(connected_components(_far_edges(open_, base, least)))
+    # Large sets that share any key hang together here; counters part them before texts move.
+    clusters = members(connected_components(_far_edges(clusters.drop("size"), base, least, "cluster", WIDE, True)))
+    links = _confirmed(clusters, base, width, least)
     return connected_components(edges.unionByName(links))
 
 
@@ -496,8 +530,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     turn, so dense groups become one class; the keys that still hold several classes are then compared in full, and what may join two classes is settled on the sets.
     """
     own = _told(docs, id_col, text_col, width, True).where("size > 0")
-    base = own.groupBy(*NAME).agg(F.min(F.struct("none", "id", "text")).alias("row"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in SKETCH))
-    base = _bucketed(base.select(*NAME, "row.id", "row.text", "copies", *SKETCH).withColumn("sid", F.monotonically_increasing_id()))
+    base = own.groupBy(*NAME).agg(F.min(F.struct("none", "id", "text")).alias("row"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in [*SKETCH, "counts"]))
+    base = _bucketed(base.select(*NAME, "row.id", "row.text", "copies", *SKETCH, "counts").withColumn("sid", F.monotonically_increasing_id()))
     roots = stored(_with_comps(base.select("sid", "id"), _joined(base, width, least)))
     classes = stored(roots.groupBy("comp").agg(F.min("id").alias("component_id"), F.count("*").alias("n")))
     named = spread_join(roots.select("sid", "comp"), classes, ["comp"], "n").select("sid", "component_id")
