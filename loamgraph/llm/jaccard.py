@@ -246,33 +246,46 @@ def compared(table: pa.Table, names: list[str]) -> dict[str, np.ndarray]:
     return values
 
 
+def packed(text: bytes) -> bytes:
+    """A text as it moves and is stored: its length in 8 bytes, then its bytes compressed."""
+    return len(text).to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True)
+
+
+def unpacked(column: pa.Array) -> Iterator[bytes]:
+    for c in column:
+        held = c.as_buffer()
+        yield pa.decompress(held.slice(8), int.from_bytes(held.slice(0, 8).to_pybytes(), "little"), codec="zstd", asbytes=True)
+
+
 NAME = ["h1", "h2", "size"]
 SKETCH = [f"w{i}" for i in range(WORDS)]
 
 
 def _told(docs: DataFrame, id_col: str, text_col: str, width: int, full: bool) -> DataFrame:
-    """none, id, text, sketch and counts (if `full`), and NAME of each document's set: 128 bits and its size."""
+    """none, id, text (packed), sketch and counts (if `full`), and NAME of each document's set: 128 bits and its size."""
     rows = docs.select(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     own = ["none", "id", "text"] if full else ["id"]
     names = [*own, *NAME, *(SKETCH if full else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            halves, sizes, words, large = [], [], [], []
+            halves, sizes, texts, words, large = [], [], [], [], []
             for text in byte_values(batch.column("text")):
                 h = shingles(text, width)
                 halves.append(xxhash.xxh3_128_digest(h.tobytes()))
                 sizes.append(len(h))
                 if full:
+                    texts.append(packed(text or b""))
                     words.append(sketch(h))
                     large.append(counts(h))
             name = np.frombuffer(b"".join(halves), ">i8").astype(np.int64).reshape(-1, 2)
-            columns = [*(batch.column(c) for c in own), pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(sizes, pa.int64())]
+            columns = [*(pa.array(texts, pa.binary()) if c == "text" else batch.column(c) for c in own), pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(sizes, pa.int64())]
             columns += [*(pa.array(c) for c in np.array(words, np.int64).reshape(-1, WORDS).T), pa.array(large, pa.binary())] if full else []
             yield pa.RecordBatch.from_arrays(columns, [*names, "counts"] if full else names)
 
     told = [StructField(c, LongType()) for c in names[len(own) :]] + ([StructField("counts", BinaryType())] if full else [])
-    return rows.mapInArrow(run, StructType([f for f in rows.schema.fields if f.name in own] + told))
+    kept = [StructField(c, BinaryType()) if c == "text" else rows.schema[c] for c in own]
+    return rows.mapInArrow(run, StructType(kept + told))
 
 
 def _bucketed(base: DataFrame) -> DataFrame:
@@ -303,7 +316,7 @@ def _count_shingles(base: DataFrame, width: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for text in byte_values(batch.column(0)):
+            for text in unpacked(batch.column(0)):
                 np.add.at(total, counter_of(shingles(text, width)), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "n"])
@@ -321,7 +334,7 @@ def _keys(base: DataFrame, width: int, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, sids = [], []
-            for sid, text in zip(batch.column(0).to_numpy(), byte_values(batch.column(1)), strict=True):
+            for sid, text in zip(batch.column(0).to_numpy(), unpacked(batch.column(1)), strict=True):
                 h = shingles(text, width)
                 keys.append(combination_keys(h, classes.value[counter_of(h)], least).view(np.int64))
                 sids.append(np.full(len(keys[-1]), sid))
@@ -348,7 +361,7 @@ def _by_task(rows: DataFrame, keys: list[str], make: Callable[[pa.Table], pa.Rec
 
 
 def _sets(table: pa.Table, width: int) -> list[np.ndarray]:
-    return [shingles(t, width) for t in byte_values(table.column("text").combine_chunks())]
+    return [shingles(t, width) for t in unpacked(table.column("text").combine_chunks())]
 
 
 def _texts(rows: DataFrame, base: DataFrame) -> DataFrame:

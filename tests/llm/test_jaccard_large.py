@@ -42,3 +42,10 @@ def test_texts_of_unlike_large_sets_stay(spark, monkeypatch):
     got = jaccard.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {x.doc_id: x.component_id for x in got} == {i: 7 if i == 40 else i for i in range(41)}
     assert sum(moved) <= 4
+
+
+def test_packed_texts_come_back_and_are_smaller():
+    texts = [b"", b"a", "ein Wört ".encode() * 500]
+    held = [jaccard.packed(t) for t in texts]
+    assert list(jaccard.unpacked(pa.array([b"before", *held], pa.binary()).slice(1))) == texts
+    assert len(held[2]) < len(texts[2]) / 10
